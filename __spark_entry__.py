@@ -20,7 +20,16 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from retailspark.config import Config  # noqa: E402
+from retailspark.functions import calendar as CAL  # noqa: E402
+from retailspark.functions import numbers as NUM  # noqa: E402
+from retailspark.functions import text as TXT  # noqa: E402
+from retailspark.functions.weather import weather_code  # noqa: E402
+from retailspark.operators import alerts as AL  # noqa: E402
 from retailspark.operators import daily as D  # noqa: E402
+from retailspark.operators import features as FE  # noqa: E402
+from retailspark.operators import ingest as IN  # noqa: E402
+from retailspark.operators import reports as RP  # noqa: E402
 from retailspark.sources import fixtures as FX  # noqa: E402
 
 AS_OF = FX.AS_OF
@@ -30,6 +39,20 @@ def _r6(c: str) -> F.Column:
     return F.round(F.col(c), 6).alias(c)
 
 
+def _dev(c: str = "percentage_average_deviation") -> list[F.Column]:
+    """Deviation as a finite rounded double (NULL when infinite) plus an ``is_atypical`` flag."""
+    d = F.col(c)
+    inf = F.abs(d) == F.lit(float("inf"))
+    return [F.when(inf, F.lit(None).cast("double")).otherwise(F.round(d, 6)).alias(c), F.coalesce(inf, F.lit(False)).alias("is_atypical")]
+
+
+def _upcoming(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.upcoming_predictions(FX.predictions(spark, sf), as_of=AS_OF)
+
+
+ROWCOLS = ["store_id", "barcode", "product_name", "category", "objective_date", "prediction", "feature", "type"]
+
+
 # --------------------------------------------------------------------------- daily family
 def q_daily_sales(spark: SparkSession, sf: str) -> DataFrame:
     d = D.daily_sales(FX.sales(spark, sf))
@@ -41,16 +64,249 @@ def q_historical_average(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("store_id", "barcode", _r6("v_p"), "n_days")
 
 
+# --------------------------------------------------------------------------- scalar functions
+def q_weather_code(spark: SparkSession, sf: str) -> DataFrame:
+    s = FX.sales(spark, sf)
+    return s.groupBy(F.col("weather_resume_wmo_code").alias("wmo"), weather_code(F.col("weather_resume_wmo_code")).alias("weather_code")).agg(
+        F.count(F.lit(1)).alias("n_rows")
+    )
+
+
+def q_cyclic_features(spark: SparkSession, sf: str) -> DataFrame:
+    d = FX.sales(spark, sf).select("sale_date").distinct()
+    c = F.col("sale_date")
+    return d.select(
+        "sale_date",
+        F.round(CAL.cyclic_sin(F.weekday(c), 7), 6).alias("sin_weekday"),
+        F.round(CAL.cyclic_cos(F.weekday(c), 7), 6).alias("cos_weekday"),
+        F.round(CAL.cyclic_sin(F.dayofmonth(c), 31), 6).alias("sin_day"),
+        F.round(CAL.cyclic_cos(F.dayofmonth(c), 31), 6).alias("cos_day"),
+        F.round(CAL.cyclic_sin(F.month(c), 12), 6).alias("sin_month"),
+        F.round(CAL.cyclic_cos(F.month(c), 12), 6).alias("cos_month"),
+        CAL.is_payday(c).alias("payday"),
+        CAL.iso_weekday(c).alias("iso_weekday"),
+    )
+
+
+def q_clamp_round(spark: SparkSession, sf: str) -> DataFrame:
+    li = FX.table(spark, sf, "lineitem")
+    raw = F.col("l_quantity") / F.lit(2.0) - F.lit(5.0)
+    return li.select("l_orderkey", "l_linenumber", raw.alias("raw"), NUM.clamp_round(raw).alias("prediction"))
+
+
+def q_classify_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    p = FX.predictions(spark, sf).select("store_id", "barcode", "objective_date", "prediction")
+    h = D.historical_average(FX.sales(spark, sf), as_of=AS_OF).select("store_id", "barcode", "v_p")
+    c = AL.classify(p.join(h, ["store_id", "barcode"], "left"), cfg=Config())
+    return c.select("store_id", "barcode", "objective_date", "prediction", "type", "feature", *_dev())
+
+
+def q_alert_labels(spark: SparkSession, sf: str) -> DataFrame:
+    p = RP.upcoming_predictions(FX.predictions(spark, sf), as_of=AS_OF)
+    d = F.col("percentage_average_deviation")
+    return p.select(
+        "store_id", "barcode", "objective_date", "type",
+        TXT.alert_label(F.col("type"), "report").alias("label_report"),
+        TXT.alert_label(F.col("type"), "mail").alias("label_mail"),
+        TXT.alert_label(F.col("type"), "ui").alias("label_ui"),
+        NUM.sign_class(d).alias("sign_class"),
+        F.when(F.abs(d) != F.lit(float("inf")), NUM.signed_percent(d)).alias("deviation_text"),
+    )
+
+
+def q_date_labels(spark: SparkSession, sf: str) -> DataFrame:
+    d = FX.sales(spark, sf).select("sale_date").distinct()
+    c = F.col("sale_date")
+    text_in = F.date_format(c, "dd-MM-yyyy")
+    return d.select(
+        "sale_date",
+        CAL.parse_date(text_in, "dd-MM-yyyy").alias("parsed"),
+        CAL.date_label(c, "dd/MM/yyyy").alias("label_slash"),
+        CAL.date_label(c, "yyyy-MM-dd").alias("label_iso"),
+        CAL.period_label(c, F.date_add(c, 7)).alias("period_label"),
+        CAL.long_date_es(c).alias("long_date"),
+    )
+
+
+# --------------------------------------------------------------------------- features
+def q_feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    daily = D.fill_temperature(D.daily_sales(FX.sales(spark, sf)))
+    m = FE.feature_matrix(daily, training=True)
+    return m.select("store_id", "barcode", "sale_date", *[_r6(c) for c in FE.FEATURE_NAMES], "y")
+
+
+def q_daily_sales_filled(spark: SparkSession, sf: str) -> DataFrame:
+    d = D.fill_temperature(D.daily_sales(FX.sales(spark, sf)))
+    return d.select("store_id", "barcode", "sale_date", "amount", _r6("temperature"), "weather_code")
+
+
+def q_sales_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return D.sales_scan(FX.sales(spark, sf), as_of=AS_OF)
+
+
+def q_recent_sales(spark: SparkSession, sf: str) -> DataFrame:
+    return D.recent_sales(FX.sales(spark, sf), as_of=AS_OF)
+
+
+def q_examples_per_product(spark: SparkSession, sf: str) -> DataFrame:
+    return D.examples_per_product(FX.sales(spark, sf))
+
+
+def q_sold_products(spark: SparkSession, sf: str) -> DataFrame:
+    return D.sold_products(FX.sales(spark, sf))
+
+
+def q_sales_history(spark: SparkSession, sf: str) -> DataFrame:
+    return D.sales_history(FX.sales(spark, sf)).drop("sale_date")
+
+
+def q_store_list(spark: SparkSession, sf: str) -> DataFrame:
+    return FX.stores(spark, sf).select("store_id", "latitude", "longitude")
+
+
+def q_product_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """A4: attributes of the products that have sales (semi join)."""
+    keys = D.sold_products(FX.sales(spark, sf))
+    return FX.products(spark, sf).drop("brand_no").join(keys, "barcode", "left_semi")
+
+
+# --------------------------------------------------------------------------- weekly report
+def q_active_stores(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.active_stores(FX.stores(spark, sf))
+
+
+def q_upcoming_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return _upcoming(spark, sf).select(*ROWCOLS, *_dev())
+
+
+def q_worst_case_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.worst_case_rows(_upcoming(spark, sf)).select(*ROWCOLS, "summary_rank", *_dev())
+
+
+def q_top_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.top_alerts(_upcoming(spark, sf), k=10).select(*ROWCOLS, "alert_rank", *_dev())
+
+
+def q_weekly_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.weekly_stats(_upcoming(spark, sf))
+
+
+def q_weekly_stats_all_stores(spark: SparkSession, sf: str) -> DataFrame:
+    st = RP.weekly_stats(_upcoming(spark, sf))
+    return RP.weekly_stats_all(FX.stores(spark, sf), st, as_of=AS_OF)
+
+
+def q_category_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.category_breakdown(RP.worst_case_rows(_upcoming(spark, sf)))
+
+
+def q_category_proportions(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.category_proportions(RP.category_breakdown(RP.worst_case_rows(_upcoming(spark, sf))))
+
+
+def _report_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Stand-in delivery results: stores with predictions were processed; the
+    delivery succeeds when the address passes the registration e-mail pattern."""
+    act = RP.active_stores(FX.stores(spark, sf))
+    has = _upcoming(spark, sf).select("store_id").distinct()
+    from retailspark.operators.ingest import EMAIL_PATTERN
+
+    return act.join(has, "store_id", "left_semi").select("store_id", F.col("email").rlike(EMAIL_PATTERN).alias("ok"))
+
+
+def q_run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.run_summary(RP.active_stores(FX.stores(spark, sf)), _report_results(spark, sf))
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    up = _upcoming(spark, sf)
+    worst = RP.worst_case_rows(up)
+    return RP.report_documents(
+        RP.active_stores(FX.stores(spark, sf)), RP.weekly_stats(up), worst, RP.top_alerts(up), RP.category_breakdown(worst)
+    )
+
+
+def q_report_document(spark: SparkSession, sf: str) -> DataFrame:
+    return _documents(spark, sf)
+
+
+def q_report_digest(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.report_digest(_documents(spark, sf), generated_at="01/07/2001 06:00")
+
+
+# --------------------------------------------------------------------------- ingest
+def q_validate_registrations(spark: SparkSession, sf: str) -> DataFrame:
+    return IN.validate_registrations(FX.registrations(spark, sf))
+
+
+def q_register_stores(spark: SparkSession, sf: str) -> DataFrame:
+    return IN.register_stores(FX.registrations(spark, sf), FX.stores(spark, sf))
+
+
+def _scans(spark: SparkSession, sf: str) -> DataFrame:
+    return IN.clean_scans(FX.scans_raw(spark, sf))
+
+
+def q_clean_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return _scans(spark, sf)
+
+
+def q_half_hour_sales(spark: SparkSession, sf: str) -> DataFrame:
+    return IN.half_hour_sales(_scans(spark, sf))
+
+
+def q_scan_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return IN.scan_totals(_scans(spark, sf), FX.stores(spark, sf))
+
+
+def _packages(spark: SparkSession, sf: str) -> DataFrame:
+    return IN.sales_packages(IN.half_hour_sales(_scans(spark, sf)))
+
+
+def q_sales_packages(spark: SparkSession, sf: str) -> DataFrame:
+    return _packages(spark, sf).drop("sale_date")
+
+
+def q_package_receipts(spark: SparkSession, sf: str) -> DataFrame:
+    return IN.package_receipts(_packages(spark, sf))
+
+
+def q_package_accept(spark: SparkSession, sf: str) -> DataFrame:
+    ok, _ = IN.split_by_store(_packages(spark, sf), FX.stores(spark, sf))
+    return ok.select("id_store", "date", "day", F.size("sales").alias("blocks"))
+
+
+def q_package_reject(spark: SparkSession, sf: str) -> DataFrame:
+    _, bad = IN.split_by_store(_packages(spark, sf), FX.stores(spark, sf))
+    return bad.select("id_store", "date", "day", F.size("sales").alias("blocks"))
+
+
+def q_retention_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return IN.retain(_packages(spark, sf), as_of=FX.EVENTS_AS_OF, date_col="sale_date").select("id_store", "date")
+
+
+def q_sales_with_weather(spark: SparkSession, sf: str) -> DataFrame:
+    s = FX.sales(spark, sf).withColumn("hour", F.substring("time", 1, 2).cast("int"))
+    lines = s.select("store_id", "barcode", "sale_date", "time", "amount", "hour")
+    j = IN.attach_weather(lines, IN.explode_hourly(FX.hourly_weather(spark, sf)))
+    return j.select("store_id", "barcode", "sale_date", "time", "amount", "temperature", "weather_resume_wmo_code")
+
+
+def q_complete_products(spark: SparkSession, sf: str) -> DataFrame:
+    return IN.complete_products(FX.sales(spark, sf), FX.known_products(spark, sf), FX.catalog(spark, sf))
+
+
+def q_pending_packages(spark: SparkSession, sf: str) -> DataFrame:
+    return IN.pending_packages(FX.package_queue(spark, sf))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: V_p per store x product on sf0.001."""
     return q_historical_average(spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "daily_sales": q_daily_sales,
-        "historical_average": q_historical_average,
-    }
+    return {k[2:]: v for k, v in globals().items() if k.startswith("q_") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:

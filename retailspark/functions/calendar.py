@@ -44,7 +44,7 @@ def iso_weekday(d: Column | str) -> Column:
 
 def parse_date(text: Column | str, fmt: str = "dd-MM-yyyy") -> Column:
     """Parse text to a date; NULL (not an error) on malformed text."""
-    return F.try_to_date(_c(text), F.lit(fmt))
+    return F.try_to_date(_c(text), fmt)
 
 
 def date_label(d: Column | str, fmt: str = "dd/MM/yyyy") -> Column:

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 AS_OF = _dt.date(2001, 7, 1)
 # Gap that separates key-event sessions in the ``events`` stand-in.
 EVENT_GAP_SECONDS = 3600
+# Evaluation date for stand-ins built from ``events`` (January 2024).
+EVENTS_AS_OF = _dt.date(2024, 2, 15)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -240,9 +242,15 @@ def hourly_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def package_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pending-queue lines ``seq, package_name`` (some blank) and the send log ``seq, ok``."""
+    """Pending-queue lines per client ``client_id, seq, package_name`` (some blank)
+    with the outcome ``ok`` a send attempt would have."""
     e = table(spark, sf_dir, "events")
     name = F.when(F.col("event_id") % 17 == 0, F.lit("  ")).otherwise(
         F.concat(_s(F.col("user_id") + 1), F.lit("_"), F.date_format("ts", "dd-MM-yyyy_HH-mm-ss"), F.lit(".json"))
     )
-    return e.select(F.col("event_id").alias("seq"), name.alias("package_name"), (F.col("event_type") != "error").alias("ok"))
+    return e.select(
+        (F.col("user_id") + 1).cast("int").alias("client_id"),
+        F.col("event_id").alias("seq"),
+        name.alias("package_name"),
+        (F.col("event_type") != "error").alias("ok"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sqlcheck.views import AS_OF, with_views
+from sqlcheck.views import AS_OF, EVENTS_AS_OF, with_views
 
 # B1 internal weather code as SQL text over a column expression.
 def wcode(c: str) -> str:
@@ -36,4 +36,238 @@ def build() -> dict[str, str]:
     q["historical_average"] = with_views(
         ["sales"], "SELECT store_id, barcode, round(v_p, 6) AS v_p, n_days FROM hist", {"hist": HIST}
     )
+    build_more(q)
     return q
+
+
+UPCOMING = f"""SELECT store_id, barcode, COALESCE(product_name, 'Producto Desconocido') AS product_name,
+  COALESCE(category, 'Sin categoría') AS category, objective_date, prediction, COALESCE(feature, false) AS feature, type,
+  COALESCE(percentage_average_deviation, 0.0) AS percentage_average_deviation
+FROM predictions WHERE objective_date BETWEEN {AS_OF} AND {AS_OF} + 7"""
+
+WORST = """SELECT * EXCLUDE (rn), ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY abs(percentage_average_deviation) DESC, feature DESC,
+  objective_date, barcode) AS summary_rank
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id, barcode ORDER BY abs(percentage_average_deviation) DESC, feature DESC, objective_date) AS rn
+      FROM upcoming) t WHERE rn = 1"""
+
+TOP = """SELECT * FROM (SELECT * EXCLUDE (rn), ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY abs(percentage_average_deviation) DESC,
+  objective_date, barcode) AS alert_rank
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id, barcode ORDER BY abs(percentage_average_deviation) DESC, objective_date) AS rn
+      FROM upcoming WHERE feature) t WHERE rn = 1) u WHERE alert_rank <= 10"""
+
+STATS = """SELECT a.*, b.deficit_products, b.superavit_products, b.neutral_products FROM
+ (SELECT store_id, COUNT(*) AS total_prediction_rows, count_if(type = 'deficit') AS deficit_rows, count_if(type = 'superavit') AS superavit_rows,
+   count_if(type = 'none') AS neutral_rows, count_if(feature) AS featured_rows, COUNT(DISTINCT barcode) AS unique_products,
+   COUNT(DISTINCT CASE WHEN feature THEN barcode END) AS unique_featured_products,
+   MIN(objective_date) AS date_range_start, MAX(objective_date) AS date_range_end
+  FROM upcoming GROUP BY store_id) a
+ JOIN (SELECT store_id, count_if(type = 'deficit') AS deficit_products, count_if(type = 'superavit') AS superavit_products,
+   count_if(type = 'none') AS neutral_products FROM worst GROUP BY store_id) b ON a.store_id = b.store_id"""
+
+CATB = """SELECT store_id, category, total_products, deficit_count, superavit_count, neutral_count, featured_count,
+  ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY total_products DESC, category) AS category_rank
+FROM (SELECT store_id, category, COUNT(*) AS total_products, count_if(type = 'deficit') AS deficit_count,
+   count_if(type = 'superavit') AS superavit_count, count_if(type IS NULL OR type NOT IN ('deficit', 'superavit')) AS neutral_count,
+   count_if(feature) AS featured_count FROM worst GROUP BY store_id, category) t"""
+
+ACTIVE = """SELECT store_id, owner_name, regexp_replace(email, '^\\s+|\\s+$', '', 'g') AS email, city FROM stores
+WHERE email IS NOT NULL AND trim(email) <> '' AND email LIKE '%@%'"""
+
+EMAIL_RE = "^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$"
+
+
+def dev_out(c: str = "percentage_average_deviation") -> str:
+    return f"CASE WHEN isinf({c}) THEN NULL ELSE round({c}, 6) END AS {c}, COALESCE(isinf({c}), false) AS is_atypical"
+
+
+ROWCOLS = "store_id, barcode, product_name, category, objective_date, prediction, feature, type"
+
+FEATS = """round(sin(2 * pi() * (isodow(sale_date) - 1) / 7.0), 6) AS sin_weekday,
+  round(cos(2 * pi() * (isodow(sale_date) - 1) / 7.0), 6) AS cos_weekday,
+  round(sin(2 * pi() * day(sale_date) / 31.0), 6) AS sin_day, round(cos(2 * pi() * day(sale_date) / 31.0), 6) AS cos_day,
+  round(sin(2 * pi() * month(sale_date) / 12.0), 6) AS sin_month, round(cos(2 * pi() * month(sale_date) / 12.0), 6) AS cos_month"""
+
+PAYDAY = "CASE WHEN day(sale_date) BETWEEN 13 AND 17 OR day(sale_date) >= 27 THEN 1 ELSE 0 END"
+
+FILLED = """SELECT store_id, barcode, sale_date, amount, COALESCE(temperature, AVG(temperature) OVER (PARTITION BY barcode), 22.0) AS temperature,
+  weather_code FROM daily"""
+
+WEEKDAYS = "['Lunes', 'Martes', 'Miércoles', 'Jueves', 'Viernes', 'Sábado', 'Domingo']"
+MONTHS = "['Enero', 'Febrero', 'Marzo', 'Abril', 'Mayo', 'Junio', 'Julio', 'Agosto', 'Septiembre', 'Octubre', 'Noviembre', 'Diciembre']"
+
+HALF = """SELECT store_id, TRY_CAST(CASE WHEN length(trim(time)) > 8 THEN substr(trim(time), 1, 10) END AS DATE) AS sale_date,
+  printf('%02d:%02d:00', CAST(substr(trim(time), -8, 2) AS INT), CASE WHEN CAST(substr(trim(time), -5, 2) AS INT) < 30 THEN 0 ELSE 30 END) AS block,
+  barcode, CAST(SUM(amount) AS BIGINT) AS amount
+FROM scans GROUP BY 1, 2, 3, 4"""
+
+SCANS = "SELECT id, store_id, trim(barcode) AS barcode, time, 1 AS amount FROM scans_raw WHERE length(trim(barcode)) > 0"
+
+PACKAGES = """SELECT store_id AS id_store, strftime(sale_date, '%d-%m-%Y') AS date, isodow(sale_date) AS day, COUNT(DISTINCT block) AS blocks,
+  sale_date FROM half GROUP BY store_id, sale_date"""
+
+
+def build_more(q: dict[str, str]) -> None:
+    s = ["sales"]
+    q["sales_scan"] = with_views(
+        s, f"SELECT store_id, barcode, sale_date, amount, temperature, weather_resume_wmo_code FROM sales WHERE sale_date <= {AS_OF}"
+    )
+    q["recent_sales"] = with_views(
+        s,
+        f"SELECT store_id, barcode, sale_date, amount, temperature, weather_resume_wmo_code FROM sales "
+        f"WHERE sale_date >= {AS_OF} - 2 AND sale_date <= {AS_OF}",
+    )
+    q["examples_per_product"] = with_views(s, "SELECT barcode, COUNT(*) AS n_examples FROM sales GROUP BY barcode")
+    q["sold_products"] = with_views(s, "SELECT DISTINCT barcode FROM sales WHERE barcode IS NOT NULL")
+    q["sales_history"] = with_views(
+        s,
+        "SELECT store_id, barcode, strftime(sale_date, '%Y-%m-%d') AS date, CAST(SUM(amount) AS BIGINT) AS volume "
+        "FROM sales GROUP BY store_id, barcode, sale_date",
+    )
+    q["store_list"] = with_views(["stores"], "SELECT store_id, latitude, longitude FROM stores")
+    q["product_lookup"] = with_views(
+        ["sales", "products"],
+        "SELECT barcode, product_name, category, image_url FROM products WHERE barcode IN (SELECT barcode FROM sales)",
+    )
+    q["daily_sales_filled"] = with_views(
+        s, "SELECT store_id, barcode, sale_date, amount, round(temperature, 6) AS temperature, weather_code FROM filled",
+        {"daily": DAILY, "filled": FILLED},
+    )
+    q["feature_matrix"] = with_views(
+        s,
+        f"""SELECT store_id, barcode, sale_date, {FEATS}, CAST({PAYDAY} AS DOUBLE) AS payday,
+  round(CASE WHEN temperature IS NULL OR temperature = 0 THEN 20.0 ELSE temperature END, 6) AS temperature,
+  CAST(CASE WHEN weather_code IS NULL OR weather_code = 0 THEN 1 ELSE weather_code END AS DOUBLE) AS weather_code,
+  CAST(store_id AS DOUBLE) AS store_f, CAST(amount AS DOUBLE) AS y FROM filled""",
+        {"daily": DAILY, "filled": FILLED},
+    )
+    q["weather_code"] = with_views(
+        s,
+        f"SELECT weather_resume_wmo_code AS wmo, {wcode('weather_resume_wmo_code')} AS weather_code, COUNT(*) AS n_rows "
+        "FROM sales GROUP BY 1, 2",
+    )
+    q["cyclic_features"] = with_views(
+        s,
+        f"SELECT sale_date, {FEATS}, {PAYDAY} AS payday, isodow(sale_date) AS iso_weekday FROM (SELECT DISTINCT sale_date FROM sales) d",
+    )
+    q["clamp_round"] = (
+        "SELECT l_orderkey, l_linenumber, l_quantity / 2.0 - 5.0 AS raw, "
+        "CAST(round_even(greatest(l_quantity / 2.0 - 5.0, 0.0), 0) AS INT) AS prediction FROM lineitem"
+    )
+    q["classify_alerts"] = with_views(
+        ["predictions", "sales"],
+        f"""SELECT store_id, barcode, objective_date, prediction, type, type <> 'none' AS feature, {dev_out()} FROM (
+  SELECT *, CASE WHEN percentage_average_deviation <= -15.0 THEN 'deficit' WHEN percentage_average_deviation >= 15.0 THEN 'superavit'
+    ELSE 'none' END AS type FROM (
+    SELECT p.store_id, p.barcode, p.objective_date, p.prediction,
+      CASE WHEN COALESCE(h.v_p, 0.0) > 0 THEN (CAST(p.prediction AS DOUBLE) - h.v_p) / h.v_p * 100.0
+           WHEN p.prediction > 0 THEN CAST('Infinity' AS DOUBLE) ELSE 0.0 END AS percentage_average_deviation
+    FROM predictions p LEFT JOIN hist h ON h.store_id = p.store_id AND h.barcode = p.barcode) a) b""",
+        {"hist": HIST},
+    )
+    q["alert_labels"] = with_views(
+        ["predictions"],
+        f"""SELECT store_id, barcode, objective_date, type,
+  CASE type WHEN 'deficit' THEN 'Déficit' WHEN 'superavit' THEN 'Superávit' ELSE 'Estable' END AS label_report,
+  CASE type WHEN 'deficit' THEN 'DÉFICIT' WHEN 'superavit' THEN 'SUPERÁVIT' ELSE 'NORMAL' END AS label_mail,
+  CASE type WHEN 'deficit' THEN 'DÉFICIT' WHEN 'superavit' THEN 'SUPERÁVIT' ELSE 'ESTABLE' END AS label_ui,
+  CASE WHEN d > 0 THEN 'positive' WHEN d < 0 THEN 'negative' ELSE 'neutral' END AS sign_class,
+  CASE WHEN NOT isinf(d) THEN concat(CASE WHEN d > 0 THEN '+' ELSE '' END, printf('%.1f', round_even(d, 1)), '%') END AS deviation_text
+FROM (SELECT *, percentage_average_deviation AS d FROM upcoming) u""",
+        {"upcoming": UPCOMING},
+    )
+    q["date_labels"] = with_views(
+        s,
+        f"""SELECT sale_date, sale_date AS parsed, strftime(sale_date, '%d/%m/%Y') AS label_slash, strftime(sale_date, '%Y-%m-%d') AS label_iso,
+  concat(strftime(sale_date, '%d-%m-%Y'), ' al ', strftime(sale_date + 7, '%d-%m-%Y')) AS period_label,
+  concat(list_extract({WEEKDAYS}, isodow(sale_date)), ', ', list_extract({MONTHS}, month(sale_date)), ' ',
+         CAST(day(sale_date) AS VARCHAR), ', ', CAST(year(sale_date) AS VARCHAR)) AS long_date
+FROM (SELECT DISTINCT sale_date FROM sales) d""",
+    )
+    # weekly report family
+    rp = ["predictions"]
+    q["active_stores"] = with_views(["stores"], ACTIVE)
+    q["upcoming_predictions"] = with_views(rp, f"SELECT {ROWCOLS}, {dev_out()} FROM upcoming", {"upcoming": UPCOMING})
+    q["worst_case_rows"] = with_views(
+        rp, f"SELECT {ROWCOLS}, summary_rank, {dev_out()} FROM worst", {"upcoming": UPCOMING, "worst": WORST}
+    )
+    q["top_alerts"] = with_views(rp, f"SELECT {ROWCOLS}, alert_rank, {dev_out()} FROM top", {"upcoming": UPCOMING, "top": TOP})
+    q["weekly_stats"] = with_views(rp, "SELECT * FROM stats", {"upcoming": UPCOMING, "worst": WORST, "stats": STATS})
+    cols = ("total_prediction_rows deficit_rows superavit_rows neutral_rows featured_rows unique_products unique_featured_products "
+            "deficit_products superavit_products neutral_products").split()
+    q["weekly_stats_all_stores"] = with_views(
+        ["stores", "predictions"],
+        "SELECT s.store_id, " + ", ".join(f"COALESCE(t.{c}, 0) AS {c}" for c in cols)
+        + f", COALESCE(t.date_range_start, {AS_OF}) AS date_range_start, COALESCE(t.date_range_end, CAST({AS_OF} + 7 AS DATE)) AS date_range_end,"
+        " t.total_prediction_rows IS NULL AS is_empty FROM stores s LEFT JOIN stats t ON t.store_id = s.store_id",
+        {"upcoming": UPCOMING, "worst": WORST, "stats": STATS},
+    )
+    q["category_breakdown"] = with_views(rp, "SELECT * FROM catb", {"upcoming": UPCOMING, "worst": WORST, "catb": CATB})
+    pct = ", ".join(
+        f"CASE WHEN total_products > 0 THEN CAST(round_even(100.0 * {k}_count / total_products, 0) AS INT) END AS {k}_pct, "
+        f"CASE WHEN {k}_count > 0 THEN CAST({k}_count AS VARCHAR) ELSE '—' END AS {k}_text"
+        for k in ("deficit", "superavit", "neutral")
+    )
+    q["category_proportions"] = with_views(
+        rp,
+        f"SELECT *, {pct}, CASE WHEN featured_count > 0 THEN CAST(featured_count AS VARCHAR) ELSE '—' END AS featured_text FROM catb",
+        {"upcoming": UPCOMING, "worst": WORST, "catb": CATB},
+    )
+    q["run_summary"] = with_views(
+        ["stores", "predictions"],
+        """SELECT COUNT(*) AS active_stores, count_if(r.ok = true) AS succeeded, count_if(r.ok = false) AS failed, count_if(r.ok IS NULL) AS skipped
+FROM active a LEFT JOIN (SELECT store_id, regexp_matches(email, '""" + EMAIL_RE + """') AS ok FROM active
+  WHERE store_id IN (SELECT store_id FROM upcoming)) r ON r.store_id = a.store_id""",
+        {"active": ACTIVE, "upcoming": UPCOMING},
+    )
+    # ingest family
+    q["validate_registrations"] = with_views(
+        ["registrations"],
+        f"""SELECT *, length(regexp_replace(COALESCE(name, ''), '^\\s+|\\s+$', '', 'g')) >= 3
+   AND NOT regexp_matches(COALESCE(name, ''), '[\\p{{Nd}}¹²³⁰⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉]') AS valid_name,
+  regexp_matches(regexp_replace(COALESCE(email, ''), '^\\s+|\\s+$', '', 'g'), '{EMAIL_RE}') AS valid_email FROM registrations""",
+    )
+    q["register_stores"] = with_views(
+        ["registrations", "stores"],
+        """SELECT r.request_id, r.name, r.email, CASE WHEN ok THEN 'exito' ELSE 'email_repeated' END AS status,
+  CASE WHEN ok THEN (SELECT MAX(store_id) FROM stores) + ROW_NUMBER() OVER (PARTITION BY ok ORDER BY r.request_id) END AS store_id
+FROM (SELECT r.*, r.email IS NOT NULL AND r.email NOT IN (SELECT email FROM stores WHERE email IS NOT NULL)
+        AND r.request_id = MIN(r.request_id) OVER (PARTITION BY r.email) AS ok FROM registrations r) r""",
+    )
+    q["clean_scans"] = with_views(["scans_raw"], SCANS)
+    q["half_hour_sales"] = with_views(["scans_raw"], "SELECT * FROM half", {"scans": SCANS, "half": HALF})
+    q["scan_totals"] = with_views(
+        ["scans_raw", "stores"],
+        "SELECT s.store_id, COALESCE(t.total_units, 0) AS total_units FROM stores s LEFT JOIN "
+        "(SELECT store_id, CAST(SUM(amount) AS BIGINT) AS total_units FROM scans GROUP BY store_id) t ON t.store_id = s.store_id",
+        {"scans": SCANS},
+    )
+    pk = {"scans": SCANS, "half": HALF, "packages": PACKAGES}
+    q["package_receipts"] = with_views(["scans_raw"], "SELECT id_store, date, blocks FROM packages", pk)
+    q["package_accept"] = with_views(
+        ["scans_raw", "stores"], "SELECT id_store, date, day, blocks FROM packages WHERE id_store IN (SELECT store_id FROM stores)", pk
+    )
+    q["package_reject"] = with_views(
+        ["scans_raw", "stores"], "SELECT id_store, date, day, blocks FROM packages WHERE id_store NOT IN (SELECT store_id FROM stores)", pk
+    )
+    q["retention_filter"] = with_views(
+        ["scans_raw"], f"SELECT id_store, date FROM packages WHERE date_diff('day', sale_date, {EVENTS_AS_OF}) <= 30", pk
+    )
+    q["sales_with_weather"] = with_views(
+        ["sales", "hourly_weather"],
+        """SELECT s.store_id, s.barcode, s.sale_date, s.time, s.amount, h.temperature, h.wmo AS weather_resume_wmo_code
+FROM sales s LEFT JOIN (SELECT store_id, date, unnest(range(24)) AS hour, unnest(temperature_2m) AS temperature, unnest(weather_code) AS wmo
+  FROM hourly_weather) h ON h.store_id = s.store_id AND h.date = s.sale_date AND h.hour = CAST(substr(s.time, 1, 2) AS INT)""",
+    )
+    q["complete_products"] = with_views(
+        ["sales", "known_products", "catalog"],
+        """SELECT m.barcode, CASE WHEN c.barcode IS NOT NULL THEN COALESCE(c.name, 'Nombre no disponible') ELSE 'Producto Desconocido' END AS product_name,
+  COALESCE(c.category, 'Sin Categoría') AS category, COALESCE(c.image_url, 'Sin Imagen') AS image_url
+FROM (SELECT DISTINCT barcode FROM sales WHERE barcode NOT IN (SELECT barcode FROM known_products)) m
+LEFT JOIN catalog c ON c.barcode = m.barcode""",
+    )
+    q["pending_packages"] = with_views(
+        ["package_queue"],
+        """SELECT q.client_id, q.seq, trim(q.package_name) AS package_name FROM package_queue q
+JOIN (SELECT client_id, MIN(seq) AS f FROM package_queue WHERE length(trim(package_name)) > 0 AND NOT ok GROUP BY client_id) x
+  ON x.client_id = q.client_id WHERE length(trim(q.package_name)) > 0 AND q.seq >= x.f""",
+    )

@@ -7,6 +7,7 @@ oracle statement runs on the raw driver tables only.
 from __future__ import annotations
 
 AS_OF = "DATE '2001-07-01'"
+EVENTS_AS_OF = "DATE '2024-02-15'"
 
 _WMO_CASE = (
     "CASE CAST(l.l_orderkey % 12 AS INT) WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 45 "
@@ -116,7 +117,7 @@ FROM (SELECT DISTINCT store_id, sale_date FROM sales) k WHERE (store_id + day(sa
         ("sales",),
     ),
     "package_queue": (
-        """SELECT event_id AS seq,
+        """SELECT CAST(user_id + 1 AS INT) AS client_id, event_id AS seq,
   CASE WHEN event_id % 17 = 0 THEN '  ' ELSE concat(CAST(user_id + 1 AS VARCHAR), '_', strftime(ts, '%d-%m-%Y_%H-%M-%S'), '.json') END AS package_name,
   event_type <> 'error' AS ok
 FROM events""",
