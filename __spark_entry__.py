@@ -29,6 +29,8 @@ from retailspark.operators import alerts as AL  # noqa: E402
 from retailspark.operators import daily as D  # noqa: E402
 from retailspark.operators import features as FE  # noqa: E402
 from retailspark.operators import ingest as IN  # noqa: E402
+from retailspark.operators import models as MD  # noqa: E402
+from retailspark.operators import scoring as SC  # noqa: E402
 from retailspark.operators import reports as RP  # noqa: E402
 from retailspark.sources import fixtures as FX  # noqa: E402
 
@@ -300,6 +302,128 @@ def q_pending_packages(spark: SparkSession, sf: str) -> DataFrame:
     return IN.pending_packages(FX.package_queue(spark, sf))
 
 
+# --------------------------------------------------------------------------- models and scoring
+# Fixed coefficients used to check scoring independently of the fit:
+# intercept 5.0; weights 0.1 .. 0.7 for the seven calendar features, then 0.08
+# (temperature), 0.09 (weather code) and 0.01 (store id).
+FIXED_COEF = [5.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.08, 0.09, 0.01]
+
+
+def _training_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return MD.training_rows(FX.sales(spark, sf), FX.registry_state(spark, sf), as_of=AS_OF)
+
+
+def q_training_rows(spark: SparkSession, sf: str) -> DataFrame:
+    r = _training_rows(spark, sf)
+    return r.select("store_id", "barcode", "sale_date", *[_r6(c) for c in FE.FEATURE_NAMES], "y", "prev_examples", "is_cold")
+
+
+def q_training_moments(spark: SparkSession, sf: str) -> DataFrame:
+    m = MD.training_moments(_training_rows(spark, sf))
+    e = m.select("barcode", "n", F.posexplode("moments").alias("k", "v"))
+    return e.select("barcode", "n", "k", F.round(F.col("v") / F.col("n"), 6).alias("mean_value"))
+
+
+def q_train_models(spark: SparkSession, sf: str) -> DataFrame:
+    t = MD.train_models(FX.sales(spark, sf), FX.registry_state(spark, sf), as_of=AS_OF)
+    return t.select("barcode", "mode", "n", "coef", "error", "mse", "last_date")
+
+
+def q_train_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """State = a cold fit one week before ``as_of``; then the incremental step."""
+    import datetime as dt
+
+    sales = FX.sales(spark, sf)
+    empty = FX.registry_state(spark, sf).limit(0)
+    week_before = AS_OF - dt.timedelta(days=7)
+    first = MD.train_models(sales, empty, as_of=week_before)
+    state = first.select("barcode", "n", "moments", "last_date", F.col("n").cast("long").alias("total_examples"))
+    t = MD.train_incremental(state, sales, as_of=AS_OF)
+    return t.select("barcode", "n", "new_examples", "total_examples", "last_date", "coef", "error", "mse")
+
+
+def _fixed_models(spark: SparkSession, sf: str) -> DataFrame:
+    reg = FX.registry_state(spark, sf)
+    return reg.select("barcode", "total_examples", F.array(*[F.lit(c) for c in FIXED_COEF]).alias("coef"))
+
+
+def q_clipped_mse(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _training_rows(spark, sf)
+    coef = F.array(*[F.lit(c) for c in FIXED_COEF])
+    scored = rows.withColumn("coef", coef).withColumn("yhat", MD.predict(rows, "coef"))
+    return MD.clipped_mse(scored).select("barcode", _r6("mse"), "n")
+
+
+def q_model_registry_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _training_rows(spark, sf)
+    coef = F.array(*[F.lit(c) for c in FIXED_COEF])
+    scored = rows.withColumn("coef", coef).withColumn("yhat", MD.predict(rows, "coef"))
+    trained = MD.clipped_mse(scored).select("barcode", "mse", F.col("n").alias("new_examples"), coef.alias("coef"))
+    # Products brand 20+ are "not trained this run" (their registry rows must survive).
+    trained = trained.filter(F.substring("barcode", 7, 10).cast("int") < 20)
+    reg = FX.registry_state(spark, sf).filter(F.substring("barcode", 7, 10).cast("int") > 3)
+    up = MD.upsert_registry(reg, trained, as_of=AS_OF)
+    return up.select("barcode", F.round("last_mse", 6).alias("last_mse"), "last_update", "total_examples", "type_model")
+
+
+def _forecast(spark: SparkSession, sf: str) -> DataFrame:
+    return SC.forecast_days(FX.forecast_payloads(spark, sf))
+
+
+def q_forecast_days(spark: SparkSession, sf: str) -> DataFrame:
+    return _forecast(spark, sf)
+
+
+def _days(spark: SparkSession, sf: str) -> DataFrame:
+    return SC.with_forecast_fallback(FX.stores(spark, sf), _forecast(spark, sf), as_of=AS_OF)
+
+
+def q_forecast_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    return _days(spark, sf)
+
+
+def _grid(spark: SparkSession, sf: str) -> DataFrame:
+    sales = FX.sales(spark, sf)
+    return SC.scoring_grid(SC.assortment(sales, as_of=AS_OF), _days(spark, sf), FX.products(spark, sf))
+
+
+def q_scoring_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return _grid(spark, sf).select("store_id", "barcode", "objective_date", "temperature", "weather_code", "product_name", "category")
+
+
+def _score_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    vp = D.historical_average(FX.sales(spark, sf), as_of=AS_OF)
+    return SC.score(_grid(spark, sf), _fixed_models(spark, sf), vp)
+
+
+def q_score_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    p = _score_fixed(spark, sf)
+    return p.select(*ROWCOLS, *_dev())
+
+
+def q_predictions_per_store(spark: SparkSession, sf: str) -> DataFrame:
+    return SC.predictions_per_store(_score_fixed(spark, sf))
+
+
+def q_prediction_replace(spark: SparkSession, sf: str) -> DataFrame:
+    old = FX.predictions(spark, sf)
+    out = SC.replace_keyed(old, _score_fixed(spark, sf))
+    return out.select(*ROWCOLS, *_dev())
+
+
+def q_score_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily plan end to end: train all products, upsert the registry,
+    score the grid and write back over the stored predictions."""
+    from retailspark.plans.forecast import daily_forecast
+
+    res = daily_forecast(
+        sales=FX.sales(spark, sf), stores=FX.stores(spark, sf), products=FX.products(spark, sf),
+        registry=FX.registry_state(spark, sf), forecast_payloads=FX.forecast_payloads(spark, sf),
+        old_predictions=FX.predictions(spark, sf), as_of=AS_OF,
+    )
+    return res["predictions"].select(*ROWCOLS, *_dev())
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: V_p per store x product on sf0.001."""
     return q_historical_average(spark, "/root/testdata/sf0.001")

@@ -37,6 +37,7 @@ def build() -> dict[str, str]:
         ["sales"], "SELECT store_id, barcode, round(v_p, 6) AS v_p, n_days FROM hist", {"hist": HIST}
     )
     build_more(q)
+    build_models(q)
     return q
 
 
@@ -271,3 +272,121 @@ LEFT JOIN catalog c ON c.barcode = m.barcode""",
 JOIN (SELECT client_id, MIN(seq) AS f FROM package_queue WHERE length(trim(package_name)) > 0 AND NOT ok GROUP BY client_id) x
   ON x.client_id = q.client_id WHERE length(trim(q.package_name)) > 0 AND q.seq >= x.f""",
     )
+
+
+def daily_of(src: str) -> str:
+    return DAILY.replace("FROM sales", f"FROM {src}")
+
+
+FEATURES = ["sin_weekday", "cos_weekday", "sin_day", "cos_day", "sin_month", "cos_month", "payday", "temperature", "weather_code", "store_f"]
+
+
+def feats_raw(d: str) -> str:
+    return f"""sin(2 * pi() * (isodow({d}) - 1) / 7.0) AS sin_weekday, cos(2 * pi() * (isodow({d}) - 1) / 7.0) AS cos_weekday,
+  sin(2 * pi() * day({d}) / 31.0) AS sin_day, cos(2 * pi() * day({d}) / 31.0) AS cos_day,
+  sin(2 * pi() * month({d}) / 12.0) AS sin_month, cos(2 * pi() * month({d}) / 12.0) AS cos_month,
+  CAST(CASE WHEN day({d}) BETWEEN 13 AND 17 OR day({d}) >= 27 THEN 1 ELSE 0 END AS DOUBLE) AS payday"""
+
+
+FLAGS = """SELECT d.barcode, CAST(COALESCE(r.total_examples, 0) AS BIGINT) AS prev_examples, COALESCE(r.total_examples, 0) < 30 AS is_cold
+FROM (SELECT DISTINCT barcode FROM sales) d LEFT JOIN registry_state r ON r.barcode = d.barcode"""
+
+TSALES = f"""SELECT s.* FROM sales s JOIN flags f ON f.barcode = s.barcode
+WHERE s.sale_date <= {AS_OF} AND (f.is_cold OR s.sale_date >= {AS_OF} - 2)"""
+
+TROWS = f"""SELECT t.store_id, t.barcode, t.sale_date, {feats_raw('t.sale_date')},
+  CASE WHEN t.temperature IS NULL OR t.temperature = 0 THEN 20.0 ELSE t.temperature END AS temperature,
+  CAST(CASE WHEN t.weather_code IS NULL OR t.weather_code = 0 THEN 1 ELSE t.weather_code END AS DOUBLE) AS weather_code,
+  CAST(t.store_id AS DOUBLE) AS store_f, CAST(t.amount AS DOUBLE) AS y, f.prev_examples, f.is_cold
+FROM tfilled t JOIN flags f ON f.barcode = t.barcode"""
+
+FIXED_COEF = [5.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.08, 0.09, 0.01]
+
+
+def fixed_dot(prefix: str = "") -> str:
+    acc = "CAST(0.0 AS DOUBLE)"
+    for w, f in zip(FIXED_COEF[1:], FEATURES):
+        acc = f"({acc} + CAST({w!r} AS DOUBLE) * {prefix}{f})"
+    return f"(CAST({FIXED_COEF[0]!r} AS DOUBLE) + {acc})"
+
+
+FC = f"""SELECT store_id, CAST(start_date + CAST(i AS INT) AS DATE) AS objective_date, (tmax + tmin) / 2.0 AS temperature,
+  {wcode('wc')} AS weather_code
+FROM (SELECT store_id, start_date, unnest(range(len(weather_code))) AS i, unnest(temperature_2m_max) AS tmax,
+        unnest(temperature_2m_min) AS tmin, unnest(weather_code) AS wc FROM forecast_payloads) z WHERE i < 7"""
+
+DAYS = f"""SELECT s.store_id, CAST({AS_OF} + CAST(d.i AS INT) AS DATE) AS objective_date, COALESCE(f.temperature, 22.0) AS temperature,
+  COALESCE(f.weather_code, 1) AS weather_code, f.temperature IS NULL AS is_fallback
+FROM stores s CROSS JOIN (SELECT range AS i FROM range(7)) d
+LEFT JOIN fc f ON f.store_id = s.store_id AND f.objective_date = CAST({AS_OF} + CAST(d.i AS INT) AS DATE)"""
+
+GRID = f"""SELECT a.store_id, a.barcode, d.objective_date, d.temperature, d.weather_code, p.product_name, p.category, p.image_url
+FROM (SELECT DISTINCT store_id, barcode FROM sales WHERE sale_date <= {AS_OF}) a
+JOIN days d ON d.store_id = a.store_id JOIN products p ON p.barcode = a.barcode"""
+
+SCOREF = f"""SELECT store_id, barcode, product_name, category, image_url, objective_date, prediction, type <> 'none' AS feature, type,
+  percentage_average_deviation FROM (
+ SELECT *, CASE WHEN percentage_average_deviation <= -15.0 THEN 'deficit' WHEN percentage_average_deviation >= 15.0 THEN 'superavit'
+   ELSE 'none' END AS type FROM (
+  SELECT *, CASE WHEN v_p > 0 THEN (CAST(prediction AS DOUBLE) - v_p) / v_p * 100.0 WHEN prediction > 0 THEN CAST('Infinity' AS DOUBLE)
+    ELSE 0.0 END AS percentage_average_deviation FROM (
+   SELECT *, CAST(round_even(greatest({fixed_dot()}, 0.0), 0) AS INT) AS prediction FROM (
+    SELECT g.store_id, g.barcode, g.product_name, g.category, g.image_url, g.objective_date, COALESCE(h.v_p, 0.0) AS v_p,
+      {feats_raw('g.objective_date')}, CAST(g.temperature AS DOUBLE) AS temperature, CAST(g.weather_code AS DOUBLE) AS weather_code,
+      CAST(g.store_id AS DOUBLE) AS store_f
+    FROM grid g JOIN registry_state r ON r.barcode = g.barcode AND r.total_examples >= 30
+    LEFT JOIN hist h ON h.store_id = g.store_id AND h.barcode = g.barcode) a) b) c) e"""
+
+
+def build_models(q: dict[str, str]) -> None:
+    tv = ["sales", "registry_state"]
+    tx = {"flags": FLAGS, "tsales": TSALES, "tdaily": daily_of("tsales"),
+          "tfilled": FILLED.replace("FROM daily", "FROM tdaily"), "trows": TROWS}
+    feats_r6 = ", ".join(f"round({f}, 6) AS {f}" for f in FEATURES)
+    q["training_rows"] = with_views(tv, f"SELECT store_id, barcode, sale_date, {feats_r6}, y, prev_examples, is_cold FROM trows", tx)
+    aug = ["1.0"] + FEATURES
+    sums = [f"SUM({aug[i]} * {aug[j]})" for i in range(11) for j in range(i, 11)]
+    sums += [f"SUM({aug[i]} * y)" for i in range(11)] + ["SUM(y * y)"]
+    q["training_moments"] = with_views(
+        tv,
+        f"""SELECT barcode, n, k, round(v / n, 6) AS mean_value FROM (
+  SELECT barcode, n, unnest(range(78)) AS k, unnest(m) AS v FROM (
+    SELECT barcode, COUNT(*) AS n, [{', '.join(sums)}] AS m FROM trows GROUP BY barcode) a) b""",
+        tx,
+    )
+    q["clipped_mse"] = with_views(
+        tv,
+        f"""SELECT barcode, round(AVG((y - greatest(yhat, 0.0)) * (y - greatest(yhat, 0.0))), 6) AS mse, COUNT(*) AS n
+FROM (SELECT *, {fixed_dot()} AS yhat FROM trows) t GROUP BY barcode""",
+        tx,
+    )
+    q["model_registry_upsert"] = with_views(
+        tv,
+        f"""SELECT COALESCE(r.barcode, t.barcode) AS barcode, CASE WHEN t.barcode IS NOT NULL THEN round(t.mse, 6) END AS last_mse,
+  CASE WHEN t.barcode IS NOT NULL THEN CAST({AS_OF} AS TIMESTAMP) END AS last_update,
+  CAST(COALESCE(r.total_examples, 0) + COALESCE(t.n, 0) AS BIGINT) AS total_examples, 'ridge_moments' AS type_model
+FROM (SELECT * FROM registry_state WHERE CAST(substr(barcode, 7) AS INT) > 3) r
+FULL OUTER JOIN (SELECT barcode, AVG((y - greatest(yhat, 0.0)) * (y - greatest(yhat, 0.0))) AS mse, COUNT(*) AS n
+  FROM (SELECT *, {fixed_dot()} AS yhat FROM trows) t WHERE CAST(substr(barcode, 7) AS INT) < 20 GROUP BY barcode) t
+ON t.barcode = r.barcode""",
+        tx,
+    )
+    fv = ["forecast_payloads", "stores"]
+    q["forecast_days"] = with_views(fv, "SELECT * FROM fc", {"fc": FC})
+    q["forecast_fallback"] = with_views(fv, "SELECT * FROM days", {"fc": FC, "days": DAYS})
+    gv = ["forecast_payloads", "stores", "sales", "products"]
+    gx = {"fc": FC, "days": DAYS, "grid": GRID}
+    q["scoring_grid"] = with_views(
+        gv, "SELECT store_id, barcode, objective_date, temperature, weather_code, product_name, category FROM grid", gx
+    )
+    sx = dict(gx, hist=HIST, scoref=SCOREF)
+    sv = gv + ["registry_state"]
+    q["score_fixed"] = with_views(sv, f"SELECT {ROWCOLS}, {dev_out()} FROM scoref", sx)
+    q["predictions_per_store"] = with_views(sv, "SELECT store_id, COUNT(*) AS n_predictions FROM scoref GROUP BY store_id", sx)
+    q["prediction_replace"] = with_views(
+        sv + ["predictions"],
+        f"""SELECT {ROWCOLS}, {dev_out()} FROM (
+  SELECT * FROM predictions o WHERE NOT EXISTS (SELECT 1 FROM scoref n WHERE n.store_id = o.store_id AND n.barcode = o.barcode)
+  UNION ALL SELECT * FROM scoref) u""",
+        sx,
+    )
