@@ -27,7 +27,10 @@ from retailspark.functions import text as TXT  # noqa: E402
 from retailspark.functions.weather import weather_code  # noqa: E402
 from retailspark.operators import alerts as AL  # noqa: E402
 from retailspark.operators import daily as D  # noqa: E402
+from retailspark.operators import dashboard as DB  # noqa: E402
+from retailspark.operators import demand as DM  # noqa: E402
 from retailspark.operators import features as FE  # noqa: E402
+from retailspark.operators import sessions as SS  # noqa: E402
 from retailspark.operators import ingest as IN  # noqa: E402
 from retailspark.operators import models as MD  # noqa: E402
 from retailspark.operators import scoring as SC  # noqa: E402
@@ -424,6 +427,78 @@ def q_score_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return res["predictions"].select(*ROWCOLS, *_dev())
 
 
+# --------------------------------------------------------------------------- dashboard, sessions, demand
+def q_prediction_feed(spark: SparkSession, sf: str) -> DataFrame:
+    f = DB.prediction_feed(FX.predictions(spark, sf), as_of=AS_OF)
+    return f.select(*[c for c in f.columns if c != "percentage_average_deviation"], *_dev())
+
+
+def _alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Alert rows the client shows: feed rows (B9) of every store + avg_weekly_sales."""
+    p = FX.predictions(spark, sf).filter(F.col("objective_date") > F.lit(AS_OF))
+    vp = D.historical_average(FX.sales(spark, sf), as_of=AS_OF)
+    return DB.alerts_with_weekly_average(p, vp)
+
+
+def q_parse_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    a = _alerts(spark, sf)
+    rec = F.struct(
+        F.col("product_name").alias("name"),
+        F.when(F.col("prediction") % 7 != 0, F.col("barcode")).alias("barcode"),
+        "category", "image_url",
+        F.when(F.col("prediction") % 10 == 0, F.lit("not-a-date"))
+        .when(F.col("prediction") % 10 == 1, F.lit(None).cast("string"))
+        .otherwise(F.date_format("objective_date", "yyyy-MM-dd")).alias("objective_date"),
+        "prediction", "avg_weekly_sales", "type", "feature",
+    )
+    j = a.select("store_id", F.col("barcode").alias("src_barcode"), F.col("objective_date").alias("src_date"), F.to_json(rec).alias("json"))
+    out = DB.parse_alerts(j, as_of=AS_OF)
+    return out.select(*[c for c in out.columns if c != "avg_weekly_sales"], _r6("avg_weekly_sales"))
+
+
+def q_search_products(spark: SparkSession, sf: str) -> DataFrame:
+    r = DB.search_products(_alerts(spark, sf), text="jabon", sort="az")
+    return r.select("store_id", "barcode", "product_name", "objective_date", "type", "list_rank")
+
+
+def q_filter_alert_type(spark: SparkSession, sf: str) -> DataFrame:
+    r = DB.search_products(_alerts(spark, sf), type="deficit", sort="za")
+    return r.select("store_id", "barcode", "product_name", "objective_date", "type", "list_rank")
+
+
+def q_top_deviations(spark: SparkSession, sf: str) -> DataFrame:
+    return DB.top_deviations(_alerts(spark, sf))
+
+
+def q_history_series(spark: SparkSession, sf: str) -> DataFrame:
+    return DB.history_series(D.sales_history(FX.sales(spark, sf)))
+
+
+def q_dashboard_stats(spark: SparkSession, sf: str) -> DataFrame:
+    st = FX.stores(spark, sf)
+    scans = IN.scan_totals(_scans(spark, sf))
+    pend = IN.pending_packages(FX.package_queue(spark, sf))
+    feed = DB.prediction_feed(FX.predictions(spark, sf), as_of=AS_OF)
+    return DB.dashboard_stats(st, scans, pend, feed)
+
+
+def q_weekly_series(spark: SparkSession, sf: str) -> DataFrame:
+    return DB.weekly_series(FX.sales(spark, sf), FX.predictions(spark, sf), as_of=AS_OF)
+
+
+def q_gap_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return SS.gap_sessions(FX.key_events(spark, sf), gap_seconds=FX.EVENT_GAP_SECONDS)
+
+
+def q_expected_demand(spark: SparkSession, sf: str) -> DataFrame:
+    s = FX.sales(spark, sf).join(FX.products(spark, sf).select("barcode", "category"), "barcode", "left")
+    s = s.join(FX.stores(spark, sf).select("store_id", "city"), "store_id", "left")
+    s = DM.seasonal_temperature(s, DM.city_profiles(spark))
+    s = s.withColumn("temperature_used", F.coalesce("temperature", "expected_temperature"))
+    d = DM.expected_demand(s, DM.category_factors(spark), temperature="temperature_used")
+    return d.select("store_id", "barcode", "sale_date", "time", _r6("temperature_used"), _r6("expected_demand"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: V_p per store x product on sf0.001."""
     return q_historical_average(spark, "/root/testdata/sf0.001")

@@ -38,6 +38,7 @@ def build() -> dict[str, str]:
     )
     build_more(q)
     build_models(q)
+    build_dash(q)
     return q
 
 
@@ -390,3 +391,108 @@ ON t.barcode = r.barcode""",
   UNION ALL SELECT * FROM scoref) u""",
         sx,
     )
+
+
+ALERTS = f"""SELECT p.*, COALESCE(h.v_p * 7.0, 0.0) AS avg_weekly_sales FROM predictions p
+LEFT JOIN hist h ON h.store_id = p.store_id AND h.barcode = p.barcode WHERE p.objective_date > {AS_OF}"""
+
+
+def build_dash(q: dict[str, str]) -> None:
+    av = ["predictions", "sales"]
+    ax = {"hist": HIST, "alerts": ALERTS}
+    q["prediction_feed"] = with_views(
+        ["predictions"],
+        f"""SELECT store_id, product_name, category AS Category, image_url, strftime(objective_date, '%Y-%m-%d') AS objetive_date, prediction,
+  feature, type, {dev_out()} FROM predictions WHERE objective_date > {AS_OF}""",
+    )
+    q["parse_alerts"] = with_views(
+        av,
+        f"""SELECT store_id, barcode AS src_barcode, objective_date AS src_date, COALESCE(product_name, 'Producto Desconocido') AS product_name,
+  CASE WHEN prediction % 7 <> 0 THEN barcode ELSE '000000' END AS barcode,
+  COALESCE(category, 'General') AS category, COALESCE(image_url, 'https://via.placeholder.com/150') AS image_url,
+  CASE WHEN prediction % 10 = 0 THEN {AS_OF} WHEN prediction % 10 = 1 THEN DATE '2026-04-10' ELSE objective_date END AS objective_date,
+  prediction, COALESCE(type, 'neutral') AS type, COALESCE(feature, false) AS feature, round(avg_weekly_sales, 6) AS avg_weekly_sales
+FROM alerts""",
+        ax,
+    )
+    q["search_products"] = with_views(
+        av,
+        """SELECT store_id, barcode, product_name, objective_date, type,
+  ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY strip_accents(lower(COALESCE(product_name, ''))), barcode, objective_date) AS list_rank
+FROM alerts WHERE strpos(strip_accents(lower(COALESCE(product_name, ''))), 'jabon') > 0 OR strpos(lower(COALESCE(barcode, '')), 'jabon') > 0""",
+        ax,
+    )
+    q["filter_alert_type"] = with_views(
+        av,
+        """SELECT store_id, barcode, product_name, objective_date, type,
+  ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY strip_accents(lower(COALESCE(product_name, ''))) DESC, barcode, objective_date) AS list_rank
+FROM alerts WHERE type = 'deficit'""",
+        ax,
+    )
+    q["top_deviations"] = with_views(
+        av,
+        """SELECT store_id, bar_index, barcode, objective_date, substr(product_name, 1, 10) AS label, dev,
+  CASE WHEN dev >= 0 THEN 'positive' ELSE 'negative' END AS color, CAST(trunc(MAX(abs(dev)) OVER (PARTITION BY store_id) * 1.2) AS INT) AS y_limit
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY abs(dev) DESC, product_name, barcode, objective_date) - 1 AS bar_index
+  FROM (SELECT *, round_even((CAST(prediction AS DOUBLE) - avg_weekly_sales) / avg_weekly_sales * 100.0, 2) AS dev
+        FROM alerts WHERE avg_weekly_sales > 0) a) b WHERE bar_index < 25""",
+        ax,
+    )
+    q["history_series"] = with_views(
+        ["sales"],
+        """SELECT store_id, barcode, strftime(sale_date, '%Y-%m-%d') AS date, volume,
+  ROW_NUMBER() OVER (PARTITION BY store_id, barcode ORDER BY sale_date) - 1 AS idx,
+  greatest(10, CAST(trunc(MAX(volume) OVER (PARTITION BY store_id, barcode) * 1.3) AS INT)) AS y_top
+FROM (SELECT store_id, barcode, sale_date, CAST(SUM(amount) AS BIGINT) AS volume FROM sales GROUP BY 1, 2, 3) h""",
+    )
+    q["dashboard_stats"] = with_views(
+        ["stores", "scans_raw", "package_queue", "predictions"],
+        f"""SELECT s.store_id, COALESCE(t.n, 0) AS total_scans, COALESCE(a.n, 0) AS active_predictions, COALESCE(p.n, 0) AS pending_syncs,
+  true AS is_online FROM stores s
+LEFT JOIN (SELECT store_id, CAST(SUM(amount) AS BIGINT) AS n FROM scans GROUP BY store_id) t ON t.store_id = s.store_id
+LEFT JOIN (SELECT store_id, COUNT(*) AS n FROM predictions WHERE objective_date > {AS_OF} GROUP BY store_id) a ON a.store_id = s.store_id
+LEFT JOIN (SELECT q.client_id, COUNT(*) AS n FROM package_queue q
+  JOIN (SELECT client_id, MIN(seq) AS f FROM package_queue WHERE length(trim(package_name)) > 0 AND NOT ok GROUP BY client_id) x
+  ON x.client_id = q.client_id WHERE length(trim(q.package_name)) > 0 AND q.seq >= x.f GROUP BY q.client_id) p ON p.client_id = s.store_id""",
+        {"scans": SCANS},
+    )
+    q["weekly_series"] = with_views(
+        ["sales", "predictions"],
+        f"""SELECT COALESCE(a.store_id, p.store_id) AS store_id, COALESCE(a.d, p.d) AS series_date, strftime(COALESCE(a.d, p.d), '%d/%m') AS label,
+  COALESCE(a.actual, 0) AS actual_sales, COALESCE(p.predicted, 0) AS predicted_sales
+FROM (SELECT store_id, sale_date AS d, CAST(SUM(amount) AS BIGINT) AS actual FROM sales
+      WHERE sale_date BETWEEN {AS_OF} - 6 AND {AS_OF} + 7 GROUP BY 1, 2) a
+FULL OUTER JOIN (SELECT store_id, objective_date AS d, CAST(SUM(prediction) AS BIGINT) AS predicted FROM predictions
+      WHERE objective_date BETWEEN {AS_OF} - 6 AND {AS_OF} + 7 GROUP BY 1, 2) p ON p.store_id = a.store_id AND p.d = a.d""",
+    )
+    q["gap_sessions"] = with_views(
+        ["key_events"],
+        """SELECT device, island, code, started, ended FROM (
+  SELECT device, island, string_agg(key, '' ORDER BY ts, seq) FILTER (WHERE key IS NOT NULL AND key <> 'ENTER') AS code,
+    MIN(ts) AS started, MAX(ts) AS ended, bool_or(COALESCE(key = 'ENTER', false)) AS term FROM (
+    SELECT *, SUM(bnd) OVER (PARTITION BY device ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS island FROM (
+      SELECT *, CASE WHEN rn = 1 OR date_diff('microsecond', pts, ts) > 3600000000 OR COALESCE(pkey = 'ENTER', false) THEN 1 ELSE 0 END AS bnd
+      FROM (SELECT *, LAG(ts) OVER w AS pts, LAG(key) OVER w AS pkey, ROW_NUMBER() OVER w AS rn FROM key_events
+            WINDOW w AS (PARTITION BY device ORDER BY ts, seq)) a) b) c
+  GROUP BY device, island) d WHERE term AND length(code) > 0""",
+    )
+    base = "CASE p.category " + " ".join(
+        f"WHEN '{c}' THEN {float(b)!r}" for c, b in
+        {"Beverages": 15, "Snacks": 10, "Dairy": 8, "Cleaning": 4, "Chips": 7, "Sweets": 9, "Groceries": 6}.items()) + " ELSE 5.0 END"
+    sens = "CASE p.category " + " ".join(
+        f"WHEN '{c}' THEN {v!r}" for c, v in
+        {"Beverages": 0.55, "Snacks": 0.10, "Dairy": -0.10, "Cleaning": 0.00, "Chips": 0.10, "Sweets": 0.00, "Groceries": 0.05}.items()) + " ELSE 0.0 END"
+    prof = "CASE st.city WHEN 'Guadalajara' THEN {0} WHEN 'Ciudad de México' THEN {1} WHEN 'Monterrey' THEN {2} WHEN 'Puebla' THEN {3} WHEN 'Cancún' THEN {4} END"
+    tb = prof.format("22.0", "17.0", "25.0", "16.0", "28.0")
+    tr = prof.format("7.0", "5.0", "11.0", "5.0", "5.0")
+    q["expected_demand"] = with_views(
+        ["sales", "products", "stores"],
+        f"""SELECT store_id, barcode, sale_date, time, round(t, 6) AS temperature_used,
+  round(base * 1.0 * dow * pay * (1.0 + sens * ((t - 20.0) / 15.0)) * wf, 6) AS expected_demand FROM (
+  SELECT s.store_id, s.barcode, s.sale_date, s.time, {base} AS base, {sens} AS sens,
+    COALESCE(s.temperature, {tb} + sin(CAST(month(s.sale_date) - 3 AS DOUBLE) * pi() / 6.0) * {tr}) AS t,
+    CASE WHEN isodow(s.sale_date) >= 6 THEN 1.30 WHEN isodow(s.sale_date) = 5 THEN 1.15 ELSE 1.0 END::DOUBLE AS dow,
+    CASE WHEN day(s.sale_date) BETWEEN 13 AND 17 OR day(s.sale_date) >= 27 THEN 1.40 ELSE 1.0 END::DOUBLE AS pay,
+    CASE s.weather_resume_wmo_code WHEN 95 THEN 0.75 WHEN 63 THEN 0.82 WHEN 51 THEN 0.91 ELSE 1.0 END::DOUBLE AS wf
+  FROM sales s LEFT JOIN products p ON p.barcode = s.barcode LEFT JOIN stores st ON st.store_id = s.store_id) x""",
+    )

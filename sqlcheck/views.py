@@ -29,7 +29,8 @@ FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey""",
   CASE CAST(s_suppkey % 10 AS INT) WHEN 3 THEN '   ' WHEN 4 THEN NULL
     WHEN 7 THEN concat('store', CAST(CAST(s_suppkey + 1 AS INT) AS VARCHAR), '.example.com')
     ELSE concat(' store', CAST(CAST(s_suppkey + 1 AS INT) AS VARCHAR), '@example.com ') END AS email,
-  concat('CITY_', CAST(s_nationkey AS VARCHAR)) AS city,
+  CASE s_nationkey % 5 WHEN 0 THEN 'Guadalajara' WHEN 1 THEN 'Ciudad de México' WHEN 2 THEN 'Monterrey' WHEN 3 THEN 'Puebla'
+    ELSE 'Cancún' END AS city,
   15.0 + CAST(s_nationkey AS DOUBLE) / 2.0 AS latitude, -105.0 + CAST(s_nationkey AS DOUBLE) / 4.0 AS longitude
 FROM supplier""",
         (),
