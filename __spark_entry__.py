@@ -500,8 +500,10 @@ def q_expected_demand(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    """Flagship: V_p per store x product on sf0.001."""
-    return q_historical_average(spark, "/root/testdata/sf0.001")
+    """Flagship on sf0.001: the daily forecasting job end to end (train every
+    product from its moments, update the registry, score each store's
+    assortment x forecast days, classify, write back over stored predictions)."""
+    return q_score_predictions(spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
