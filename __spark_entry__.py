@@ -470,6 +470,15 @@ def q_top_deviations(spark: SparkSession, sf: str) -> DataFrame:
     return DB.top_deviations(_alerts(spark, sf))
 
 
+def q_product_detail(spark: SparkSession, sf: str) -> DataFrame:
+    d = DB.product_detail(FX.predictions(spark, sf), as_of=AS_OF)
+    return d.select("store_id", "barcode", "product_name", "category", "image_url", "objective_date", "prediction", "feature", "type", *_dev())
+
+
+def q_ordered_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.ordered_alerts(_upcoming(spark, sf)).select(*ROWCOLS, "alert_position", *_dev())
+
+
 def q_history_series(spark: SparkSession, sf: str) -> DataFrame:
     return DB.history_series(D.sales_history(FX.sales(spark, sf)))
 

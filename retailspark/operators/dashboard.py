@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from retailspark.config import as_date
 from retailspark.functions.numbers import sign_class
 from retailspark.functions.text import normalize_text, short_name
+from retailspark.operators.ids import rank_within
 
 # Client-side defaults for absent alert fields.
 ALERT_DEFAULTS = {
@@ -113,8 +114,7 @@ def search_products(alerts: DataFrame, *, text: str | None = None, type: str | N
     if sort in ("az", "za"):
         key = normalize_text(F.col("product_name"))
         key = key.asc() if sort == "az" else key.desc()
-        w = Window.partitionBy("store_id").orderBy(key, F.col("barcode").asc(), F.col("objective_date").asc())
-        out = out.withColumn("list_rank", F.row_number().over(w))
+        out = rank_within(out, ["store_id"], [key, F.col("barcode").asc(), F.col("objective_date").asc()], name="list_rank")
     elif sort is not None:
         raise ValueError("sort must be None, 'az' or 'za'")
     return out
@@ -132,10 +132,11 @@ def top_deviations(alerts: DataFrame, *, n: int = TOP_DEVIATIONS) -> DataFrame:
     w = Window.partitionBy("store_id").orderBy(
         F.col("abs_dev").desc(), F.col("product_name").asc_nulls_last(), F.col("barcode").asc(), F.col("objective_date").asc()
     )
-    top = a.withColumn("bar_index", F.row_number().over(w) - 1).filter(F.col("bar_index") < n)
+    # Filter on the rank itself so Spark plans a partial WindowGroupLimit.
+    top = a.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
     lim = Window.partitionBy("store_id")
     return top.select(
-        "store_id", "bar_index", "barcode", "objective_date",
+        "store_id", (F.col("_rn") - 1).alias("bar_index"), "barcode", "objective_date",
         short_name(F.col("product_name"), NAME_CHARS).alias("label"),
         "dev",
         F.when(F.col("dev") >= 0, F.lit("positive")).otherwise(F.lit("negative")).alias("color"),
@@ -148,6 +149,15 @@ def empty_chart_limit() -> int:
     return int(100 * 1.2)
 
 
+def product_detail(predictions: DataFrame, *, as_of) -> DataFrame:
+    """For every (store, barcode) the detail row the client opens: the
+    nearest prediction strictly after ``as_of`` (an aggregate, not a window)."""
+    p = predictions.filter(F.col("objective_date") > F.lit(as_date(as_of)))
+    cols = [c for c in p.columns if c not in ("store_id", "barcode")]
+    g = p.groupBy("store_id", "barcode").agg(F.min_by(F.struct(*cols), F.col("objective_date")).alias("r"))
+    return g.select("store_id", "barcode", *[F.col(f"r.{c}").alias(c) for c in cols])
+
+
 def history_series(history: DataFrame) -> DataFrame:
     """Per (store, barcode) daily series with a 0-based index in date order
     and the axis top ``max(10, int(max volume * 1.3))``."""

@@ -1,9 +1,14 @@
-"""Contiguous ids in a total order without a single-partition window.
+"""Contiguous ids and per-group ranks in a total order without a window that
+holds a whole group (or the whole table) in one task.
 
-``row_number()`` over an unpartitioned window moves every row into one task.
-Instead: range-partition by the order key, number rows inside each partition,
-and add the row count of all earlier partitions (a table with one row per
-partition, so tiny).  Needs a unique order key for a deterministic result.
+``row_number()`` over an unpartitioned window moves every row into one task,
+and over ``partitionBy(g)`` it moves a hot group into one task.  Instead:
+range-partition by the full order (a hot group is split across partitions
+because its rows have distinct sort keys), number rows inside each partition,
+and add the row count of all earlier partitions (one row per partition, so
+tiny).  The range-partitioned rows are checkpointed once so every consumer sees
+the same partition assignment.  A rank within a group is then ``id - first id of the group``.  Needs a
+unique total order for a deterministic result.
 """
 
 from __future__ import annotations
@@ -11,13 +16,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retailspark.sources.readers import cut_lineage
 
-def with_sequential_id(df: DataFrame, order: list[str], *, name: str = "seq_id", start: Column | int = 1, partitions: int | None = None) -> DataFrame:
-    n = partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
+
+def _cols(order) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in order]
+
+
+def with_sequential_id(df: DataFrame, order, *, name: str = "seq_id", start: Column | int = 1, partitions: int | None = None) -> DataFrame:
+    spark = df.sparkSession
+    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    order = _cols(order)
     ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
-    )
+    # Range bounds come from a sample of the input, and row order after a
+    # shuffle is not deterministic: two evaluations could disagree on _pid.
+    # Materialise once in the reliable checkpoint directory; numbering and
+    # offsets below both read that copy (this also cuts the lineage).
+    ranged = cut_lineage(ranged)
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: a running sum over it is cheap.
     offsets = counts.withColumn(
@@ -29,3 +45,11 @@ def with_sequential_id(df: DataFrame, order: list[str], *, name: str = "seq_id",
         .withColumn(name, (start_col + F.col("_offset") + F.col("_local") - 1).cast("long"))
         .drop("_pid", "_local", "_offset")
     )
+
+
+def rank_within(df: DataFrame, by: list[str], order, *, name: str = "rank", partitions: int | None = None) -> DataFrame:
+    """``row_number() over (partition by <by> order by <order>)`` computed
+    without gathering a group into one task."""
+    ids = with_sequential_id(df, [F.col(c).asc() for c in by] + _cols(order), name="_gid", partitions=partitions)
+    first = ids.groupBy(*by).agg(F.min("_gid").alias("_first"))
+    return ids.join(first, by).withColumn(name, (F.col("_gid") - F.col("_first") + 1).cast("int")).drop("_gid", "_first")

@@ -1,9 +1,10 @@
 """Weekly store report.
 
 One job for all stores.  Per-(store, barcode) reductions use aggregate
-functions (``max_by`` over a struct key), which combine map-side; the only
-windows are per store over at most one row per product (ranks and top-k, where
-Spark plans a partial ``WindowGroupLimit`` before the shuffle).
+functions (``max_by`` over a struct key), which combine map-side.  Ranks over a
+store's rows use ``rank_within`` (range-partitioned ids, no per-store window);
+top-k keeps a window because Spark plans a partial ``WindowGroupLimit`` before
+the shuffle; category ranks run over at most a handful of rows per store.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from retailspark.config import Config, as_date
 from retailspark.functions.calendar import date_label, period_label
 from retailspark.functions.numbers import signed_percent
 from retailspark.functions.text import alert_label
+from retailspark.operators.ids import rank_within
 
 # Report defaults for missing product attributes.
 UNKNOWN_PRODUCT = "Producto Desconocido"
@@ -67,6 +69,13 @@ def alert_order():
     ]
 
 
+def ordered_alerts(upcoming: DataFrame) -> DataFrame:
+    """F1 as data: ``alert_position`` numbers a store's upcoming rows in the
+    report order (featured first, |deviation| desc, date, barcode).  Computed
+    with ``rank_within`` so a very large store is spread over many tasks."""
+    return rank_within(upcoming, ["store_id"], [*alert_order()[:3], F.col("barcode").asc()], name="alert_position")
+
+
 def _worst_key():
     # Larger is worse: |dev| desc, then featured first, then the earlier date.
     return F.struct(
@@ -83,10 +92,8 @@ def worst_case_rows(upcoming: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(c) for c in ROW_FIELDS])
     w = upcoming.groupBy("store_id", "barcode").agg(F.max_by(row, _worst_key()).alias("r"))
     w = w.select("store_id", *[F.col(f"r.{c}").alias(c) for c in ROW_FIELDS])
-    rank_w = Window.partitionBy("store_id").orderBy(
-        F.abs("percentage_average_deviation").desc(), F.col("feature").desc(), F.col("objective_date").asc(), F.col("barcode").asc()
-    )
-    return w.withColumn("summary_rank", F.row_number().over(rank_w))
+    order = [F.abs("percentage_average_deviation").desc(), F.col("feature").desc(), F.col("objective_date").asc(), F.col("barcode").asc()]
+    return rank_within(w, ["store_id"], order, name="summary_rank")
 
 
 def top_alerts(upcoming: DataFrame, *, k: int | None = None, cfg: Config = Config()) -> DataFrame:

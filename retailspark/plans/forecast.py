@@ -16,14 +16,19 @@ from pyspark.sql import functions as F
 from retailspark.config import Config
 from retailspark.operators.daily import historical_average
 from retailspark.operators.models import train_models, upsert_registry
+from retailspark.sources.readers import cut_lineage
 from retailspark.operators.scoring import assortment, forecast_days, replace_keyed, score, scoring_grid, with_forecast_fallback
 
 
 def daily_forecast(
     *, sales: DataFrame, stores: DataFrame, products: DataFrame, registry: DataFrame, forecast_payloads: DataFrame,
-    old_predictions: DataFrame, as_of, cfg: Config = Config(),
+    old_predictions: DataFrame, as_of, cfg: Config = Config(), materialize: bool = True,
 ) -> dict[str, DataFrame]:
     trained = train_models(sales, registry, as_of=as_of, cfg=cfg)
+    if materialize:
+        # One row per product: cut the lineage (scan, daily shuffle, solve) so
+        # registry update and scoring reuse it and a lost executor re-reads it.
+        trained = cut_lineage(trained)
     new_registry = upsert_registry(
         registry, trained.select("barcode", "coef", "mse", F.col("n").alias("new_examples")), as_of=as_of
     )

@@ -76,4 +76,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's reliable checkpoint directory
     (``spark.checkpoint.dir``) so that a lost executor re-reads it instead of
     recomputing a long lineage.  Never a local checkpoint."""
+    from retailspark.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -438,6 +438,18 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY abs(dev) DESC,
         FROM alerts WHERE avg_weekly_sales > 0) a) b WHERE bar_index < 25""",
         ax,
     )
+    q["product_detail"] = with_views(
+        ["predictions"],
+        f"""SELECT store_id, barcode, product_name, category, image_url, objective_date, prediction, feature, type, {dev_out()} FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id, barcode ORDER BY objective_date) AS rn FROM predictions WHERE objective_date > {AS_OF}) t
+WHERE rn = 1""",
+    )
+    q["ordered_alerts"] = with_views(
+        ["predictions"],
+        f"""SELECT {ROWCOLS}, ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY feature DESC, abs(percentage_average_deviation) DESC,
+  objective_date, barcode) AS alert_position, {dev_out()} FROM upcoming""",
+        {"upcoming": UPCOMING},
+    )
     q["history_series"] = with_views(
         ["sales"],
         """SELECT store_id, barcode, strftime(sale_date, '%Y-%m-%d') AS date, volume,
