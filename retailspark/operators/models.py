@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from retailspark.config import Config, as_date
 from retailspark.operators.daily import daily_sales, fill_temperature
 from retailspark.operators.features import FEATURE_NAMES, N_FEATURES, feature_matrix
+from retailspark.sources.readers import cut_lineage
 
 DIM = N_FEATURES + 1  # [1, x]
 # Moment layout: upper triangle (row-major, i <= j) of [1,x]^T [1,x] (66), then
@@ -63,15 +64,22 @@ def training_rows(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config =
     """H1 + A1/A2 + D1/D2 + B4-B6: the (X, y) rows each product trains on.
 
     Cold products read their whole history up to ``as_of``; warm products only
-    ``as_of - training_window_days .. as_of``.  One filter for all products in
-    one pass (the registry is joined, not looped).  The temperature fill uses
-    the mean over each product's own extracted rows, as the reference does.
+    ``as_of - training_window_days .. as_of``.  Two scans instead of one
+    filtered full scan: the warm branch carries a date predicate that reaches
+    the Parquet scan (partition / row-group pruning), the cold branch is a semi
+    join with the (small) set of cold barcodes, which AQE removes entirely when
+    that set is empty.  The product list is the distinct barcodes sold (one
+    column).  The temperature fill uses the mean over each product's own
+    extracted rows, as the reference does.
     """
     a = as_date(as_of)
-    flags = cold_start_flags(sales.select("barcode").distinct(), registry, cfg=cfg)
-    s = sales.filter(F.col("sale_date") <= F.lit(a)).join(flags, "barcode")
-    s = s.filter(F.col("is_cold") | (F.col("sale_date") >= F.date_sub(F.lit(a), cfg.training_window_days)))
-    daily = fill_temperature(daily_sales(s))
+    s = sales.filter(F.col("sale_date") <= F.lit(a))
+    flags = cold_start_flags(s.select("barcode").distinct(), registry, cfg=cfg)
+    warm = flags.filter(~F.col("is_cold")).select("barcode")
+    cold = flags.filter(F.col("is_cold")).select("barcode")
+    recent = s.filter(F.col("sale_date") >= F.date_sub(F.lit(a), cfg.training_window_days)).join(warm, "barcode", "left_semi")
+    full = s.join(cold, "barcode", "left_semi")
+    daily = fill_temperature(daily_sales(recent.unionByName(full)))
     m = feature_matrix(daily, training=True, zero_as_missing=cfg.zero_as_missing)
     return m.join(flags, "barcode")
 
@@ -154,27 +162,45 @@ def clipped_mse(scored: DataFrame, *, by: str = "barcode", y: str = "y", yhat: s
     return scored.groupBy(by).agg(F.avg(err * err).alias("mse"), F.count(F.lit(1)).alias("n"))
 
 
-def train_models(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config = Config()) -> DataFrame:
+def train_models(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config = Config(), materialize: bool = True) -> DataFrame:
     """H1+H2+D13+D15 for every product at once.
 
     Returns ``barcode, mode (cold|incremental), n, coef, error, mse, moments,
     last_date``.  Warm products start from a fresh fit on their recent window
-    when no stored moments exist (use ``train_incremental`` to carry state)."""
+    when no stored moments exist (use ``train_incremental`` to carry state).
+
+    The training rows feed two passes (moments, then the MSE of the solved
+    model), so with ``materialize`` they are written once to the reliable
+    checkpoint directory instead of re-reading the sales table; the fitted
+    models (one row per product) are materialised for the same reason.
+    """
     rows = training_rows(sales, registry, as_of=as_of, cfg=cfg)
-    mom = training_moments(rows)
+    if materialize:
+        rows = cut_lineage(rows)
+    mom = rows.groupBy("barcode").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*moment_columns()).alias("moments"),
+        F.max("sale_date").alias("last_date"),
+        F.max(F.col("is_cold").cast("int")).alias("_cold"),
+    )
     models = solve(mom, cfg=cfg)
+    if materialize:
+        models = cut_lineage(models)
     scored = rows.join(models.select("barcode", "coef"), "barcode").withColumn("yhat", predict(rows, "coef"))
     mse = clipped_mse(scored).select("barcode", "mse")
-    mode = rows.select("barcode", F.when(F.col("is_cold"), "cold").otherwise("incremental").alias("mode")).distinct()
     return (
         mom.join(models.drop("n"), "barcode")
         .join(mse, "barcode", "left")
-        .join(mode, "barcode")
-        .select("barcode", "mode", "n", "coef", "error", "mse", "moments", "last_date")
+        .select(
+            "barcode",
+            F.when(F.col("_cold") == 1, F.lit("cold")).otherwise(F.lit("incremental")).alias("mode"),
+            "n", "coef", "error", "mse", "moments", "last_date",
+        )
     )
 
 
-def train_incremental(state: DataFrame, sales: DataFrame, *, as_of, cfg: Config = Config(), allow_overlap: bool = False) -> DataFrame:
+def train_incremental(state: DataFrame, sales: DataFrame, *, as_of, cfg: Config = Config(), allow_overlap: bool = False,
+                      materialize: bool = True) -> DataFrame:
     """H3: add the rows since each product's high-water date to its stored
     moments and re-solve.  ``state``: ``barcode, n, moments, last_date,
     total_examples``.  Products without state (or below the cold-start minimum)
@@ -190,9 +216,13 @@ def train_incremental(state: DataFrame, sales: DataFrame, *, as_of, cfg: Config
     s = s.filter(F.col("last_date").isNull() | (F.col("sale_date") >= lower)).drop("last_date")
     daily = fill_temperature(daily_sales(s))
     rows = feature_matrix(daily, training=True, zero_as_missing=cfg.zero_as_missing)
+    if materialize:
+        rows = cut_lineage(rows)
     delta = training_moments(rows)
     merged = merge_moments(warm.drop("prev_examples"), delta)
     models = solve(merged, cfg=cfg)
+    if materialize:
+        models = cut_lineage(models)
     scored = rows.join(models.select("barcode", "coef"), "barcode").withColumn("yhat", predict(rows, "coef"))
     mse = clipped_mse(scored).select("barcode", "mse")
     new_n = delta.select("barcode", F.col("n").alias("new_examples"))
