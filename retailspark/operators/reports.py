@@ -260,24 +260,21 @@ def report_documents(active: DataFrame, stats: DataFrame, worst: DataFrame, aler
     )
 
 
-# The plain-text mail digest (Spanish), line by line.
-_DIGEST_HEAD = "Le enviamos su Reporte Semanal Predictivo de Retail Analytics."
+# The plain-text mail digest layout (Spanish).  The brand name
+# and the footer are parameters; the defaults are neutral.
+DEFAULT_BRAND = "Retail Analytics"
+_DIGEST_HEAD = "Le enviamos su Reporte Semanal Predictivo de %s."
 _DIGEST_SUMMARY = "── RESUMEN DE PREDICCIONES ──────────────────"
 _DIGEST_ALERTS = "── TOP ALERTAS PRIORITARIAS ─────────────────"
-_DIGEST_TAIL = [
+DEFAULT_FOOTER = [
     "El reporte completo se encuentra adjunto en formato PDF.",
     "",
     "──────────────────────────────────────────────",
-    "──",
-    "",
-    "",
-    "",
     "Este correo fue generado automáticamente. Por favor no responda.",
 ]
-_SUBJECT = "📊 Reporte Semanal Retail Analytics — %s (%s)"
 
 
-def report_digest(documents: DataFrame, *, generated_at: str) -> DataFrame:
+def report_digest(documents: DataFrame, *, generated_at: str, brand: str = DEFAULT_BRAND, footer: list[str] | None = None) -> DataFrame:
     """Mail subject and plain-text body per document; the alert block
     lists the first five featured rows and is absent when there are none."""
     item = lambda r: F.format_string(
@@ -289,7 +286,7 @@ def report_digest(documents: DataFrame, *, generated_at: str) -> DataFrame:
         F.concat(F.lit(_DIGEST_ALERTS + "\n"), F.array_join(F.transform(top5, item), "\n"), F.lit("\n\n")),
     ).otherwise(F.lit(""))
     head = F.format_string(
-        "Hola %s,\n\n" + _DIGEST_HEAD + "\n\nPeríodo: %s al %s\nGenerado: %s\n\n" + _DIGEST_SUMMARY + "\n"
+        "Hola %s,\n\n" + (_DIGEST_HEAD % brand.replace("%", "%%")) + "\n\nPeríodo: %s al %s\nGenerado: %s\n\n" + _DIGEST_SUMMARY + "\n"
         "  Productos analizados  : %d\n  Alertas prioritarias  : %d\n  Productos en Déficit  : %d\n"
         "  Productos en Superávit: %d\n  Productos en Normal   : %d\n\n",
         F.col("owner_name"),
@@ -299,6 +296,6 @@ def report_digest(documents: DataFrame, *, generated_at: str) -> DataFrame:
         F.col("unique_products"), F.col("unique_featured_products"), F.col("deficit_products"),
         F.col("superavit_products"), F.col("neutral_products"),
     )
-    body = F.concat(head, alert_block, F.lit("\n".join(_DIGEST_TAIL)))
-    subject = F.format_string(_SUBJECT, F.col("owner_name"), F.col("period_label"))
+    body = F.concat(head, alert_block, F.lit("\n".join(DEFAULT_FOOTER if footer is None else footer)))
+    subject = F.concat(F.lit(f"📊 Reporte Semanal {brand} — "), F.col("owner_name"), F.lit(" ("), F.col("period_label"), F.lit(")"))
     return documents.select("store_id", "email", subject.alias("subject"), body.alias("body"))
