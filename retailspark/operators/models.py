@@ -13,8 +13,6 @@ delta), and the only Python on executors is an 11x11 solve per product row.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -243,7 +241,8 @@ def upsert_registry(registry: DataFrame, trained: DataFrame, *, as_of) -> DataFr
     """Trained products replace coef / last_mse / last_update and add their
     new examples to ``total_examples``; untouched products keep their row; new
     products are inserted.  ``trained``: ``barcode, coef, mse, new_examples``."""
-    ts = _dt.datetime.combine(as_date(as_of), _dt.time(0, 0))
+    # date -> timestamp_ntz is independent of the session time zone
+    ts = F.lit(as_date(as_of)).cast("timestamp_ntz")
     r = registry.select(
         "barcode",
         F.col("total_examples").alias("r_total"),
@@ -257,7 +256,7 @@ def upsert_registry(registry: DataFrame, trained: DataFrame, *, as_of) -> DataFr
         "barcode",
         F.when(hit, F.col("t_coef")).otherwise(old("coef", "array<double>")).alias("coef"),
         F.when(hit, F.col("t_mse")).otherwise(old("last_mse", "double")).alias("last_mse"),
-        F.when(hit, F.lit(ts).cast("timestamp_ntz")).otherwise(old("last_update", "timestamp_ntz")).alias("last_update"),
+        F.when(hit, ts).otherwise(old("last_update", "timestamp_ntz")).alias("last_update"),
         (F.coalesce("r_total", F.lit(0)) + F.coalesce("t_new", F.lit(0))).cast("long").alias("total_examples"),
         F.lit(MODEL_TYPE).alias("type_model"),
     )
