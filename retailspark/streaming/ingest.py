@@ -20,17 +20,31 @@ from retailspark.sources.readers import CORRUPT, PACKAGE_SCHEMA_WITH_CORRUPT, pa
 DEFAULT_WATERMARK = "30 days"
 
 
-def package_stream(spark: SparkSession, path: str, *, watermark: str = DEFAULT_WATERMARK, max_files_per_trigger: int | None = None) -> DataFrame:
+def package_stream(spark: SparkSession, path: str, *, stores: DataFrame | None = None, watermark: str = DEFAULT_WATERMARK,
+                   max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming packages with ``package_id`` and duplicates removed.
 
     The event time is the package date; a retried send of the same content
-    within the watermark is dropped, and the dedup state is bounded by it."""
+    within the watermark is dropped, and the dedup state is bounded by it.
+    With ``stores`` (a static table, re-read every trigger) only packages of
+    known stores are deduplicated on their content hash; a package rejected
+    for an unknown store is keyed by its source file instead, so re-offering it
+    after the store registers (I3) is not mistaken for a duplicate."""
     r = spark.readStream.schema(PACKAGE_SCHEMA_WITH_CORRUPT).option("columnNameOfCorruptRecord", CORRUPT)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = r.json(path)
+    df = r.json(path).withColumn("_src", F.col("_metadata.file_path"))
     df = package_id(df).withColumn("event_time", F.to_timestamp(F.col("date"), "dd-MM-yyyy"))
-    return df.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["package_id"])
+    if stores is None:
+        key = F.col("package_id")
+    else:
+        known = stores.select(F.col("store_id").alias("id_store"), F.lit(True).alias("_known")).distinct()
+        df = df.join(known, "id_store", "left")
+        accepted = F.coalesce(F.col("_known"), F.lit(False)) & F.col(CORRUPT).isNull()
+        key = F.when(accepted, F.col("package_id")).otherwise(F.concat(F.col("package_id"), F.lit("@"), F.col("_src")))
+    df = df.withColumn("_dedup_key", key)
+    out = df.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["_dedup_key"])
+    return out.drop("_dedup_key", "_known", "_src")
 
 
 def process_batch(batch: DataFrame, epoch_id: int, *, stores: DataFrame, products: DataFrame, catalog: DataFrame,
@@ -39,9 +53,10 @@ def process_batch(batch: DataFrame, epoch_id: int, *, stores: DataFrame, product
     ok, bad = split_by_store(batch.filter(F.col(CORRUPT).isNull()), stores)
     malformed = batch.filter(F.col(CORRUPT).isNotNull())
     tag = f"epoch={epoch_id}"
+    keep = ["package_id", "id_store", "date", "day", "sales", CORRUPT]
     (
-        bad.select("package_id", "id_store", "date", F.lit("unknown_store").alias("reason"))
-        .unionByName(malformed.select("package_id", "id_store", "date", F.lit("malformed").alias("reason")))
+        bad.select(*keep, F.lit("unknown_store").alias("reason"))
+        .unionByName(malformed.select(*keep, F.lit("malformed").alias("reason")))
         .write.mode("overwrite").parquet(f"{out_dir}/rejects/{tag}")
     )
     lines = package_lines(ok)
@@ -55,10 +70,20 @@ def process_batch(batch: DataFrame, epoch_id: int, *, stores: DataFrame, product
     )
 
 
+def retry_rejected(rejects: DataFrame, stores: DataFrame) -> DataFrame:
+    """Dead-letter packages whose store has been registered since; write
+    them back into the input directory and the next trigger ingests them.
+    Rejected packages never entered the content-hash dedup state, so the
+    re-offered copy is accepted once; a second copy is then a duplicate."""
+    unknown = rejects.filter(F.col("reason") == "unknown_store").select("id_store", "date", "day", "sales")
+    ok, _ = split_by_store(unknown, stores)
+    return ok
+
+
 def ingest_stream(spark: SparkSession, path: str, *, stores: DataFrame, products: DataFrame, catalog: DataFrame,
                   hourly_weather: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True):
     """Start the ingestion query; returns the ``StreamingQuery``."""
-    stream = package_stream(spark, path)
+    stream = package_stream(spark, path, stores=stores)
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         process_batch(batch, epoch_id, stores=stores, products=products, catalog=catalog,

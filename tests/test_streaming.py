@@ -8,7 +8,7 @@ from retailspark.operators import ingest as IN
 from retailspark.operators.sessions import gap_sessions
 from retailspark.sources import fixtures as FX
 from retailspark.sources.readers import read_packages
-from retailspark.streaming.ingest import ingest_stream
+from retailspark.streaming.ingest import ingest_stream, retry_rejected
 from retailspark.streaming.scans import SCAN_SCHEMA, half_hour_stream
 from retailspark.streaming.sessions import scanner_sessions
 
@@ -46,6 +46,17 @@ def test_package_stream_ingest_and_dedup(spark):
     assert rejects.filter(F.col("reason") == "malformed").count() == 1
     # batch reader sees the same documents
     assert read_packages(spark, os.path.join(src, "a")).count() == pk.count()
+    # Register the unknown stores, re-offer the dead letters, ingest again
+    new_stores = stores.unionByName(bad.select(F.col("id_store").alias("store_id")).distinct(), allowMissingColumns=True)
+    retry = retry_rejected(spark.read.parquet(os.path.join(out, "rejects")), new_stores)
+    assert retry.count() == bad.count()
+    retry.write.json(os.path.join(src, "retry"))
+    q2 = ingest_stream(
+        spark, os.path.join(src, "*"), stores=new_stores, products=prods, catalog=FX.catalog(spark, SF),
+        hourly_weather=FX.hourly_weather(spark, SF), out_dir=out, checkpoint=os.path.join(d, "ckpt"),
+    )
+    q2.awaitTermination(180)
+    assert spark.read.parquet(os.path.join(out, "receipts")).count() == pk.count()
 
 
 def test_half_hour_stream_matches_batch(spark):
