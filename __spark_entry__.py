@@ -235,6 +235,18 @@ def q_report_document(spark: SparkSession, sf: str) -> DataFrame:
     return _documents(spark, sf)
 
 
+def q_report_document_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A13 flattened: every entry of each document's summary and alert arrays
+    with its array position (checks assembly and ordering)."""
+    doc = _documents(spark, sf)
+    s = doc.select("store_id", F.lit("summary").alias("section"), F.posexplode("summary_rows").alias("pos", "r"))
+    a = doc.select("store_id", F.lit("alerts").alias("section"), F.posexplode("featured_list").alias("pos", "r"))
+    return s.unionByName(a).select(
+        "store_id", "section", "pos", F.col("r.rank").alias("rank"), F.col("r.barcode").alias("barcode"),
+        F.col("r.date").alias("date"), F.col("r.label").alias("label"), F.col("r.deviation_text").alias("deviation_text"),
+    )
+
+
 def q_report_digest(spark: SparkSession, sf: str) -> DataFrame:
     return RP.report_digest(_documents(spark, sf), generated_at="01/07/2001 06:00")
 
@@ -272,6 +284,17 @@ def q_sales_packages(spark: SparkSession, sf: str) -> DataFrame:
     return _packages(spark, sf).drop("sale_date")
 
 
+def q_package_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """D8 flattened: each product entry of each package with its block and
+    product positions (checks nesting and the time / barcode ordering)."""
+    p = _packages(spark, sf)
+    b = p.select("id_store", "date", "day", F.posexplode("sales").alias("block_pos", "blk"))
+    return b.select(
+        "id_store", "date", "day", "block_pos", F.col("blk.time").alias("time"),
+        F.posexplode("blk.products").alias("product_pos", "p"),
+    ).select("id_store", "date", "day", "block_pos", "time", "product_pos", F.col("p.barcode").alias("barcode"), F.col("p.amount").alias("amount"))
+
+
 def q_package_receipts(spark: SparkSession, sf: str) -> DataFrame:
     return IN.package_receipts(_packages(spark, sf))
 

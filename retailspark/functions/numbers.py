@@ -39,6 +39,6 @@ def signed_percent(d: Column) -> Column:
     body = (
         F.when(d == F.lit(float("inf")), F.lit("inf"))
         .when(d == F.lit(float("-inf")), F.lit("-inf"))
-        .otherwise(F.format_string("%.1f", F.bround(d, 1)))
+        .otherwise(F.format_string("%.1f", F.bround(d, 1) + F.lit(0.0)))  # + 0.0 folds -0.0 into 0.0
     )
     return F.concat(sign, body, F.lit("%"))

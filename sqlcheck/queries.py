@@ -39,6 +39,7 @@ def build() -> dict[str, str]:
     build_more(q)
     build_models(q)
     build_dash(q)
+    build_docs(q)
     return q
 
 
@@ -397,6 +398,62 @@ ALERTS = f"""SELECT p.*, COALESCE(h.v_p * 7.0, 0.0) AS avg_weekly_sales FROM pre
 LEFT JOIN hist h ON h.store_id = p.store_id AND h.barcode = p.barcode WHERE p.objective_date > {AS_OF}"""
 
 
+SIGNED = "concat(CASE WHEN {d} > 0 THEN '+' ELSE '' END, CASE WHEN isinf({d}) THEN 'inf' ELSE printf('%.1f', round_even({d}, 1) + 0.0) END, '%')"
+
+LABEL = "CASE {t} WHEN 'deficit' THEN 'Déficit' WHEN 'superavit' THEN 'Superávit' ELSE 'Estable' END"
+
+DOCS = """SELECT a.store_id, a.owner_name, a.email, s.* EXCLUDE (store_id) FROM active a JOIN stats s ON s.store_id = a.store_id"""
+
+DIGEST_FOOTER = "El reporte completo se encuentra adjunto en formato PDF.\n\n──────────────────────────────────────────────\nEste correo fue generado automáticamente. Por favor no responda."
+
+
+def build_docs(q: dict[str, str]) -> None:
+    rx = {"active": ACTIVE, "upcoming": UPCOMING, "worst": WORST, "top": TOP, "stats": STATS, "docs": DOCS}
+    rv = ["stores", "predictions"]
+    q["report_document_rows"] = with_views(
+        rv,
+        f"""SELECT d.store_id, 'summary' AS section, CAST(w.summary_rank - 1 AS INT) AS pos, CAST(w.summary_rank AS INT) AS rank, w.barcode,
+  strftime(w.objective_date, '%d/%m/%Y') AS date, {LABEL.format(t='w.type')} AS label,
+  {SIGNED.format(d='w.percentage_average_deviation')} AS deviation_text
+FROM docs d JOIN worst w ON w.store_id = d.store_id
+UNION ALL
+SELECT d.store_id, 'alerts' AS section, CAST(t.alert_rank - 1 AS INT) AS pos, CAST(t.alert_rank AS INT) AS rank, t.barcode,
+  strftime(t.objective_date, '%d/%m/%Y') AS date, {LABEL.format(t='t.type')} AS label,
+  {SIGNED.format(d='t.percentage_average_deviation')} AS deviation_text
+FROM docs d JOIN top t ON t.store_id = d.store_id""",
+        rx,
+    )
+    item = ("concat('  ', CAST(t.alert_rank AS VARCHAR), '. ', t.product_name, ' [', upper(t.type), '] Desv: ', "
+            + SIGNED.format(d="t.percentage_average_deviation") + ", ' — Pred: ', CAST(t.prediction AS VARCHAR), ' unid.')")
+    q["report_digest"] = with_views(
+        rv,
+        f"""SELECT d.store_id, d.email,
+  concat('📊 Reporte Semanal Retail Analytics — ', d.owner_name, ' (', strftime(d.date_range_start, '%d-%m-%Y'), ' al ',
+         strftime(d.date_range_end, '%d-%m-%Y'), ')') AS subject,
+  concat('Hola ', d.owner_name, ',\n\nLe enviamos su Reporte Semanal Predictivo de Retail Analytics.\n\nPeríodo: ',
+    strftime(d.date_range_start, '%d/%m/%Y'), ' al ', strftime(d.date_range_end, '%d/%m/%Y'), '\nGenerado: 01/07/2001 06:00\n\n',
+    '── RESUMEN DE PREDICCIONES ──────────────────\n',
+    '  Productos analizados  : ', CAST(d.unique_products AS VARCHAR), '\n',
+    '  Alertas prioritarias  : ', CAST(d.unique_featured_products AS VARCHAR), '\n',
+    '  Productos en Déficit  : ', CAST(d.deficit_products AS VARCHAR), '\n',
+    '  Productos en Superávit: ', CAST(d.superavit_products AS VARCHAR), '\n',
+    '  Productos en Normal   : ', CAST(d.neutral_products AS VARCHAR), '\n\n',
+    CASE WHEN a.block IS NULL THEN '' ELSE concat('── TOP ALERTAS PRIORITARIAS ─────────────────\n', a.block, '\n\n') END,
+    '{DIGEST_FOOTER}') AS body
+FROM docs d LEFT JOIN (SELECT t.store_id, string_agg({item}, '\n' ORDER BY t.alert_rank) AS block FROM top t
+  WHERE t.alert_rank <= 5 GROUP BY t.store_id) a ON a.store_id = d.store_id""",
+        rx,
+    )
+    q["package_lines"] = with_views(
+        ["scans_raw"],
+        """SELECT store_id AS id_store, strftime(sale_date, '%d-%m-%Y') AS date, isodow(sale_date) AS day,
+  CAST(DENSE_RANK() OVER (PARTITION BY store_id, sale_date ORDER BY block) - 1 AS INT) AS block_pos, block AS time,
+  CAST(ROW_NUMBER() OVER (PARTITION BY store_id, sale_date, block ORDER BY barcode, amount) - 1 AS INT) AS product_pos,
+  barcode, CAST(amount AS INT) AS amount FROM half""",
+        {"scans": SCANS, "half": HALF},
+    )
+
+
 def build_dash(q: dict[str, str]) -> None:
     av = ["predictions", "sales"]
     ax = {"hist": HIST, "alerts": ALERTS}
