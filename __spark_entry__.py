@@ -360,7 +360,7 @@ def q_train_incremental(spark: SparkSession, sf: str) -> DataFrame:
     import datetime as dt
 
     sales = FX.sales(spark, sf)
-    empty = FX.registry_state(spark, sf).limit(0)
+    empty = spark.createDataFrame([], "barcode string, total_examples long")  # no models yet: every product cold
     week_before = AS_OF - dt.timedelta(days=7)
     first = MD.train_models(sales, empty, as_of=week_before)
     state = first.select("barcode", "n", "moments", "last_date", F.col("n").cast("long").alias("total_examples"))

@@ -89,7 +89,7 @@ def test_incremental_equals_full_refit(spark):
     run's own extracted rows (as the reference does), which legitimately differs
     between a delta window and a full refit."""
     sales = FX.sales(spark, SF).withColumn("temperature", F.coalesce("temperature", F.lit(21.0)))
-    none = FX.registry_state(spark, SF).limit(0)
+    none = spark.createDataFrame([], "barcode string, total_examples long")
     d1 = AS_OF - dt.timedelta(days=200)
     first = MD.train_models(sales, none, as_of=d1)
     state = first.select("barcode", "n", "moments", "last_date", F.lit(10_000).cast("long").alias("total_examples"))
