@@ -30,11 +30,11 @@ def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["daily_sales"] = with_views(
         ["sales"],
-        "SELECT store_id, barcode, sale_date, amount, round(temperature, 6) AS temperature, weather_code FROM daily",
+        "SELECT store_id, barcode, sale_date, amount, (round(temperature, 6) + 0.0) AS temperature, weather_code FROM daily",
         {"daily": DAILY},
     )
     q["historical_average"] = with_views(
-        ["sales"], "SELECT store_id, barcode, round(v_p, 6) AS v_p, n_days FROM hist", {"hist": HIST}
+        ["sales"], "SELECT store_id, barcode, (round(v_p, 6) + 0.0) AS v_p, n_days FROM hist", {"hist": HIST}
     )
     build_more(q)
     build_models(q)
@@ -59,19 +59,19 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id, barcode ORDER BY abs(p
       FROM upcoming WHERE feature) t WHERE rn = 1) u WHERE alert_rank <= 10"""
 
 STATS = """SELECT a.*, b.deficit_products, b.superavit_products, b.neutral_products FROM
- (SELECT store_id, COUNT(*) AS total_prediction_rows, count_if(type = 'deficit') AS deficit_rows, count_if(type = 'superavit') AS superavit_rows,
-   count_if(type = 'none') AS neutral_rows, count_if(feature) AS featured_rows, COUNT(DISTINCT barcode) AS unique_products,
+ (SELECT store_id, COUNT(*) AS total_prediction_rows, COUNT(*) FILTER (WHERE type = 'deficit') AS deficit_rows, COUNT(*) FILTER (WHERE type = 'superavit') AS superavit_rows,
+   COUNT(*) FILTER (WHERE type = 'none') AS neutral_rows, COUNT(*) FILTER (WHERE feature) AS featured_rows, COUNT(DISTINCT barcode) AS unique_products,
    COUNT(DISTINCT CASE WHEN feature THEN barcode END) AS unique_featured_products,
    MIN(objective_date) AS date_range_start, MAX(objective_date) AS date_range_end
   FROM upcoming GROUP BY store_id) a
- JOIN (SELECT store_id, count_if(type = 'deficit') AS deficit_products, count_if(type = 'superavit') AS superavit_products,
-   count_if(type = 'none') AS neutral_products FROM worst GROUP BY store_id) b ON a.store_id = b.store_id"""
+ JOIN (SELECT store_id, COUNT(*) FILTER (WHERE type = 'deficit') AS deficit_products, COUNT(*) FILTER (WHERE type = 'superavit') AS superavit_products,
+   COUNT(*) FILTER (WHERE type = 'none') AS neutral_products FROM worst GROUP BY store_id) b ON a.store_id = b.store_id"""
 
 CATB = """SELECT store_id, category, total_products, deficit_count, superavit_count, neutral_count, featured_count,
   ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY total_products DESC, category) AS category_rank
-FROM (SELECT store_id, category, COUNT(*) AS total_products, count_if(type = 'deficit') AS deficit_count,
-   count_if(type = 'superavit') AS superavit_count, count_if(type IS NULL OR type NOT IN ('deficit', 'superavit')) AS neutral_count,
-   count_if(feature) AS featured_count FROM worst GROUP BY store_id, category) t"""
+FROM (SELECT store_id, category, COUNT(*) AS total_products, COUNT(*) FILTER (WHERE type = 'deficit') AS deficit_count,
+   COUNT(*) FILTER (WHERE type = 'superavit') AS superavit_count, COUNT(*) FILTER (WHERE type IS NULL OR type NOT IN ('deficit', 'superavit')) AS neutral_count,
+   COUNT(*) FILTER (WHERE feature) AS featured_count FROM worst GROUP BY store_id, category) t"""
 
 ACTIVE = """SELECT store_id, owner_name, regexp_replace(email, '^\\s+|\\s+$', '', 'g') AS email, city FROM stores
 WHERE email IS NOT NULL AND trim(email) <> '' AND email LIKE '%@%'"""
@@ -80,15 +80,15 @@ EMAIL_RE = "^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$"
 
 
 def dev_out(c: str = "percentage_average_deviation") -> str:
-    return f"CASE WHEN isinf({c}) THEN NULL ELSE round({c}, 6) END AS {c}, COALESCE(isinf({c}), false) AS is_atypical"
+    return f"CASE WHEN isinf({c}) THEN NULL ELSE (round({c}, 6) + 0.0) END AS {c}, COALESCE(isinf({c}), false) AS is_atypical"
 
 
 ROWCOLS = "store_id, barcode, product_name, category, objective_date, prediction, feature, type"
 
-FEATS = """round(sin(2 * pi() * (isodow(sale_date) - 1) / 7.0), 6) AS sin_weekday,
-  round(cos(2 * pi() * (isodow(sale_date) - 1) / 7.0), 6) AS cos_weekday,
-  round(sin(2 * pi() * day(sale_date) / 31.0), 6) AS sin_day, round(cos(2 * pi() * day(sale_date) / 31.0), 6) AS cos_day,
-  round(sin(2 * pi() * month(sale_date) / 12.0), 6) AS sin_month, round(cos(2 * pi() * month(sale_date) / 12.0), 6) AS cos_month"""
+FEATS = """(round(sin(2 * pi() * (isodow(sale_date) - 1) / 7.0), 6) + 0.0) AS sin_weekday,
+  (round(cos(2 * pi() * (isodow(sale_date) - 1) / 7.0), 6) + 0.0) AS cos_weekday,
+  (round(sin(2 * pi() * day(sale_date) / 31.0), 6) + 0.0) AS sin_day, (round(cos(2 * pi() * day(sale_date) / 31.0), 6) + 0.0) AS cos_day,
+  (round(sin(2 * pi() * month(sale_date) / 12.0), 6) + 0.0) AS sin_month, (round(cos(2 * pi() * month(sale_date) / 12.0), 6) + 0.0) AS cos_month"""
 
 PAYDAY = "CASE WHEN day(sale_date) BETWEEN 13 AND 17 OR day(sale_date) >= 27 THEN 1 ELSE 0 END"
 
@@ -132,13 +132,13 @@ def build_more(q: dict[str, str]) -> None:
         "SELECT barcode, product_name, category, image_url FROM products WHERE barcode IN (SELECT barcode FROM sales)",
     )
     q["daily_sales_filled"] = with_views(
-        s, "SELECT store_id, barcode, sale_date, amount, round(temperature, 6) AS temperature, weather_code FROM filled",
+        s, "SELECT store_id, barcode, sale_date, amount, (round(temperature, 6) + 0.0) AS temperature, weather_code FROM filled",
         {"daily": DAILY, "filled": FILLED},
     )
     q["feature_matrix"] = with_views(
         s,
         f"""SELECT store_id, barcode, sale_date, {FEATS}, CAST({PAYDAY} AS DOUBLE) AS payday,
-  round(CASE WHEN temperature IS NULL OR temperature = 0 THEN 20.0 ELSE temperature END, 6) AS temperature,
+  (round(CASE WHEN temperature IS NULL OR temperature = 0 THEN 20.0 ELSE temperature END, 6) + 0.0) AS temperature,
   CAST(CASE WHEN weather_code IS NULL OR weather_code = 0 THEN 1 ELSE weather_code END AS DOUBLE) AS weather_code,
   CAST(store_id AS DOUBLE) AS store_f, CAST(amount AS DOUBLE) AS y FROM filled""",
         {"daily": DAILY, "filled": FILLED},
@@ -154,7 +154,7 @@ def build_more(q: dict[str, str]) -> None:
     )
     q["clamp_round"] = (
         "SELECT l_orderkey, l_linenumber, l_quantity / 2.0 - 5.0 AS raw, "
-        "CAST(round_even(greatest(l_quantity / 2.0 - 5.0, 0.0), 0) AS INT) AS prediction FROM lineitem"
+        "CAST((round_even(greatest(l_quantity / 2.0 - 5.0, 0.0), 0) + 0.0) AS INT) AS prediction FROM lineitem"
     )
     q["classify_alerts"] = with_views(
         ["predictions", "sales"],
@@ -174,7 +174,7 @@ def build_more(q: dict[str, str]) -> None:
   CASE type WHEN 'deficit' THEN 'DÉFICIT' WHEN 'superavit' THEN 'SUPERÁVIT' ELSE 'NORMAL' END AS label_mail,
   CASE type WHEN 'deficit' THEN 'DÉFICIT' WHEN 'superavit' THEN 'SUPERÁVIT' ELSE 'ESTABLE' END AS label_ui,
   CASE WHEN d > 0 THEN 'positive' WHEN d < 0 THEN 'negative' ELSE 'neutral' END AS sign_class,
-  CASE WHEN NOT isinf(d) THEN concat(CASE WHEN d > 0 THEN '+' ELSE '' END, printf('%.1f', round_even(d, 1)), '%') END AS deviation_text
+  CASE WHEN NOT isinf(d) THEN concat(CASE WHEN d > 0 THEN '+' ELSE '' END, printf('%.1f', (round_even(d, 1) + 0.0)), '%') END AS deviation_text
 FROM (SELECT *, percentage_average_deviation AS d FROM upcoming) u""",
         {"upcoming": UPCOMING},
     )
@@ -206,7 +206,7 @@ FROM (SELECT DISTINCT sale_date FROM sales) d""",
     )
     q["category_breakdown"] = with_views(rp, "SELECT * FROM catb", {"upcoming": UPCOMING, "worst": WORST, "catb": CATB})
     pct = ", ".join(
-        f"CASE WHEN total_products > 0 THEN CAST(round_even(100.0 * {k}_count / total_products, 0) AS INT) END AS {k}_pct, "
+        f"CASE WHEN total_products > 0 THEN CAST((round_even(100.0 * {k}_count / total_products, 0) + 0.0) AS INT) END AS {k}_pct, "
         f"CASE WHEN {k}_count > 0 THEN CAST({k}_count AS VARCHAR) ELSE '—' END AS {k}_text"
         for k in ("deficit", "superavit", "neutral")
     )
@@ -217,7 +217,7 @@ FROM (SELECT DISTINCT sale_date FROM sales) d""",
     )
     q["run_summary"] = with_views(
         ["stores", "predictions"],
-        """SELECT COUNT(*) AS active_stores, count_if(r.ok = true) AS succeeded, count_if(r.ok = false) AS failed, count_if(r.ok IS NULL) AS skipped
+        """SELECT COUNT(*) AS active_stores, COUNT(*) FILTER (WHERE r.ok = true) AS succeeded, COUNT(*) FILTER (WHERE r.ok = false) AS failed, COUNT(*) FILTER (WHERE r.ok IS NULL) AS skipped
 FROM active a LEFT JOIN (SELECT store_id, regexp_matches(email, '""" + EMAIL_RE + """') AS ok FROM active
   WHERE store_id IN (SELECT store_id FROM upcoming)) r ON r.store_id = a.store_id""",
         {"active": ACTIVE, "upcoming": UPCOMING},
@@ -332,7 +332,7 @@ SCOREF = f"""SELECT store_id, barcode, product_name, category, image_url, object
    ELSE 'none' END AS type FROM (
   SELECT *, CASE WHEN v_p > 0 THEN (CAST(prediction AS DOUBLE) - v_p) / v_p * 100.0 WHEN prediction > 0 THEN CAST('Infinity' AS DOUBLE)
     ELSE 0.0 END AS percentage_average_deviation FROM (
-   SELECT *, CAST(round_even(greatest({fixed_dot()}, 0.0), 0) AS INT) AS prediction FROM (
+   SELECT *, CAST((round_even(greatest({fixed_dot()}, 0.0), 0) + 0.0) AS INT) AS prediction FROM (
     SELECT g.store_id, g.barcode, g.product_name, g.category, g.image_url, g.objective_date, COALESCE(h.v_p, 0.0) AS v_p,
       {feats_raw('g.objective_date')}, CAST(g.temperature AS DOUBLE) AS temperature, CAST(g.weather_code AS DOUBLE) AS weather_code,
       CAST(g.store_id AS DOUBLE) AS store_f
@@ -344,27 +344,27 @@ def build_models(q: dict[str, str]) -> None:
     tv = ["sales", "registry_state"]
     tx = {"flags": FLAGS, "tsales": TSALES, "tdaily": daily_of("tsales"),
           "tfilled": FILLED.replace("FROM daily", "FROM tdaily"), "trows": TROWS}
-    feats_r6 = ", ".join(f"round({f}, 6) AS {f}" for f in FEATURES)
+    feats_r6 = ", ".join(f"(round({f}, 6) + 0.0) AS {f}" for f in FEATURES)
     q["training_rows"] = with_views(tv, f"SELECT store_id, barcode, sale_date, {feats_r6}, y, prev_examples, is_cold FROM trows", tx)
     aug = ["1.0"] + FEATURES
     sums = [f"SUM({aug[i]} * {aug[j]})" for i in range(11) for j in range(i, 11)]
     sums += [f"SUM({aug[i]} * y)" for i in range(11)] + ["SUM(y * y)"]
     q["training_moments"] = with_views(
         tv,
-        f"""SELECT barcode, n, k, round(v / n, 6) AS mean_value FROM (
+        f"""SELECT barcode, n, k, (round(v / n, 6) + 0.0) AS mean_value FROM (
   SELECT barcode, n, unnest(range(78)) AS k, unnest(m) AS v FROM (
     SELECT barcode, COUNT(*) AS n, [{', '.join(sums)}] AS m FROM trows GROUP BY barcode) a) b""",
         tx,
     )
     q["clipped_mse"] = with_views(
         tv,
-        f"""SELECT barcode, round(AVG((y - greatest(yhat, 0.0)) * (y - greatest(yhat, 0.0))), 6) AS mse, COUNT(*) AS n
+        f"""SELECT barcode, (round(AVG((y - greatest(yhat, 0.0)) * (y - greatest(yhat, 0.0))), 6) + 0.0) AS mse, COUNT(*) AS n
 FROM (SELECT *, {fixed_dot()} AS yhat FROM trows) t GROUP BY barcode""",
         tx,
     )
     q["model_registry_upsert"] = with_views(
         tv,
-        f"""SELECT COALESCE(r.barcode, t.barcode) AS barcode, CASE WHEN t.barcode IS NOT NULL THEN round(t.mse, 6) END AS last_mse,
+        f"""SELECT COALESCE(r.barcode, t.barcode) AS barcode, CASE WHEN t.barcode IS NOT NULL THEN (round(t.mse, 6) + 0.0) END AS last_mse,
   CASE WHEN t.barcode IS NOT NULL THEN CAST({AS_OF} AS TIMESTAMP) END AS last_update,
   CAST(COALESCE(r.total_examples, 0) + COALESCE(t.n, 0) AS BIGINT) AS total_examples, 'ridge_moments' AS type_model
 FROM (SELECT * FROM registry_state WHERE CAST(substr(barcode, 7) AS INT) > 3) r
@@ -398,7 +398,7 @@ ALERTS = f"""SELECT p.*, COALESCE(h.v_p * 7.0, 0.0) AS avg_weekly_sales FROM pre
 LEFT JOIN hist h ON h.store_id = p.store_id AND h.barcode = p.barcode WHERE p.objective_date > {AS_OF}"""
 
 
-SIGNED = "concat(CASE WHEN {d} > 0 THEN '+' ELSE '' END, CASE WHEN isinf({d}) THEN 'inf' ELSE printf('%.1f', round_even({d}, 1) + 0.0) END, '%')"
+SIGNED = "concat(CASE WHEN {d} > 0 THEN '+' ELSE '' END, CASE WHEN isinf({d}) THEN 'inf' ELSE printf('%.1f', (round_even({d}, 1) + 0.0)) END, '%')"
 
 LABEL = "CASE {t} WHEN 'deficit' THEN 'Déficit' WHEN 'superavit' THEN 'Superávit' ELSE 'Estable' END"
 
@@ -468,7 +468,7 @@ def build_dash(q: dict[str, str]) -> None:
   CASE WHEN prediction % 7 <> 0 THEN barcode ELSE '000000' END AS barcode,
   COALESCE(category, 'General') AS category, COALESCE(image_url, 'https://via.placeholder.com/150') AS image_url,
   CASE WHEN prediction % 10 = 0 THEN {AS_OF} WHEN prediction % 10 = 1 THEN DATE '2026-04-10' ELSE objective_date END AS objective_date,
-  prediction, COALESCE(type, 'neutral') AS type, COALESCE(feature, false) AS feature, round(avg_weekly_sales, 6) AS avg_weekly_sales
+  prediction, COALESCE(type, 'neutral') AS type, COALESCE(feature, false) AS feature, (round(avg_weekly_sales, 6) + 0.0) AS avg_weekly_sales
 FROM alerts""",
         ax,
     )
@@ -491,7 +491,7 @@ FROM alerts WHERE type = 'deficit'""",
         """SELECT store_id, bar_index, barcode, objective_date, substr(product_name, 1, 10) AS label, dev,
   CASE WHEN dev >= 0 THEN 'positive' ELSE 'negative' END AS color, CAST(trunc(MAX(abs(dev)) OVER (PARTITION BY store_id) * 1.2) AS INT) AS y_limit
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY abs(dev) DESC, product_name, barcode, objective_date) - 1 AS bar_index
-  FROM (SELECT *, round_even((CAST(prediction AS DOUBLE) - avg_weekly_sales) / avg_weekly_sales * 100.0, 2) AS dev
+  FROM (SELECT *, (round_even((CAST(prediction AS DOUBLE) - avg_weekly_sales) / avg_weekly_sales * 100.0, 2) + 0.0) AS dev
         FROM alerts WHERE avg_weekly_sales > 0) a) b WHERE bar_index < 25""",
         ax,
     )
@@ -539,7 +539,7 @@ FULL OUTER JOIN (SELECT store_id, objective_date AS d, CAST(SUM(prediction) AS B
         """SELECT device, island, code, started, ended FROM (
   SELECT device, island, string_agg(key, '' ORDER BY ts, seq) FILTER (WHERE key IS NOT NULL AND key <> 'ENTER') AS code,
     MIN(ts) AS started, MAX(ts) AS ended, bool_or(COALESCE(key = 'ENTER', false)) AS term FROM (
-    SELECT *, SUM(bnd) OVER (PARTITION BY device ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS island FROM (
+    SELECT *, CAST(SUM(bnd) OVER (PARTITION BY device ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM (
       SELECT *, CASE WHEN rn = 1 OR date_diff('microsecond', pts, ts) > 3600000000 OR COALESCE(pkey = 'ENTER', false) THEN 1 ELSE 0 END AS bnd
       FROM (SELECT *, LAG(ts) OVER w AS pts, LAG(key) OVER w AS pkey, ROW_NUMBER() OVER w AS rn FROM key_events
             WINDOW w AS (PARTITION BY device ORDER BY ts, seq)) a) b) c
@@ -556,8 +556,8 @@ FULL OUTER JOIN (SELECT store_id, objective_date AS d, CAST(SUM(prediction) AS B
     tr = prof.format("7.0", "5.0", "11.0", "5.0", "5.0")
     q["expected_demand"] = with_views(
         ["sales", "products", "stores"],
-        f"""SELECT store_id, barcode, sale_date, time, round(t, 6) AS temperature_used,
-  round(base * 1.0 * dow * pay * (1.0 + sens * ((t - 20.0) / 15.0)) * wf, 6) AS expected_demand FROM (
+        f"""SELECT store_id, barcode, sale_date, time, (round(t, 6) + 0.0) AS temperature_used,
+  (round(base * 1.0 * dow * pay * (1.0 + sens * ((t - 20.0) / 15.0)) * wf, 6) + 0.0) AS expected_demand FROM (
   SELECT s.store_id, s.barcode, s.sale_date, s.time, {base} AS base, {sens} AS sens,
     COALESCE(s.temperature, {tb} + sin(CAST(month(s.sale_date) - 3 AS DOUBLE) * pi() / 6.0) * {tr}) AS t,
     CASE WHEN isodow(s.sale_date) >= 6 THEN 1.30 WHEN isodow(s.sale_date) = 5 THEN 1.15 ELSE 1.0 END::DOUBLE AS dow,
