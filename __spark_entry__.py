@@ -40,15 +40,22 @@ from retailspark.sources import fixtures as FX  # noqa: E402
 AS_OF = FX.AS_OF
 
 
+def r6(c: F.Column) -> F.Column:
+    """Round to 6 decimals with plain IEEE arithmetic, floor(x * 1e6 + 0.5) / 1e6,
+    which DuckDB evaluates bit for bit the same way (library ``round`` functions
+    break decimal ties differently)."""
+    return F.floor(c * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+
+
 def _r6(c: str) -> F.Column:
-    return F.round(F.col(c), 6).alias(c)
+    return r6(F.col(c)).alias(c)
 
 
 def _dev(c: str = "percentage_average_deviation") -> list[F.Column]:
     """Deviation as a finite rounded double (NULL when infinite) plus an ``is_atypical`` flag."""
     d = F.col(c)
     inf = F.abs(d) == F.lit(float("inf"))
-    return [F.when(inf, F.lit(None).cast("double")).otherwise(F.round(d, 6)).alias(c), F.coalesce(inf, F.lit(False)).alias("is_atypical")]
+    return [F.when(inf, F.lit(None).cast("double")).otherwise(r6(d)).alias(c), F.coalesce(inf, F.lit(False)).alias("is_atypical")]
 
 
 def _upcoming(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,12 +89,12 @@ def q_cyclic_features(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("sale_date")
     return d.select(
         "sale_date",
-        F.round(CAL.cyclic_sin(F.weekday(c), 7), 6).alias("sin_weekday"),
-        F.round(CAL.cyclic_cos(F.weekday(c), 7), 6).alias("cos_weekday"),
-        F.round(CAL.cyclic_sin(F.dayofmonth(c), 31), 6).alias("sin_day"),
-        F.round(CAL.cyclic_cos(F.dayofmonth(c), 31), 6).alias("cos_day"),
-        F.round(CAL.cyclic_sin(F.month(c), 12), 6).alias("sin_month"),
-        F.round(CAL.cyclic_cos(F.month(c), 12), 6).alias("cos_month"),
+        r6(CAL.cyclic_sin(F.weekday(c), 7)).alias("sin_weekday"),
+        r6(CAL.cyclic_cos(F.weekday(c), 7)).alias("cos_weekday"),
+        r6(CAL.cyclic_sin(F.dayofmonth(c), 31)).alias("sin_day"),
+        r6(CAL.cyclic_cos(F.dayofmonth(c), 31)).alias("cos_day"),
+        r6(CAL.cyclic_sin(F.month(c), 12)).alias("sin_month"),
+        r6(CAL.cyclic_cos(F.month(c), 12)).alias("cos_month"),
         CAL.is_payday(c).alias("payday"),
         CAL.iso_weekday(c).alias("iso_weekday"),
     )
@@ -347,7 +354,7 @@ def q_training_rows(spark: SparkSession, sf: str) -> DataFrame:
 def q_training_moments(spark: SparkSession, sf: str) -> DataFrame:
     m = MD.training_moments(_training_rows(spark, sf))
     e = m.select("barcode", "n", F.posexplode("moments").alias("k", "v"))
-    return e.select("barcode", "n", "k", F.round(F.col("v") / F.col("n"), 6).alias("mean_value"))
+    return e.select("barcode", "n", "k", r6(F.col("v") / F.col("n")).alias("mean_value"))
 
 
 def q_train_models(spark: SparkSession, sf: str) -> DataFrame:
@@ -389,7 +396,7 @@ def q_model_registry_upsert(spark: SparkSession, sf: str) -> DataFrame:
     trained = trained.filter(F.substring("barcode", 7, 10).cast("int") < 20)
     reg = FX.registry_state(spark, sf).filter(F.substring("barcode", 7, 10).cast("int") > 3)
     up = MD.upsert_registry(reg, trained, as_of=AS_OF)
-    return up.select("barcode", F.round("last_mse", 6).alias("last_mse"), "last_update", "total_examples", "type_model")
+    return up.select("barcode", r6(F.col("last_mse")).alias("last_mse"), "last_update", "total_examples", "type_model")
 
 
 def _forecast(spark: SparkSession, sf: str) -> DataFrame:

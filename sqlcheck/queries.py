@@ -30,11 +30,11 @@ def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["daily_sales"] = with_views(
         ["sales"],
-        "SELECT store_id, barcode, sale_date, amount, (round(temperature, 6) + 0.0) AS temperature, weather_code FROM daily",
+        "SELECT store_id, barcode, sale_date, amount, (floor((temperature) * 1e6 + 0.5) / 1e6) AS temperature, weather_code FROM daily",
         {"daily": DAILY},
     )
     q["historical_average"] = with_views(
-        ["sales"], "SELECT store_id, barcode, (round(v_p, 6) + 0.0) AS v_p, n_days FROM hist", {"hist": HIST}
+        ["sales"], "SELECT store_id, barcode, (floor((v_p) * 1e6 + 0.5) / 1e6) AS v_p, n_days FROM hist", {"hist": HIST}
     )
     build_more(q)
     build_models(q)
@@ -80,15 +80,15 @@ EMAIL_RE = "^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$"
 
 
 def dev_out(c: str = "percentage_average_deviation") -> str:
-    return f"CASE WHEN isinf({c}) THEN NULL ELSE (round({c}, 6) + 0.0) END AS {c}, COALESCE(isinf({c}), false) AS is_atypical"
+    return f"CASE WHEN isinf({c}) THEN NULL ELSE (floor(({c}) * 1e6 + 0.5) / 1e6) END AS {c}, COALESCE(isinf({c}), false) AS is_atypical"
 
 
 ROWCOLS = "store_id, barcode, product_name, category, objective_date, prediction, feature, type"
 
-FEATS = """(round(sin(2 * pi() * (isodow(sale_date) - 1) / 7.0), 6) + 0.0) AS sin_weekday,
-  (round(cos(2 * pi() * (isodow(sale_date) - 1) / 7.0), 6) + 0.0) AS cos_weekday,
-  (round(sin(2 * pi() * day(sale_date) / 31.0), 6) + 0.0) AS sin_day, (round(cos(2 * pi() * day(sale_date) / 31.0), 6) + 0.0) AS cos_day,
-  (round(sin(2 * pi() * month(sale_date) / 12.0), 6) + 0.0) AS sin_month, (round(cos(2 * pi() * month(sale_date) / 12.0), 6) + 0.0) AS cos_month"""
+FEATS = """(floor((sin(2 * pi() * (isodow(sale_date) - 1) / 7.0)) * 1e6 + 0.5) / 1e6) AS sin_weekday,
+  (floor((cos(2 * pi() * (isodow(sale_date) - 1) / 7.0)) * 1e6 + 0.5) / 1e6) AS cos_weekday,
+  (floor((sin(2 * pi() * day(sale_date) / 31.0)) * 1e6 + 0.5) / 1e6) AS sin_day, (floor((cos(2 * pi() * day(sale_date) / 31.0)) * 1e6 + 0.5) / 1e6) AS cos_day,
+  (floor((sin(2 * pi() * month(sale_date) / 12.0)) * 1e6 + 0.5) / 1e6) AS sin_month, (floor((cos(2 * pi() * month(sale_date) / 12.0)) * 1e6 + 0.5) / 1e6) AS cos_month"""
 
 PAYDAY = "CASE WHEN day(sale_date) BETWEEN 13 AND 17 OR day(sale_date) >= 27 THEN 1 ELSE 0 END"
 
@@ -132,13 +132,13 @@ def build_more(q: dict[str, str]) -> None:
         "SELECT barcode, product_name, category, image_url FROM products WHERE barcode IN (SELECT barcode FROM sales)",
     )
     q["daily_sales_filled"] = with_views(
-        s, "SELECT store_id, barcode, sale_date, amount, (round(temperature, 6) + 0.0) AS temperature, weather_code FROM filled",
+        s, "SELECT store_id, barcode, sale_date, amount, (floor((temperature) * 1e6 + 0.5) / 1e6) AS temperature, weather_code FROM filled",
         {"daily": DAILY, "filled": FILLED},
     )
     q["feature_matrix"] = with_views(
         s,
         f"""SELECT store_id, barcode, sale_date, {FEATS}, CAST({PAYDAY} AS DOUBLE) AS payday,
-  (round(CASE WHEN temperature IS NULL OR temperature = 0 THEN 20.0 ELSE temperature END, 6) + 0.0) AS temperature,
+  (floor((CASE WHEN temperature IS NULL OR temperature = 0 THEN 20.0 ELSE temperature END) * 1e6 + 0.5) / 1e6) AS temperature,
   CAST(CASE WHEN weather_code IS NULL OR weather_code = 0 THEN 1 ELSE weather_code END AS DOUBLE) AS weather_code,
   CAST(store_id AS DOUBLE) AS store_f, CAST(amount AS DOUBLE) AS y FROM filled""",
         {"daily": DAILY, "filled": FILLED},
@@ -344,27 +344,27 @@ def build_models(q: dict[str, str]) -> None:
     tv = ["sales", "registry_state"]
     tx = {"flags": FLAGS, "tsales": TSALES, "tdaily": daily_of("tsales"),
           "tfilled": FILLED.replace("FROM daily", "FROM tdaily"), "trows": TROWS}
-    feats_r6 = ", ".join(f"(round({f}, 6) + 0.0) AS {f}" for f in FEATURES)
+    feats_r6 = ", ".join(f"(floor(({f}) * 1e6 + 0.5) / 1e6) AS {f}" for f in FEATURES)
     q["training_rows"] = with_views(tv, f"SELECT store_id, barcode, sale_date, {feats_r6}, y, prev_examples, is_cold FROM trows", tx)
     aug = ["1.0"] + FEATURES
     sums = [f"SUM({aug[i]} * {aug[j]})" for i in range(11) for j in range(i, 11)]
     sums += [f"SUM({aug[i]} * y)" for i in range(11)] + ["SUM(y * y)"]
     q["training_moments"] = with_views(
         tv,
-        f"""SELECT barcode, n, k, (round(v / n, 6) + 0.0) AS mean_value FROM (
+        f"""SELECT barcode, n, k, (floor((v / n) * 1e6 + 0.5) / 1e6) AS mean_value FROM (
   SELECT barcode, n, unnest(range(78)) AS k, unnest(m) AS v FROM (
     SELECT barcode, COUNT(*) AS n, [{', '.join(sums)}] AS m FROM trows GROUP BY barcode) a) b""",
         tx,
     )
     q["clipped_mse"] = with_views(
         tv,
-        f"""SELECT barcode, (round(AVG((y - greatest(yhat, 0.0)) * (y - greatest(yhat, 0.0))), 6) + 0.0) AS mse, COUNT(*) AS n
+        f"""SELECT barcode, (floor((AVG((y - greatest(yhat, 0.0)) * (y - greatest(yhat, 0.0)))) * 1e6 + 0.5) / 1e6) AS mse, COUNT(*) AS n
 FROM (SELECT *, {fixed_dot()} AS yhat FROM trows) t GROUP BY barcode""",
         tx,
     )
     q["model_registry_upsert"] = with_views(
         tv,
-        f"""SELECT COALESCE(r.barcode, t.barcode) AS barcode, CASE WHEN t.barcode IS NOT NULL THEN (round(t.mse, 6) + 0.0) END AS last_mse,
+        f"""SELECT COALESCE(r.barcode, t.barcode) AS barcode, CASE WHEN t.barcode IS NOT NULL THEN (floor((t.mse) * 1e6 + 0.5) / 1e6) END AS last_mse,
   CASE WHEN t.barcode IS NOT NULL THEN CAST({AS_OF} AS TIMESTAMP) END AS last_update,
   CAST(COALESCE(r.total_examples, 0) + COALESCE(t.n, 0) AS BIGINT) AS total_examples, 'ridge_moments' AS type_model
 FROM (SELECT * FROM registry_state WHERE CAST(substr(barcode, 7) AS INT) > 3) r
@@ -468,7 +468,7 @@ def build_dash(q: dict[str, str]) -> None:
   CASE WHEN prediction % 7 <> 0 THEN barcode ELSE '000000' END AS barcode,
   COALESCE(category, 'General') AS category, COALESCE(image_url, 'https://via.placeholder.com/150') AS image_url,
   CASE WHEN prediction % 10 = 0 THEN {AS_OF} WHEN prediction % 10 = 1 THEN DATE '2026-04-10' ELSE objective_date END AS objective_date,
-  prediction, COALESCE(type, 'neutral') AS type, COALESCE(feature, false) AS feature, (round(avg_weekly_sales, 6) + 0.0) AS avg_weekly_sales
+  prediction, COALESCE(type, 'neutral') AS type, COALESCE(feature, false) AS feature, (floor((avg_weekly_sales) * 1e6 + 0.5) / 1e6) AS avg_weekly_sales
 FROM alerts""",
         ax,
     )
@@ -556,8 +556,8 @@ FULL OUTER JOIN (SELECT store_id, objective_date AS d, CAST(SUM(prediction) AS B
     tr = prof.format("7.0", "5.0", "11.0", "5.0", "5.0")
     q["expected_demand"] = with_views(
         ["sales", "products", "stores"],
-        f"""SELECT store_id, barcode, sale_date, time, (round(t, 6) + 0.0) AS temperature_used,
-  (round(base * 1.0 * dow * pay * (1.0 + sens * ((t - 20.0) / 15.0)) * wf, 6) + 0.0) AS expected_demand FROM (
+        f"""SELECT store_id, barcode, sale_date, time, (floor((t) * 1e6 + 0.5) / 1e6) AS temperature_used,
+  (floor((base * 1.0 * dow * pay * (1.0 + sens * ((t - 20.0) / 15.0)) * wf) * 1e6 + 0.5) / 1e6) AS expected_demand FROM (
   SELECT s.store_id, s.barcode, s.sale_date, s.time, {base} AS base, {sens} AS sens,
     COALESCE(s.temperature, {tb} + sin(CAST(month(s.sale_date) - 3 AS DOUBLE) * pi() / 6.0) * {tr}) AS t,
     CASE WHEN isodow(s.sale_date) >= 6 THEN 1.30 WHEN isodow(s.sale_date) = 5 THEN 1.15 ELSE 1.0 END::DOUBLE AS dow,
