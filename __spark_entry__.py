@@ -445,16 +445,23 @@ def q_prediction_replace(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_score_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """The daily plan end to end: train all products, upsert the registry,
-    score the grid and write back over the stored predictions."""
+    """The daily job end to end, on two consecutive days: the first run
+    (``as_of - 1``) rebuilds every product and stores its moments in the
+    registry; the second (``as_of``) continues the warm products from those
+    moments with the new day only, updates the registry, scores each store's
+    assortment x forecast days and writes back over the stored predictions."""
+    import datetime as dt
+
     from retailspark.plans.forecast import daily_forecast
 
-    res = daily_forecast(
+    common = dict(
         sales=FX.sales(spark, sf), stores=FX.stores(spark, sf), products=FX.products(spark, sf),
-        registry=FX.registry_state(spark, sf), forecast_payloads=FX.forecast_payloads(spark, sf),
-        old_predictions=FX.predictions(spark, sf), as_of=AS_OF,
+        forecast_payloads=FX.forecast_payloads(spark, sf),
     )
-    return res["predictions"].select(*ROWCOLS, *_dev())
+    day1 = daily_forecast(**common, registry=FX.registry_state(spark, sf), old_predictions=FX.predictions(spark, sf),
+                          as_of=AS_OF - dt.timedelta(days=1))
+    day2 = daily_forecast(**common, registry=day1["registry"], old_predictions=day1["predictions"], as_of=AS_OF)
+    return day2["predictions"].select(*ROWCOLS, *_dev())
 
 
 # --------------------------------------------------------------------------- dashboard, sessions, demand

@@ -178,7 +178,7 @@ def train_models(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config =
     mom = rows.groupBy("barcode").agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*moment_columns()).alias("moments"),
-        F.max("sale_date").alias("last_date"),
+        F.lit(as_date(as_of)).alias("last_date"),
         F.max(F.col("is_cold").cast("int")).alias("_cold"),
     )
     models = solve(mom, cfg=cfg)
@@ -197,27 +197,63 @@ def train_models(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config =
     )
 
 
+def registry_state(registry: DataFrame) -> DataFrame:
+    """Registry rows as training state: ``barcode, n, moments, last_date,
+    total_examples`` (state columns NULL when the registry has none, e.g. a
+    registry that only counts examples)."""
+    cols = {
+        "n": "long", "moments": "array<double>", "last_date": "date",
+    }
+    r = registry
+    for c, t in cols.items():
+        if c not in r.columns:
+            r = r.withColumn(c, F.lit(None).cast(t))
+    return r.select("barcode", "n", "moments", "last_date", F.col("total_examples").cast("long").alias("total_examples"))
+
+
 def train_incremental(state: DataFrame, sales: DataFrame, *, as_of, cfg: Config = Config(), allow_overlap: bool = False,
                       materialize: bool = True) -> DataFrame:
-    """H3: add the rows since each product's high-water date to its stored
-    moments and re-solve.  ``state``: ``barcode, n, moments, last_date,
-    total_examples``.  Products without state (or below the cold-start minimum)
-    are rebuilt from their full history.  With ``allow_overlap`` the reference's
-    fixed recent window is used instead of the high-water date (rows may then be
-    learned twice, as there)."""
+    """H3: add the rows after each product's high-water date to its stored
+    moments and re-solve; rebuild the rest from their full history.
+
+    ``state``: registry rows (``registry_state``).  A product is *warm* when it
+    has stored moments, a high-water date and at least
+    ``min_examples_cold_start`` examples; every other product that has sales
+    is *cold* and is rebuilt from its whole history (its previous examples are
+    still added to ``total_examples``, as the reference does).
+
+    Reads: warm rows come from a branch bounded below by the oldest high-water
+    date (a scalar subquery; on a table partitioned by ``sale_date`` it prunes
+    partitions at run time) and are then cut per product; cold rows come from a
+    semi join with the cold barcodes, which AQE drops when there are none.
+    ``allow_overlap`` re-reads the reference's fixed recent window instead, so
+    rows may be learned twice, as there.  ``last_date`` of the result is
+    ``as_of``: the data is learned through that date.
+    """
     a = as_date(as_of)
-    st = state.select("barcode", "n", "moments", "last_date", F.col("total_examples").alias("prev_examples"))
-    warm = st.filter(F.col("prev_examples") >= F.lit(cfg.min_examples_cold_start))
+    st = registry_state(state).withColumnRenamed("total_examples", "prev_examples")
+    warm = st.filter(
+        (F.col("prev_examples") >= F.lit(cfg.min_examples_cold_start)) & F.col("moments").isNotNull() & F.col("last_date").isNotNull()
+    )
     s = sales.filter(F.col("sale_date") <= F.lit(a))
-    s = s.join(warm.select("barcode", "last_date"), "barcode", "left")
-    lower = F.date_sub(F.lit(a), cfg.training_window_days) if allow_overlap else F.date_add(F.col("last_date"), 1)
-    s = s.filter(F.col("last_date").isNull() | (F.col("sale_date") >= lower)).drop("last_date")
-    daily = fill_temperature(daily_sales(s))
+    cold = s.select("barcode").distinct().join(warm.select("barcode"), "barcode", "left_anti")
+    if allow_overlap:
+        recent = s.filter(F.col("sale_date") >= F.date_sub(F.lit(a), cfg.training_window_days)).join(warm.select("barcode"), "barcode", "left_semi")
+    else:
+        lo = warm.select(F.min("last_date")).scalar()
+        recent = (
+            s.filter(F.col("sale_date") > lo)
+            .join(warm.select("barcode", F.col("last_date").alias("_hw")), "barcode")
+            .filter(F.col("sale_date") > F.col("_hw"))
+            .drop("_hw")
+        )
+    full = s.join(cold, "barcode", "left_semi")
+    daily = fill_temperature(daily_sales(recent.unionByName(full)))
     rows = feature_matrix(daily, training=True, zero_as_missing=cfg.zero_as_missing)
     if materialize:
         rows = cut_lineage(rows)
     delta = training_moments(rows)
-    merged = merge_moments(warm.drop("prev_examples"), delta)
+    merged = merge_moments(warm.select("barcode", "n", "moments", "last_date"), delta)
     models = solve(merged, cfg=cfg)
     if materialize:
         models = cut_lineage(models)
@@ -230,7 +266,7 @@ def train_incremental(state: DataFrame, sales: DataFrame, *, as_of, cfg: Config
         .join(mse, "barcode", "left")
         .join(st.select("barcode", "prev_examples"), "barcode", "left")
         .select(
-            "barcode", "n", "moments", "last_date", "coef", "error", "mse",
+            "barcode", "n", "moments", F.lit(a).alias("last_date"), "coef", "error", "mse",
             F.coalesce("new_examples", F.lit(0)).cast("long").alias("new_examples"),
             (F.coalesce("prev_examples", F.lit(0)) + F.coalesce("new_examples", F.lit(0))).cast("long").alias("total_examples"),
         )
@@ -238,20 +274,28 @@ def train_incremental(state: DataFrame, sales: DataFrame, *, as_of, cfg: Config
 
 
 def upsert_registry(registry: DataFrame, trained: DataFrame, *, as_of) -> DataFrame:
-    """Trained products replace coef / last_mse / last_update and add their
-    new examples to ``total_examples``; untouched products keep their row; new
-    products are inserted.  ``trained``: ``barcode, coef, mse, new_examples``."""
+    """Trained products replace coef / last_mse / last_update (and the
+    training state ``moments, n, last_date`` when given) and add their new
+    examples to ``total_examples``; untouched products keep their row; new
+    products are inserted.  ``trained``: ``barcode, coef, mse, new_examples``
+    [+ ``moments, n, last_date``]."""
     # date -> timestamp_ntz is independent of the session time zone
     ts = F.lit(as_date(as_of)).cast("timestamp_ntz")
-    r = registry.select(
-        "barcode",
-        F.col("total_examples").alias("r_total"),
-        *[F.col(c).alias(f"r_{c}") for c in ("coef", "last_mse", "last_update") if c in registry.columns],
+    kept = [c for c in ("coef", "last_mse", "last_update", "moments", "n", "last_date") if c in registry.columns]
+    r = registry.select("barcode", F.col("total_examples").alias("r_total"), *[F.col(c).alias(f"r_{c}") for c in kept])
+    state_cols = [c for c in ("moments", "n", "last_date") if c in trained.columns]
+    t = trained.select(
+        "barcode", F.col("coef").alias("t_coef"), F.col("mse").alias("t_mse"), F.col("new_examples").alias("t_new"),
+        *[F.col(c).alias(f"t_{c}") for c in state_cols],
     )
-    t = trained.select("barcode", F.col("coef").alias("t_coef"), F.col("mse").alias("t_mse"), F.col("new_examples").alias("t_new"))
     j = r.join(t, "barcode", "full_outer")
     hit = F.col("t_new").isNotNull()
     old = lambda c, typ: F.col(f"r_{c}") if f"r_{c}" in r.columns else F.lit(None).cast(typ)
+    state = []
+    for c, typ in (("moments", "array<double>"), ("n", "long"), ("last_date", "date")):
+        if c in state_cols or f"r_{c}" in r.columns:
+            new = F.col(f"t_{c}") if c in state_cols else F.lit(None).cast(typ)
+            state.append(F.when(hit, new).otherwise(old(c, typ)).alias(c))
     return j.select(
         "barcode",
         F.when(hit, F.col("t_coef")).otherwise(old("coef", "array<double>")).alias("coef"),
@@ -259,4 +303,5 @@ def upsert_registry(registry: DataFrame, trained: DataFrame, *, as_of) -> DataFr
         F.when(hit, ts).otherwise(old("last_update", "timestamp_ntz")).alias("last_update"),
         (F.coalesce("r_total", F.lit(0)) + F.coalesce("t_new", F.lit(0))).cast("long").alias("total_examples"),
         F.lit(MODEL_TYPE).alias("type_model"),
+        *state,
     )

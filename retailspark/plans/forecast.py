@@ -1,6 +1,7 @@
-"""Daily forecasting job: train every product, update the registry, score the
-grid of each store's assortment x forecast days, and replace the stored
-predictions of the scored keys.
+"""Daily forecasting job: train every product (incrementally from the stored
+moments where the registry has them), update the registry, score the grid of
+each store's assortment x forecast days, and replace the stored predictions of
+the scored keys.
 
 Shuffle boundaries: (store, barcode, date) for the daily aggregate, barcode
 for the moments, (store, barcode) for V_p and the write-back.  The models table
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from retailspark.config import Config
 from retailspark.operators.daily import historical_average
-from retailspark.operators.models import train_models, upsert_registry
+from retailspark.operators.models import train_incremental, upsert_registry
 from retailspark.sources.readers import cut_lineage
 from retailspark.operators.scoring import assortment, forecast_days, replace_keyed, score, scoring_grid, with_forecast_fallback
 
@@ -24,13 +25,16 @@ def daily_forecast(
     *, sales: DataFrame, stores: DataFrame, products: DataFrame, registry: DataFrame, forecast_payloads: DataFrame,
     old_predictions: DataFrame, as_of, cfg: Config = Config(), materialize: bool = True,
 ) -> dict[str, DataFrame]:
-    trained = train_models(sales, registry, as_of=as_of, cfg=cfg)
+    # Warm products add the days since their high-water date to their stored
+    # moments; cold ones (or a registry without moments) are rebuilt.
+    step = train_incremental(registry, sales, as_of=as_of, cfg=cfg, materialize=materialize)
+    trained = step.filter(F.col("new_examples") > 0)
     if materialize:
         # One row per product: cut the lineage (scan, daily shuffle, solve) so
         # registry update and scoring reuse it and a lost executor re-reads it.
         trained = cut_lineage(trained)
     new_registry = upsert_registry(
-        registry, trained.select("barcode", "coef", "mse", F.col("n").alias("new_examples")), as_of=as_of
+        registry, trained.select("barcode", "coef", "mse", "new_examples", "moments", "n", "last_date"), as_of=as_of
     )
     days = with_forecast_fallback(stores, forecast_days(forecast_payloads, cfg=cfg), as_of=as_of, cfg=cfg)
     grid = scoring_grid(assortment(sales, as_of=as_of), days, products)

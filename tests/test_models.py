@@ -81,3 +81,27 @@ def test_cold_start_flags(spark):
     reg = spark.createDataFrame([("a", 29), ("b", 30)], "barcode string, total_examples long")
     f = {r.barcode: r.is_cold for r in MD.cold_start_flags(prods, reg).collect()}
     assert f == {"a": True, "b": False, "c": True}
+
+
+def test_daily_job_two_days_continues_warm_products(spark):
+    from retailspark.plans.forecast import daily_forecast
+    from retailspark.sources import fixtures as FX
+
+    sf = "/root/testdata/sf0.001"
+    common = dict(sales=FX.sales(spark, sf), stores=FX.stores(spark, sf), products=FX.products(spark, sf),
+                  forecast_payloads=FX.forecast_payloads(spark, sf))
+    d0 = AS_OF - dt.timedelta(days=30)
+    day1 = daily_forecast(**common, registry=FX.registry_state(spark, sf), old_predictions=FX.predictions(spark, sf), as_of=d0)
+    reg1 = {r.barcode: r for r in day1["registry"].collect()}
+    assert all(r.last_date == d0 for r in reg1.values() if r.moments is not None)
+    day2 = daily_forecast(**common, registry=day1["registry"], old_predictions=day1["predictions"], as_of=AS_OF)
+    reg2 = {r.barcode: r for r in day2["registry"].collect()}
+    new_rows = {r.barcode: r.n for r in MD.training_moments(
+        MD.training_rows(FX.sales(spark, sf).filter(F.col("sale_date") > F.lit(d0)),
+                         spark.createDataFrame([], "barcode string, total_examples long"), as_of=AS_OF)).collect()}
+    for b, r in reg2.items():
+        if reg1[b].moments is not None and reg1[b].total_examples >= 30:
+            # warm: only the days after the high-water date were added
+            assert r.n == reg1[b].n + new_rows.get(b, 0)
+            assert r.total_examples == reg1[b].total_examples + new_rows.get(b, 0)
+    assert day2["predictions"].count() > 0
