@@ -40,6 +40,16 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_sales(spark: SparkSession, path: str) -> DataFrame:
+    """Sales table written by the ingest sink (``epoch=<id>/sale_date=<d>/``
+    directories) or any Parquet table with the sales columns.  Partition
+    discovery makes ``sale_date`` a partition column, so date filters prune
+    directories instead of reading them."""
+    df = spark.read.option("basePath", path).parquet(path)
+    cols = [c.strip().split(" ") for c in SALES_SCHEMA.split(",")]
+    return df.select(*[F.col(n).cast(t).alias(n) for n, t in cols])
+
+
 def package_id(df: DataFrame) -> DataFrame:
     """Content hash of a package (store, date, blocks): the key for idempotent
     sinks and duplicate suppression of retried sends."""

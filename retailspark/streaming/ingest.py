@@ -61,9 +61,11 @@ def process_batch(batch: DataFrame, epoch_id: int, *, stores: DataFrame, product
     )
     lines = package_lines(ok)
     enriched = attach_weather(lines, explode_hourly(hourly_weather))
+    # Partitioned by sale_date inside the epoch directory: V_p, training and
+    # report filters on sale_date prune partitions when the table is read back.
     enriched.select(
         "store_id", "barcode", "sale_date", "time", "amount", "temperature", "weather_resume_wmo_code"
-    ).write.mode("overwrite").parquet(f"{out_dir}/sales/{tag}")
+    ).write.mode("overwrite").partitionBy("sale_date").parquet(f"{out_dir}/sales/{tag}")
     complete_products(lines, products, catalog).write.mode("overwrite").parquet(f"{out_dir}/new_products/{tag}")
     ok.select("package_id", "id_store", "date", F.size("sales").alias("blocks")).write.mode("overwrite").parquet(
         f"{out_dir}/receipts/{tag}"

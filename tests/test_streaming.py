@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from retailspark.operators import ingest as IN
 from retailspark.operators.sessions import gap_sessions
 from retailspark.sources import fixtures as FX
-from retailspark.sources.readers import read_packages
+from retailspark.sources.readers import read_packages, read_sales
 from retailspark.streaming.ingest import ingest_stream, retry_rejected
 from retailspark.streaming.scans import SCAN_SCHEMA, half_hour_stream
 from retailspark.streaming.sessions import scanner_sessions
@@ -38,9 +38,11 @@ def test_package_stream_ingest_and_dedup(spark):
     receipts = spark.read.parquet(os.path.join(out, "receipts"))
     ok, bad = IN.split_by_store(pk, stores)
     assert receipts.count() == ok.count()  # duplicates suppressed
-    sales = spark.read.parquet(os.path.join(out, "sales"))
+    sales = read_sales(spark, os.path.join(out, "sales"))
     batch_units = IN.package_lines(ok).agg(F.sum("amount")).first()[0]
     assert sales.agg(F.sum("amount")).first()[0] == batch_units
+    jan = sales.filter(F.col("sale_date") <= F.lit(dt.date(2024, 1, 10)))
+    assert "PartitionFilters: [isnotnull(sale_date" in jan._jdf.queryExecution().executedPlan().toString()
     rejects = spark.read.parquet(os.path.join(out, "rejects"))
     assert rejects.filter(F.col("reason") == "unknown_store").count() == bad.count()
     assert rejects.filter(F.col("reason") == "malformed").count() == 1
