@@ -70,6 +70,11 @@ def gap_sessions(
         "_off", F.coalesce(F.sum("_nb").over(wd.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     ).drop("_nb")
     e = e.join(off, ["_k", "_day"]).withColumn("island", F.col("_off") + F.col("_lisl"))
+    # Only islands closed by the terminator emit anything: find them with a
+    # cheap aggregate first, so characters of never-closed islands (which the
+    # listener discards) are not gathered at all.
+    closed = e.filter(F.col("_tok") == F.lit(terminator)).select("_k", "island").distinct()
+    e = e.join(closed, ["_k", "island"], "left_semi")
     # Partial text per (device, island, day), then per island in day order.
     is_char = F.col("_tok").isNotNull() & (F.col("_tok") != F.lit(terminator))
     part = e.groupBy("_k", "island", "_day").agg(
