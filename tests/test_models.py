@@ -105,3 +105,27 @@ def test_daily_job_two_days_continues_warm_products(spark):
             assert r.n == reg1[b].n + new_rows.get(b, 0)
             assert r.total_examples == reg1[b].total_examples + new_rows.get(b, 0)
     assert day2["predictions"].count() > 0
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(st.tuples(st.integers(1, 3), st.sampled_from("abc"), st.integers(0, 9)), max_size=12),
+    st.lists(st.tuples(st.integers(1, 3), st.sampled_from("abc"), st.integers(10, 19)), max_size=6),
+)
+def test_replace_keyed_matches_dict_update(spark, old_rows, new_rows):
+    """A11 against a plain dict update keyed by (store, barcode)."""
+    schema = "store_id int, barcode string, v int"
+    got = sorted(tuple(r) for r in replace_keyed(spark.createDataFrame(old_rows, schema), spark.createDataFrame(new_rows, schema)).collect())
+    by_key = {}
+    for s, b, v in old_rows:
+        by_key.setdefault((s, b), []).append(v)
+    fresh = {}
+    for s, b, v in new_rows:
+        fresh.setdefault((s, b), []).append(v)
+    by_key.update(fresh)
+    want = sorted((s, b, v) for (s, b), vs in by_key.items() for v in vs)
+    assert got == want
