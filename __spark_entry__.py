@@ -230,12 +230,15 @@ def q_run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return RP.run_summary(RP.active_stores(FX.stores(spark, sf)), _report_results(spark, sf))
 
 
+def _weekly(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    from retailspark.plans.weekly_report import weekly_report
+
+    return weekly_report(stores=FX.stores(spark, sf), predictions=FX.predictions(spark, sf), as_of=AS_OF,
+                         generated_at="01/07/2001 06:00", materialize=False)
+
+
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    up = _upcoming(spark, sf)
-    worst = RP.worst_case_rows(up)
-    return RP.report_documents(
-        RP.active_stores(FX.stores(spark, sf)), RP.weekly_stats(up), worst, RP.top_alerts(up), RP.category_breakdown(worst)
-    )
+    return _weekly(spark, sf)["documents"]
 
 
 def q_report_document(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,7 +258,7 @@ def q_report_document_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_report_digest(spark: SparkSession, sf: str) -> DataFrame:
-    return RP.report_digest(_documents(spark, sf), generated_at="01/07/2001 06:00")
+    return _weekly(spark, sf)["digests"]
 
 
 # --------------------------------------------------------------------------- ingest

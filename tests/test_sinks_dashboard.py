@@ -100,3 +100,30 @@ def test_incremental_equals_full_refit(spark):
         assert inc[b].n == r.n
         np.testing.assert_allclose(inc[b].moments, r.moments, rtol=1e-9, atol=1e-6)
         np.testing.assert_allclose(inc[b].coef, r.coef, rtol=1e-6, atol=1e-6)
+
+
+def test_weekly_report_plan_and_document_sink(spark):
+    from retailspark.plans.weekly_report import weekly_report, write_report_documents
+
+    res = weekly_report(stores=FX.stores(spark, SF), predictions=FX.predictions(spark, SF), as_of=AS_OF, generated_at="x")
+    docs = res["documents"]
+    n = docs.count()
+    s = res["summary"].first()
+    assert n == s.succeeded and s.active_stores == s.succeeded + s.failed + s.skipped
+    d = os.path.join(_tmp(), "docs")
+    write_report_documents(docs, d)
+    assert len([p for p in os.listdir(d) if p.startswith("store=")]) == n
+    one = docs.orderBy("store_id").first()
+    assert [r.rank for r in one.summary_rows] == list(range(1, len(one.summary_rows) + 1))
+    assert len(one.featured_list) <= 10
+
+
+def test_batch_ingest_plan(spark):
+    from retailspark.plans.ingest import ingest_packages
+
+    pk = IN.sales_packages(IN.half_hour_sales(IN.clean_scans(FX.scans_raw(spark, SF))))
+    res = ingest_packages(packages=pk, stores=FX.stores(spark, SF), products=FX.known_products(spark, SF),
+                          catalog=FX.catalog(spark, SF), hourly_weather=FX.hourly_weather(spark, SF))
+    ok, bad = IN.split_by_store(pk, FX.stores(spark, SF))
+    assert res["receipts"].count() == ok.count() and res["rejected"].count() == bad.count()
+    assert res["sales"].agg(F.sum("amount")).first()[0] == IN.package_lines(ok).agg(F.sum("amount")).first()[0]
