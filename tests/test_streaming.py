@@ -90,3 +90,33 @@ def test_scanner_sessions_stream_matches_batch(spark):
     got = sorted((r.device, r.code, r.ended) for r in spark.sql("SELECT * FROM rs_sessions").collect())
     want = sorted((r.device, r.code, r.ended) for r in gap_sessions(ev, gap_seconds=FX.EVENT_GAP_SECONDS).collect())
     assert got == want and len(want) > 0
+
+
+def test_half_hour_stream_append_respects_watermark(spark):
+    """Append mode emits a 30-minute window once the watermark passes its end;
+    scans older than the watermark are dropped (the late-data policy)."""
+    d = _scratch()
+    src = os.path.join(d, "scans")
+    os.makedirs(src)
+    schema = "id long, store_id int, barcode string, time string, amount int"
+
+    def drop(name, rows):
+        spark.createDataFrame(rows, schema).write.json(os.path.join(src, name))
+
+    stream = spark.readStream.schema(SCAN_SCHEMA).option("maxFilesPerTrigger", 1).json(os.path.join(src, "*"))
+    q = (half_hour_stream(stream, watermark="1 hour").writeStream.outputMode("append").format("memory")
+         .queryName("rs_hh_append").option("checkpointLocation", os.path.join(d, "ck")).start())
+    try:
+        drop("b1", [(1, 1, "x", "2024-01-01 10:05:00", 1), (2, 1, "x", "2024-01-01 10:20:00", 1)])
+        q.processAllAvailable()
+        assert spark.sql("SELECT * FROM rs_hh_append").count() == 0  # window still open
+        drop("b2", [(3, 1, "x", "2024-01-01 12:00:00", 1)])          # watermark -> 11:00
+        q.processAllAvailable()
+        drop("b3", [(4, 1, "x", "2024-01-01 10:10:00", 1)])          # late: older than the watermark
+        q.processAllAvailable()
+        drop("b4", [(5, 1, "x", "2024-01-01 14:00:00", 1)])          # watermark -> 13:00, emits 12:00
+        q.processAllAvailable()
+        got = sorted((r.block, r.amount) for r in spark.sql("SELECT * FROM rs_hh_append").collect())
+        assert got == [("10:00:00", 2), ("12:00:00", 1)]
+    finally:
+        q.stop()
