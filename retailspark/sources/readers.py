@@ -82,6 +82,30 @@ def write_table(df: DataFrame, path: str, *, partition_by: list[str] | None = No
     w.parquet(path)
 
 
+def replace_keyed_on_disk(spark: SparkSession, path: str, new: DataFrame, *, keys=("store_id", "barcode"),
+                          partition_col: str = "store_id") -> None:
+    """A11 on a Parquet table partitioned by ``partition_col``: every key in
+    ``new`` loses all its stored rows and gets the new ones; other keys of the
+    same partition and all other partitions are untouched.
+
+    Only the partitions present in ``new`` are read, merged and rewritten
+    (dynamic partition overwrite).  The merge is checkpointed first because a
+    Parquet table cannot be overwritten while the same job is still reading it.
+    """
+    from retailspark.operators.scoring import replace_keyed
+
+    touched = new.select(partition_col).distinct()
+    try:
+        old = spark.read.parquet(path).join(touched, partition_col, "left_semi")
+    except Exception as e:  # first write: no table yet
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        write_table(new, path, partition_by=[partition_col])
+        return
+    merged = cut_lineage(replace_keyed(old, new.select(*old.columns), list(keys)))
+    write_table(merged, path, partition_by=[partition_col])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's reliable checkpoint directory
     (``spark.checkpoint.dir``) so that a lost executor re-reads it instead of
