@@ -386,14 +386,14 @@ def _fixed_models(spark: SparkSession, sf: str) -> DataFrame:
 def q_clipped_mse(spark: SparkSession, sf: str) -> DataFrame:
     rows = _training_rows(spark, sf)
     coef = F.array(*[F.lit(c) for c in FIXED_COEF])
-    scored = rows.withColumn("coef", coef).withColumn("yhat", MD.predict(rows, "coef"))
+    scored = rows.withColumn("coef", coef).withColumn("yhat", MD.predict("coef"))
     return MD.clipped_mse(scored).select("barcode", _r6("mse"), "n")
 
 
 def q_model_registry_upsert(spark: SparkSession, sf: str) -> DataFrame:
     rows = _training_rows(spark, sf)
     coef = F.array(*[F.lit(c) for c in FIXED_COEF])
-    scored = rows.withColumn("coef", coef).withColumn("yhat", MD.predict(rows, "coef"))
+    scored = rows.withColumn("coef", coef).withColumn("yhat", MD.predict("coef"))
     trained = MD.clipped_mse(scored).select("barcode", "mse", F.col("n").alias("new_examples"), coef.alias("coef"))
     # Products brand 20+ are "not trained this run" (their registry rows must survive).
     trained = trained.filter(F.substring("barcode", 7, 10).cast("int") < 20)

@@ -20,7 +20,7 @@ def sales_scan(sales: DataFrame, *, as_of=None) -> DataFrame:
     """A1: the six training columns of the sales history (optionally up to ``as_of``)."""
     out = sales.select(*SALES_COLUMNS)
     if as_of is not None:
-        out = out.filter(F.col("sale_date") <= F.lit(as_of_date(as_of)))
+        out = out.filter(F.col("sale_date") <= F.lit(as_date(as_of)))
     return out
 
 
@@ -30,15 +30,12 @@ def recent_sales(sales: DataFrame, *, as_of, days: int | None = None, cfg: Confi
     ``days`` of 0 or None falls back to the configured window, as in the reference.
     """
     d = days or cfg.training_window_days
-    a = as_of_date(as_of)
+    a = as_date(as_of)
     return sales.select(*SALES_COLUMNS).filter(
         (F.col("sale_date") >= F.date_sub(F.lit(a), d)) & (F.col("sale_date") <= F.lit(a))
     )
 
 
-def as_of_date(as_of):
-    return as_date(as_of)
-
 
 def daily_sales(sales: DataFrame) -> DataFrame:
     """Per (store_id, barcode, sale_date): amount sum, mean temperature over
@@ -76,7 +73,7 @@ def historical_average(sales: DataFrame, *, as_of, cfg: Config = Config()) -> Da
     """D3: V_p per (store_id, barcode): mean of the daily totals over the days
     *with sales* in ``as_of - history_days <= sale_date <= as_of`` (no zero fill).
     Pairs without rows are absent; consumers coalesce to 0.0."""
-    a = as_of_date(as_of)
+    a = as_date(as_of)
     window = sales.filter(
         (F.col("sale_date") >= F.date_sub(F.lit(a), cfg.history_days)) & (F.col("sale_date") <= F.lit(a))
     )

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailspark.config import as_date
-from retailspark.functions.numbers import sign_class
 from retailspark.functions.text import normalize_text, short_name
 from retailspark.operators.ids import rank_within
 

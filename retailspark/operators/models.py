@@ -146,7 +146,7 @@ def solve(moments: DataFrame, *, cfg: Config = Config()) -> DataFrame:
     return moments.select("barcode", "moments", "n").mapInPandas(run, MODEL_SCHEMA)
 
 
-def predict(df: DataFrame, coef: str = "coef") -> Column:
+def predict(coef: str = "coef") -> Column:
     """Raw linear prediction ``b + w.x`` from the ten feature columns, natively."""
     x = F.array(*[F.col(c).cast("double") for c in FEATURE_NAMES])
     w = F.slice(F.col(coef), 2, N_FEATURES)
@@ -184,7 +184,7 @@ def train_models(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config =
     models = solve(mom, cfg=cfg)
     if materialize:
         models = cut_lineage(models)
-    scored = rows.join(models.select("barcode", "coef"), "barcode").withColumn("yhat", predict(rows, "coef"))
+    scored = rows.join(models.select("barcode", "coef"), "barcode").withColumn("yhat", predict("coef"))
     mse = clipped_mse(scored).select("barcode", "mse")
     return (
         mom.join(models.drop("n"), "barcode")
@@ -257,7 +257,7 @@ def train_incremental(state: DataFrame, sales: DataFrame, *, as_of, cfg: Config
     models = solve(merged, cfg=cfg)
     if materialize:
         models = cut_lineage(models)
-    scored = rows.join(models.select("barcode", "coef"), "barcode").withColumn("yhat", predict(rows, "coef"))
+    scored = rows.join(models.select("barcode", "coef"), "barcode").withColumn("yhat", predict("coef"))
     mse = clipped_mse(scored).select("barcode", "mse")
     new_n = delta.select("barcode", F.col("n").alias("new_examples"))
     return (

@@ -57,13 +57,10 @@ def with_forecast_fallback(stores: DataFrame, forecast: DataFrame, *, as_of, cfg
 
 def assortment(sales: DataFrame, *, as_of=None) -> DataFrame:
     """(store_id, barcode) pairs with at least one sale (up to ``as_of``)."""
-    s = sales if as_of is None else sales.filter(F.col("sale_date") <= F.lit(as_of_date(as_of)))
+    s = sales if as_of is None else sales.filter(F.col("sale_date") <= F.lit(as_date(as_of)))
     return s.select("store_id", "barcode").distinct()
 
 
-def as_of_date(a):
-    return as_date(a)
-
 
 def scoring_grid(pairs: DataFrame, days: DataFrame, products: DataFrame) -> DataFrame:
     """Pairs x that store's forecast days (equi-join on store_id), with the
@@ -84,7 +81,7 @@ def score(grid: DataFrame, models: DataFrame, v_p: DataFrame, *, cfg: Config = C
         F.coalesce("v_p", F.lit(0.0)).alias("v_p"),
         *feature_columns(date_col="objective_date"),
     )
-    scored = f.withColumn("raw", predict(f, "coef")).withColumn("prediction", clamp_round(F.col("raw")))
+    scored = f.withColumn("raw", predict("coef")).withColumn("prediction", clamp_round(F.col("raw")))
     return classify(scored, cfg=cfg).select(*PREDICTION_COLUMNS)
 
 

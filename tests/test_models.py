@@ -55,7 +55,7 @@ def test_no_rows_gives_error_not_failure(spark):
 def test_predict_and_clipped_mse(spark):
     df, _, _ = _matrix(spark, n=10)
     coef = [1.0] + [0.0] * 10
-    s = df.withColumn("coef", F.array(*[F.lit(c) for c in coef])).withColumn("yhat", MD.predict(df, "coef") - F.lit(2.0))
+    s = df.withColumn("coef", F.array(*[F.lit(c) for c in coef])).withColumn("yhat", MD.predict("coef") - F.lit(2.0))
     r = MD.clipped_mse(s).first()
     ys = [row.y for row in df.collect()]
     assert abs(r.mse - np.mean([(y - 0.0) ** 2 for y in ys])) < 1e-9
