@@ -167,14 +167,18 @@ def register_stores(requests: DataFrame, stores: DataFrame, *, order: str = "req
 
 
 def pending_packages(queue: DataFrame) -> DataFrame:
-    """Per client queue (``client_id, seq, package_name, ok``): blank lines
-    are ignored; sending stops at the first failure, so that package and every
-    later one stay queued; if nothing failed the queue is empty."""
+    """What stays in each client's queue after one send pass.
+
+    ``queue``: ``client_id, seq, package_name, outcome`` where ``outcome`` is
+    what sending that package returns: ``ok``, ``rejected`` (the server answered
+    with an error) or ``network_error``.  Blank lines are dropped; a rejected
+    package stays queued and the pass continues; at the first network error the
+    pass stops, so that package and every later one stay queued."""
     q = queue.filter(F.length(F.trim(F.col("package_name"))) > 0)
-    first_fail = q.filter(~F.col("ok")).groupBy("client_id").agg(F.min("seq").alias("_fail"))
-    return q.join(first_fail, "client_id").filter(F.col("seq") >= F.col("_fail")).select(
-        "client_id", "seq", F.trim("package_name").alias("package_name")
-    )
+    first_fail = q.filter(F.col("outcome") == "network_error").groupBy("client_id").agg(F.min("seq").alias("_fail"))
+    j = q.join(first_fail, "client_id", "left")
+    keep = (F.col("outcome") == "rejected") | (F.col("_fail").isNotNull() & (F.col("seq") >= F.col("_fail")))
+    return j.filter(keep).select("client_id", "seq", F.trim("package_name").alias("package_name"))
 
 
 def retain(df: DataFrame, *, as_of, date_col: str, days: int = RETENTION_DAYS) -> DataFrame:

@@ -251,7 +251,7 @@ def hourly_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def package_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending-queue lines per client ``client_id, seq, package_name`` (some blank)
-    with the outcome ``ok`` a send attempt would have."""
+    with the ``outcome`` a send attempt would have (ok / rejected / network_error)."""
     e = table(spark, sf_dir, "events")
     name = F.when(F.col("event_id") % 17 == 0, F.lit("  ")).otherwise(
         F.concat(_s(F.col("user_id") + 1), F.lit("_"), F.date_format("ts", "dd-MM-yyyy_HH-mm-ss"), F.lit(".json"))
@@ -260,5 +260,7 @@ def package_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") + 1).cast("int").alias("client_id"),
         F.col("event_id").alias("seq"),
         name.alias("package_name"),
-        (F.col("event_type") != "error").alias("ok"),
+        F.when(F.col("event_type") == "error", F.lit("network_error"))
+        .when(F.col("value") >= F.lit(45.0), F.lit("rejected"))
+        .otherwise(F.lit("ok")).alias("outcome"),
     )

@@ -271,8 +271,9 @@ LEFT JOIN catalog c ON c.barcode = m.barcode""",
     q["pending_packages"] = with_views(
         ["package_queue"],
         """SELECT q.client_id, q.seq, trim(q.package_name) AS package_name FROM package_queue q
-JOIN (SELECT client_id, MIN(seq) AS f FROM package_queue WHERE length(trim(package_name)) > 0 AND NOT ok GROUP BY client_id) x
-  ON x.client_id = q.client_id WHERE length(trim(q.package_name)) > 0 AND q.seq >= x.f""",
+LEFT JOIN (SELECT client_id, MIN(seq) AS f FROM package_queue WHERE length(trim(package_name)) > 0 AND outcome = 'network_error'
+           GROUP BY client_id) x ON x.client_id = q.client_id
+WHERE length(trim(q.package_name)) > 0 AND (q.outcome = 'rejected' OR q.seq >= x.f)""",
     )
 
 
@@ -521,8 +522,9 @@ FROM (SELECT store_id, barcode, sale_date, CAST(SUM(amount) AS BIGINT) AS volume
 LEFT JOIN (SELECT store_id, CAST(SUM(amount) AS BIGINT) AS n FROM scans GROUP BY store_id) t ON t.store_id = s.store_id
 LEFT JOIN (SELECT store_id, COUNT(*) AS n FROM predictions WHERE objective_date > {AS_OF} GROUP BY store_id) a ON a.store_id = s.store_id
 LEFT JOIN (SELECT q.client_id, COUNT(*) AS n FROM package_queue q
-  JOIN (SELECT client_id, MIN(seq) AS f FROM package_queue WHERE length(trim(package_name)) > 0 AND NOT ok GROUP BY client_id) x
-  ON x.client_id = q.client_id WHERE length(trim(q.package_name)) > 0 AND q.seq >= x.f GROUP BY q.client_id) p ON p.client_id = s.store_id""",
+  LEFT JOIN (SELECT client_id, MIN(seq) AS f FROM package_queue WHERE length(trim(package_name)) > 0 AND outcome = 'network_error'
+             GROUP BY client_id) x ON x.client_id = q.client_id
+  WHERE length(trim(q.package_name)) > 0 AND (q.outcome = 'rejected' OR q.seq >= x.f) GROUP BY q.client_id) p ON p.client_id = s.store_id""",
         {"scans": SCANS},
     )
     q["weekly_series"] = with_views(

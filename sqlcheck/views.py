@@ -120,7 +120,7 @@ FROM (SELECT DISTINCT store_id, sale_date FROM sales) k WHERE (store_id + day(sa
     "package_queue": (
         """SELECT CAST(user_id + 1 AS INT) AS client_id, event_id AS seq,
   CASE WHEN event_id % 17 = 0 THEN '  ' ELSE concat(CAST(user_id + 1 AS VARCHAR), '_', strftime(ts, '%d-%m-%Y_%H-%M-%S'), '.json') END AS package_name,
-  event_type <> 'error' AS ok
+  CASE WHEN event_type = 'error' THEN 'network_error' WHEN value >= 45.0 THEN 'rejected' ELSE 'ok' END AS outcome
 FROM events""",
         (),
     ),

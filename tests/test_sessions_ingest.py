@@ -93,9 +93,12 @@ def test_register_stores(spark):
 
 
 def test_pending_queue(spark):
-    q = spark.createDataFrame([(1, 1, "a.json", True), (1, 2, "  ", False), (1, 3, "b.json", False), (1, 4, "c.json", True), (2, 1, "d.json", True)],
-                              "client_id int, seq long, package_name string, ok boolean")
-    assert sorted((r.client_id, r.package_name) for r in IN.pending_packages(q).collect()) == [(1, "b.json"), (1, "c.json")]
+    rows = [(1, 1, "a.json", "ok"), (1, 2, "  ", "network_error"), (1, 3, "r.json", "rejected"), (1, 4, "b.json", "ok"),
+            (1, 5, "c.json", "network_error"), (1, 6, "d.json", "ok"), (2, 1, "e.json", "rejected"), (3, 1, "f.json", "ok")]
+    q = spark.createDataFrame(rows, "client_id int, seq long, package_name string, outcome string")
+    got = sorted((r.client_id, r.package_name) for r in IN.pending_packages(q).collect())
+    # blank ignored; rejected stays and the pass goes on; from the network error on, everything stays
+    assert got == [(1, "c.json"), (1, "d.json"), (1, "r.json"), (2, "e.json")]
 
 
 def test_complete_products(spark):
