@@ -35,9 +35,10 @@ def validate_registrations(requests: DataFrame) -> DataFrame:
 
 
 def clean_scans(raw: DataFrame) -> DataFrame:
-    """Trim the scanned code, drop empty codes, one unit per scan."""
+    """Strip surrounding whitespace (spaces, tabs, newlines) from the
+    scanned code, drop empty codes, one unit per scan."""
     return (
-        raw.withColumn("barcode", F.trim(F.col("barcode")))
+        raw.withColumn("barcode", F.regexp_replace(F.col("barcode"), _STRIP, ""))
         .filter(F.col("barcode").isNotNull() & (F.length("barcode") > 0))
         .withColumn("amount", F.lit(1))
     )

@@ -103,7 +103,8 @@ HALF = """SELECT store_id, TRY_CAST(CASE WHEN length(trim(time)) > 8 THEN substr
   barcode, CAST(SUM(amount) AS BIGINT) AS amount
 FROM scans GROUP BY 1, 2, 3, 4"""
 
-SCANS = "SELECT id, store_id, trim(barcode) AS barcode, time, 1 AS amount FROM scans_raw WHERE length(trim(barcode)) > 0"
+SCANS = """SELECT id, store_id, regexp_replace(barcode, '^\\s+|\\s+$', '', 'g') AS barcode, time, 1 AS amount FROM scans_raw
+WHERE length(regexp_replace(barcode, '^\\s+|\\s+$', '', 'g')) > 0"""
 
 PACKAGES = """SELECT store_id AS id_store, strftime(sale_date, '%d-%m-%Y') AS date, isodow(sale_date) AS day, COUNT(DISTINCT block) AS blocks,
   sale_date FROM half GROUP BY store_id, sale_date"""

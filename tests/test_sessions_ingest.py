@@ -61,7 +61,7 @@ def test_gap_sessions_equals_state_machine(spark, raw):
 
 def test_half_hour_blocks_and_packages(spark):
     rows = [(1, 1, " x ", "2026-04-10 12:29:59", 1), (2, 1, "x", "2026-04-10 12:30:00", 1), (3, 1, "x", "2026-04-10 12:45:15", 1),
-            (4, 1, "   ", "2026-04-10 12:45:15", 1), (5, 1, "y", "2026-04-10 12:50:00", 1)]
+            (4, 1, " \t ", "2026-04-10 12:45:15", 1), (5, 1, "y\n", "2026-04-10 12:50:00", 1)]
     scans = IN.clean_scans(spark.createDataFrame(rows, "id long, store_id int, barcode string, time string, amount int"))
     hh = {(r.block, r.barcode): r.amount for r in IN.half_hour_sales(scans).collect()}
     assert hh == {("12:00:00", "x"): 1, ("12:30:00", "x"): 2, ("12:30:00", "y"): 1}
