@@ -326,10 +326,15 @@ def q_retention_filter(spark: SparkSession, sf: str) -> DataFrame:
 def q_sales_with_weather(spark: SparkSession, sf: str) -> DataFrame:
     s = FX.sales(spark, sf).withColumn("hour", F.substring("time", 1, 2).cast("int"))
     lines = s.select("store_id", "barcode", "sale_date", "time", "amount", "hour")
-    j = IN.attach_weather(lines, IN.explode_hourly(FX.hourly_weather(spark, sf)))
+    j = IN.attach_weather(lines, FX.hourly_weather(spark, sf))
     return j.select("store_id", "barcode", "sale_date", "time", "amount", "temperature", "weather_resume_wmo_code")
 
 
+def q_hourly_weather_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly archive payloads -> one row per (store, date, hour)."""
+    return IN.explode_hourly(FX.hourly_weather(spark, sf))
+
+
 def q_complete_products(spark: SparkSession, sf: str) -> DataFrame:
     return IN.complete_products(FX.sales(spark, sf), FX.known_products(spark, sf), FX.catalog(spark, sf))
 

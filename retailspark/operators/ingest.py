@@ -121,13 +121,20 @@ def explode_hourly(payload: DataFrame) -> DataFrame:
     )
 
 
-def attach_weather(lines: DataFrame, hourly: DataFrame) -> DataFrame:
-    """Sale lines + the weather of their store, date and hour (NULL when the
-    archive has no reading; the reference failed the whole package instead)."""
-    h = hourly.select(
-        "store_id", F.col("date").alias("sale_date"), "hour", "temperature", "weather_resume_wmo_code"
-    )
-    return lines.join(h, ["store_id", "sale_date", "hour"], "left")
+def attach_weather(lines: DataFrame, payload: DataFrame) -> DataFrame:
+    """Sale lines + the weather of their store, date and hour, read from
+    the hourly archive payload (``store_id, date, temperature_2m[24],
+    weather_code[24]``, array position = hour).  The payload is joined on
+    (store, date) and indexed by the line's hour, so the weather side is not
+    exploded 24 times before the shuffle.  Missing payload or hour -> NULL (the
+    reference failed the whole package instead)."""
+    h = payload.select("store_id", F.col("date").alias("sale_date"), F.col("temperature_2m").alias("_t"), F.col("weather_code").alias("_w"))
+    j = lines.join(h, ["store_id", "sale_date"], "left")
+    ok = F.col("hour").between(0, 23)
+    idx = F.col("hour") + F.lit(1)
+    return j.withColumn("temperature", F.when(ok, F.try_element_at("_t", idx)).cast("double")).withColumn(
+        "weather_resume_wmo_code", F.when(ok, F.try_element_at("_w", idx)).cast("int")
+    ).drop("_t", "_w")
 
 
 def complete_products(codes: DataFrame, products: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailspark.operators.ingest import (
-    attach_weather, complete_products, explode_hourly, package_lines, package_receipts, split_by_store,
+    attach_weather, complete_products, package_lines, package_receipts, split_by_store,
 )
 
 
@@ -16,7 +16,7 @@ def ingest_packages(*, packages: DataFrame, stores: DataFrame, products: DataFra
                     hourly_weather: DataFrame) -> dict[str, DataFrame]:
     ok, rejected = split_by_store(packages, stores)
     lines = package_lines(ok)
-    sales = attach_weather(lines, explode_hourly(hourly_weather)).select(
+    sales = attach_weather(lines, hourly_weather).select(
         "store_id", "barcode", "sale_date", "time", "amount", "temperature", "weather_resume_wmo_code"
     )
     return {

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailspark.operators.ingest import attach_weather, complete_products, explode_hourly, package_lines, split_by_store
+from retailspark.operators.ingest import attach_weather, complete_products, package_lines, split_by_store
 from retailspark.sources.readers import CORRUPT, PACKAGE_SCHEMA_WITH_CORRUPT, package_id
 
 DEFAULT_WATERMARK = "30 days"
@@ -60,7 +60,7 @@ def process_batch(batch: DataFrame, epoch_id: int, *, stores: DataFrame, product
         .write.mode("overwrite").parquet(f"{out_dir}/rejects/{tag}")
     )
     lines = package_lines(ok)
-    enriched = attach_weather(lines, explode_hourly(hourly_weather))
+    enriched = attach_weather(lines, hourly_weather)
     # Partitioned by sale_date inside the epoch directory: V_p, training and
     # report filters on sale_date prune partitions when the table is read back.
     enriched.select(

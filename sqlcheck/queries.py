@@ -261,6 +261,11 @@ FROM (SELECT r.*, r.email IS NOT NULL AND r.email NOT IN (SELECT email FROM stor
         """SELECT s.store_id, s.barcode, s.sale_date, s.time, s.amount, h.temperature, h.wmo AS weather_resume_wmo_code
 FROM sales s LEFT JOIN (SELECT store_id, date, unnest(range(24)) AS hour, unnest(temperature_2m) AS temperature, unnest(weather_code) AS wmo
   FROM hourly_weather) h ON h.store_id = s.store_id AND h.date = s.sale_date AND h.hour = CAST(substr(s.time, 1, 2) AS INT)""",
+    )
+    q["hourly_weather_rows"] = with_views(
+        ["sales", "hourly_weather"],
+        """SELECT store_id, date, CAST(unnest(range(24)) AS INT) AS hour, unnest(temperature_2m) AS temperature,
+  unnest(weather_code) AS weather_resume_wmo_code FROM hourly_weather""",
     )
     q["complete_products"] = with_views(
         ["sales", "known_products", "catalog"],
