@@ -13,8 +13,11 @@ delta), and the only Python on executors is an 11x11 solve per product row.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,10 @@ DIM = N_FEATURES + 1  # [1, x]
 # [1,x]^T y (11), then y^T y (1) -> 78 sums.  Entry 0 is n.
 TRI = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 N_MOMENTS = len(TRI) + DIM + 1
+# Functions of this module run inside Python workers; pickle them by value so
+# executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MODEL_TYPE = "ridge_moments"
 
 MODEL_SCHEMA = (

@@ -8,14 +8,21 @@ processed one are handled in arrival order, as the listener would.
 
 from __future__ import annotations
 
+import sys
+
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from retailspark.operators.sessions import ENTER
 
+# Functions of this module run inside Python workers; pickle them by value so
+# executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUTPUT_SCHEMA = "device long, code string, ended timestamp_ntz"
 STATE_SCHEMA = "buffer string, last_us long"
 
