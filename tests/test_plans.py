@@ -35,3 +35,27 @@ def test_no_row_at_a_time_python(spark):
 def test_date_filters_reach_the_scan(spark):
     p = _plan(entry.queries()["historical_average"](spark, SF))
     assert re.search(r"PushedFilters: \[[^\]]*l_shipdate", p)
+
+
+def test_store_ranks_have_no_per_store_window(spark):
+    """Per-store positions are computed from range-partitioned ids, never from a
+    window that would gather one (possibly huge) store into one task."""
+    for name in ("ordered_alerts", "worst_case_rows", "search_products"):
+        p = _plan(entry.queries()[name](spark, SF))
+        assert not re.search(r"row_number\(\) windowspecdefinition\(store_id#\d+,", p), name
+
+
+def test_rank_within_exact_under_skew(spark):
+    from pyspark.sql import functions as F
+
+    from retailspark.operators.ids import rank_within
+
+    hot = spark.range(0, 3000).select(F.lit(1).alias("store_id"), F.col("id").alias("k"))
+    rest = spark.range(0, 990).select((F.col("id") % 99 + 2).alias("store_id"), F.col("id").alias("k"))
+    df = hot.unionByName(rest)  # store 1 holds 3000 of 3990 rows
+    out = rank_within(df, ["store_id"], [F.col("k").desc()], name="r", partitions=8).collect()
+    hot_ranks = sorted((r.k, r.r) for r in out if r.store_id == 1)
+    assert hot_ranks == [(k, 3000 - k) for k in range(3000)]
+    for s in range(2, 101):
+        ks = sorted(((r.k, r.r) for r in out if r.store_id == s), key=lambda x: -x[0])
+        assert [r for _, r in ks] == list(range(1, len(ks) + 1))
