@@ -456,7 +456,8 @@ def q_score_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """The daily job end to end, on two consecutive days: the first run
     (``as_of - 1``) rebuilds every product and stores its moments in the
     registry; the second (``as_of``) continues the warm products from those
-    moments with the new day only, updates the registry, scores each store's
+    moments with the new day only, extends the assortment with the new day's
+    pairs, updates the registry, scores each store's
     assortment x forecast days and writes back over the stored predictions."""
     import datetime as dt
 
@@ -468,7 +469,8 @@ def q_score_predictions(spark: SparkSession, sf: str) -> DataFrame:
     )
     day1 = daily_forecast(**common, registry=FX.registry_state(spark, sf), old_predictions=FX.predictions(spark, sf),
                           as_of=AS_OF - dt.timedelta(days=1))
-    day2 = daily_forecast(**common, registry=day1["registry"], old_predictions=day1["predictions"], as_of=AS_OF)
+    day2 = daily_forecast(**common, registry=day1["registry"], old_predictions=day1["predictions"], as_of=AS_OF,
+                          assortment=day1["assortment"], assortment_as_of=AS_OF - dt.timedelta(days=1))
     return day2["predictions"].select(*ROWCOLS, *_dev())
 
 

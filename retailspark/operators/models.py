@@ -219,7 +219,7 @@ def registry_state(registry: DataFrame) -> DataFrame:
 
 
 def train_incremental(state: DataFrame, sales: DataFrame, *, as_of, cfg: Config = Config(), allow_overlap: bool = False,
-                      materialize: bool = True) -> DataFrame:
+                      materialize: bool = True, known_barcodes: DataFrame | None = None) -> DataFrame:
     """H3: add the rows after each product's high-water date to its stored
     moments and re-solve; rebuild the rest from their full history.
 
@@ -234,7 +234,9 @@ def train_incremental(state: DataFrame, sales: DataFrame, *, as_of, cfg: Config
     partitions at run time) and are then cut per product; cold rows come from a
     semi join with the cold barcodes, which AQE drops when there are none.
     ``allow_overlap`` re-reads the reference's fixed recent window instead, so
-    rows may be learned twice, as there.  ``last_date`` of the result is
+    rows may be learned twice, as there.  ``known_barcodes`` (e.g. from a
+    maintained assortment) replaces the distinct barcodes of the whole sales
+    table as the product list.  ``last_date`` of the result is
     ``as_of``: the data is learned through that date.
     """
     a = as_date(as_of)
@@ -243,7 +245,8 @@ def train_incremental(state: DataFrame, sales: DataFrame, *, as_of, cfg: Config
         (F.col("prev_examples") >= F.lit(cfg.min_examples_cold_start)) & F.col("moments").isNotNull() & F.col("last_date").isNotNull()
     )
     s = sales.filter(F.col("sale_date") <= F.lit(a))
-    cold = s.select("barcode").distinct().join(warm.select("barcode"), "barcode", "left_anti")
+    sold = known_barcodes.select("barcode").distinct() if known_barcodes is not None else s.select("barcode").distinct()
+    cold = sold.join(warm.select("barcode"), "barcode", "left_anti")
     if allow_overlap:
         recent = s.filter(F.col("sale_date") >= F.date_sub(F.lit(a), cfg.training_window_days)).join(warm.select("barcode"), "barcode", "left_semi")
     else:

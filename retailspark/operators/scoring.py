@@ -62,6 +62,14 @@ def assortment(sales: DataFrame, *, as_of=None) -> DataFrame:
 
 
 
+def update_assortment(previous: DataFrame, sales: DataFrame, *, since, as_of) -> DataFrame:
+    """The assortment maintained from run to run: the previous pairs plus pairs
+    sold in ``since < sale_date <= as_of`` (a date-pruned read instead of a scan
+    of the whole history)."""
+    recent = sales.filter((F.col("sale_date") > F.lit(as_date(since))) & (F.col("sale_date") <= F.lit(as_date(as_of))))
+    return previous.select("store_id", "barcode").unionByName(recent.select("store_id", "barcode")).distinct()
+
+
 def scoring_grid(pairs: DataFrame, days: DataFrame, products: DataFrame) -> DataFrame:
     """Pairs x that store's forecast days (equi-join on store_id), with the
     product attributes (inner: unknown products are skipped)."""

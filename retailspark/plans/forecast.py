@@ -3,6 +3,12 @@ moments where the registry has them), update the registry, score the grid of
 each store's assortment x forecast days, and replace the stored predictions of
 the scored keys.
 
+Reads in steady state: the days after the warm products' high-water date,
+the 30-day V_p window and the days since the previous run (assortment update),
+all date-pruned; only cold products (new, or below the example minimum) read
+their whole history, through a semi join on their barcodes (cluster sales by
+barcode so Parquet statistics prune that read).
+
 Shuffle boundaries: (store, barcode, date) for the daily aggregate, barcode
 for the moments, (store, barcode) for V_p and the write-back.  The models table
 has one row of 11 doubles per product; Spark broadcasts it only when its
@@ -11,23 +17,38 @@ statistics put it under ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailspark.config import Config
+from retailspark.config import Config, as_date
 from retailspark.operators.daily import historical_average
 from retailspark.operators.models import train_incremental, upsert_registry
+from retailspark.operators.scoring import assortment as assortment_of
+from retailspark.operators.scoring import forecast_days, replace_keyed, score, scoring_grid, update_assortment, with_forecast_fallback
 from retailspark.sources.readers import cut_lineage
-from retailspark.operators.scoring import assortment, forecast_days, replace_keyed, score, scoring_grid, with_forecast_fallback
 
 
 def daily_forecast(
     *, sales: DataFrame, stores: DataFrame, products: DataFrame, registry: DataFrame, forecast_payloads: DataFrame,
     old_predictions: DataFrame, as_of, cfg: Config = Config(), materialize: bool = True,
+    assortment: DataFrame | None = None, assortment_as_of=None,
 ) -> dict[str, DataFrame]:
+    """Run one day.  ``assortment`` / ``assortment_as_of``: the pairs returned by
+    the previous run and its date; when given, the assortment and the product
+    list are updated from the days since then instead of reading the whole
+    sales history (the first run passes none)."""
+    if assortment is None:
+        pairs = assortment_of(sales, as_of=as_of)
+    else:
+        since = assortment_as_of if assortment_as_of is not None else as_date(as_of) - _dt.timedelta(days=cfg.history_days)
+        pairs = update_assortment(assortment, sales, since=since, as_of=as_of)
+    if materialize:
+        pairs = cut_lineage(pairs)
     # Warm products add the days since their high-water date to their stored
     # moments; cold ones (or a registry without moments) are rebuilt.
-    step = train_incremental(registry, sales, as_of=as_of, cfg=cfg, materialize=materialize)
+    step = train_incremental(registry, sales, as_of=as_of, cfg=cfg, materialize=materialize, known_barcodes=pairs)
     trained = step.filter(F.col("new_examples") > 0)
     if materialize:
         # One row per product: cut the lineage (scan, daily shuffle, solve) so
@@ -37,7 +58,7 @@ def daily_forecast(
         registry, trained.select("barcode", "coef", "mse", "new_examples", "moments", "n", "last_date"), as_of=as_of
     )
     days = with_forecast_fallback(stores, forecast_days(forecast_payloads, cfg=cfg), as_of=as_of, cfg=cfg)
-    grid = scoring_grid(assortment(sales, as_of=as_of), days, products)
+    grid = scoring_grid(pairs, days, products)
     vp = historical_average(sales, as_of=as_of, cfg=cfg)
     fresh = score(grid, new_registry, vp, cfg=cfg)
     return {
@@ -45,4 +66,5 @@ def daily_forecast(
         "registry": new_registry,
         "new_predictions": fresh,
         "predictions": replace_keyed(old_predictions, fresh),
+        "assortment": pairs,
     }

@@ -129,3 +129,14 @@ def test_replace_keyed_matches_dict_update(spark, old_rows, new_rows):
     by_key.update(fresh)
     want = sorted((s, b, v) for (s, b), vs in by_key.items() for v in vs)
     assert got == want
+
+
+def test_assortment_update_equals_full(spark):
+    from retailspark.operators.scoring import assortment, update_assortment
+    from retailspark.sources import fixtures as FX
+
+    sales = FX.sales(spark, "/root/testdata/sf0.001")
+    d0 = AS_OF - dt.timedelta(days=90)
+    upd = update_assortment(assortment(sales, as_of=d0), sales, since=d0, as_of=AS_OF)
+    full = assortment(sales, as_of=AS_OF)
+    assert sorted(tuple(r) for r in upd.collect()) == sorted(tuple(r) for r in full.collect())
