@@ -234,7 +234,7 @@ def _weekly(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     from retailspark.plans.weekly_report import weekly_report
 
     return weekly_report(stores=FX.stores(spark, sf), predictions=FX.predictions(spark, sf), as_of=AS_OF,
-                         generated_at="01/07/2001 06:00", materialize=False)
+                         generated_at="01/07/2001 06:00")
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
