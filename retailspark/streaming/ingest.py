@@ -83,9 +83,10 @@ def retry_rejected(rejects: DataFrame, stores: DataFrame) -> DataFrame:
 
 
 def ingest_stream(spark: SparkSession, path: str, *, stores: DataFrame, products: DataFrame, catalog: DataFrame,
-                  hourly_weather: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True):
+                  hourly_weather: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True,
+                  max_files_per_trigger: int | None = None):
     """Start the ingestion query; returns the ``StreamingQuery``."""
-    stream = package_stream(spark, path, stores=stores)
+    stream = package_stream(spark, path, stores=stores, max_files_per_trigger=max_files_per_trigger)
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         process_batch(batch, epoch_id, stores=stores, products=products, catalog=catalog,
