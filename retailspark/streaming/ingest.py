@@ -11,6 +11,7 @@ the checkpointed source offsets this gives exactly-once output files.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,20 @@ def package_stream(spark: SparkSession, path: str, *, stores: DataFrame | None =
 
 def process_batch(batch: DataFrame, epoch_id: int, *, stores: DataFrame, products: DataFrame, catalog: DataFrame,
                   hourly_weather: DataFrame, out_dir: str) -> None:
-    """One micro-batch: C2 split, A7/C1 enrichment, C3 product completion."""
+    """One micro-batch: C2 split, A7/C1 enrichment, C3 product completion.
+
+    The batch feeds four writes, so it is persisted for the duration of this
+    call (bounded by the trigger size; lost blocks are recomputed from the
+    source files) and released at the end."""
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _write_batch(batch, epoch_id, stores=stores, products=products, catalog=catalog, hourly_weather=hourly_weather, out_dir=out_dir)
+    finally:
+        batch.unpersist()
+
+
+def _write_batch(batch: DataFrame, epoch_id: int, *, stores: DataFrame, products: DataFrame, catalog: DataFrame,
+                 hourly_weather: DataFrame, out_dir: str) -> None:
     ok, bad = split_by_store(batch.filter(F.col(CORRUPT).isNull()), stores)
     malformed = batch.filter(F.col(CORRUPT).isNotNull())
     tag = f"epoch={epoch_id}"
