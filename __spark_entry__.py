@@ -370,6 +370,13 @@ def q_train_models(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("barcode", "mode", "n", "coef", "error", "mse", "last_date")
 
 
+def q_training_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Cold / incremental / skipped per sold product, with its row count."""
+    sales = FX.sales(spark, sf)
+    t = MD.train_models(sales, FX.registry_state(spark, sf), as_of=AS_OF)
+    return MD.training_outcomes(D.sold_products(sales.filter(F.col("sale_date") <= F.lit(AS_OF))), t).drop("mse")
+
+
 def q_train_incremental(spark: SparkSession, sf: str) -> DataFrame:
     """State = a cold fit one week before ``as_of``; then the incremental step."""
     import datetime as dt

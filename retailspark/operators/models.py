@@ -204,6 +204,21 @@ def train_models(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config =
     )
 
 
+def training_outcomes(products: DataFrame, trained: DataFrame) -> DataFrame:
+    """Per product of ``products`` (e.g. the sold barcodes) the outcome of
+    a training run: ``cold`` / ``incremental`` with its row count and MSE, or
+    ``skipped`` when the product had no training rows (the reference logs and
+    skips it)."""
+    t = trained.select("barcode", "mode", "n", "mse")
+    j = products.select("barcode").distinct().join(t, "barcode", "left")
+    return j.select(
+        "barcode",
+        F.coalesce(F.col("mode"), F.lit("skipped")).alias("outcome"),
+        F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"),
+        "mse",
+    )
+
+
 def registry_state(registry: DataFrame) -> DataFrame:
     """Registry rows as training state: ``barcode, n, moments, last_date,
     total_examples`` (state columns NULL when the registry has none, e.g. a

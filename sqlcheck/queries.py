@@ -297,8 +297,8 @@ def feats_raw(d: str) -> str:
   CAST(CASE WHEN day({d}) BETWEEN 13 AND 17 OR day({d}) >= 27 THEN 1 ELSE 0 END AS DOUBLE) AS payday"""
 
 
-FLAGS = """SELECT d.barcode, CAST(COALESCE(r.total_examples, 0) AS BIGINT) AS prev_examples, COALESCE(r.total_examples, 0) < 30 AS is_cold
-FROM (SELECT DISTINCT barcode FROM sales) d LEFT JOIN registry_state r ON r.barcode = d.barcode"""
+FLAGS = f"""SELECT d.barcode, CAST(COALESCE(r.total_examples, 0) AS BIGINT) AS prev_examples, COALESCE(r.total_examples, 0) < 30 AS is_cold
+FROM (SELECT DISTINCT barcode FROM sales WHERE sale_date <= {AS_OF}) d LEFT JOIN registry_state r ON r.barcode = d.barcode"""
 
 TSALES = f"""SELECT s.* FROM sales s JOIN flags f ON f.barcode = s.barcode
 WHERE s.sale_date <= {AS_OF} AND (f.is_cold OR s.sale_date >= {AS_OF} - 2)"""
@@ -363,6 +363,13 @@ def build_models(q: dict[str, str]) -> None:
     SELECT barcode, COUNT(*) AS n, [{', '.join(sums)}] AS m FROM trows GROUP BY barcode) a) b""",
         tx,
     )
+    q["training_outcomes"] = with_views(
+        tv,
+        f"""SELECT f.barcode, CASE WHEN r.n IS NULL THEN 'skipped' WHEN f.is_cold THEN 'cold' ELSE 'incremental' END AS outcome,
+  CAST(COALESCE(r.n, 0) AS BIGINT) AS n
+FROM flags f LEFT JOIN (SELECT barcode, COUNT(*) AS n FROM trows GROUP BY barcode) r ON r.barcode = f.barcode""",
+        tx,
+    )
     q["clipped_mse"] = with_views(
         tv,
         f"""SELECT barcode, (floor((AVG((y - greatest(yhat, 0.0)) * (y - greatest(yhat, 0.0)))) * 1e6 + 0.5) / 1e6) AS mse, COUNT(*) AS n
