@@ -40,6 +40,13 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def append_sales(sales: DataFrame, path: str, *, batch_id: str) -> None:
+    """Append a batch of sales lines under ``batch=<id>/sale_date=<d>/``.
+    Re-running the same batch id overwrites exactly its own directory, so a
+    retried load does not duplicate rows."""
+    sales.write.mode("overwrite").partitionBy("sale_date").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
     """Sales table written by the ingest sink (``epoch=<id>/sale_date=<d>/``
     directories) or any Parquet table with the sales columns.  Partition
