@@ -377,7 +377,7 @@ def q_training_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return MD.training_outcomes(D.sold_products(sales.filter(F.col("sale_date") <= F.lit(AS_OF))), t).drop("mse")
 
 
-def q_train_incremental(spark: SparkSession, sf: str) -> DataFrame:
+def _incremental(spark: SparkSession, sf: str) -> DataFrame:
     """State = a cold fit one week before ``as_of``; then the incremental step."""
     import datetime as dt
 
@@ -386,8 +386,17 @@ def q_train_incremental(spark: SparkSession, sf: str) -> DataFrame:
     week_before = AS_OF - dt.timedelta(days=7)
     first = MD.train_models(sales, empty, as_of=week_before)
     state = first.select("barcode", "n", "moments", "last_date", F.col("n").cast("long").alias("total_examples"))
-    t = MD.train_incremental(state, sales, as_of=AS_OF)
-    return t.select("barcode", "n", "new_examples", "total_examples", "last_date", "coef", "error", "mse")
+    return MD.train_incremental(state, sales, as_of=AS_OF)
+
+
+def q_train_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    return _incremental(spark, sf).select("barcode", "n", "new_examples", "total_examples", "last_date", "coef", "error", "mse")
+
+
+def q_train_incremental_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """H3 bookkeeping: rows learned in total, added by this step, accumulated
+    examples and the new high-water date."""
+    return _incremental(spark, sf).select("barcode", "n", "new_examples", "total_examples", "last_date")
 
 
 def _fixed_models(spark: SparkSession, sf: str) -> DataFrame:

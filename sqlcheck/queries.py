@@ -370,6 +370,17 @@ def build_models(q: dict[str, str]) -> None:
 FROM flags f LEFT JOIN (SELECT barcode, COUNT(*) AS n FROM trows GROUP BY barcode) r ON r.barcode = f.barcode""",
         tx,
     )
+    q["train_incremental_counts"] = with_views(
+        ["sales"],
+        f"""SELECT barcode,
+  CAST(n_old + n_new AS BIGINT) AS n,
+  CAST(CASE WHEN n_old >= 30 THEN n_new ELSE n_old + n_new END AS BIGINT) AS new_examples,
+  CAST(CASE WHEN n_old >= 30 THEN n_old + n_new ELSE n_old + n_old + n_new END AS BIGINT) AS total_examples,
+  {AS_OF} AS last_date
+FROM (SELECT barcode, COUNT(*) FILTER (WHERE sale_date <= {AS_OF} - 7) AS n_old,
+             COUNT(*) FILTER (WHERE sale_date > {AS_OF} - 7) AS n_new
+      FROM (SELECT DISTINCT store_id, barcode, sale_date FROM sales WHERE sale_date <= {AS_OF}) d GROUP BY barcode) t""",
+    )
     q["clipped_mse"] = with_views(
         tv,
         f"""SELECT barcode, (floor((AVG((y - greatest(yhat, 0.0)) * (y - greatest(yhat, 0.0)))) * 1e6 + 0.5) / 1e6) AS mse, COUNT(*) AS n
