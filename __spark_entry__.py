@@ -468,6 +468,16 @@ def q_prediction_replace(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*ROWCOLS, *_dev())
 
 
+def _two_day_job(spark: SparkSession, sf: str) -> DataFrame:
+    return q_score_predictions(spark, sf)
+
+
+def q_score_predictions_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Which rows the two-day job leaves in the predictions table (keys and the
+    denormalised product columns; the predicted values come from the solve)."""
+    return _two_day_job(spark, sf).select("store_id", "barcode", "objective_date", "product_name", "category")
+
+
 def q_score_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """The daily job end to end, on two consecutive days: the first run
     (``as_of - 1``) rebuilds every product and stores its moments in the

@@ -381,6 +381,31 @@ FROM (SELECT barcode, COUNT(*) FILTER (WHERE sale_date <= {AS_OF} - 7) AS n_old,
              COUNT(*) FILTER (WHERE sale_date > {AS_OF} - 7) AS n_new
       FROM (SELECT DISTINCT store_id, barcode, sale_date FROM sales WHERE sale_date <= {AS_OF}) d GROUP BY barcode) t""",
     )
+    # The two-day job: day 1 (as_of - 1) replaces the stored predictions of every
+    # scored pair, day 2 (as_of) replaces day 1's result again.
+    def new_rows(day: str) -> str:
+        return f"""SELECT a.store_id, a.barcode, p.product_name, p.category, CAST({day} + CAST(d.i AS INT) AS DATE) AS objective_date
+FROM (SELECT DISTINCT store_id, barcode FROM sales WHERE sale_date <= {day}) a
+JOIN products p ON p.barcode = a.barcode
+JOIN (SELECT s.barcode FROM (SELECT barcode, COUNT(*) AS n FROM (SELECT DISTINCT store_id, barcode, sale_date FROM sales
+      WHERE sale_date <= {day}) x GROUP BY barcode) s JOIN registry_state r ON r.barcode = s.barcode
+      WHERE r.total_examples + s.n >= 30) ok ON ok.barcode = a.barcode
+CROSS JOIN (SELECT range AS i FROM range(7)) d"""
+
+    q["score_predictions_keys"] = with_views(
+        ["sales", "products", "registry_state", "predictions"],
+        """SELECT store_id, barcode, objective_date, product_name, category FROM (
+  SELECT store_id, barcode, objective_date, product_name, category FROM after1 o
+  WHERE NOT EXISTS (SELECT 1 FROM day2 n WHERE n.store_id = o.store_id AND n.barcode = o.barcode)
+  UNION ALL SELECT store_id, barcode, objective_date, product_name, category FROM day2) t""",
+        {
+            "day1": new_rows(f"({AS_OF} - 1)"),
+            "day2": new_rows(AS_OF),
+            "after1": """SELECT store_id, barcode, objective_date, product_name, category FROM predictions o
+  WHERE NOT EXISTS (SELECT 1 FROM day1 n WHERE n.store_id = o.store_id AND n.barcode = o.barcode)
+  UNION ALL SELECT store_id, barcode, objective_date, product_name, category FROM day1""",
+        },
+    )
     q["clipped_mse"] = with_views(
         tv,
         f"""SELECT barcode, (floor((AVG((y - greatest(yhat, 0.0)) * (y - greatest(yhat, 0.0)))) * 1e6 + 0.5) / 1e6) AS mse, COUNT(*) AS n
