@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,9 +14,22 @@ ALERT_LABELS = {
     "ui": ("DÉFICIT", "SUPERÁVIT", "ESTABLE"),
 }
 
-# Accented letters folded by the product search (lower case input).
-_ACCENTED = "áàäâãéèëêíìïîóòöôõúùüûñç"
-_PLAIN = "aaaaaeeeeiiiiooooouuuunc"
+def _fold_table(first: int = 0x00C0, last: int = 0x017F) -> tuple[str, str]:
+    """Letters of Latin-1 Supplement and Latin Extended-A whose canonical
+    decomposition (NFD) is one base letter plus combining marks, mapped to that
+    base letter: the same folding as NFD + dropping marks, as a
+    ``translate`` table so it runs inside the JVM."""
+    src, dst = [], []
+    for cp in range(first, last + 1):
+        ch = chr(cp)
+        base = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
+        if base != ch and len(base) == 1:
+            src.append(ch)
+            dst.append(base)
+    return "".join(src), "".join(dst)
+
+
+_ACCENTED, _PLAIN = _fold_table()
 
 
 def alert_label(type_col: Column, style: str = "report") -> Column:
@@ -29,8 +44,9 @@ def alert_label(type_col: Column, style: str = "report") -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    """Lower-case and strip the common Spanish accents (NULL -> '')."""
-    return F.translate(F.lower(F.coalesce(c, F.lit(""))), _ACCENTED, _PLAIN)
+    """Fold accents (NFD + drop combining marks, for Latin letters) and
+    lower-case; NULL -> ''."""
+    return F.lower(F.translate(F.coalesce(c, F.lit("")), _ACCENTED, _PLAIN))
 
 
 def short_name(name: Column, n: int = 10) -> Column:

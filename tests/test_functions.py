@@ -123,3 +123,16 @@ def test_registration_validation(spark):
     assert [(x.valid_name, x.valid_email) for x in r] == [
         (False, True), (False, True), (True, False), (True, True), (True, True), (False, True)
     ]
+
+
+def test_normalize_text_matches_nfd_rule(spark):
+    import unicodedata
+
+    from retailspark.operators.dashboard import normalize_literal
+
+    words = ["Café", "JABÓN", "Ñandú", "Crème Brûlée", "Łódź", "Ærø", None]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = [r.n for r in df.select(TXT.normalize_text(F.col("w")).alias("n")).collect()]
+    want = [normalize_literal(w) if w else "" for w in words]
+    assert got == want
+    assert normalize_literal("Ñandú") == "nandu" and unicodedata.normalize("NFC", got[0]) == "cafe"
