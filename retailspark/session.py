@@ -35,7 +35,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint directory, setting a scratch one only if unset."""
+    """Return the reliable checkpoint directory.
+
+    Uses the directory already set on the context or named by
+    ``spark.checkpoint.dir``.  Only a local-mode session (tests, a laptop) gets
+    a scratch folder when neither is set; on a cluster a machine-local folder
+    would not survive a lost executor, so that case is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -43,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    else:
+    elif sc.master.startswith("local"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="retailspark-ckpt-", dir="/tmp"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a shared, reliable folder (e.g. on HDFS or an object store)")
     return sc.getCheckpointDir()
