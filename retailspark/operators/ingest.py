@@ -153,25 +153,30 @@ def complete_products(codes: DataFrame, products: DataFrame, catalog: DataFrame)
     )
 
 
+REGISTRATION_FIELDS = ["name", "email", "city", "lat", "lng"]
+
+
 def register_stores(requests: DataFrame, stores: DataFrame, *, order: str = "request_id") -> DataFrame:
-    """Requests in ``order``; an e-mail already registered (exact,
-    case-sensitive) or used by an earlier request of the batch ->
-    ``email_repeated``; otherwise ``exito`` with the next store id."""
+    """Requests in ``order``.  A request missing a required field is
+    ``invalid`` (the gateway rejects it before any lookup); an e-mail already
+    registered (exact, case-sensitive) or used by an earlier valid request of
+    the batch -> ``email_repeated``; otherwise ``exito`` with the next store id."""
+    valid = F.lit(True)
+    for c in REGISTRATION_FIELDS:
+        if c in requests.columns:
+            valid = valid & F.col(c).isNotNull()
     known = stores.select("email").filter(F.col("email").isNotNull()).distinct()
-    r = requests.join(known.withColumn("_known", F.lit(True)), "email", "left")
-    first = r.groupBy("email").agg(F.min(order).alias("_first"))
+    r = requests.withColumn("_valid", valid).join(known.withColumn("_known", F.lit(True)), "email", "left")
+    first = r.filter(F.col("_valid")).groupBy("email").agg(F.min(order).alias("_first"))
     r = r.join(first, "email", "left")
-    ok = F.col("_known").isNull() & F.col("email").isNotNull() & (F.col(order) == F.col("_first"))
+    ok = F.col("_valid") & F.col("_known").isNull() & (F.col(order) == F.col("_first"))
     accepted = r.filter(ok)
     # Scalar subquery: evaluated once by Spark, no driver round trip, no join.
     start = stores.select(F.coalesce(F.max("store_id"), F.lit(0)) + F.lit(1)).scalar()
     numbered = with_sequential_id(accepted.select(order), [order], name="store_id", start=start)
     out = r.join(numbered, order, "left")
-    return out.select(
-        order, "name", "email",
-        F.when(ok, F.lit("exito")).otherwise(F.lit("email_repeated")).alias("status"),
-        F.col("store_id").cast("long").alias("store_id"),
-    )
+    status = F.when(~F.col("_valid"), F.lit("invalid")).when(ok, F.lit("exito")).otherwise(F.lit("email_repeated"))
+    return out.select(order, "name", "email", status.alias("status"), F.col("store_id").cast("long").alias("store_id"))
 
 
 def pending_packages(queue: DataFrame) -> DataFrame:

@@ -42,6 +42,8 @@ def upcoming_predictions(predictions: DataFrame, *, as_of, cfg: Config = Config(
     deviation -> 0.0.  Presentation order (F1) is ``alert_order``."""
     a = as_date(as_of)
     n = days if days is not None else cfg.report_days
+    if not 1 <= n <= 31:
+        raise ValueError(f"days must be within 1..31, got {n}")
     p = predictions.filter(F.col("objective_date").between(F.lit(a), F.date_add(F.lit(a), n)))
     if store_id is not None:
         p = p.filter(F.col("store_id") == F.lit(store_id))

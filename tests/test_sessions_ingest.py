@@ -86,10 +86,10 @@ def test_sequential_ids_contiguous(spark):
 
 def test_register_stores(spark):
     stores = spark.createDataFrame([(1, "a@x.com"), (5, "b@x.com")], "store_id int, email string")
-    req = spark.createDataFrame([(1, "n", "a@x.com"), (2, "n", "c@x.com"), (3, "n", "c@x.com"), (4, "n", "A@x.com")],
+    req = spark.createDataFrame([(1, "n", "a@x.com"), (2, None, "c@x.com"), (3, "n", "c@x.com"), (4, "n", "c@x.com"), (5, "n", "A@x.com")],
                                 "request_id long, name string, email string")
     out = {r.request_id: (r.status, r.store_id) for r in IN.register_stores(req, stores).collect()}
-    assert out == {1: ("email_repeated", None), 2: ("exito", 6), 3: ("email_repeated", None), 4: ("exito", 7)}
+    assert out == {1: ("email_repeated", None), 2: ("invalid", None), 3: ("exito", 6), 4: ("email_repeated", None), 5: ("exito", 7)}
 
 
 def test_pending_queue(spark):
