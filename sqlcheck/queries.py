@@ -48,13 +48,13 @@ UPCOMING = f"""SELECT store_id, barcode, COALESCE(product_name, 'Producto Descon
   COALESCE(percentage_average_deviation, 0.0) AS percentage_average_deviation
 FROM predictions WHERE objective_date BETWEEN {AS_OF} AND {AS_OF} + 7"""
 
-WORST = """SELECT * EXCLUDE (rn), ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY abs(percentage_average_deviation) DESC, feature DESC,
-  objective_date, barcode) AS summary_rank
+WORST = """SELECT * EXCLUDE (rn), CAST(ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY abs(percentage_average_deviation) DESC, feature DESC,
+  objective_date, barcode) AS INTEGER) AS summary_rank
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id, barcode ORDER BY abs(percentage_average_deviation) DESC, feature DESC, objective_date) AS rn
       FROM upcoming) t WHERE rn = 1"""
 
-TOP = """SELECT * FROM (SELECT * EXCLUDE (rn), ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY abs(percentage_average_deviation) DESC,
-  objective_date, barcode) AS alert_rank
+TOP = """SELECT * FROM (SELECT * EXCLUDE (rn), CAST(ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY abs(percentage_average_deviation) DESC,
+  objective_date, barcode) AS INTEGER) AS alert_rank
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id, barcode ORDER BY abs(percentage_average_deviation) DESC, objective_date) AS rn
       FROM upcoming WHERE feature) t WHERE rn = 1) u WHERE alert_rank <= 10"""
 
@@ -68,7 +68,7 @@ STATS = """SELECT a.*, b.deficit_products, b.superavit_products, b.neutral_produ
    COUNT(*) FILTER (WHERE type = 'none') AS neutral_products FROM worst GROUP BY store_id) b ON a.store_id = b.store_id"""
 
 CATB = """SELECT store_id, category, total_products, deficit_count, superavit_count, neutral_count, featured_count,
-  ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY total_products DESC, category) AS category_rank
+  CAST(ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY total_products DESC, category) AS INTEGER) AS category_rank
 FROM (SELECT store_id, category, COUNT(*) AS total_products, COUNT(*) FILTER (WHERE type = 'deficit') AS deficit_count,
    COUNT(*) FILTER (WHERE type = 'superavit') AS superavit_count, COUNT(*) FILTER (WHERE type IS NULL OR type NOT IN ('deficit', 'superavit')) AS neutral_count,
    COUNT(*) FILTER (WHERE feature) AS featured_count FROM worst GROUP BY store_id, category) t"""
@@ -106,7 +106,7 @@ FROM scans GROUP BY 1, 2, 3, 4"""
 SCANS = """SELECT id, store_id, regexp_replace(barcode, '^\\s+|\\s+$', '', 'g') AS barcode, time, 1 AS amount FROM scans_raw
 WHERE length(regexp_replace(barcode, '^\\s+|\\s+$', '', 'g')) > 0"""
 
-PACKAGES = """SELECT store_id AS id_store, strftime(sale_date, '%d-%m-%Y') AS date, isodow(sale_date) AS day, COUNT(DISTINCT block) AS blocks,
+PACKAGES = """SELECT store_id AS id_store, strftime(sale_date, '%d-%m-%Y') AS date, CAST(isodow(sale_date) AS INTEGER) AS day, CAST(COUNT(DISTINCT block) AS INTEGER) AS blocks,
   sale_date FROM half GROUP BY store_id, sale_date"""
 
 
@@ -151,7 +151,7 @@ def build_more(q: dict[str, str]) -> None:
     )
     q["cyclic_features"] = with_views(
         s,
-        f"SELECT sale_date, {FEATS}, {PAYDAY} AS payday, isodow(sale_date) AS iso_weekday FROM (SELECT DISTINCT sale_date FROM sales) d",
+        f"SELECT sale_date, {FEATS}, {PAYDAY} AS payday, CAST(isodow(sale_date) AS INTEGER) AS iso_weekday FROM (SELECT DISTINCT sale_date FROM sales) d",
     )
     q["clamp_round"] = (
         "SELECT l_orderkey, l_linenumber, l_quantity / 2.0 - 5.0 AS raw, "
@@ -361,7 +361,7 @@ def build_models(q: dict[str, str]) -> None:
     sums += [f"SUM({aug[i]} * y)" for i in range(11)] + ["SUM(y * y)"]
     q["training_moments"] = with_views(
         tv,
-        f"""SELECT barcode, n, k, (floor((v / n) * 1e6 + 0.5) / 1e6) AS mean_value FROM (
+        f"""SELECT barcode, n, CAST(k AS INTEGER) AS k, (floor((v / n) * 1e6 + 0.5) / 1e6) AS mean_value FROM (
   SELECT barcode, n, unnest(range(78)) AS k, unnest(m) AS v FROM (
     SELECT barcode, COUNT(*) AS n, [{', '.join(sums)}] AS m FROM trows GROUP BY barcode) a) b""",
         tx,
@@ -499,7 +499,7 @@ FROM docs d LEFT JOIN (SELECT t.store_id, string_agg({item}, '\n' ORDER BY t.ale
     )
     q["package_lines"] = with_views(
         ["scans_raw"],
-        """SELECT store_id AS id_store, strftime(sale_date, '%d-%m-%Y') AS date, isodow(sale_date) AS day,
+        """SELECT store_id AS id_store, strftime(sale_date, '%d-%m-%Y') AS date, CAST(isodow(sale_date) AS INTEGER) AS day,
   CAST(DENSE_RANK() OVER (PARTITION BY store_id, sale_date ORDER BY block) - 1 AS INT) AS block_pos, block AS time,
   CAST(ROW_NUMBER() OVER (PARTITION BY store_id, sale_date, block ORDER BY barcode, amount) - 1 AS INT) AS product_pos,
   barcode, CAST(amount AS INT) AS amount FROM half""",
@@ -528,14 +528,14 @@ FROM alerts""",
     q["search_products"] = with_views(
         av,
         """SELECT store_id, barcode, product_name, objective_date, type,
-  ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY strip_accents(lower(COALESCE(product_name, ''))), barcode, objective_date) AS list_rank
+  CAST(ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY strip_accents(lower(COALESCE(product_name, ''))), barcode, objective_date) AS INTEGER) AS list_rank
 FROM alerts WHERE strpos(strip_accents(lower(COALESCE(product_name, ''))), 'jabon') > 0 OR strpos(lower(COALESCE(barcode, '')), 'jabon') > 0""",
         ax,
     )
     q["filter_alert_type"] = with_views(
         av,
         """SELECT store_id, barcode, product_name, objective_date, type,
-  ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY strip_accents(lower(COALESCE(product_name, ''))) DESC, barcode, objective_date) AS list_rank
+  CAST(ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY strip_accents(lower(COALESCE(product_name, ''))) DESC, barcode, objective_date) AS INTEGER) AS list_rank
 FROM alerts WHERE type = 'deficit'""",
         ax,
     )
@@ -543,7 +543,7 @@ FROM alerts WHERE type = 'deficit'""",
         av,
         """SELECT store_id, bar_index, barcode, objective_date, substr(product_name, 1, 10) AS label, dev,
   CASE WHEN dev >= 0 THEN 'positive' ELSE 'negative' END AS color, CAST(trunc(MAX(abs(dev)) OVER (PARTITION BY store_id) * 1.2) AS INT) AS y_limit
-FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY abs(dev) DESC, product_name, barcode, objective_date) - 1 AS bar_index
+FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY abs(dev) DESC, product_name, barcode, objective_date) - 1 AS INTEGER) AS bar_index
   FROM (SELECT *, (round_even((CAST(prediction AS DOUBLE) - avg_weekly_sales) / avg_weekly_sales * 100.0, 2) + 0.0) AS dev
         FROM alerts WHERE avg_weekly_sales > 0) a) b WHERE bar_index < 25""",
         ax,
@@ -556,14 +556,14 @@ WHERE rn = 1""",
     )
     q["ordered_alerts"] = with_views(
         ["predictions"],
-        f"""SELECT {ROWCOLS}, ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY feature DESC, abs(percentage_average_deviation) DESC,
-  objective_date, barcode) AS alert_position, {dev_out()} FROM upcoming""",
+        f"""SELECT {ROWCOLS}, CAST(ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY feature DESC, abs(percentage_average_deviation) DESC,
+  objective_date, barcode) AS INTEGER) AS alert_position, {dev_out()} FROM upcoming""",
         {"upcoming": UPCOMING},
     )
     q["history_series"] = with_views(
         ["sales"],
         """SELECT store_id, barcode, strftime(sale_date, '%Y-%m-%d') AS date, volume,
-  ROW_NUMBER() OVER (PARTITION BY store_id, barcode ORDER BY sale_date) - 1 AS idx,
+  CAST(ROW_NUMBER() OVER (PARTITION BY store_id, barcode ORDER BY sale_date) - 1 AS INTEGER) AS idx,
   greatest(10, CAST(trunc(MAX(volume) OVER (PARTITION BY store_id, barcode) * 1.3) AS INT)) AS y_top
 FROM (SELECT store_id, barcode, sale_date, CAST(SUM(amount) AS BIGINT) AS volume FROM sales GROUP BY 1, 2, 3) h""",
     )

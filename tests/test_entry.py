@@ -30,3 +30,20 @@ def test_small_scale_oracle_agreement(spark):
         if r["status"] not in ("OK", "rows-only"):
             bad.append((name, r["status"][:300]))
     assert not bad, bad
+
+
+def test_column_names_and_exact_types_match_oracle(spark):
+    from sqlcheck.compare import duck_con
+
+    m = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+         "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+    con = duck_con("/root/testdata/sf0.001")
+    qs, sql = entry.queries(), entry.oracle_sql()
+    bad = []
+    for name in sorted(sql):
+        s = {f.name: m.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in qs[name](spark, "/root/testdata/sf0.001").schema.fields}
+        rel = con.sql(sql[name])
+        d = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+        if s != d:
+            bad.append((name, {c: (s.get(c), d.get(c)) for c in set(s) | set(d) if s.get(c) != d.get(c)}))
+    assert not bad, bad
