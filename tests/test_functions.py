@@ -136,3 +136,22 @@ def test_normalize_text_matches_nfd_rule(spark):
     want = [normalize_literal(w) if w else "" for w in words]
     assert got == want
     assert normalize_literal("Ñandú") == "nandu" and unicodedata.normalize("NFC", got[0]) == "cafe"
+
+
+def test_classify_with_configured_thresholds(spark):
+    df = spark.createDataFrame([(9, 10.0), (11, 10.0), (10, 10.0)], "prediction int, v_p double")
+    out = [r.type for r in classify(df, cfg=Config(deficit_threshold=-10.0, superavit_threshold=10.0)).collect()]
+    assert out == ["deficit", "superavit", "none"]  # -10 % and +10 % are inclusive
+
+
+def test_prediction_days_bounds_forecast(spark):
+    from retailspark.operators import scoring as SC
+
+    payload = spark.createDataFrame([(1, dt.date(2001, 7, 1), [30.0, 31.0, 32.0], [10.0, 11.0, 12.0], [0, 1, 2])],
+                                    "store_id int, start_date date, temperature_2m_max array<double>, temperature_2m_min array<double>, weather_code array<int>")
+    cfg = Config(prediction_days=2)
+    fc = SC.forecast_days(payload, cfg=cfg)
+    assert fc.count() == 2
+    stores = spark.createDataFrame([(1,), (2,)], "store_id int")
+    days = SC.with_forecast_fallback(stores, fc, as_of=dt.date(2001, 7, 1), cfg=cfg).collect()
+    assert len(days) == 4 and sum(r.is_fallback for r in days) == 2
