@@ -120,4 +120,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     from retailspark.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    c = df.checkpoint(eager=True)
+    # The checkpoint relation keeps the attribute ids of the plan it came from;
+    # fresh aliases keep later joins with DataFrames of the same origin
+    # unambiguous for the analyzer.
+    return c.select(*[F.col(f"`{x}`").alias(x) for x in c.columns])
