@@ -140,3 +140,19 @@ def test_assortment_update_equals_full(spark):
     upd = update_assortment(assortment(sales, as_of=d0), sales, since=d0, as_of=AS_OF)
     full = assortment(sales, as_of=AS_OF)
     assert sorted(tuple(r) for r in upd.collect()) == sorted(tuple(r) for r in full.collect())
+
+
+def test_models_beat_the_mean_predictor(spark):
+    """Sanity of the fitted models: on its training rows each product's clipped
+    MSE is at most the variance of y (the MSE of predicting the mean)."""
+    from retailspark.sources import fixtures as FX
+
+    sf = "/root/testdata/sf0.01"
+    sales = FX.sales(spark, sf)
+    none = spark.createDataFrame([], "barcode string, total_examples long")
+    fit = {r.barcode: r for r in MD.train_models(sales, none, as_of=AS_OF).collect()}
+    rows = MD.training_rows(sales, none, as_of=AS_OF)
+    var = {r.barcode: r.v for r in rows.groupBy("barcode").agg(F.var_pop("y").alias("v"), F.count("*").alias("n")).filter("n > 100").collect()}
+    assert var
+    for b, v in var.items():
+        assert fit[b].coef is not None and fit[b].mse <= v * (1 + 1e-9), (b, fit[b].mse, v)
