@@ -1,7 +1,8 @@
 """Streaming scanner sessions (I5) with ``applyInPandasWithState``.
 
 Per device the state is the pending buffer and the time of the last key, so
-it stays bounded whatever the stream length.  Within a trigger the device's
+it stays bounded whatever the stream length, and it expires (event-time
+timeout) once the device has been idle for longer than the gap.  Within a trigger the device's
 events are processed in (ts, seq) order; events older than an already
 processed one are handled in arrival order, as the listener would.
 """
@@ -15,6 +16,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from retailspark.operators.sessions import ENTER
@@ -29,6 +32,12 @@ STATE_SCHEMA = "buffer string, last_us long"
 
 def _scanner(gap_us: int, terminator: str):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            # Idle for longer than the gap: the next key would clear the buffer
+            # anyway, so the state can go.
+            state.remove()
+            yield pd.DataFrame({"device": [], "code": [], "ended": pd.Series([], dtype="datetime64[us]")})
+            return
         buf, last = ("", None)
         if state.exists:
             buf, last = state.get
@@ -48,14 +57,28 @@ def _scanner(gap_us: int, terminator: str):
                 elif isinstance(tok, str):
                     buf += tok
         state.update((buf, last))
+        if last is not None:
+            expiry_ms = (last + gap_us) // 1000 + 1
+            state.setTimeoutTimestamp(max(expiry_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"device": [key[0]] * len(codes), "code": codes, "ended": pd.Series(ends, dtype="datetime64[us]")})
 
     return fn
 
 
-def scanner_sessions(events: DataFrame, *, gap_seconds: float = 0.3, terminator: str = ENTER) -> DataFrame:
-    """Emit one row per code closed by the terminator: ``device, code, ended``."""
+def scanner_sessions(events: DataFrame, *, gap_seconds: float = 0.3, terminator: str = ENTER, watermark: str = "10 minutes") -> DataFrame:
+    """Emit one row per code closed by the terminator: ``device, code, ended``.
+
+    An event-time watermark on ``ts`` (events later than it are dropped) lets a
+    device's state expire once it has been idle for longer than the gap, so the
+    state covers active devices only."""
     fn = _scanner(int(round(gap_seconds * 1_000_000)), terminator)
-    return events.select("device", "seq", "ts", "key").groupBy("device").applyInPandasWithState(
-        fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+    ev = events.select("device", "seq", "ts", "key")
+    if isinstance(events.schema["ts"].dataType, T.TimestampNTZType):
+        # Watermarks need TIMESTAMP: same epoch value as the wall-clock ts read
+        # as UTC (what the state machine uses), whatever the session time zone.
+        epoch_us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+        ev = ev.withColumn("_event_time", F.timestamp_micros(epoch_us))
+    else:
+        ev = ev.withColumn("_event_time", F.col("ts"))
+    ev = ev.withWatermark("_event_time", watermark)
+    return ev.groupBy("device").applyInPandasWithState(fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)

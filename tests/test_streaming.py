@@ -144,3 +144,31 @@ def test_duplicates_across_micro_batches(spark):
     epochs = [p for p in os.listdir(os.path.join(d, "out", "receipts")) if p.startswith("epoch=")]
     assert len(epochs) == 3  # one file per trigger
     assert spark.read.parquet(os.path.join(d, "out", "receipts")).count() == 6
+
+
+def test_scanner_state_expires_for_idle_devices(spark):
+    d = _scratch()
+    src = os.path.join(d, "ev")
+    os.makedirs(src)
+    schema = "device long, seq long, ts timestamp_ntz, key string"
+    t0 = dt.datetime(2024, 1, 1, 10, 0, 0)
+
+    def drop(name, rows):
+        spark.createDataFrame(rows, schema).write.parquet(os.path.join(src, name))
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
+    q = (scanner_sessions(stream, gap_seconds=1.0, watermark="1 minute").writeStream.outputMode("append").format("memory")
+         .queryName("rs_scan_expiry").option("checkpointLocation", os.path.join(d, "ck")).start())
+    try:
+        drop("b1", [(1, 1, t0, "A"), (2, 2, t0, "B")])
+        q.processAllAvailable()
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+        drop("b2", [(2, 3, t0 + dt.timedelta(hours=1), "C")])   # watermark passes device 1's gap
+        q.processAllAvailable()
+        drop("b3", [(2, 4, t0 + dt.timedelta(hours=1, seconds=0.5), "ENTER")])
+        q.processAllAvailable()
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # only device 2 is kept
+        got = sorted((r.device, r.code) for r in spark.sql("SELECT * FROM rs_scan_expiry").collect())
+        assert got == [(2, "C")]
+    finally:
+        q.stop()
