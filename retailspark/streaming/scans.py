@@ -13,15 +13,26 @@ SCAN_SCHEMA = "id long, store_id int, barcode string, time string, amount int"
 
 def half_hour_stream(scans: DataFrame, *, watermark: str = "30 days") -> DataFrame:
     """Units per (store, 30-minute window, barcode); state is dropped once the
-    watermark passes a window's end (late scans beyond it are not counted)."""
-    s = clean_scans(scans).withColumn("ts", F.to_timestamp(F.trim(F.col("time")), "yyyy-MM-dd HH:mm:ss"))
+    watermark passes a window's end (late scans beyond it are not counted).
+
+    Scan times are wall-clock text.  The event time is that wall time read as
+    UTC (epoch micros), so windows fall on wall-clock half hours and the date
+    and block are derived from the window start arithmetically, whatever the
+    session time zone."""
+    s = clean_scans(scans)
+    wall = F.to_timestamp_ntz(F.trim(F.col("time")), F.lit("yyyy-MM-dd HH:mm:ss"))
+    epoch_us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), wall)
+    s = s.withColumn("ts", F.timestamp_micros(epoch_us))
     g = s.withWatermark("ts", watermark).groupBy("store_id", F.window("ts", "30 minutes"), "barcode").agg(
         F.sum("amount").cast("long").alias("amount")
     )
+    start_s = F.floor(F.unix_micros(F.col("window.start")) / F.lit(1_000_000))
+    day = F.floor(start_s / F.lit(86400)).cast("int")
+    sec = (start_s - day.cast("long") * 86400).cast("int")
     return g.select(
         "store_id",
-        F.to_date(F.col("window.start")).alias("sale_date"),
-        F.date_format(F.col("window.start"), "HH:mm:ss").alias("block"),
+        F.date_add(F.lit("1970-01-01").cast("date"), day).alias("sale_date"),
+        F.format_string("%02d:%02d:00", (sec / 3600).cast("int"), ((sec % 3600) / 60).cast("int")).alias("block"),
         "barcode",
         "amount",
     )

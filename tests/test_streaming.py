@@ -172,3 +172,27 @@ def test_scanner_state_expires_for_idle_devices(spark):
         assert got == [(2, "C")]
     finally:
         q.stop()
+
+
+def test_half_hour_stream_independent_of_session_time_zone(spark):
+    """Same blocks as the batch twin under a +05:45 session time zone."""
+    d = _scratch()
+    raw = FX.scans_raw(spark, SF)
+    raw.write.json(os.path.join(d, "scans"))
+    got = {}
+
+    def sink(batch, epoch):
+        for r in batch.collect():
+            got[(r.store_id, r.sale_date, r.block, r.barcode)] = r.amount
+
+    old_tz = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kathmandu")
+    try:
+        stream = spark.readStream.schema(SCAN_SCHEMA).json(os.path.join(d, "scans"))
+        q = (half_hour_stream(stream).writeStream.outputMode("update").foreachBatch(sink)
+             .option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
+        q.awaitTermination(180)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old_tz)
+    want = {(r.store_id, r.sale_date, r.block, r.barcode): r.amount for r in IN.half_hour_sales(IN.clean_scans(raw)).collect()}
+    assert got == want
