@@ -47,3 +47,19 @@ def test_column_names_and_exact_types_match_oracle(spark):
         if s != d:
             bad.append((name, {c: (s.get(c), d.get(c)) for c in set(s) | set(d) if s.get(c) != d.get(c)}))
     assert not bad, bad
+
+
+def test_bench_prints_one_json_line():
+    import json
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, BENCH_SF_DIR="/root/testdata/sf0.001", BENCH_QUERIES="historical_average,weekly_stats", BENCH_REPEAT="1", BENCH_CPUS="4")
+    out = subprocess.run([sys.executable, os.path.join(repo, "bench.py")], cwd=repo, env=env, capture_output=True, text=True, timeout=600)
+    lines = [ln for ln in out.stdout.splitlines() if ln.strip()]
+    assert len(lines) == 1, out.stdout
+    rec = json.loads(lines[0])
+    assert {"metric", "value", "unit", "queries", "sf"} <= set(rec) and rec["unit"] == "sec" and rec["sf"] == 0.001
+    assert set(rec["queries"]) == {"historical_average", "weekly_stats"}
