@@ -78,3 +78,11 @@ def test_digest_alert_block_absent_when_empty(spark):
     d = RP.report_digest(doc, generated_at="x").first()
     assert "TOP ALERTAS" not in d.body and d.body.startswith("Hola Ana,")
     assert d.subject.endswith("(01-07-2001 al 01-07-2001)")
+
+
+def test_category_proportions_half_even_and_dash(spark):
+    b = spark.createDataFrame([(1, "C", 8, 1, 3, 4, 0)],
+                              "store_id int, category string, total_products long, deficit_count long, superavit_count long, neutral_count long, featured_count long")
+    r = RP.category_proportions(b).first()
+    assert (r.deficit_pct, r.superavit_pct, r.neutral_pct) == (12, 38, 50)  # 12.5 -> 12, 37.5 -> 38 (half to even)
+    assert (r.deficit_text, r.featured_text) == ("1", "—")
