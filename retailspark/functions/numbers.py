@@ -33,12 +33,15 @@ def sign_class(d: Column) -> Column:
 
 def signed_percent(d: Column) -> Column:
     """``+12.3%`` / ``-4.0%`` / ``0.0%``: one decimal (half-even on the value),
-    ``+`` only when positive; infinite values print as Python does (``inf``)."""
+    ``+`` only when positive; infinite values and small negatives print as
+    Python does (``inf``, ``-0.0``)."""
     d = d.cast("double")
     sign = F.when(d > 0, F.lit("+")).otherwise(F.lit(""))
+    r = F.bround(d, 1) + F.lit(0.0)  # + 0.0 folds -0.0 into 0.0 ...
     body = (
         F.when(d == F.lit(float("inf")), F.lit("inf"))
         .when(d == F.lit(float("-inf")), F.lit("-inf"))
-        .otherwise(F.format_string("%.1f", F.bround(d, 1) + F.lit(0.0)))  # + 0.0 folds -0.0 into 0.0
+        .when((d < 0) & (r == 0), F.lit("-0.0"))  # ... but Python prints small negatives as -0.0
+        .otherwise(F.format_string("%.1f", r))
     )
     return F.concat(sign, body, F.lit("%"))

@@ -175,7 +175,8 @@ def build_more(q: dict[str, str]) -> None:
   CASE type WHEN 'deficit' THEN 'DÉFICIT' WHEN 'superavit' THEN 'SUPERÁVIT' ELSE 'NORMAL' END AS label_mail,
   CASE type WHEN 'deficit' THEN 'DÉFICIT' WHEN 'superavit' THEN 'SUPERÁVIT' ELSE 'ESTABLE' END AS label_ui,
   CASE WHEN d > 0 THEN 'positive' WHEN d < 0 THEN 'negative' ELSE 'neutral' END AS sign_class,
-  CASE WHEN NOT isinf(d) THEN concat(CASE WHEN d > 0 THEN '+' ELSE '' END, printf('%.1f', (round_even(d, 1) + 0.0)), '%') END AS deviation_text
+  CASE WHEN NOT isinf(d) THEN concat(CASE WHEN d > 0 THEN '+' ELSE '' END,
+    CASE WHEN d < 0 AND (round_even(d, 1) + 0.0) = 0 THEN '-0.0' ELSE printf('%.1f', (round_even(d, 1) + 0.0)) END, '%') END AS deviation_text
 FROM (SELECT *, percentage_average_deviation AS d FROM upcoming) u""",
         {"upcoming": UPCOMING},
     )
@@ -451,7 +452,8 @@ ALERTS = f"""SELECT p.*, COALESCE(h.v_p * 7.0, 0.0) AS avg_weekly_sales FROM pre
 LEFT JOIN hist h ON h.store_id = p.store_id AND h.barcode = p.barcode WHERE p.objective_date > {AS_OF}"""
 
 
-SIGNED = "concat(CASE WHEN {d} > 0 THEN '+' ELSE '' END, CASE WHEN isinf({d}) THEN 'inf' ELSE printf('%.1f', (round_even({d}, 1) + 0.0)) END, '%')"
+SIGNED = ("concat(CASE WHEN {d} > 0 THEN '+' ELSE '' END, CASE WHEN isinf({d}) THEN 'inf' "
+          "WHEN {d} < 0 AND (round_even({d}, 1) + 0.0) = 0 THEN '-0.0' ELSE printf('%.1f', (round_even({d}, 1) + 0.0)) END, '%')")
 
 LABEL = "CASE {t} WHEN 'deficit' THEN 'Déficit' WHEN 'superavit' THEN 'Superávit' ELSE 'Estable' END"
 

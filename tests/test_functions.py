@@ -87,16 +87,17 @@ def test_config_validation():
 
 
 def test_labels_and_signed_percent(spark):
-    df = spark.createDataFrame([("deficit", -20.04), ("superavit", 12.25), ("none", 0.0), ("weird", float("inf"))], "t string, d double")
+    df = spark.createDataFrame([("deficit", -20.04), ("superavit", 12.25), ("none", 0.0), ("weird", float("inf")), ("none", -0.04)], "t string, d double")
     r = df.select(
         TXT.alert_label(F.col("t"), "report").alias("a"), TXT.alert_label(F.col("t"), "mail").alias("b"),
         TXT.alert_label(F.col("t"), "ui").alias("c"), NUM.signed_percent(F.col("d")).alias("s"), NUM.sign_class(F.col("d")).alias("k"),
     ).collect()
-    assert [x.a for x in r] == ["Déficit", "Superávit", "Estable", "Estable"]
-    assert [x.b for x in r] == ["DÉFICIT", "SUPERÁVIT", "NORMAL", "NORMAL"]
-    assert [x.c for x in r] == ["DÉFICIT", "SUPERÁVIT", "ESTABLE", "ESTABLE"]
-    assert [x.s for x in r] == ["-20.0%", "+12.2%", "0.0%", "+inf%"]
-    assert [x.k for x in r] == ["negative", "positive", "neutral", "positive"]
+    assert [x.a for x in r] == ["Déficit", "Superávit", "Estable", "Estable", "Estable"]
+    assert [x.b for x in r] == ["DÉFICIT", "SUPERÁVIT", "NORMAL", "NORMAL", "NORMAL"]
+    assert [x.c for x in r] == ["DÉFICIT", "SUPERÁVIT", "ESTABLE", "ESTABLE", "ESTABLE"]
+    # as Python prints them: f"{sign}{d:.1f}%"
+    assert [x.s for x in r] == [f"{'+' if d > 0 else ''}{d:.1f}%" for d in (-20.04, 12.25, 0.0, float("inf"), -0.04)]
+    assert [x.k for x in r] == ["negative", "positive", "neutral", "positive", "negative"]
     with pytest.raises(ValueError):
         TXT.alert_label(F.col("t"), "nope")
 
