@@ -588,11 +588,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_score_predictions(spark, "/root/testdata/sf0.001")
 
 
+def _corpus() -> tuple[dict, dict]:
+    """Queries and oracle SQL of the training-data operators; empty when that
+    subpackage (and the pipeline module that belongs to it) is not installed."""
+    try:
+        from retailspark.llm import queries as corpus
+    except ModuleNotFoundError as e:
+        if e.name not in ("retailspark.llm", "corpus_pipeline"):
+            raise
+        return {}, {}
+    return corpus.queries(), corpus.oracle_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k[2:]: v for k, v in globals().items() if k.startswith("q_") and callable(v)}
+    own = {k[2:]: v for k, v in globals().items() if k.startswith("q_") and callable(v)}
+    return own | _corpus()[0]
 
 
 def oracle_sql() -> dict[str, str]:
     from sqlcheck.queries import build
 
-    return build()
+    return build() | _corpus()[1]
