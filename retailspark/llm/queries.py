@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailspark.llm import mixing
+from retailspark.llm import mixing, secrets
 from retailspark.llm.common import read_table
+from retailspark.llm.spans import show
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +22,22 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _count(kind: str, spans: str) -> F.Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: the strong kinds' counts and digest, and all spans."""
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[_count(k, "strong") for k in secrets.STRONG],
+        F.sha2(show(F.col("strong")), 256).alias("base_sha256"), show(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op6_secrets": secrets.ORACLE}
