@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailspark.llm import mixing, secrets
+from retailspark.llm import mixing, pii, secrets
 from retailspark.llm.common import read_table
 from retailspark.llm.spans import show
 
@@ -26,6 +26,15 @@ def _count(kind: str, spans: str) -> F.Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: the base kinds' counts and digest, and all spans."""
+    found = pii.find_personal(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[_count(k, "base") for k in pii.BASE],
+        F.sha2(show(F.col("base")), 256).alias("base_sha256"), show(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: the strong kinds' counts and digest, and all spans."""
     found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
