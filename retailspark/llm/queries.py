@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailspark.llm import mixing, pii, secrets
+from retailspark.llm import mixing, pii, secrets, urls
 from retailspark.llm.common import read_table
 from retailspark.llm.spans import show
 
@@ -44,6 +44,14 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL.  The labelled URLs that the trees learn from
+    are those that a rule decides."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    model = urls.train(urls.labelled_by_rules(pages))
+    return urls.judge_urls(pages, model).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
