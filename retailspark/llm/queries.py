@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailspark.llm import mixing, pii, secrets, urls
+from retailspark.llm import decontaminate, mixing, pii, secrets, urls
 from retailspark.llm.common import read_table
 from retailspark.llm.spans import show
 
@@ -35,6 +35,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it contains, parameters changed or not."""
+    return decontaminate.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: the strong kinds' counts and digest, and all spans."""
     found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
@@ -57,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op6_secrets": secrets.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_secrets": secrets.ORACLE}
