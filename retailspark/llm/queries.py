@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailspark.llm import decontaminate, mixing, pii, secrets, urls
+from retailspark.llm import decontaminate, mixing, neardup, pii, secrets, urls
 from retailspark.llm.common import read_table
 from retailspark.llm.spans import show
 
@@ -49,6 +49,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL.  The labelled URLs that the trees learn from
     are those that a rule decides."""
