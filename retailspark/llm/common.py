@@ -52,3 +52,30 @@ def unit_hash(key: Column, seed: int) -> Column:
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n (null key: as empty text)."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
+
+
+def bounded_batches(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """``df``, after telling the session to hand Python at most ``most_bytes`` at
+    once: with the usual count of rows alone, a batch of long texts has no bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key, None)
+    if now is None or int(str(now).rstrip("b")) > most_bytes:
+        df.sparkSession.conf.set(key, str(most_bytes))
+    return df
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
+    """(id, text, label) of at most ``rows`` labelled documents of each label, the
+    first by hash of the id.  Labels other than 0 and 1 are left out.
+
+    Ids are chosen on the table of labels; texts are only read for those.  An id
+    with both labels counts for both, and one of its texts is taken."""
+    known = labels.select(F.col(id_col).alias("_sample_id"), F.col(label_col).cast("int").alias("label")).where("_sample_id is not null and label in (0, 1)").distinct()
+    chosen = None
+    for label in (0, 1):
+        part = known.where(F.col("label") == label).orderBy(F.xxhash64("_sample_id"), "_sample_id").limit(rows)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = materialize(chosen, "labelled-ids")
+    # At most 2 * rows ids: a bounded broadcast.
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("id") == F.col("_sample_id")).select("id", "text", "label").dropDuplicates(["id"])

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailspark.llm import decontaminate, mixing, neardup, pii, secrets, urls
-from retailspark.llm.common import read_table
+from retailspark.llm import decontaminate, mixing, neardup, pii, secrets, toxicity, urls
+from retailspark.llm.common import crc_mod, read_table
 from retailspark.llm.spans import show
 
 
@@ -26,6 +26,15 @@ def _count(kind: str, spans: str) -> F.Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document.  Labels of documents that ``held_out`` marks aren't read."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: the base kinds' counts and digest, and all spans."""
     found = pii.find_personal(read_table(spark, sf_dir, "documents"))
