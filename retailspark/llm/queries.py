@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailspark.llm import decontaminate, mixing, neardup, pii, quality, secrets, toxicity, urls
+from retailspark.llm import decontaminate, language, mixing, neardup, pii, quality, secrets, toxicity, urls
 from retailspark.llm.common import crc_mod, read_table
 from retailspark.llm.spans import show
 
@@ -80,6 +80,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document.  Languages of documents that ``held_out`` marks aren't read."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    model = language.train(docs.where(~held_out))
+    predicted = language.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
