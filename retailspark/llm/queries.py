@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailspark.llm import decontaminate, language, mixing, neardup, pii, quality, secrets, toxicity, urls
+from retailspark.llm import decontaminate, language, mixing, neardup, neighbours, pii, quality, secrets, toxicity, urls
 from retailspark.llm.common import crc_mod, read_table
 from retailspark.llm.spans import show
 
@@ -49,6 +49,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth, among all."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    index = neighbours.build_index(vectors)
+    return neighbours.nearest(index, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: the strong kinds' counts and digest, and all spans."""
     found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
