@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from retailspark.session import ensure_checkpoint_dir
 
+# What runs in Python workers is pickled by value: executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -79,3 +88,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
     # At most 2 * rows ids: a bounded broadcast.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(chosen), F.col("id") == F.col("_sample_id")).select("id", "text", "label").dropDuplicates(["id"])
+
+
+def with_scores(docs: DataFrame, text_col: str, judge: Callable[[list[str]], list[np.ndarray]], fields: list[StructField], also: Column | None = None) -> DataFrame:
+    """All columns of ``docs``, untouched, and those that ``judge`` gives for a list
+    of texts (null: empty; ``also``, if given, is a second list it gets).  Names of
+    ``fields`` must be new."""
+    keep = docs.columns
+    rows = bounded_batches(docs.withColumns({"_judged": whole(F.col(text_col)), "_judged_also": F.lit(None) if also is None else also}))
+    second = also is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = batch.column("_judged").to_pylist()
+            got = judge(texts, batch.column("_judged_also").to_pylist()) if second else judge(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(x) for x in got], names=[*keep, *names])
+
+    names = [f.name for f in fields]
+    return rows.mapInArrow(run, StructType([*docs.schema.fields, *fields]))

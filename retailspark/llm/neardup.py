@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailspark.llm.common import materialize, whole
@@ -209,3 +209,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = signed.where("size > 0 and id is not null").select("id", "key").join(named, "key").select("id", "class_id")
     alone = signed.where("size = 0 or id is null").select("id", F.col("id").alias("class_id"))
     return own.unionByName(alone).groupBy("id").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("_rows")).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows")))).select(F.col("id").alias(id_col), "class_id")
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id names their near-duplicate class, all columns:
+    one document of each class.  Of rows that repeat an id the first text stays; a
+    null id, which has no class, stays too."""
+    classes = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    others = materialize(classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_other")).distinct(), "duplicates")
+    # No more ids than fit a broadcast of some 10 MB, else a shuffle of both sides.
+    kept = docs.join(F.broadcast(others) if others.count() <= 1_000_000 else others, F.col(id_col) == F.col("_other"), "left_anti")
+    repeated = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_repeated")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_repeated"), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    same = F.col(id_col) == F.col("_repeated")
+    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    one = kept.join(repeated, same, "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
+    return kept.join(repeated, same, "left_anti").unionByName(one)

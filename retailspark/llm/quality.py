@@ -19,8 +19,9 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from retailspark.llm.common import bounded_batches, labelled_sample, whole
+from retailspark.llm.common import bounded_batches, labelled_sample, whole, with_scores
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -188,18 +189,15 @@ def score(docs: DataFrame, net: ByteNet, *, text_col: str = "text", out: str = "
     """All columns of ``docs`` and ``out``, the probability of good quality, from
     all bytes of the text alone.  Null is an empty text.  Every row is scored by
     itself: repeats agree, and an empty table stays empty."""
-    rows = bounded_batches(docs.withColumn("_scored_text", whole(F.col(text_col))))
-    keep = docs.columns
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, parts = encode(batch["_scored_text"].tolist()), []
-            at = size = 0
-            for i, t in enumerate(texts):  # some 2 MB at a time
-                size += len(t)
-                if size > 2_000_000 or i == len(texts) - 1:
-                    parts.append(net.probability(texts[at : i + 1]))
-                    at, size = i + 1, 0
-            yield batch[keep].assign(**{out: np.concatenate(parts) if parts else np.zeros(0)})
-
-    return rows.mapInPandas(scored, docs.schema.add(out, "double"))
+    def judge(texts: list[str]) -> list[np.ndarray]:
+        raw, parts = encode(texts), []
+        at = size = 0
+        for i, t in enumerate(raw):  # some 2 MB at a time
+            size += len(t)
+            if size > 2_000_000 or i == len(raw) - 1:
+                parts.append(net.probability(raw[at : i + 1]))
+                at, size = i + 1, 0
+        return [np.concatenate(parts)]
+
+    return with_scores(docs, text_col, judge, [StructField(out, DoubleType())])

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from retailspark.llm import decontaminate, language, mixing, neardup, neighbours, pii, quality, secrets, toxicity, urls
 from retailspark.llm.common import crc_mod, read_table
 from retailspark.llm.spans import show
@@ -96,9 +97,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over ``documents``."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if k == "pipeline" or (k.startswith("op") and callable(v))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_secrets": secrets.ORACLE}
+    known = {"op1_mixing": mixing.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_secrets": secrets.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {k: v for k, v in known.items() if v is not None}

@@ -99,8 +99,9 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return joined.select(*kept, in_order(F.col("strong"), KINDS, "start").alias("strong"), in_order(F.concat("strong", "linked"), KINDS, "start").alias("spans"))
 
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]", scope: int = SCOPE) -> DataFrame:
-    """``docs`` with every found span replaced by ``mask``.
+def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]", length_col: str | None = None, scope: int = SCOPE) -> DataFrame:
+    """``docs`` with every found span replaced by ``mask``; ``length_col``, if given,
+    gets the new length of the texts that changed.
 
     Overlapping spans become one mask.  A text without spans stays as it is,
     null included; all rows and columns are kept, whatever they are called."""
@@ -115,8 +116,12 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    masked = F.when(F.size("spans") > 0, cut).otherwise(text)
-    return found.select(*[(masked if c == text_col else F.col(s)).alias(c) for c, s in spare.items()])
+    changed = F.size("spans") > 0
+    found = found.withColumn("_masked", F.when(changed, cut).otherwise(text))
+    new = {text_col: F.col("_masked")}
+    if length_col is not None:
+        new[length_col] = F.when(changed, F.length("_masked")).otherwise(F.col(spare[length_col])).cast(docs.schema[length_col].dataType)
+    return found.select(*[new.get(c, F.col(s)).alias(c) for c, s in spare.items()])
 
 
 def _duck_spans(kind: str, pattern: str, keep: str = "true") -> str:

@@ -20,8 +20,9 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from retailspark.llm.common import bounded_batches, labelled_sample, materialize, whole
+from retailspark.llm.common import bounded_batches, labelled_sample, materialize, whole, with_scores
 from retailspark.llm.trees import Boosted, fit
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -141,19 +142,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return ToxicityModel(terms, fit(np.stack(got["x"].tolist()), got["label"].to_numpy()), 0.0)
 
 
-def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", out: str = "score") -> DataFrame:
     """All columns of ``docs`` and ``out``, the probability of toxicity, from the
     whole text alone.  Null is an empty text.  Every row is scored by itself, so
     repeats agree and an empty table stays empty."""
-    rows = bounded_batches(docs.withColumn("_scored_text", whole(F.col(text_col))))
-    keep = docs.columns
+    known: dict[str, float] = {}  # of each Python worker
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, float] = {}
-        for batch in batches:
-            texts = batch["_scored_text"].tolist()
-            p = model.trees.predict(features(texts, model.terms, known)) if model.trees else np.full(len(texts), model.constant)
-            yield batch[keep].assign(**{out: p})
+    def judge(texts: list[str]) -> list[np.ndarray]:
+        return [model.trees.predict(features(texts, model.terms, known)) if model.trees else np.full(len(texts), model.constant)]
 
-    kind = docs.schema.add(out, "double")
-    return rows.mapInPandas(scored, kind)
+    return with_scores(docs, text_col, judge, [StructField(out, DoubleType())])
