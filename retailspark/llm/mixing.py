@@ -69,7 +69,9 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat an id are separate rows that share one decision; a null id
     hashes as empty text.  A document without tokens is taken 0 words, and as
     often as its source's rate says.  An empty source has rate 0."""
-    sized = docs.select(*[F.col(c) for c in dict.fromkeys((*carry, id_col))], F.col(source_col).alias("_source"), token_count(F.col(text_col)).alias("size"))
+    kept = {c: f"_c{i}" for i, c in enumerate(dict.fromkeys((*carry, id_col)))}
+    key = F.col(kept[id_col])
+    sized = docs.select(*[F.col(c).alias(x) for c, x in kept.items()], F.col(source_col).alias("_source"), token_count(F.col(text_col)).alias("size"))
     # The sum needs the text and the source only: documents are pre-aggregated
     # in each map task, so a source with a third of all rows costs one row per task.
     sources = (
@@ -87,16 +89,16 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     else:  # a hot source is spread over SALT partitions
         salted = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         joined = (
-            sized.withColumn("_doc_salt", F.floor(unit_hash(F.col(id_col), seed + 1) * SALT).cast("int"))
+            sized.withColumn("_doc_salt", F.floor(unit_hash(key, seed + 1) * SALT).cast("int"))
             .join(salted, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_doc_salt") == F.col("_salt")))
         )
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_rate)))).otherwise(F.lit(0.0))
     whole_copies = F.floor(rate)
-    copies = whole_copies + F.when(unit_hash(F.col(id_col), seed) < rate - whole_copies, 1).otherwise(0)
+    copies = whole_copies + F.when(unit_hash(key, seed) < rate - whole_copies, 1).otherwise(0)
     return (
         joined.withColumn("copies", copies.cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*dict.fromkeys((*carry, id_col)), "size", "source_size", "target", "copies", "taken")
+        .select(*[F.col(x).alias(c) for c, x in kept.items()], "size", "source_size", "target", "copies", "taken")
     )
 
 
