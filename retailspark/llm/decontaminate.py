@@ -59,18 +59,31 @@ def valued(text: Column) -> Column:
     return F.trim(t)
 
 
-def template_windows(docs: DataFrame, id_col: str, text_col: str, kept: str) -> DataFrame:
-    """A row for every ``WINDOW`` words of every text (for all its words, if
-    fewer): ``kept`` (the id), ``at`` (from 1), ``hash`` of the words and
-    ``window``, the words with slot values.  A row holds its window only, so the
-    rows of a long text don't drag the text along."""
-    rows = docs.select(F.col(id_col).alias(kept), valued(F.col(text_col)).alias("_valued"))
-    rows = rows.select(kept, "_valued", F.split("_valued", " ").alias("_values"), F.split(F.regexp_replace("_valued", _SLOT, ">"), " ").alias("_words"))
-    n = F.when(F.col("_valued") == "", 0).otherwise(F.size("_words"))
-    cut = lambda c, i: F.slice(c, i, F.lit(WINDOW))
-    at = lambda i: F.struct(i.alias("at"), F.xxhash64(cut("_words", i)).alias("hash"), cut("_values", i).alias("window"))
-    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return rows.select(kept, F.inline(F.transform(starts, at)))
+def _template(docs: DataFrame, id_col: str, text_col: str, kept: list[str]) -> DataFrame:
+    """``kept`` (the id first), ``_values`` (the words with slot values) and
+    ``_hashes`` (of the words without); both empty for a text without words."""
+    rows = docs.select(F.col(id_col).alias(kept[0]), *kept[1:], valued(F.col(text_col)).alias("_valued"))
+    some = F.col("_valued") != ""
+    words = F.split(F.regexp_replace("_valued", _SLOT, ">"), " ")
+    return rows.select(
+        *kept,
+        F.when(some, F.split("_valued", " ")).otherwise(F.array().cast("array<string>")).alias("_values"),
+        F.when(some, F.transform(words, lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")).alias("_hashes"),
+    )
+
+
+def _starts(words: str) -> Column:
+    n = F.size(words)
+    return F.when(n > 0, F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+
+def _hash(i: Column) -> Column:
+    # The hashes of words, not the words, are combined: a window costs five numbers.
+    return F.xxhash64(*[F.get("_hashes", i - 1 + k) for k in range(WINDOW)])
+
+
+def _window(i: Column) -> Column:
+    return F.slice("_values", i, F.lit(WINDOW))
 
 
 def words_of(window: Column) -> Column:
@@ -83,12 +96,18 @@ def benchmark_windows(benchmark: DataFrame, *, id_col: str = "item_id", text_col
     ``item``, ``item_at``, ``item_window`` and ``n_windows`` of the item.  Items with
     the same words and values are one, the smallest id."""
     items = benchmark.select(F.struct(F.col(id_col).alias("item"), F.col(text_col).alias("text")).alias("i")).groupBy(valued(F.col("i.text"))).agg(F.min("i").alias("i"))
-    rows = template_windows(items.select("i.item", "i.text"), "item", "text", "item").withColumnsRenamed({"at": "item_at", "window": "item_window"})
+    each = F.transform(_starts("_values"), lambda i: F.struct(i.alias("item_at"), _hash(i).alias("hash"), _window(i).alias("item_window")))
+    rows = _template(items.select("i.item", "i.text"), "item", "text", ["item"]).select("item", F.inline(each))
     literal = F.size(F.filter("item_window", lambda w: ~w.startswith("<")))
     rows = rows.where(literal >= F.least(F.lit(LITERALS), F.size("item_window")))
     return rows.join(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n_windows")), "item")
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Hinted for broadcast if it has no more rows than that."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                        item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """Pairs of a document and a benchmark item that it contains: the id, ``item_id``,
@@ -99,13 +118,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     if each value of the item has become one value of the document.  A pair is
     returned if the alignments that count cover ``coverage`` of the item.
 
+    First all windows of all texts meet the benchmark's by hash, with nothing but
+    id and position.  Only documents that hold enough of an item's hashes are
+    then read again for the words and values of those windows.
+
     Null, empty and wordless texts are in no pair.  An item of fewer words than a
     window is found only in a document of just those words.  Rows that repeat an
     id are read as one document; repeated items are returned as the smallest id;
     items without a window of ``LITERALS`` literal words can't be found."""
     items = materialize(benchmark_windows(benchmark, id_col=item_id, text_col=item_text), "benchmark-windows")
-    few = items.count() <= BROADCAST_WINDOWS  # then no shuffle: windows meet the benchmark where they are made
-    met = template_windows(docs, id_col, text_col, "doc").join(F.broadcast(items) if few else items, "hash").where(words_of(F.col("window")) == words_of(F.col("item_window")))
+    template = lambda rows, kept: _template(rows, id_col, text_col, kept)
+    hashes = template(docs, ["doc"]).select("doc", F.inline(F.transform(_starts("_hashes"), lambda i: F.struct(i.alias("at"), _hash(i).alias("hash")))))
+    hits = materialize(hashes.join(_small(items.select("hash", "item", "item_at", "n_windows"), BROADCAST_WINDOWS), "hash").drop("hash"), "window-hits")
+    likely = hits.groupBy("doc", "item", "n_windows").agg(F.count_distinct("item_at").alias("n")).where(F.col("n") >= F.col("n_windows") * coverage).select("doc", "item")
+    hits = hits.join(likely, hits["doc"].eqNullSafe(likely["doc"]) & (hits["item"] == likely["item"]), "left_semi")
+    hits = materialize(hits, "likely-hits")
+
+    places = materialize(hits.groupBy("doc").agg(F.collect_set("at").alias("places")), "places")
+    read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(_small(places, BROADCAST_WINDOWS // 10), F.col("_id").eqNullSafe(F.col("doc")))
+    windows = _template(read.drop("doc"), "_id", "_text", ["doc", "places"])
+    windows = windows.select("doc", F.inline(F.transform("places", lambda i: F.struct(i.alias("at"), _window(i).alias("window")))))
+    met = windows.join(hits, windows["doc"].eqNullSafe(hits["doc"]) & (windows["at"] == hits["at"])).select(hits["*"], "window").join(items.select("item", "item_at", "item_window"), ["item", "item_at"])
+    met = met.where(words_of(F.col("window")) == words_of(F.col("item_window")))
     slots = F.filter(F.transform(F.arrays_zip("item_window", "window"), lambda s: F.struct(s["item_window"].alias("item_value"), s["window"].alias("doc_value"))), lambda s: s["item_value"].startswith("<"))
     met = met.select("doc", "item", "n_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), slots.alias("slots"))
     # A group has at most a row for each window of the item.
