@@ -153,7 +153,7 @@ def q_daily_sales_filled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_sales_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return D.sales_scan(FX.sales(spark, sf), as_of=AS_OF)
+    return D.sales_scan(FX.sales(spark, sf))
 
 
 def q_recent_sales(spark: SparkSession, sf: str) -> DataFrame:
@@ -416,10 +416,8 @@ def q_model_registry_upsert(spark: SparkSession, sf: str) -> DataFrame:
     coef = F.array(*[F.lit(c) for c in FIXED_COEF])
     scored = rows.withColumn("coef", coef).withColumn("yhat", MD.predict("coef"))
     trained = MD.clipped_mse(scored).select("barcode", "mse", F.col("n").alias("new_examples"), coef.alias("coef"))
-    # Products brand 20+ are "not trained this run" (their registry rows must survive).
-    trained = trained.filter(F.substring("barcode", 7, 10).cast("int") < 20)
-    reg = FX.registry_state(spark, sf).filter(F.substring("barcode", 7, 10).cast("int") > 3)
-    up = MD.upsert_registry(reg, trained, as_of=AS_OF)
+    # Some trained products aren't registered yet, some registered ones weren't trained.
+    up = MD.upsert_registry(FX.registry_before(spark, sf), trained, as_of=AS_OF)
     return up.select("barcode", r6(F.col("last_mse")).alias("last_mse"), "last_update", "total_examples", "type_model")
 
 

@@ -14,21 +14,29 @@ ALERT_LABELS = {
     "ui": ("DÉFICIT", "SUPERÁVIT", "ESTABLE"),
 }
 
-def _fold_table(first: int = 0x00C0, last: int = 0x017F) -> tuple[str, str]:
-    """Letters of Latin-1 Supplement and Latin Extended-A whose canonical
-    decomposition (NFD) is one base letter plus combining marks, mapped to that
-    base letter: the same folding as NFD + dropping marks, as a
-    ``translate`` table so it runs inside the JVM."""
+def _fold_table(last: int = 0x2FFFF) -> tuple[str, str]:
+    """Characters whose canonical decomposition (NFD) is one base character plus
+    combining marks, mapped to that character, as a ``translate`` table so that
+    folding runs inside the JVM."""
     src, dst = [], []
-    for cp in range(first, last + 1):
+    for cp in range(0xC0, last + 1):
         ch = chr(cp)
-        base = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
-        if base != ch and len(base) == 1:
+        base = fold_char(ch)
+        if base and base != ch:
             src.append(ch)
             dst.append(base)
     return "".join(src), "".join(dst)
 
 
+def fold_char(ch: str) -> str:
+    """The base character of ``ch``; nothing for a combining mark; ``ch`` itself if
+    its decomposition has several base characters."""
+    if unicodedata.category(ch) == "Mn":
+        return ""
+    base = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
+    return base if len(base) == 1 else ch
+
+
 _ACCENTED, _PLAIN = _fold_table()
 
 
@@ -44,9 +52,9 @@ def alert_label(type_col: Column, style: str = "report") -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    """Fold accents (NFD + drop combining marks, for Latin letters) and
-    lower-case; NULL -> ''."""
-    return F.lower(F.translate(F.coalesce(c, F.lit("")), _ACCENTED, _PLAIN))
+    """Fold accents (base characters, combining marks dropped, whether a name is
+    stored composed or decomposed) and lower-case; NULL -> ''."""
+    return F.lower(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), _ACCENTED, _PLAIN), r"\p{Mn}+", ""))
 
 
 def short_name(name: Column, n: int = 10) -> Column:

@@ -4,13 +4,12 @@ windows only run over bounded sets (one row per product or per day)."""
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailspark.config import as_date
-from retailspark.functions.text import normalize_text, short_name
+from retailspark.functions.numbers import round_decimal
+from retailspark.functions.text import fold_char, normalize_text, short_name
 from retailspark.operators.ids import rank_within
 
 # Client-side defaults for absent alert fields.
@@ -90,11 +89,8 @@ def alerts_with_weekly_average(feed_rows: DataFrame, v_p: DataFrame) -> DataFram
 
 
 def normalize_literal(text: str | None) -> str:
-    """The search box text normalised as the client does: NFD, drop combining
-    marks, lower case (None -> '')."""
-    if not text:
-        return ""
-    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").lower()
+    """The search box text under the rule of ``normalize_text`` (None -> '')."""
+    return "".join(fold_char(c) for c in text or "").lower()
 
 
 def search_products(alerts: DataFrame, *, text: str | None = None, type: str | None = None, sort: str | None = None) -> DataFrame:
@@ -126,7 +122,7 @@ def top_deviations(alerts: DataFrame, *, n: int = TOP_DEVIATIONS) -> DataFrame:
     ``int(max|dev| * 1.2)``.  ``WindowGroupLimit`` keeps only n rows per store
     before the shuffle."""
     a = alerts.filter(F.col("avg_weekly_sales") > 0)
-    dev = F.bround((F.col("prediction").cast("double") - F.col("avg_weekly_sales")) / F.col("avg_weekly_sales") * F.lit(100.0), 2)
+    dev = round_decimal((F.col("prediction").cast("double") - F.col("avg_weekly_sales")) / F.col("avg_weekly_sales") * F.lit(100.0), 2)
     a = a.withColumn("dev", dev).withColumn("abs_dev", F.abs("dev"))
     w = Window.partitionBy("store_id").orderBy(
         F.col("abs_dev").desc(), F.col("product_name").asc_nulls_last(), F.col("barcode").asc(), F.col("objective_date").asc()
@@ -143,11 +139,6 @@ def top_deviations(alerts: DataFrame, *, n: int = TOP_DEVIATIONS) -> DataFrame:
     )
 
 
-def empty_chart_limit() -> int:
-    """Axis limit when a store has no deviation bars: int(100 * 1.2)."""
-    return int(100 * 1.2)
-
-
 def product_detail(predictions: DataFrame, *, as_of) -> DataFrame:
     """For every (store, barcode) the detail row the client opens: the
     nearest prediction strictly after ``as_of`` (an aggregate, not a window)."""

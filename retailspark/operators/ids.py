@@ -4,11 +4,11 @@ holds a whole group (or the whole table) in one task.
 ``row_number()`` over an unpartitioned window moves every row into one task,
 and over ``partitionBy(g)`` it moves a hot group into one task.  Instead:
 range-partition by the full order (a hot group is split across partitions
-because its rows have distinct sort keys), number rows inside each partition,
-and add the row count of all earlier partitions (one row per partition, so
-tiny).  The range-partitioned rows are checkpointed once so every consumer sees
-the same partition assignment.  A rank within a group is then ``id - first id of the group``.  Needs a
-unique total order for a deterministic result.
+because its rows have distinct sort keys) and sort within partitions; then
+``monotonically_increasing_id()`` holds a row's partition and its place in it.
+The id is that place plus the row count of all earlier partitions (one row per
+partition, so tiny).  A rank within a group is then ``id - first id of the
+group``.  Needs a unique total order for a deterministic result.
 """
 
 from __future__ import annotations
@@ -18,32 +18,33 @@ from pyspark.sql import functions as F
 
 from retailspark.sources.readers import cut_lineage
 
+#: ``monotonically_increasing_id`` has the partition above this many bits.
+PLACE_BITS = 33
+
 
 def _cols(order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
 def with_sequential_id(df: DataFrame, order, *, name: str = "seq_id", start: Column | int = 1, partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    """``df`` with contiguous ids from ``start`` in ``order``: one range shuffle.
+
+    Range bounds come from a sample, so two evaluations could put a row into
+    different partitions; the rows are written once, with partition and place, into
+    the reliable checkpoint directory, and counts and rows both read that copy."""
     order = _cols(order)
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    # Range bounds come from a sample of the input, and row order after a
-    # shuffle is not deterministic: two evaluations could disagree on _pid.
-    # Materialise once in the reliable checkpoint directory; numbering and
-    # offsets below both read that copy (this also cuts the lineage).
-    ranged = cut_lineage(ranged)
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    place = cut_lineage(ranged.sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id()))
+    part = F.shiftright("_mid", PLACE_BITS)
+    counts = place.groupBy(part.alias("_pid")).agg((F.max(F.col("_mid").bitwiseAND((1 << PLACE_BITS) - 1)) + 1).alias("_n"))
     # One row per partition: a running sum over it is cheap.
-    offsets = counts.withColumn(
-        "_offset", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select("_pid", "_offset")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_pid", before.alias("_offset"))
     start_col = start if isinstance(start, Column) else F.lit(start)
     return (
-        local.join(F.broadcast(offsets), "_pid")
-        .withColumn(name, (start_col + F.col("_offset") + F.col("_local") - 1).cast("long"))
-        .drop("_pid", "_local", "_offset")
+        place.join(F.broadcast(offsets), part == F.col("_pid"))
+        .withColumn(name, (start_col + F.col("_offset") + F.col("_mid").bitwiseAND((1 << PLACE_BITS) - 1)).cast("long"))
+        .drop("_pid", "_mid", "_offset")
     )
 
 

@@ -173,7 +173,7 @@ def predictions(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) -> Da
 
 def scans_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan buffer rows: ``id, store_id, barcode (untrimmed, some blank), time, amount``."""
-    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "click", "view"))
+    e = table(spark, sf_dir, "events")
     eid = F.col("event_id")
     code = F.concat(F.lit("Brand#"), _s(eid % 25 + 1))
     raw = F.when(eid % 10 == 0, F.lit("   ")).when(eid % 10 == 1, F.concat(F.lit("  "), code, F.lit(" "))).otherwise(code)
@@ -232,6 +232,15 @@ def registry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("barcode", (F.col("brand_no") * 3).cast("long").alias("total_examples"))
 
 
+def registry_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry that lacks the newest products and still has, for every third
+    product, a predecessor that isn't sold any more."""
+    p = products(spark, sf_dir)
+    known = registry_state(spark, sf_dir).join(p.where("brand_no > 3").select("barcode"), "barcode", "left_semi")
+    old = p.where("brand_no % 3 = 0").select(F.concat(F.col("barcode"), F.lit("-old")).alias("barcode"), F.col("brand_no").cast("long").alias("total_examples"))
+    return known.unionByName(old)
+
+
 def hourly_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly archive payloads per (store, date) that has sales; every 9th is missing."""
     keys = sales(spark, sf_dir).select("store_id", "sale_date").distinct()

@@ -113,7 +113,7 @@ PACKAGES = """SELECT store_id AS id_store, strftime(sale_date, '%d-%m-%Y') AS da
 def build_more(q: dict[str, str]) -> None:
     s = ["sales"]
     q["sales_scan"] = with_views(
-        s, f"SELECT store_id, barcode, sale_date, amount, temperature, weather_resume_wmo_code FROM sales WHERE sale_date <= {AS_OF}"
+        s, "SELECT store_id, barcode, sale_date, amount, temperature, weather_resume_wmo_code FROM sales"
     )
     q["recent_sales"] = with_views(
         s,
@@ -175,8 +175,7 @@ def build_more(q: dict[str, str]) -> None:
   CASE type WHEN 'deficit' THEN 'DÉFICIT' WHEN 'superavit' THEN 'SUPERÁVIT' ELSE 'NORMAL' END AS label_mail,
   CASE type WHEN 'deficit' THEN 'DÉFICIT' WHEN 'superavit' THEN 'SUPERÁVIT' ELSE 'ESTABLE' END AS label_ui,
   CASE WHEN d > 0 THEN 'positive' WHEN d < 0 THEN 'negative' ELSE 'neutral' END AS sign_class,
-  CASE WHEN NOT isinf(d) THEN concat(CASE WHEN d > 0 THEN '+' ELSE '' END,
-    CASE WHEN d < 0 AND (round_even(d, 1) + 0.0) = 0 THEN '-0.0' ELSE printf('%.1f', (round_even(d, 1) + 0.0)) END, '%') END AS deviation_text
+  CASE WHEN NOT isinf(d) THEN concat(CASE WHEN d > 0 THEN '+' ELSE '' END, printf('%.1f', d), '%') END AS deviation_text
 FROM (SELECT *, percentage_average_deviation AS d FROM upcoming) u""",
         {"upcoming": UPCOMING},
     )
@@ -417,13 +416,13 @@ FROM (SELECT *, {fixed_dot()} AS yhat FROM trows) t GROUP BY barcode""",
         tx,
     )
     q["model_registry_upsert"] = with_views(
-        tv,
+        [*tv, "registry_before"],
         f"""SELECT COALESCE(r.barcode, t.barcode) AS barcode, CASE WHEN t.barcode IS NOT NULL THEN (floor((t.mse) * 1e6 + 0.5) / 1e6) END AS last_mse,
   CASE WHEN t.barcode IS NOT NULL THEN CAST({AS_OF} AS TIMESTAMP) END AS last_update,
   CAST(COALESCE(r.total_examples, 0) + COALESCE(t.n, 0) AS BIGINT) AS total_examples, 'ridge_moments' AS type_model
-FROM (SELECT * FROM registry_state WHERE CAST(substr(barcode, 7) AS INT) > 3) r
+FROM registry_before r
 FULL OUTER JOIN (SELECT barcode, AVG((y - greatest(yhat, 0.0)) * (y - greatest(yhat, 0.0))) AS mse, COUNT(*) AS n
-  FROM (SELECT *, {fixed_dot()} AS yhat FROM trows) t WHERE CAST(substr(barcode, 7) AS INT) < 20 GROUP BY barcode) t
+  FROM (SELECT *, {fixed_dot()} AS yhat FROM trows) t GROUP BY barcode) t
 ON t.barcode = r.barcode""",
         tx,
     )
@@ -452,8 +451,7 @@ ALERTS = f"""SELECT p.*, COALESCE(h.v_p * 7.0, 0.0) AS avg_weekly_sales FROM pre
 LEFT JOIN hist h ON h.store_id = p.store_id AND h.barcode = p.barcode WHERE p.objective_date > {AS_OF}"""
 
 
-SIGNED = ("concat(CASE WHEN {d} > 0 THEN '+' ELSE '' END, CASE WHEN isinf({d}) THEN 'inf' "
-          "WHEN {d} < 0 AND (round_even({d}, 1) + 0.0) = 0 THEN '-0.0' ELSE printf('%.1f', (round_even({d}, 1) + 0.0)) END, '%')")
+SIGNED = ("concat(CASE WHEN {d} > 0 THEN '+' ELSE '' END, CASE WHEN isinf({d}) THEN 'inf' ELSE printf('%.1f', {d}) END, '%')")
 
 LABEL = "CASE {t} WHEN 'deficit' THEN 'Déficit' WHEN 'superavit' THEN 'Superávit' ELSE 'Estable' END"
 
@@ -546,7 +544,7 @@ FROM alerts WHERE type = 'deficit'""",
         """SELECT store_id, bar_index, barcode, objective_date, substr(product_name, 1, 10) AS label, dev,
   CASE WHEN dev >= 0 THEN 'positive' ELSE 'negative' END AS color, CAST(trunc(MAX(abs(dev)) OVER (PARTITION BY store_id) * 1.2) AS INT) AS y_limit
 FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY abs(dev) DESC, product_name, barcode, objective_date) - 1 AS INTEGER) AS bar_index
-  FROM (SELECT *, (round_even((CAST(prediction AS DOUBLE) - avg_weekly_sales) / avg_weekly_sales * 100.0, 2) + 0.0) AS dev
+  FROM (SELECT *, CAST(printf('%.2f', (CAST(prediction AS DOUBLE) - avg_weekly_sales) / avg_weekly_sales * 100.0) AS DOUBLE) + 0.0 AS dev
         FROM alerts WHERE avg_weekly_sales > 0) a) b WHERE bar_index < 25""",
         ax,
     )

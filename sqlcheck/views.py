@@ -79,7 +79,7 @@ GROUP BY store_id, barcode, sale_date""",
   CASE event_id % 10 WHEN 0 THEN '   ' WHEN 1 THEN concat('  ', concat('Brand#', CAST(event_id % 25 + 1 AS VARCHAR)), ' ')
     ELSE concat('Brand#', CAST(event_id % 25 + 1 AS VARCHAR)) END AS barcode,
   strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, 1 AS amount
-FROM events WHERE event_type IN ('purchase', 'click', 'view')""",
+FROM events""",
         (),
     ),
     "key_events": (
@@ -110,6 +110,11 @@ FROM customer""",
         "SELECT barcode, CAST(brand_no * 3 AS BIGINT) AS total_examples FROM products",
         ("products",),
     ),
+    "registry_before": (
+        """SELECT barcode, CAST(brand_no * 3 AS BIGINT) AS total_examples FROM products WHERE brand_no > 3
+UNION ALL SELECT concat(barcode, '-old'), CAST(brand_no AS BIGINT) FROM products WHERE brand_no % 3 = 0""",
+        ("products",),
+    ),
     "hourly_weather": (
         """SELECT store_id, sale_date AS date,
   list_transform(range(24), lambda h: 10.0 + CAST(h AS DOUBLE) / 2.0 + CAST(store_id AS DOUBLE)) AS temperature_2m,

@@ -156,3 +156,39 @@ def test_prediction_days_bounds_forecast(spark):
     stores = spark.createDataFrame([(1,), (2,)], "store_id int")
     days = SC.with_forecast_fallback(stores, fc, as_of=dt.date(2001, 7, 1), cfg=cfg).collect()
     assert len(days) == 4 and sum(r.is_fallback for r in days) == 2
+
+
+def test_rounding_and_signed_percent_as_python_prints_them(spark):
+    import random
+    import struct
+
+    from retailspark.functions.numbers import round_decimal, signed_percent
+
+    rng = random.Random(3)
+    v = [12.35, 0.45, 0.25, 0.75, -0.04, 0.05, -0.05, 0.15, 2.675, 1.005, 0.125, -0.125, 0.0, 99.95, 1e12 + 0.25]
+    v += [rng.randint(-10**6, 10**6) / 1000 for _ in range(5000)] + [rng.randint(-10**6, 10**6) / 8 for _ in range(1000)]
+    v += [x for x in (struct.unpack("d", struct.pack("Q", rng.getrandbits(64)))[0] for _ in range(3000)) if abs(x) < 2**44]
+    df = spark.createDataFrame([(float(x),) for x in v], "d double")
+    for r in df.select("d", signed_percent(F.col("d")).alias("p"), round_decimal(F.col("d"), 1).alias("r1"), round_decimal(F.col("d"), 2).alias("r2")).collect():
+        assert r.p == ("+" if r.d > 0 else "") + f"{r.d:.1f}%", r
+        assert (r.r1, r.r2) == (round(r.d, 1), round(r.d, 2)), r
+    ends = spark.createDataFrame([(float("inf"),), (float("-inf"),), (None,)], "d double")
+    assert [r[0] for r in ends.select(signed_percent(F.col("d"))).collect()] == ["+inf%", "-inf%", None]
+
+
+def test_folding_over_all_of_unicode(spark):
+    import random
+    import unicodedata
+
+    from retailspark.functions.text import normalize_text
+
+    def plain(text):
+        return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").lower()
+
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(0xC0, 0x2000) if unicodedata.category(chr(c)) in ("Ll", "Lu") and len(plain(chr(c))) == 1 and len(chr(c).lower()) == 1 and ord(chr(c)) not in (0x3A3, 0x1C89)]
+    names = ["Jab\u00f3n", "Jabo\u0301n", "Ph\u1edf", "\u00d1and\u00fa"]
+    names += ["x" + "".join(rng.choice(letters) for _ in range(6)) + "x" for _ in range(300)]
+    names = [n for n in names if plain(n) == unicodedata.normalize("NFC", plain(n))]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(normalize_text(F.col("n"))).collect()]
+    assert got == [plain(n) for n in names]
