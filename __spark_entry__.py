@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,12 @@ from retailspark.operators import ingest as IN  # noqa: E402
 from retailspark.operators import models as MD  # noqa: E402
 from retailspark.operators import scoring as SC  # noqa: E402
 from retailspark.operators import reports as RP  # noqa: E402
+from retailspark.session import ensure_checkpoint_dir  # noqa: E402
 from retailspark.sources import fixtures as FX  # noqa: E402
+from retailspark.sources.readers import CORRUPT, package_id, read_packages, write_packages  # noqa: E402
+from retailspark.streaming import ingest as SI  # noqa: E402
+from retailspark.streaming import scans as SS2  # noqa: E402
+from retailspark.streaming import sessions as SE  # noqa: E402
 
 AS_OF = FX.AS_OF
 
@@ -173,13 +179,12 @@ def q_sales_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_store_list(spark: SparkSession, sf: str) -> DataFrame:
-    return FX.stores(spark, sf).select("store_id", "latitude", "longitude")
+    return D.list_stores(FX.stores(spark, sf))
 
 
 def q_product_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """A4: attributes of the products that have sales (semi join)."""
-    keys = D.sold_products(FX.sales(spark, sf))
-    return FX.products(spark, sf).drop("brand_no").join(keys, "barcode", "left_semi")
+    return D.product_attributes(FX.products(spark, sf), D.sold_products(FX.sales(spark, sf)))
 
 
 # --------------------------------------------------------------------------- weekly report
@@ -579,6 +584,49 @@ def q_expected_demand(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("store_id", "barcode", "sale_date", "time", _r6("temperature_used"), _r6("expected_demand"))
 
 
+def q_ingest_accounting(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each package of a batch ends, against receipts of earlier
+    batches; every third store sends its packages twice, every fifth store's
+    have been received before."""
+    p = package_id(_packages(spark, sf)).withColumn(CORRUPT, F.lit(None).cast("string"))
+    again = p.where("id_store % 3 = 0").withColumn("source", F.lit("b"))
+    batch = p.withColumn("source", F.lit("a")).unionByName(again)
+    found = SI.classify_packages(batch, FX.stores(spark, sf), p.where("id_store % 5 = 0").select("package_id"))
+    return found.groupBy(F.coalesce("reason", F.lit("received")).alias("outcome")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+def q_package_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of all packages, written as JSON documents and read again."""
+    path = f"{ensure_checkpoint_dir(spark)}/packages-{uuid.uuid4().hex}"
+    write_packages(_packages(spark, sf), path, partitioned=False)
+    return IN.package_lines(read_packages(spark, path)).select("store_id", "sale_date", "time", "hour", "barcode", "amount")
+
+
+def q_half_hour_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming aggregation over the scan buffer read at once."""
+    return SS2.half_hour_stream(FX.scans_raw(spark, sf))
+
+
+def q_scanner_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """The key events as a stream that is read to its end, in several
+    micro-batches, out of order."""
+    base = f"{ensure_checkpoint_dir(spark)}/keys-{uuid.uuid4().hex}"
+    keys = FX.key_events(spark, sf)
+    keys.repartition(3, F.xxhash64("seq")).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(keys.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    # Events of any file may be as old as the table: nothing is late.
+    SE.scanner_sink(stream, out_dir=f"{base}/out", checkpoint=f"{base}/checkpoint", gap_seconds=FX.EVENT_GAP_SECONDS, delay_seconds=10.0 * 366 * 86400).awaitTermination()
+    SE.flush_scanner(spark, out_dir=f"{base}/out", gap_seconds=FX.EVENT_GAP_SECONDS)
+    return SE.read_codes(spark, f"{base}/out")
+
+
+def q_forecast_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Maximum and minimum temperature of a forecast, position by position."""
+    pairs = DB.zip_shortest(F.col("temperature_2m_max"), F.col("temperature_2m_min")).alias("z")
+    each = FX.forecast_payloads(spark, sf).select("store_id", F.posexplode(pairs).alias("day_no", "z"))
+    return each.select("store_id", "day_no", F.col("z").getField("0").alias("high"), F.col("z").getField("1").alias("low"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship on sf0.001: the daily forecasting job end to end (train every
     product from its moments, update the registry, score each store's

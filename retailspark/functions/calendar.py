@@ -65,19 +65,16 @@ def long_date_es(d: Column | str) -> Column:
 
 
 def time_to_seconds(t: Column | str) -> Column:
-    """Seconds since midnight of ``HH:mm:ss`` or ``yyyy-MM-dd HH:mm:ss`` text (last 8 chars)."""
+    """Seconds since midnight of ``HH:mm:ss`` or ``yyyy-MM-dd HH:mm:ss`` text;
+    NULL for anything else, so that one bad value costs its own row only."""
     t = F.trim(_c(t))
-    hms = F.substring(t, -8, 8)
-    parts = F.split(hms, ":")
-    return (
-        F.element_at(parts, 1).cast("int") * 3600
-        + F.element_at(parts, 2).cast("int") * 60
-        + F.element_at(parts, 3).cast("int")
-    )
+    pattern = r"^(?:\d{4}-\d{2}-\d{2} )?([01]\d|2[0-3]):([0-5]\d):([0-5]\d)$"
+    part = lambda i: F.regexp_extract(t, pattern, i).cast("int")
+    return F.when(t.rlike(pattern), part(1) * 3600 + part(2) * 60 + part(3))
 
 
 def half_hour_floor(t: Column | str) -> Column:
-    """Floor a time text to its half-hour block, returned as ``HH:mm:00``."""
+    """Floor a time text to its half-hour block, returned as ``HH:mm:00``; NULL if malformed."""
     secs = time_to_seconds(t)
     block = F.floor(secs / F.lit(1800)).cast("int") * 1800
-    return F.format_string("%02d:%02d:00", (block / 3600).cast("int"), ((block % 3600) / 60).cast("int"))
+    return F.when(secs.isNotNull(), F.format_string("%02d:%02d:00", (block / 3600).cast("int"), ((block % 3600) / 60).cast("int")))

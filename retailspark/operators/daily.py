@@ -24,6 +24,17 @@ def sales_scan(sales: DataFrame, *, as_of=None) -> DataFrame:
     return out
 
 
+def list_stores(stores: DataFrame) -> DataFrame:
+    """A3: the stores with their coordinates."""
+    return stores.select("store_id", "latitude", "longitude")
+
+
+def product_attributes(products: DataFrame, barcodes: DataFrame) -> DataFrame:
+    """A4: name, category and image of the products in ``barcodes`` that exist."""
+    wanted = barcodes.select("barcode")
+    return products.select("barcode", "product_name", "category", "image_url").join(wanted, "barcode", "left_semi")
+
+
 def recent_sales(sales: DataFrame, *, as_of, days: int | None = None, cfg: Config = Config()) -> DataFrame:
     """A2: rows with ``as_of - days <= sale_date <= as_of``.
 

@@ -3,11 +3,11 @@ B10, B14, B23, B24, C1-C3, C8, D7-D9, D16, G2, G4)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailspark.config import RETENTION_DAYS, as_date
-from retailspark.functions.calendar import half_hour_floor, iso_weekday
+from retailspark.functions.calendar import half_hour_floor, iso_weekday, time_to_seconds
 from retailspark.operators.ids import with_sequential_id
 
 # Registration rules of the client form.
@@ -58,13 +58,20 @@ def half_hour_sales(scans: DataFrame) -> DataFrame:
     """Units per (store, scan date, half-hour block, barcode).
 
     ``time`` is ``yyyy-MM-dd HH:mm:ss`` (or bare ``HH:mm:ss``, then the date is
-    NULL); the block is the time floored to :00 or :30."""
+    NULL); the block is the time floored to :00 or :30.  Scans with another time
+    are left out; ``malformed_scans`` has them."""
     t = F.trim(F.col("time"))
+    scans = scans.filter(time_to_seconds(t).isNotNull())
     d = F.when(F.length(t) > 8, F.try_to_date(F.substring(t, 1, 10), "yyyy-MM-dd"))
     s = scans.select("store_id", d.alias("sale_date"), half_hour_floor(t).alias("block"), "barcode", "amount")
     return s.groupBy("store_id", "sale_date", "block", "barcode").agg(F.sum("amount").cast("long").alias("amount"))
 
 
+def malformed_scans(scans: DataFrame) -> DataFrame:
+    """The scans whose ``time`` can't be read (NULL included)."""
+    return scans.filter(time_to_seconds(F.col("time")).isNull())
+
+
 def sales_packages(half_hours: DataFrame) -> DataFrame:
     """Nested package per (store, date): ``id_store, date (dd-MM-yyyy), day
     (ISO weekday), sales: [{time, products: [{barcode, amount}]}]`` sorted by
@@ -94,12 +101,27 @@ def package_lines(packages: DataFrame) -> DataFrame:
     p = b.select("store_id", "sale_date", F.col("blk.time").alias("time"), F.explode("blk.products").alias("p"))
     return p.select(
         "store_id", "sale_date", "time",
-        F.element_at(F.split("time", ":"), 1).cast("int").alias("hour"),
+        F.try_element_at(F.split("time", ":"), F.lit(1)).try_cast("int").alias("hour"),
         F.col("p.barcode").alias("barcode"),
         F.col("p.amount").alias("amount"),
     )
 
 
+BLOCK_TIME = r"^([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d)?$"
+
+
+def package_problem() -> Column:
+    """Why a package can't be stored, or NULL: ``bad_date`` (not dd-MM-yyyy),
+    ``bad_time`` (a block without a time of day) or ``bad_product`` (a line
+    without barcode or amount).  The whole package is refused; others go on."""
+    date = F.try_to_date(F.col("date"), "dd-MM-yyyy").isNull() | ~F.col("date").rlike(r"^\d{2}-\d{2}-\d{4}$")
+    blocks = F.coalesce(F.col("sales"), F.array())
+    time = F.exists(blocks, lambda b: F.coalesce(~b["time"].rlike(BLOCK_TIME), F.lit(True)))
+    lines = F.flatten(F.transform(blocks, lambda b: F.coalesce(b["products"], F.array())))
+    product = F.exists(lines, lambda p: p["barcode"].isNull() | (F.trim(p["barcode"]) == "") | p["amount"].isNull())
+    return F.when(F.coalesce(date, F.lit(True)), "bad_date").when(F.coalesce(time, F.lit(False)), "bad_time").when(F.coalesce(product, F.lit(False)), "bad_product")
+
+
 def package_receipts(packages: DataFrame) -> DataFrame:
     """Number of time blocks received per package."""
     return packages.select("id_store", "date", F.size("sales").alias("blocks"))
@@ -142,7 +164,9 @@ def complete_products(codes: DataFrame, products: DataFrame, catalog: DataFrame)
     from the catalogue (per-field defaults) or the unknown-product row; existing
     products are untouched.  Returns only the new rows."""
     missing = codes.select("barcode").distinct().join(products.select("barcode"), "barcode", "left_anti")
-    c = catalog.select("barcode", "name", "category", "image_url", F.lit(True).alias("_found"))
+    # A barcode that the catalogue has twice gives one product, its first row in order.
+    first = F.min(F.struct("name", "category", "image_url")).alias("_c")
+    c = catalog.groupBy("barcode").agg(first).select("barcode", "_c.name", "_c.category", "_c.image_url", F.lit(True).alias("_found"))
     j = missing.join(c, "barcode", "left")
     found = F.col("_found").isNotNull()
     return j.select(

@@ -64,12 +64,17 @@ def package_id(df: DataFrame) -> DataFrame:
     return df.withColumn("package_id", F.sha2(body, 256))
 
 
-def write_packages(packages: DataFrame, path: str) -> None:
+def write_packages(packages: DataFrame, path: str, *, partitioned: bool = True) -> None:
     """One JSON document per package, partitioned by store and date (the
     reference wrote ``{store}_{dd-MM-yyyy}_{HH-mm-ss}.json``).  Dynamic
-    partition overwrite replaces only the partitions written."""
+    partition overwrite replaces only the partitions written.  Not
+    ``partitioned``: one folder with several documents to a file, for bulk exchange."""
+    documents = packages.select("id_store", "date", "day", "sales")
+    if not partitioned:
+        documents.write.mode("overwrite").json(path)
+        return
     (
-        packages.select("id_store", "date", "day", "sales")
+        documents
         .withColumn("store", F.col("id_store"))
         .withColumn("package_date", F.col("date"))
         .write.mode("overwrite")

@@ -1,78 +1,103 @@
 """Continuous package ingestion.
 
-``readStream`` of package JSON files -> content-hash id -> duplicate suppression
-within a watermark on the package date -> ``foreachBatch``: known stores are
-flattened, enriched with hourly weather and appended to the sales table; unknown
-stores go to a dead-letter table; missing products are completed.  Every sink
-write is keyed by the micro-batch id (``epoch=<id>`` directories overwritten as
-a whole), so a replay of an epoch after a failure rewrites the same files: with
-the checkpointed source offsets this gives exactly-once output files.
+``readStream`` of package JSON files -> content-hash id -> ``foreachBatch``.  Every
+document that arrives ends in exactly one of three tables: ``receipts`` (its
+lines are in ``sales``), ``rejects`` (with a reason) or ``duplicates`` (its
+content was received before).  Duplicates are found against the stored receipts,
+not by a watermark: the package date is written by the client, whose clock may
+be wrong and who may have been offline for months, so it bounds nothing.
+
+Every sink write is keyed by the micro-batch id (``epoch=<id>`` directories
+overwritten as a whole), and an epoch compares itself with earlier epochs only, so
+a replay after a failure rewrites the same files: with the checkpointed source
+offsets this gives exactly-once output.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retailspark.operators.ingest import attach_weather, complete_products, package_lines, split_by_store
+from retailspark.operators.ingest import attach_weather, complete_products, package_lines, package_problem
 from retailspark.sources.readers import CORRUPT, PACKAGE_SCHEMA_WITH_CORRUPT, package_id
 
-DEFAULT_WATERMARK = "30 days"
+#: A table, or a function that loads it: a loader is called in every micro-batch
+#: and so sees rows that came since the stream started.
+Table = DataFrame | Callable[[], DataFrame]
+
+KEEP = ["package_id", "id_store", "date", "day", "sales", CORRUPT]
+
 
+def load(table: Table) -> DataFrame:
+    return table() if callable(table) else table
 
-def package_stream(spark: SparkSession, path: str, *, stores: DataFrame | None = None, watermark: str = DEFAULT_WATERMARK,
-                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming packages with ``package_id`` and duplicates removed.
 
-    The event time is the package date; a retried send of the same content
-    within the watermark is dropped, and the dedup state is bounded by it.
-    With ``stores`` (a static table, re-read every trigger) only packages of
-    known stores are deduplicated on their content hash; a package rejected
-    for an unknown store is keyed by its source file instead, so re-offering it
-    after the store registers (I3) is not mistaken for a duplicate."""
+def package_stream(spark: SparkSession, path: str, *, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming packages with ``package_id`` (a digest of the content) and
+    ``source`` (file).  All documents, duplicates and malformed ones included."""
     r = spark.readStream.schema(PACKAGE_SCHEMA_WITH_CORRUPT).option("columnNameOfCorruptRecord", CORRUPT)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = r.json(path).withColumn("_src", F.col("_metadata.file_path"))
-    df = package_id(df).withColumn("event_time", F.to_timestamp(F.col("date"), "dd-MM-yyyy"))
-    if stores is None:
-        key = F.col("package_id")
+    return package_id(r.json(path).withColumn("source", F.col("_metadata.file_path")))
+
+
+def classify_packages(batch: DataFrame, stores: DataFrame, received: DataFrame | None) -> DataFrame:
+    """``batch`` with ``reason``: NULL for a package to store, else ``malformed``,
+    ``bad_date``, ``bad_time``, ``bad_product``, ``unknown_store`` or ``duplicate``.
+
+    Of equal packages in the batch the first by file is stored.  A package that
+    is rejected isn't received: offered again later (I3), it isn't a duplicate.
+    The batch is bounded by the trigger, so its ids are broadcast to the stored
+    receipts, whatever their number."""
+    known = stores.select(F.col("store_id").alias("id_store"), F.lit(True).alias("_known")).distinct()
+    found = batch.join(known, "id_store", "left")
+    found = found.withColumn(
+        "_problem", F.when(F.col(CORRUPT).isNotNull(), "malformed").otherwise(F.coalesce(package_problem(), F.when(F.col("_known").isNull(), "unknown_store")))
+    )
+    nth = F.row_number().over(Window.partitionBy("package_id", "_problem").orderBy("source"))
+    found = found.withColumn("_repeat", F.col("_problem").isNull() & (nth > 1))
+    if received is not None:
+        before = received.select("package_id").join(F.broadcast(batch.select("package_id").distinct()), "package_id", "left_semi").distinct()
+        found = found.join(before.withColumn("_before", F.lit(True)), "package_id", "left")
     else:
-        known = stores.select(F.col("store_id").alias("id_store"), F.lit(True).alias("_known")).distinct()
-        df = df.join(known, "id_store", "left")
-        accepted = F.coalesce(F.col("_known"), F.lit(False)) & F.col(CORRUPT).isNull()
-        key = F.when(accepted, F.col("package_id")).otherwise(F.concat(F.col("package_id"), F.lit("@"), F.col("_src")))
-    df = df.withColumn("_dedup_key", key)
-    out = df.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["_dedup_key"])
-    return out.drop("_dedup_key", "_known", "_src")
+        found = found.withColumn("_before", F.lit(None).cast("boolean"))
+    duplicate = F.col("_problem").isNull() & (F.col("_repeat") | F.coalesce("_before", F.lit(False)))
+    return found.withColumn("reason", F.when(duplicate, "duplicate").otherwise(F.col("_problem"))).select(*KEEP, "source", "reason")
+
+
+def _stored(spark: SparkSession, path: str, epoch_id: int) -> DataFrame | None:
+    """What earlier epochs wrote to ``path``; None before the first write."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    df = spark.read.parquet(path)
+    return df.where(F.col("epoch") < epoch_id) if "epoch" in df.columns else None
 
 
-def process_batch(batch: DataFrame, epoch_id: int, *, stores: DataFrame, products: DataFrame, catalog: DataFrame,
-                  hourly_weather: DataFrame, out_dir: str) -> None:
-    """One micro-batch: C2 split, A7/C1 enrichment, C3 product completion.
+def process_batch(batch: DataFrame, epoch_id: int, *, stores: Table, products: Table, catalog: Table, hourly_weather: Table, out_dir: str) -> None:
+    """One micro-batch: duplicates and rejects apart, A7/C1 enrichment, C3 product
+    completion.
 
-    The batch feeds four writes, so it is persisted for the duration of this
+    The batch feeds several writes, so it is persisted for the duration of this
     call (bounded by the trigger size; lost blocks are recomputed from the
     source files) and released at the end."""
-    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = batch.sparkSession
+    received = _stored(spark, f"{out_dir}/receipts", epoch_id)
+    sorted_out = classify_packages(batch, load(stores), received).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        _write_batch(batch, epoch_id, stores=stores, products=products, catalog=catalog, hourly_weather=hourly_weather, out_dir=out_dir)
+        _write_batch(sorted_out, epoch_id, products=load(products), catalog=load(catalog), hourly_weather=load(hourly_weather), out_dir=out_dir)
     finally:
-        batch.unpersist()
+        sorted_out.unpersist()
 
 
-def _write_batch(batch: DataFrame, epoch_id: int, *, stores: DataFrame, products: DataFrame, catalog: DataFrame,
-                 hourly_weather: DataFrame, out_dir: str) -> None:
-    ok, bad = split_by_store(batch.filter(F.col(CORRUPT).isNull()), stores)
-    malformed = batch.filter(F.col(CORRUPT).isNotNull())
+def _write_batch(batch: DataFrame, epoch_id: int, *, products: DataFrame, catalog: DataFrame, hourly_weather: DataFrame, out_dir: str) -> None:
     tag = f"epoch={epoch_id}"
-    keep = ["package_id", "id_store", "date", "day", "sales", CORRUPT]
-    (
-        bad.select(*keep, F.lit("unknown_store").alias("reason"))
-        .unionByName(malformed.select(*keep, F.lit("malformed").alias("reason")))
-        .write.mode("overwrite").parquet(f"{out_dir}/rejects/{tag}")
-    )
+    ok = batch.where("reason is null")
+    batch.where("reason <> 'duplicate'").select(*KEEP, "reason").write.mode("overwrite").parquet(f"{out_dir}/rejects/{tag}")
+    batch.where("reason = 'duplicate'").select("package_id", "id_store", "date", "source").write.mode("overwrite").parquet(f"{out_dir}/duplicates/{tag}")
     lines = package_lines(ok)
     enriched = attach_weather(lines, hourly_weather)
     # Partitioned by sale_date inside the epoch directory: V_p, training and
@@ -80,8 +105,12 @@ def _write_batch(batch: DataFrame, epoch_id: int, *, stores: DataFrame, products
     enriched.select(
         "store_id", "barcode", "sale_date", "time", "amount", "temperature", "weather_resume_wmo_code"
     ).write.mode("overwrite").partitionBy("sale_date").parquet(f"{out_dir}/sales/{tag}")
-    complete_products(lines, products, catalog).write.mode("overwrite").parquet(f"{out_dir}/new_products/{tag}")
-    ok.select("package_id", "id_store", "date", F.size("sales").alias("blocks")).write.mode("overwrite").parquet(
+    # A product is new once: not in the table, not added by an earlier epoch.
+    added = _stored(batch.sparkSession, f"{out_dir}/new_products", epoch_id)
+    known = products.select("barcode") if added is None else products.select("barcode").union(added.select("barcode"))
+    complete_products(lines, known, catalog).write.mode("overwrite").parquet(f"{out_dir}/new_products/{tag}")
+    # Last: what has a receipt is stored.
+    ok.select("package_id", "id_store", "date", F.size(F.coalesce("sales", F.array())).alias("blocks")).write.mode("overwrite").parquet(
         f"{out_dir}/receipts/{tag}"
     )
 
@@ -89,18 +118,27 @@ def _write_batch(batch: DataFrame, epoch_id: int, *, stores: DataFrame, products
 def retry_rejected(rejects: DataFrame, stores: DataFrame) -> DataFrame:
     """Dead-letter packages whose store has been registered since; write
     them back into the input directory and the next trigger ingests them.
-    Rejected packages never entered the content-hash dedup state, so the
-    re-offered copy is accepted once; a second copy is then a duplicate."""
+    Rejected packages have no receipt, so the re-offered copy is accepted once,
+    however late; a second copy is then a duplicate."""
     unknown = rejects.filter(F.col("reason") == "unknown_store").select("id_store", "date", "day", "sales")
-    ok, _ = split_by_store(unknown, stores)
-    return ok
+    return unknown.join(stores.select(F.col("store_id").alias("id_store")), "id_store", "left_semi")
+
+
+def accounting(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(outcome, documents) over all epochs: ``received``, ``duplicate`` and a row
+    for each reason of rejection; they add up to the documents that arrived."""
+    parts = [
+        spark.read.parquet(f"{out_dir}/receipts").select(F.lit("received").alias("outcome")),
+        spark.read.parquet(f"{out_dir}/duplicates").select(F.lit("duplicate").alias("outcome")),
+        spark.read.parquet(f"{out_dir}/rejects").select(F.col("reason").alias("outcome")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("outcome").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def ingest_stream(spark: SparkSession, path: str, *, stores: DataFrame, products: DataFrame, catalog: DataFrame,
-                  hourly_weather: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True,
-                  max_files_per_trigger: int | None = None):
+def ingest_stream(spark: SparkSession, path: str, *, stores: Table, products: Table, catalog: Table, hourly_weather: Table,
+                  out_dir: str, checkpoint: str, available_now: bool = True, max_files_per_trigger: int | None = None):
     """Start the ingestion query; returns the ``StreamingQuery``."""
-    stream = package_stream(spark, path, stores=stores, max_files_per_trigger=max_files_per_trigger)
+    stream = package_stream(spark, path, max_files_per_trigger=max_files_per_trigger)
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         process_batch(batch, epoch_id, stores=stores, products=products, catalog=catalog,

@@ -1,12 +1,17 @@
 """Tumbling 30-minute aggregation of scans as a stream (I2); batch twin is
-``operators.ingest.half_hour_sales``."""
+``operators.ingest.half_hour_sales``.
+
+``half_hour_sink`` loses nothing: each micro-batch writes its partial sums, and
+``read_half_hours`` adds them up, so a scan counts however late it comes.
+``half_hour_stream`` is for consumers that want closed windows at once and accept
+a watermark."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailspark.operators.ingest import clean_scans
+from retailspark.operators.ingest import clean_scans, half_hour_sales, malformed_scans
 
 SCAN_SCHEMA = "id long, store_id int, barcode string, time string, amount int"
 
@@ -20,9 +25,10 @@ def half_hour_stream(scans: DataFrame, *, watermark: str = "30 days") -> DataFra
     and block are derived from the window start arithmetically, whatever the
     session time zone."""
     s = clean_scans(scans)
-    wall = F.to_timestamp_ntz(F.trim(F.col("time")), F.lit("yyyy-MM-dd HH:mm:ss"))
-    epoch_us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), wall)
-    s = s.withColumn("ts", F.timestamp_micros(epoch_us))
+    # A time without a date, or none at all, has no window; such scans are in
+    # ``malformed`` of ``half_hour_sink`` or, with a NULL date, in its sums.
+    wall = F.try_to_timestamp(F.concat(F.trim(F.col("time")), F.lit("Z")), F.lit("yyyy-MM-dd HH:mm:ssX"))
+    s = s.withColumn("ts", wall).filter(F.col("ts").isNotNull())
     g = s.withWatermark("ts", watermark).groupBy("store_id", F.window("ts", "30 minutes"), "barcode").agg(
         F.sum("amount").cast("long").alias("amount")
     )
@@ -36,3 +42,25 @@ def half_hour_stream(scans: DataFrame, *, watermark: str = "30 days") -> DataFra
         "barcode",
         "amount",
     )
+
+
+def write_half_hours(batch: DataFrame, epoch_id: int, out_dir: str) -> None:
+    """One micro-batch: partial sums into ``sums``, unreadable times into
+    ``malformed``, both keyed by the epoch, which a replay overwrites."""
+    scans = clean_scans(batch)
+    half_hour_sales(scans).write.mode("overwrite").parquet(f"{out_dir}/sums/epoch={epoch_id}")
+    malformed_scans(scans).write.mode("overwrite").parquet(f"{out_dir}/malformed/epoch={epoch_id}")
+
+
+def half_hour_sink(scans: DataFrame, *, out_dir: str, checkpoint: str, available_now: bool = True):
+    """Start the query that keeps ``write_half_hours`` going; returns it."""
+    w = scans.writeStream.foreachBatch(lambda batch, epoch: write_half_hours(batch, epoch, out_dir)).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
+def read_half_hours(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Units per (store, date, half-hour block, barcode) over all epochs: what
+    ``half_hour_sales`` gives over all scans at once."""
+    sums = spark.read.parquet(f"{out_dir}/sums")
+    return sums.groupBy("store_id", "sale_date", "block", "barcode").agg(F.sum("amount").alias("amount"))

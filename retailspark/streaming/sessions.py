@@ -1,6 +1,12 @@
-"""Streaming scanner sessions (I5) with ``applyInPandasWithState``.
+"""Streaming scanner sessions.
 
-Per device the state is the pending buffer and the time of the last key, so
+``scanner_sink`` gives what the batch operator gives, in event-time order whatever
+the order of arrival: each micro-batch adds to the events that wait, and those that
+are older than ``delay`` below the latest are handed to ``gap_sessions``.  Events
+that come later still go to a side table.
+
+``scanner_sessions`` is the low-latency form with ``applyInPandasWithState``: per
+device the state is the pending buffer and the time of the last key, so
 it stays bounded whatever the stream length, and it expires (event-time
 timeout) once the device has been idle for longer than the gap.  Within a trigger the device's
 events are processed in (ts, seq) order; events older than an already
@@ -15,12 +21,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from retailspark.operators.sessions import ENTER
+from retailspark.operators.sessions import ENTER, gap_sessions
 
 # Functions of this module run inside Python workers; pickle them by value so
 # executors need no installed copy of the package.
@@ -42,8 +48,9 @@ def _scanner(gap_us: int, terminator: str):
         if state.exists:
             buf, last = state.get
         codes, ends = [], []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "seq"])
+        # All of the trigger's events of the device, whatever their Arrow batches.
+        parts = list(pdfs)
+        for pdf in [pd.concat(parts).sort_values(["ts", "seq"])] if parts else []:
             for ts, tok in zip(pdf["ts"], pdf["key"]):
                 now = pd.Timestamp(ts).value // 1000
                 if last is not None and now - last > gap_us:
@@ -82,3 +89,65 @@ def scanner_sessions(events: DataFrame, *, gap_seconds: float = 0.3, terminator:
         ev = ev.withColumn("_event_time", F.col("ts"))
     ev = ev.withWatermark("_event_time", watermark)
     return ev.groupBy("device").applyInPandasWithState(fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _micros(events: DataFrame) -> Column:
+    """``ts`` as microseconds; a wall-clock time is read as UTC."""
+    if isinstance(events.schema["ts"].dataType, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    return F.unix_micros("ts")
+
+
+def advance_scanner(batch: DataFrame, epoch_id: int, *, out_dir: str, gap_seconds: float = 0.3, terminator: str = ENTER, delay_seconds: float = 600.0) -> None:
+    """One micro-batch of ``scanner_sink``.  Writes ``codes``, ``late``, ``pending``
+    (what the next epoch needs) and ``horizon`` under ``epoch=<id>``; reads the
+    previous epoch only, so a replay rewrites the same files."""
+    spark, tag, last = batch.sparkSession, f"epoch={epoch_id}", f"epoch={epoch_id - 1}"
+    events = batch.select("device", "seq", "ts", "key")
+    us, before = _micros(events), None
+    if epoch_id > 0:
+        before = spark.read.parquet(f"{out_dir}/horizon/{last}").first()[0]
+    passed = F.lit(False) if before is None else us <= F.lit(before)
+    events.where(passed).write.mode("overwrite").parquet(f"{out_dir}/late/{tag}")
+    live = events.where(~passed)
+    if epoch_id > 0:
+        live = live.unionByName(spark.read.parquet(f"{out_dir}/pending/{last}"))
+    live = live.persist()
+    try:
+        newest = live.agg(F.max(us)).first()[0]
+        reached = None if newest is None else newest - int(delay_seconds * 1_000_000)
+        horizon = max((x for x in (before, reached) if x is not None), default=None)
+        due = live.where(F.lit(False) if horizon is None else us <= F.lit(horizon))
+        gap_sessions(due, gap_seconds=gap_seconds, terminator=terminator).select("device", "code", "ended").write.mode("overwrite").parquet(f"{out_dir}/codes/{tag}")
+        # Of what was due, an unfinished code waits for more, unless it is older
+        # than the gap already.
+        place = F.struct(us.alias("us"), F.col("seq").alias("seq"))
+        ends = due.groupBy("device").agg(F.max(F.when(F.col("key") == terminator, place)).alias("_end"), F.max(us).alias("_last"))
+        gap = int(round(gap_seconds * 1_000_000))
+        open_ = due.join(ends, "device").where((F.col("_end").isNull() | (place > F.col("_end"))) & (F.col("_last") > F.lit(horizon) - gap)).select(*events.columns)
+        later = live.where(F.lit(True) if horizon is None else us > F.lit(horizon))
+        later.unionByName(open_).write.mode("overwrite").parquet(f"{out_dir}/pending/{tag}")
+        spark.range(1).select(F.lit(horizon).cast("long").alias("horizon")).write.mode("overwrite").parquet(f"{out_dir}/horizon/{tag}")
+    finally:
+        live.unpersist()
+
+
+def flush_scanner(spark: SparkSession, *, out_dir: str, gap_seconds: float = 0.3, terminator: str = ENTER) -> None:
+    """After the last micro-batch: emit the codes of events that still wait."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out_dir}/pending")
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    last = max(int(n.split("=")[1]) for n in names if n.startswith("epoch="))
+    pending = spark.read.parquet(f"{out_dir}/pending/epoch={last}")
+    advance_scanner(pending.limit(0), last + 1, out_dir=out_dir, gap_seconds=gap_seconds, terminator=terminator, delay_seconds=0.0)
+
+
+def scanner_sink(events: DataFrame, *, out_dir: str, checkpoint: str, available_now: bool = True, **options):
+    """Start the query that keeps ``advance_scanner`` going; returns it."""
+    w = events.writeStream.foreachBatch(lambda batch, epoch: advance_scanner(batch, epoch, out_dir=out_dir, **options)).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="2 seconds")
+    return w.start()
+
+
+def read_codes(spark: SparkSession, out_dir: str) -> DataFrame:
+    """``device, code, ended`` of all epochs so far."""
+    return spark.read.parquet(f"{out_dir}/codes").select("device", "code", "ended")

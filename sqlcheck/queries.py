@@ -256,6 +256,24 @@ FROM (SELECT v.*, v.valid AND v.email NOT IN (SELECT email FROM stores WHERE ema
     q["package_reject"] = with_views(
         ["scans_raw", "stores"], "SELECT id_store, date, day, blocks FROM packages WHERE id_store NOT IN (SELECT store_id FROM stores)", pk
     )
+    q["ingest_accounting"] = with_views(
+        ["scans_raw", "stores"],
+        """SELECT outcome, CAST(SUM(n) AS BIGINT) AS documents FROM (
+  SELECT CASE WHEN id_store NOT IN (SELECT store_id FROM stores) THEN 'unknown_store' WHEN id_store % 5 = 0 THEN 'duplicate' ELSE 'received' END AS outcome,
+    CASE WHEN id_store IN (SELECT store_id FROM stores) AND id_store % 5 <> 0 THEN 1 WHEN id_store % 3 = 0 THEN 2 ELSE 1 END AS n FROM packages
+  UNION ALL SELECT 'duplicate', 1 FROM packages WHERE id_store IN (SELECT store_id FROM stores) AND id_store % 5 <> 0 AND id_store % 3 = 0
+) GROUP BY outcome""",
+        pk,
+    )
+    q["package_round_trip"] = with_views(
+        ["scans_raw"], "SELECT store_id, sale_date, block AS time, CAST(substr(block, 1, 2) AS INT) AS hour, barcode, CAST(amount AS INT) AS amount FROM half", pk
+    )
+    q["half_hour_windows"] = with_views(["scans_raw"], "SELECT * FROM half WHERE sale_date IS NOT NULL", {"scans": SCANS, "half": HALF})
+    q["forecast_pairs"] = with_views(
+        ["forecast_payloads"],
+        "SELECT store_id, CAST(i - 1 AS INT) AS day_no, temperature_2m_max[i] AS high, temperature_2m_min[i] AS low "
+        "FROM (SELECT *, unnest(range(1, least(len(temperature_2m_max), len(temperature_2m_min)) + 1)) AS i FROM forecast_payloads)",
+    )
     q["retention_filter"] = with_views(
         ["scans_raw"], f"SELECT id_store, date FROM packages WHERE date_diff('day', sale_date, {EVENTS_AS_OF}) <= 30", pk
     )
@@ -597,6 +615,17 @@ FULL OUTER JOIN (SELECT store_id, objective_date AS d, CAST(SUM(prediction) AS B
       SELECT *, CASE WHEN rn = 1 OR date_diff('microsecond', pts, ts) > 3600000000 OR COALESCE(pkey = 'ENTER', false) THEN 1 ELSE 0 END AS bnd
       FROM (SELECT *, LAG(ts) OVER w AS pts, LAG(key) OVER w AS pkey, ROW_NUMBER() OVER w AS rn FROM key_events
             WINDOW w AS (PARTITION BY device ORDER BY ts, seq)) a) b) c
+  GROUP BY device, island) d WHERE term AND length(code) > 0""",
+    )
+    q["scanner_codes"] = with_views(
+        ["key_events"],
+        """SELECT device, code, ended FROM (
+  SELECT device, island, string_agg(key, '' ORDER BY ts, seq) FILTER (WHERE key IS NOT NULL AND key <> 'ENTER') AS code,
+    MIN(ts) AS started, MAX(ts) AS ended, bool_or(COALESCE(key = 'ENTER', false)) AS term FROM (
+    SELECT *, CAST(SUM(bnd) OVER (PARTITION BY device ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM (
+      SELECT *, CASE WHEN rn = 1 OR date_diff('microsecond', pts, ts) > 3600000000 OR COALESCE(pkey = 'ENTER', false) THEN 1 ELSE 0 END AS bnd
+      FROM (SELECT *, LAG(ts) OVER w AS pts, LAG(key) OVER w AS pkey, ROW_NUMBER() OVER w AS rn FROM key_events
+            WINDOW w AS (PARTITION BY device ORDER BY ts, seq)) a) b) c
   GROUP BY device, island) d WHERE term AND length(code) > 0""",
     )
     base = "CASE p.category " + " ".join(

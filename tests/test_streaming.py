@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from retailspark.operators import ingest as IN
 from retailspark.operators.sessions import gap_sessions
 from retailspark.sources import fixtures as FX
-from retailspark.sources.readers import read_packages, read_sales
-from retailspark.streaming.ingest import ingest_stream, retry_rejected
-from retailspark.streaming.scans import SCAN_SCHEMA, half_hour_stream
-from retailspark.streaming.sessions import scanner_sessions
+from retailspark.sources.readers import package_id, read_packages, read_sales
+from retailspark.streaming.ingest import accounting, ingest_stream, process_batch, retry_rejected
+from retailspark.streaming.scans import SCAN_SCHEMA, half_hour_sink, half_hour_stream, read_half_hours
+from retailspark.streaming.sessions import advance_scanner, read_codes, scanner_sessions, scanner_sink
 
 SF = "/root/testdata/sf0.001"
 
@@ -196,3 +196,136 @@ def test_half_hour_stream_independent_of_session_time_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old_tz)
     want = {(r.store_id, r.sale_date, r.block, r.barcode): r.amount for r in IN.half_hour_sales(IN.clean_scans(raw)).collect()}
     assert got == want
+
+
+PACKAGE = "id_store int, date string, day int, sales array<struct<time:string,products:array<struct<barcode:string,amount:int>>>>"
+
+
+def _package(store, date, code="x", amount=1, time="10:00:00"):
+    return (store, date, 1, [(time, [(code, amount)])])
+
+
+def _offer(spark, src, name, rows):
+    spark.createDataFrame(rows, PACKAGE).coalesce(1).write.json(os.path.join(src, name))
+
+
+def _tables(spark):
+    stores = spark.createDataFrame([(1,), (2,)], "store_id int")
+    products = spark.createDataFrame([("x",)], "barcode string")
+    catalog = spark.createDataFrame([("n", "New", "C", "i"), ("n", "Again", "C", "i")], "barcode string, name string, category string, image_url string")
+    weather = spark.createDataFrame([], "store_id int, date date, temperature_2m array<double>, weather_code array<int>")
+    return stores, products, catalog, weather
+
+
+def _run(spark, src, out, ckpt, stores, products, catalog, weather):
+    q = ingest_stream(spark, os.path.join(src, "*"), stores=stores, products=products, catalog=catalog, hourly_weather=weather, out_dir=out, checkpoint=ckpt, max_files_per_trigger=1)
+    q.awaitTermination(300)
+    assert q.exception() is None
+    return {r.outcome: r.documents for r in accounting(spark, out).collect()}
+
+
+def test_every_package_ends_somewhere(spark):
+    """Clocks that are wrong, stores that were offline for long, retries and
+    malformed values: nothing vanishes and nothing stops the stream."""
+    d = _scratch()
+    src, out, ckpt = (os.path.join(d, x) for x in ("in", "out", "ckpt"))
+    stores, products, catalog, weather = _tables(spark)
+    _offer(spark, src, "a", [_package(1, "01-01-2099"), _package(2, "05-03-2024")])
+    _offer(spark, src, "b", [_package(2, "20-01-2024", "n"), _package(2, "05-03-2024")])  # 45 days late; a retry
+    _offer(spark, src, "c", [_package(9, "02-01-2024", "n"), _package(1, "2024/01/05"), _package(1, "06-03-2024", time="xx:00"), _package(1, "07-03-2024", None), _package(1, "08-03-2024", "n")])
+    with open(os.path.join(src, "bad.json"), "w") as fh:
+        fh.write("{not json\n")
+    got = _run(spark, src, out, ckpt, stores, products, catalog, weather)
+    assert got == {"received": 4, "duplicate": 1, "unknown_store": 1, "bad_date": 1, "bad_time": 1, "bad_product": 1, "malformed": 1}
+    # Registered much later, the dead letter is accepted once.
+    more = stores.union(spark.createDataFrame([(9,)], "store_id int"))
+    again = retry_rejected(spark.read.parquet(os.path.join(out, "rejects")), more)
+    again.coalesce(1).write.json(os.path.join(src, "d"))
+    again.coalesce(1).write.json(os.path.join(src, "e"))
+    _offer(spark, src, "f", [_package(1, "09-05-2024", "n")])
+    got = _run(spark, src, out, ckpt, lambda: more, products, catalog, weather)
+    assert got["received"] == 6 and got["duplicate"] == 2 and sum(got.values()) == 13
+    assert read_sales(spark, os.path.join(out, "sales")).count() == 6
+    # The barcode came in four epochs and the catalogue has it twice: one product.
+    assert spark.read.parquet(os.path.join(out, "new_products")).count() == 1
+
+
+def test_replay_of_an_epoch_changes_nothing(spark):
+    d = _scratch()
+    src, out = os.path.join(d, "in"), os.path.join(d, "out")
+    stores, products, catalog, weather = _tables(spark)
+    _offer(spark, src, "a", [_package(1, "01-01-2024"), _package(1, "01-01-2024"), _package(2, "02-01-2024")])
+    batch = package_id(read_packages(spark, os.path.join(src, "a")).withColumn("source", F.lit("f")))
+    for _ in range(2):
+        process_batch(batch, 0, stores=stores, products=products, catalog=catalog, hourly_weather=weather, out_dir=out)
+        assert {r.outcome: r.documents for r in accounting(spark, out).collect()} == {"received": 2, "duplicate": 1}
+    process_batch(batch, 1, stores=stores, products=products, catalog=catalog, hourly_weather=weather, out_dir=out)
+    assert {r.outcome: r.documents for r in accounting(spark, out).collect()} == {"received": 2, "duplicate": 4}
+
+
+def test_half_hour_sink_counts_late_and_keeps_malformed_scans(spark):
+    d = _scratch()
+    src, out = os.path.join(d, "scans"), os.path.join(d, "out")
+    rows = [(1, 1, "x", "2024-01-01 10:05:00", 1), (2, 1, "x", "2030-01-01 10:20:00", 1), (3, 1, " x ", "2024-01-01 10:10:00", 1), (4, 1, "x", "10:40:00", 1), (5, 1, "x", "aa:10:00", 1), (6, 1, "x", None, 1)]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], SCAN_SCHEMA).coalesce(1).write.json(os.path.join(src, str(i)))
+    stream = spark.readStream.schema(SCAN_SCHEMA).option("maxFilesPerTrigger", 1).json(os.path.join(src, "*"))
+    half_hour_sink(stream, out_dir=out, checkpoint=os.path.join(d, "ck")).awaitTermination(300)
+    got = sorted(map(tuple, read_half_hours(spark, out).collect()), key=str)
+    want = sorted(map(tuple, IN.half_hour_sales(IN.clean_scans(spark.createDataFrame(rows, SCAN_SCHEMA))).collect()), key=str)
+    assert got == want and sum(r[-1] for r in got) == 4
+    assert sorted(r.id for r in spark.read.parquet(os.path.join(out, "malformed")).collect()) == [5, 6]
+
+
+def test_scanner_sink_orders_events_across_batches(spark):
+    import random
+
+    rng = random.Random(4)
+    start = dt.datetime(2024, 1, 1, 9, 0, 0)
+    rows, seq = [], 0
+    for device in range(3):
+        at = start
+        for _ in range(40):
+            at += dt.timedelta(milliseconds=rng.choice([50, 100, 200, 300, 400, 5000]))
+            rows.append((device, seq, at, rng.choice(["a", "b", "7", None, "ENTER"])))
+            seq += 1
+    schema = "device long, seq long, ts timestamp_ntz, key string"
+    want = sorted((r.device, r.code, r.ended) for r in gap_sessions(spark.createDataFrame(rows, schema), gap_seconds=0.3).collect())
+    d = _scratch()
+    out = os.path.join(d, "out")
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    shuffled.append((9, seq, start + dt.timedelta(days=1), "x"))  # moves the horizon past all others
+    parts = [list(reversed(shuffled[:70])), shuffled[70:]]
+    for epoch, part in enumerate(parts):
+        for _ in range(2 if epoch else 1):  # a replay changes nothing
+            advance_scanner(spark.createDataFrame(part, schema), epoch, out_dir=out, delay_seconds=3600)
+    advance_scanner(spark.createDataFrame([(0, 999, start, "z")], schema), 2, out_dir=out, delay_seconds=3600)
+    assert sorted(map(tuple, read_codes(spark, out).collect())) == want and want
+    assert [r.seq for r in spark.read.parquet(os.path.join(out, "late")).collect()] == [999]
+
+
+def test_scanner_sink_stream(spark):
+    d = _scratch()
+    ev = FX.key_events(spark, SF)
+    ev.write.parquet(os.path.join(d, "ev"))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "ev"))
+    scanner_sink(stream, out_dir=os.path.join(d, "out"), checkpoint=os.path.join(d, "ck"), gap_seconds=FX.EVENT_GAP_SECONDS, delay_seconds=0).awaitTermination(300)
+    got = sorted((r.device, r.code, r.ended) for r in read_codes(spark, os.path.join(d, "out")).collect())
+    assert got == sorted((r.device, r.code, r.ended) for r in gap_sessions(ev, gap_seconds=FX.EVENT_GAP_SECONDS).collect())
+
+
+def test_sessions_state_orders_a_triggers_chunks(spark):
+    key = [(1, i, dt.datetime(2024, 1, 1, 9, 0, 0, i * 100_000), k) for i, k in enumerate(["A", "B", "C", "D", "E", "F", "ENTER"])]
+    d = _scratch()
+    schema = "device long, seq long, ts timestamp_ntz, key string"
+    spark.createDataFrame(list(reversed(key)), schema).coalesce(1).write.parquet(os.path.join(d, "ev"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        q = (scanner_sessions(spark.readStream.schema(schema).parquet(os.path.join(d, "ev"))).writeStream.outputMode("append").format("memory")
+             .queryName("rs_chunks").option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
+        q.awaitTermination(180)
+        assert [r.code for r in spark.sql("SELECT * FROM rs_chunks").collect()] == ["ABCDEF"]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
