@@ -298,6 +298,67 @@ def train_incremental(state: DataFrame, sales: DataFrame, *, as_of, cfg: Config
     )
 
 
+def arrivals(sales: DataFrame, *, since_epoch: int, as_of) -> DataFrame:
+    """Sales rows of later epochs than ``since_epoch``, dated up to ``as_of``."""
+    return sales.filter((F.col("epoch") > F.lit(since_epoch)) & (F.col("sale_date") <= F.lit(as_date(as_of))))
+
+
+def train_arrivals(state: DataFrame, sales: DataFrame, *, since_epoch: int, as_of, cfg: Config = Config(), materialize: bool = True) -> DataFrame:
+    """H3 by arrival: ``train_incremental`` for a sales table with ``epoch``.
+
+    What arrived since the last run touches some (store, barcode, date) keys, new
+    or old.  The days of just those keys are computed with and without the new
+    rows, and the difference of their moments is added to the stored ones, so the
+    result is that of a refit over everything received, whenever it came.  A
+    product without stored moments has all its rows among the arrivals of its
+    first run (``since_epoch`` before the first epoch), so no run re-reads history.
+
+    Reads: the new epochs, and of older ones the dates that were touched (a join on
+    the partition column).  A missing temperature is filled from the rows read, as
+    in every incremental mode."""
+    a = as_date(as_of)
+    keys = ["store_id", "barcode", "sale_date"]
+    st = registry_state(state).withColumnRenamed("total_examples", "prev_examples")
+    touched = arrivals(sales, since_epoch=since_epoch, as_of=as_of).select(*keys).distinct()
+    if materialize:
+        touched = cut_lineage(touched)
+    dates = touched.select("sale_date").distinct()
+    around = sales.join(F.broadcast(dates), "sale_date").join(touched, keys, "left_semi")  # at most a row a day
+    if materialize:
+        around = cut_lineage(around)
+
+    def rows_of(part: DataFrame) -> DataFrame:
+        return feature_matrix(fill_temperature(daily_sales(part)), training=True, zero_as_missing=cfg.zero_as_missing)
+
+    after = rows_of(around)
+    if materialize:
+        after = cut_lineage(after)
+    plus = training_moments(after)
+    minus = training_moments(rows_of(around.filter(F.col("epoch") <= F.lit(since_epoch))))
+    minus = minus.select("barcode", (-F.col("n")).alias("n"), F.transform("moments", lambda m: -m).alias("moments"), "last_date")
+    delta = merge_moments(plus, minus)
+    kept = st.filter(F.col("moments").isNotNull()).select("barcode", "n", "moments", "last_date")
+    merged = merge_moments(kept, delta)
+    if materialize:
+        merged = cut_lineage(merged)
+    models = solve(merged, cfg=cfg)
+    if materialize:
+        models = cut_lineage(models)
+    scored = after.join(models.select("barcode", "coef"), "barcode").withColumn("yhat", predict("coef"))
+    mse = clipped_mse(scored).select("barcode", "mse")
+    return (
+        merged.join(models.drop("n"), "barcode")
+        .join(delta.select("barcode", F.col("n").alias("new_examples")), "barcode", "left")
+        .join(mse, "barcode", "left")
+        .join(st.select("barcode", "prev_examples"), "barcode", "left")
+        .select(
+            "barcode", "n", "moments", F.lit(a).alias("last_date"), "coef", "error", "mse",
+            F.coalesce("new_examples", F.lit(0)).cast("long").alias("new_examples"),
+            (F.coalesce("prev_examples", F.lit(0)) + F.coalesce("new_examples", F.lit(0))).cast("long").alias("total_examples"),
+        )
+    )
+
+
 def upsert_registry(registry: DataFrame, trained: DataFrame, *, as_of) -> DataFrame:
     """Trained products replace coef / last_mse / last_update (and the
     training state ``moments, n, last_date`` when given) and add their new

@@ -70,6 +70,11 @@ def update_assortment(previous: DataFrame, sales: DataFrame, *, since, as_of) ->
     return previous.select("store_id", "barcode").unionByName(recent.select("store_id", "barcode")).distinct()
 
 
+def extend_assortment(previous: DataFrame, arrived: DataFrame) -> DataFrame:
+    """The previous pairs and those of rows that arrived since, late ones included."""
+    return previous.select("store_id", "barcode").unionByName(arrived.select("store_id", "barcode")).distinct()
+
+
 def scoring_grid(pairs: DataFrame, days: DataFrame, products: DataFrame) -> DataFrame:
     """Pairs x that store's forecast days (equi-join on store_id), with the
     product attributes (inner: unknown products are skipped)."""

@@ -63,3 +63,19 @@ def test_bench_prints_one_json_line():
     rec = json.loads(lines[0])
     assert {"metric", "value", "unit", "queries", "sf"} <= set(rec) and rec["unit"] == "sec" and rec["sf"] == 0.001
     assert set(rec["queries"]) == {"historical_average", "weekly_stats"}
+
+
+def test_the_rest_works_without_the_training_data_operators(tmp_path):
+    """Without that subpackage and its pipeline the entry still imports and gives
+    the other queries; nothing else of the library imports them."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).resolve().parent.parent
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "*.json"))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) >= 77 and set(o) <= set(q) and not any(k.startswith('op') for k in q); print('fine')"
+    said = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
+    assert said.stdout.strip().endswith("fine"), said.stderr

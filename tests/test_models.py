@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from retailspark.config import Config
@@ -156,3 +157,80 @@ def test_models_beat_the_mean_predictor(spark):
     assert var
     for b, v in var.items():
         assert fit[b].coef is not None and fit[b].mse <= v * (1 + 1e-9), (b, fit[b].mse, v)
+
+
+def _sales_rows(spark, rows):
+    return spark.createDataFrame(rows, "epoch int, store_id int, barcode string, sale_date date, amount int, temperature double, weather_resume_wmo_code int")
+
+
+def _some_sales():
+    import datetime as dt
+    import random
+
+    rng, rows = random.Random(3), []
+    for day in range(60):
+        d = dt.date(2024, 1, 1) + dt.timedelta(days=day)
+        for b in ("x", "y"):
+            for s in (1, 2):
+                late = s == 2 and 20 <= day < 40  # this store was offline; its rows come in epoch 2
+                rows.append((2 if late else (0 if day < 30 else 1), s, b, d, rng.randint(1, 30), rng.uniform(5, 35), rng.choice([0, 61, 95])))
+    rows.append((2, 1, "x", dt.date(2024, 1, 5), 7, 12.0, 0))  # one more line of a day already learned
+    rows += [(2, 3, "z", dt.date(2024, 1, 1) + dt.timedelta(days=i), 5 + i % 7, 20.0 + i % 5, 0) for i in range(40)]  # a product all of whose rows are late
+    return rows
+
+
+def test_training_by_arrival_equals_a_full_refit(spark):
+    import datetime as dt
+
+    from retailspark.operators import models as MD
+
+    as_of = dt.date(2024, 3, 1)
+    sales = _sales_rows(spark, _some_sales())
+    state = spark.createDataFrame([], "barcode string, total_examples long")
+    for since in (-1, 0, 1):
+        step = MD.train_arrivals(state, sales.where(f"epoch <= {since + 1}"), since_epoch=since, as_of=as_of)
+        state = step.select("barcode", "n", "moments", "last_date", "total_examples")
+    full = MD.train_arrivals(spark.createDataFrame([], "barcode string, total_examples long"), sales, since_epoch=-1, as_of=as_of)
+    got, want = ({r.barcode: r for r in df.collect()} for df in (step, full))
+    assert set(got) == set(want) == {"x", "y", "z"}
+    for b in want:
+        assert got[b].n == want[b].n == got[b].total_examples
+        assert np.allclose(got[b].moments, want[b].moments, rtol=1e-9) and np.allclose(got[b].coef, want[b].coef, rtol=1e-6, atol=1e-8)
+
+
+def test_daily_job_learns_and_scores_late_arrivals(spark):
+    import datetime as dt
+
+    from retailspark.plans.forecast import daily_forecast
+
+    sales = _sales_rows(spark, _some_sales())
+    stores = spark.createDataFrame([(1,), (2,), (3,)], "store_id int")
+    products = spark.createDataFrame([(b, b, "c", "i") for b in "xyz"], "barcode string, product_name string, category string, image_url string")
+    payloads = spark.createDataFrame([], "store_id int, start_date date, temperature_2m_max array<double>, temperature_2m_min array<double>, weather_code array<int>")
+    old = spark.createDataFrame([], "store_id int, barcode string, objective_date date, product_name string, category string, image_url string, prediction int, feature boolean, type string, percentage_average_deviation double")
+    common = dict(stores=stores, products=products, forecast_payloads=payloads, old_predictions=old)
+    day1 = daily_forecast(**common, sales=sales.where("epoch <= 1"), registry=spark.createDataFrame([], "barcode string, total_examples long"), as_of=dt.date(2024, 3, 1))
+    day2 = daily_forecast(**common, sales=sales, registry=day1["registry"], as_of=dt.date(2024, 3, 2), assortment=day1["assortment"], since_epoch=1)
+    assert {(r.store_id, r.barcode) for r in day2["assortment"].collect()} == {(s, b) for s in (1, 2) for b in "xy"} | {(3, "z")}
+    assert {r.barcode for r in day2["new_predictions"].collect()} == {"x", "y", "z"}
+    assert {r.last_date for r in day2["registry"].collect()} == {dt.date(2024, 3, 2)}
+    with pytest.raises(ValueError):
+        daily_forecast(**common, sales=sales, registry=day1["registry"], as_of=dt.date(2024, 3, 2), assortment=day1["assortment"])
+
+
+def test_unsold_product_does_not_hold_the_read_back(spark):
+    import datetime as dt
+
+    from retailspark.plans.forecast import daily_forecast
+
+    rows = [r[1:] for r in _some_sales() if r[0] < 2]
+    sales = spark.createDataFrame([r for r in rows if r[1] == "x" or r[2] < dt.date(2024, 2, 1)], "store_id int, barcode string, sale_date date, amount int, temperature double, weather_resume_wmo_code int")
+    common = dict(
+        sales=sales, stores=spark.createDataFrame([(1,), (2,)], "store_id int"),
+        products=spark.createDataFrame([(b, b, "c", "i") for b in "xy"], "barcode string, product_name string, category string, image_url string"),
+        forecast_payloads=spark.createDataFrame([], "store_id int, start_date date, temperature_2m_max array<double>, temperature_2m_min array<double>, weather_code array<int>"),
+        old_predictions=spark.createDataFrame([], "store_id int, barcode string, objective_date date, product_name string, category string, image_url string, prediction int, feature boolean, type string, percentage_average_deviation double"),
+    )
+    day1 = daily_forecast(**common, registry=spark.createDataFrame([], "barcode string, total_examples long"), as_of=dt.date(2024, 2, 10))
+    day2 = daily_forecast(**common, registry=day1["registry"], as_of=dt.date(2024, 2, 20), assortment=day1["assortment"], assortment_as_of=dt.date(2024, 2, 10))
+    assert {r.barcode: r.last_date for r in day2["registry"].collect()} == {"x": dt.date(2024, 2, 20), "y": dt.date(2024, 2, 20)}
