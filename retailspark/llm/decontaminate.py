@@ -34,7 +34,7 @@ _BEFORE = (
 )
 _AFTER = (
     (r"([0-9])[.,]([0-9])", "$1_$2"), (r"([0-9])[.,]([0-9])", "$1_$2"),
-    (r"([0-9]+(?:_[0-9]+)*)", "<num=$1>"),
+    (r"(^|[^\p{L}\p{N}_])([0-9]+(?:_[0-9]+)*)", "$1<num=$2>"),
     (r"(<num=[^>]*>) ?(" + "|".join(UNITS) + r")([^\p{L}\p{N}]|$)", "$1 <unit=$2>$3"),
     (r"([^ ])<", "$1 <"), (r">([^ ])", "> $1"),
     (r"[^\p{L}\p{M}\p{N}<>=_]+", " "),
@@ -47,8 +47,8 @@ def valued(text: Column) -> Column:
     ``<num=12>``, ``<name=ada>``, ``<unit=km>``; other words in lower case without
     punctuation.
 
-    A number is a run of digits with inner points or commas; a unit follows a
-    number; a name is a capitalised word after a lower-case letter, a comma or
+    A number is a run of digits with inner points or commas, not after a letter; a
+    unit follows a number; a name is a capitalised word after a lower-case letter, a comma or
     another name, so the first word of a sentence is none."""
     t = whole(text)
     for pattern, new in _BEFORE:

@@ -84,7 +84,7 @@ def test_signatures_estimate_it():
     assert not empty[0].any() and empty[1].all()
 
 
-@pytest.mark.parametrize("block", [512, 16])
+@pytest.mark.parametrize("block", [256, 16])
 def test_classes_are_those_of_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
     texts = corpus()
