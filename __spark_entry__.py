@@ -38,7 +38,7 @@ from retailspark.operators import scoring as SC  # noqa: E402
 from retailspark.operators import reports as RP  # noqa: E402
 from retailspark.session import ensure_checkpoint_dir  # noqa: E402
 from retailspark.sources import fixtures as FX  # noqa: E402
-from retailspark.sources.readers import CORRUPT, package_id, read_packages, write_packages  # noqa: E402
+from retailspark.sources.readers import CORRUPT, cut_lineage, package_id, read_packages, write_packages  # noqa: E402
 from retailspark.streaming import ingest as SI  # noqa: E402
 from retailspark.streaming import scans as SS2  # noqa: E402
 from retailspark.streaming import sessions as SE  # noqa: E402
@@ -214,11 +214,11 @@ def q_weekly_stats_all_stores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_category_breakdown(spark: SparkSession, sf: str) -> DataFrame:
-    return RP.category_breakdown(RP.worst_case_rows(_upcoming(spark, sf)))
+    return RP.category_breakdown(RP.worst_cases(_upcoming(spark, sf)))
 
 
 def q_category_proportions(spark: SparkSession, sf: str) -> DataFrame:
-    return RP.category_proportions(RP.category_breakdown(RP.worst_case_rows(_upcoming(spark, sf))))
+    return RP.category_proportions(RP.category_breakdown(RP.worst_cases(_upcoming(spark, sf))))
 
 
 def _report_results(spark: SparkSession, sf: str) -> DataFrame:
@@ -375,6 +375,21 @@ def q_train_models(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("barcode", "mode", "n", "coef", "error", "mse", "last_date")
 
 
+def q_model_optimality(spark: SparkSession, sf: str) -> DataFrame:
+    """H2: whether each product's fitted model is the minimum of its objective: the
+    gradient, recomputed from all raw training rows, vanishes."""
+    rows = _training_rows(spark, sf)
+    models = MD.solve(MD.training_moments(rows)).select("barcode", "coef")
+    rest = F.col("y") - MD.predict("coef")
+    sums = rows.join(models, "barcode").groupBy("barcode", "coef").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(rest).alias("g0"), F.avg(F.abs("y")).alias("scale"),
+        *[F.avg(rest * F.col(x)).alias(f"g{i + 1}") for i, x in enumerate(FE.FEATURE_NAMES)],
+    )
+    alpha = F.lit(Config().ridge_alpha)
+    gradient = [F.abs(F.col("g0"))] + [F.abs(F.col(f"g{i + 1}") - alpha * F.get("coef", F.lit(i + 1))) for i in range(len(FE.FEATURE_NAMES))]
+    return sums.select("barcode", "n", (F.greatest(*gradient) <= F.lit(1e-6) * (1 + F.col("scale"))).alias("is_optimal"))
+
+
 def q_training_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Cold / incremental / skipped per sold product, with its row count."""
     sales = FX.sales(spark, sf)
@@ -467,7 +482,7 @@ def q_predictions_per_store(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_prediction_replace(spark: SparkSession, sf: str) -> DataFrame:
     old = FX.predictions(spark, sf)
-    out = SC.replace_keyed(old, _score_fixed(spark, sf))
+    out = SC.replace_keyed(old, cut_lineage(_score_fixed(spark, sf)))
     return out.select(*ROWCOLS, *_dev())
 
 

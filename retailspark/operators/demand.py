@@ -3,7 +3,7 @@
 Re-aimed from the reference's synthetic-data script as a scoring projection:
 the random draws (noise, Poisson sampling, hashed product factor) are not
 reproduced; the product factor is an input column (default 1.0).  The lookup
-tables are fixed and tiny, so they are broadcast.
+tables are the caller's; Spark broadcasts them if their size allows.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def city_profiles(spark: SparkSession) -> DataFrame:
 def seasonal_temperature(df: DataFrame, cities: DataFrame, *, city: str = "city", date_col: str = "sale_date") -> DataFrame:
     """``expected_temperature = base + range * sin((month - 3) * pi / 6)``
     for the row's city (NULL for cities without a profile)."""
-    j = df.join(F.broadcast(cities.withColumnRenamed("city", city)), city, "left")
+    j = df.join(cities.withColumnRenamed("city", city), city, "left")
     angle = (F.month(F.col(date_col)) - F.lit(3)).cast("double") * F.lit(math.pi) / F.lit(6.0)
     return j.withColumn("expected_temperature", F.col("t_base") + F.sin(angle) * F.col("t_range")).drop("t_base", "t_range")
 
@@ -54,14 +54,13 @@ def expected_demand(df: DataFrame, factors: DataFrame, *, date_col: str = "sale_
                     wmo: str = "weather_resume_wmo_code", product_factor: str | None = None) -> DataFrame:
     """base(category) x product factor x weekday factor x payday factor x
     (1 + sensitivity(category) * (t - 20) / 15) x weather factor(WMO)."""
-    j = df.join(F.broadcast(factors), "category", "left")
+    j = df.join(factors, "category", "left")
     d = F.col(date_col)
     wd = F.weekday(d)
     dow = F.when(wd >= 5, F.lit(WEEKEND_FACTOR)).when(wd == 4, F.lit(FRIDAY_FACTOR)).otherwise(F.lit(1.0))
     day = F.dayofmonth(d)
     pay = F.when(day.between(13, 17) | (day >= 27), F.lit(PAYDAY_FACTOR)).otherwise(F.lit(1.0))
     tf = F.lit(1.0) + F.coalesce(F.col("sens"), F.lit(0.0)) * ((F.col(temperature) - F.lit(20.0)) / F.lit(15.0))
-    wf = F.lit(1.0)
     w = F.col(wmo)
     wf = F.when(w == 95, F.lit(WMO_FACTOR[95])).when(w == 63, F.lit(WMO_FACTOR[63])).when(w == 51, F.lit(WMO_FACTOR[51])).otherwise(F.lit(1.0))
     pf = F.coalesce(F.col(product_factor), F.lit(1.0)) if product_factor else F.lit(1.0)

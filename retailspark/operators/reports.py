@@ -87,13 +87,18 @@ def _worst_key():
     )
 
 
-def worst_case_rows(upcoming: DataFrame) -> DataFrame:
-    """One row per (store, barcode) with the largest |deviation|; ties go
-    to the featured row, then the earliest date.  ``summary_rank`` numbers the
-    rows of a store by |deviation| desc (ties: featured, date, barcode)."""
+def worst_cases(upcoming: DataFrame) -> DataFrame:
+    """One row per (store, barcode) with the largest |deviation|; ties go
+    to the featured row, then the earliest date.  One aggregate, no numbering."""
     row = F.struct(*[F.col(c) for c in ROW_FIELDS])
     w = upcoming.groupBy("store_id", "barcode").agg(F.max_by(row, _worst_key()).alias("r"))
-    w = w.select("store_id", *[F.col(f"r.{c}").alias(c) for c in ROW_FIELDS])
+    return w.select("store_id", *[F.col(f"r.{c}").alias(c) for c in ROW_FIELDS])
+
+
+def worst_case_rows(upcoming: DataFrame) -> DataFrame:
+    """``worst_cases`` with ``summary_rank``, which numbers the rows of a
+    store by |deviation| desc (ties: featured, date, barcode)."""
+    w = worst_cases(upcoming)
     order = [F.abs("percentage_average_deviation").desc(), F.col("feature").desc(), F.col("objective_date").asc(), F.col("barcode").asc()]
     return rank_within(w, ["store_id"], order, name="summary_rank")
 

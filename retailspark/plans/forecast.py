@@ -75,6 +75,9 @@ def daily_forecast(
     grid = scoring_grid(pairs, days, products)
     vp = historical_average(sales, as_of=as_of, cfg=cfg)
     fresh = score(grid, new_registry, vp, cfg=cfg)
+    if materialize:
+        # The write-back needs the rows and their keys: score once.
+        fresh = cut_lineage(fresh)
     return {
         "trained": trained,
         "registry": new_registry,

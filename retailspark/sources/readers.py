@@ -96,6 +96,10 @@ def write_table(df: DataFrame, path: str, *, partition_by: list[str] | None = No
     w.parquet(path)
 
 
+#: Partition values that a filter names one by one.
+MOST_PARTITIONS = 2_000
+
+
 def replace_keyed_on_disk(spark: SparkSession, path: str, new: DataFrame, *, keys=("store_id", "barcode"),
                           partition_col: str = "store_id") -> None:
     """A11 on a Parquet table partitioned by ``partition_col``: every key in
@@ -103,14 +107,19 @@ def replace_keyed_on_disk(spark: SparkSession, path: str, new: DataFrame, *, key
     same partition and all other partitions are untouched.
 
     Only the partitions present in ``new`` are read, merged and rewritten
-    (dynamic partition overwrite).  The merge is checkpointed first because a
-    Parquet table cannot be overwritten while the same job is still reading it.
+    (dynamic partition overwrite): up to ``MOST_PARTITIONS`` of them are named in a
+    partition filter, more of them are joined.  ``new`` is computed once.  The
+    merge is checkpointed first because a Parquet table cannot be overwritten while
+    the same job is still reading it.
     """
     from retailspark.operators.scoring import replace_keyed
 
+    new = cut_lineage(new)
     touched = new.select(partition_col).distinct()
+    names = [r[0] for r in touched.limit(MOST_PARTITIONS + 1).collect()]
     try:
-        old = spark.read.parquet(path).join(touched, partition_col, "left_semi")
+        old = spark.read.parquet(path)
+        old = old.filter(F.col(partition_col).isin(names)) if len(names) <= MOST_PARTITIONS else old.join(touched, partition_col, "left_semi")
     except Exception as e:  # first write: no table yet
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise

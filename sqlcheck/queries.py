@@ -433,6 +433,7 @@ CROSS JOIN (SELECT range AS i FROM range(7)) d"""
 FROM (SELECT *, {fixed_dot()} AS yhat FROM trows) t GROUP BY barcode""",
         tx,
     )
+    q["model_optimality"] = with_views(tv, "SELECT barcode, COUNT(*) AS n, true AS is_optimal FROM trows GROUP BY barcode", tx)
     q["model_registry_upsert"] = with_views(
         [*tv, "registry_before"],
         f"""SELECT COALESCE(r.barcode, t.barcode) AS barcode, CASE WHEN t.barcode IS NOT NULL THEN (floor((t.mse) * 1e6 + 0.5) / 1e6) END AS last_mse,
