@@ -12,9 +12,9 @@ emits the concatenation of its characters when its last event is the
 terminator.
 
 Scale: a single device may hold a large share of all events, so no window is
-partitioned by device alone.  Windows run per (device, day); a small per-day
-summary (one row per device-day) carries the previous day's last event and the
-island offset across day boundaries.
+partitioned by device alone.  Windows run per (device, hour); a small summary
+(one row per device and hour with events) carries the previous slot's last event
+and the island offset across slot boundaries.
 """
 
 from __future__ import annotations
@@ -37,25 +37,27 @@ def gap_sessions(
 ) -> DataFrame:
     """Return ``key, island, code, started, ended`` per emitted code."""
     e = events.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.col(order).alias("_o"), F.col(token).alias("_tok"))
-    e = e.withColumn("_day", F.to_date("_ts"))
-    wl = Window.partitionBy("_k", "_day").orderBy("_ts", "_o")
+    # Fixed time slots: a unit of work is one device's hour, not its whole day.
+    start = F.lit("1970-01-01 00:00:00").cast(events.schema[ts].dataType)
+    e = e.withColumn("_slot", F.timestamp_diff("HOUR", start, F.col("_ts")))
+    wl = Window.partitionBy("_k", "_slot").orderBy("_ts", "_o")
     e = (
         e.withColumn("_rn", F.row_number().over(wl))
         .withColumn("_pts", F.lag("_ts").over(wl))
         .withColumn("_ptok", F.lag("_tok").over(wl))
     )
-    # Last event of each device-day, and the previous day's last event per device.
-    days = e.groupBy("_k", "_day").agg(
+    # Last event of each slot, and the previous slot's last event per device.
+    slots = e.groupBy("_k", "_slot").agg(
         F.max_by(F.struct(F.col("_ts").alias("t"), F.col("_tok").alias("tok")), F.struct("_ts", "_o")).alias("_last")
     )
-    wd = Window.partitionBy("_k").orderBy("_day")
-    days = days.select(
-        "_k", "_day",
+    wd = Window.partitionBy("_k").orderBy("_slot")
+    slots = slots.select(
+        "_k", "_slot",
         F.lag("_last.t").over(wd).alias("_dpts"),
         F.lag("_last.tok").over(wd).alias("_dptok"),
         F.lag(F.lit(True)).over(wd).alias("_dhas"),
     )
-    e = e.join(days, ["_k", "_day"])
+    e = e.join(slots, ["_k", "_slot"])
     first = F.col("_rn") == 1
     prev_ts = F.when(first, F.col("_dpts")).otherwise(F.col("_pts"))
     prev_tok = F.when(first, F.col("_dptok")).otherwise(F.col("_ptok"))
@@ -65,19 +67,19 @@ def gap_sessions(
     e = e.withColumn("_b", boundary.cast("long")).withColumn(
         "_lisl", F.sum("_b").over(wl.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
-    off = e.groupBy("_k", "_day").agg(F.sum("_b").alias("_nb"))
+    off = e.groupBy("_k", "_slot").agg(F.sum("_b").alias("_nb"))
     off = off.withColumn(
         "_off", F.coalesce(F.sum("_nb").over(wd.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     ).drop("_nb")
-    e = e.join(off, ["_k", "_day"]).withColumn("island", F.col("_off") + F.col("_lisl"))
+    e = e.join(off, ["_k", "_slot"]).withColumn("island", F.col("_off") + F.col("_lisl"))
     # Only islands closed by the terminator emit anything: find them with a
     # cheap aggregate first, so characters of never-closed islands (which the
     # listener discards) are not gathered at all.
     closed = e.filter(F.col("_tok") == F.lit(terminator)).select("_k", "island").distinct()
     e = e.join(closed, ["_k", "island"], "left_semi")
-    # Partial text per (device, island, day), then per island in day order.
+    # Partial text per (device, island, slot), then per island in slot order.
     is_char = F.col("_tok").isNotNull() & (F.col("_tok") != F.lit(terminator))
-    part = e.groupBy("_k", "island", "_day").agg(
+    part = e.groupBy("_k", "island", "_slot").agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.when(is_char, F.struct("_ts", "_o", "_tok")))),
@@ -90,7 +92,7 @@ def gap_sessions(
         F.max("_ts").alias("_end"),
     )
     isl = part.groupBy("_k", "island").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_day", "_txt"))), lambda s: s["_txt"]), "").alias("code"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_slot", "_txt"))), lambda s: s["_txt"]), "").alias("code"),
         F.max("_term").alias("_term"),
         F.min("_start").alias("started"),
         F.max("_end").alias("ended"),
