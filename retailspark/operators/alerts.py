@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailspark.config import Config
-from retailspark.functions.numbers import clamp_round, deviation_pct
+from retailspark.functions.numbers import deviation_pct
 
 
 def classify(df: DataFrame, *, p: str = "prediction", v: str = "v_p", cfg: Config = Config()) -> DataFrame:
@@ -26,8 +26,3 @@ def classify(df: DataFrame, *, p: str = "prediction", v: str = "v_p", cfg: Confi
         .otherwise(F.lit("none"))
     )
     return out.withColumn("type", typ).withColumn("feature", F.col("type") != F.lit("none"))
-
-
-def clamp_round_column(df: DataFrame, raw: str = "raw", out: str = "prediction") -> DataFrame:
-    """B15 applied to a column."""
-    return df.withColumn(out, clamp_round(F.col(raw)))

@@ -51,10 +51,6 @@ def prediction_feed(predictions: DataFrame, *, as_of, store_id=None) -> DataFram
     )
 
 
-def feed_json(feed: DataFrame) -> DataFrame:
-    """The feed as one JSON object per row (NULL fields omitted)."""
-    return feed.select("store_id", F.to_json(F.struct(*[c for c in feed.columns if c != "store_id"])).alias("json"))
-
 
 def parse_alerts(df: DataFrame, json_col: str = "json", *, as_of) -> DataFrame:
     """Semi-structured alert records -> typed rows with the client's

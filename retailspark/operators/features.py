@@ -56,8 +56,3 @@ def feature_matrix(daily: DataFrame, *, training: bool, zero_as_missing: bool =
     keys = [k for k in ("store_id", "barcode", date_col) if k in df.columns]
     extra = [F.col("amount").cast("double").alias("y")] if training else []
     return df.select(*keys, *feature_columns(date_col=date_col), *extra)
-
-
-def with_feature_array(matrix: DataFrame, name: str = "x") -> DataFrame:
-    """Pack the ten feature columns into one ``ARRAY<DOUBLE>``."""
-    return matrix.withColumn(name, F.array(*[F.col(c) for c in FEATURE_NAMES]))
