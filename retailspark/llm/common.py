@@ -63,7 +63,7 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def bounded_batches(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+def bounded_batches(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
     """``df``, after telling the session to hand Python at most ``most_bytes`` at
     once: with the usual count of rows alone, a batch of long texts has no bound."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -73,7 +73,7 @@ def features(texts: list[str], terms: dict[str, float], known: dict[str, float])
         for at, w in enumerate(words):
             weight = known.get(w)
             if weight is None:
-                if len(known) > 300_000:
+                if len(known) > 200_000:
                     known.clear()
                 # Fixed words carry a mark of their own; 0 is none at all.
                 weight = known[w] = -1.0 - _weight(w, terms) if w in INSULTS else 1e6 if w in SECOND_PERSON else _weight(w, terms)
