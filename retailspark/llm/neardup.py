@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retailspark.llm.common import materialize, whole
+from retailspark.llm.common import bounded_batches, materialize, whole
 from retailspark.llm.components import connected_components
 from retailspark.llm.probminhash import mix, probability_jaccard, shingle_hashes, signatures, weighted_set
 
@@ -39,7 +39,7 @@ REGISTERS = BANDS * ROWS
 #: similarity less 3.2 standard deviations of the estimate.
 CUT = SIMILARITY - 3.2 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 #: Members of a block, and shingles of a block's texts.
-BLOCK, BLOCK_SHINGLES = 512, 400_000
+BLOCK, BLOCK_SHINGLES = 256, 400_000
 #: Characters of texts that a Python worker handles at once.
 CHUNK = 2_000_000
 
@@ -80,7 +80,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ``signature`` and ``buckets`` of every row; no buckets without words."""
     rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text")).withColumn("key", F.unhex(F.sha2("text", 256)))
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInPandas(_sign, f"id {kind}, key binary, size int, signature binary, buckets array<bigint>")
+    return bounded_batches(rows).mapInPandas(_sign, f"id {kind}, key binary, size int, signature binary, buckets array<bigint>")
 
 
 def _in_blocks(members: DataFrame, group: str, blocks: Column) -> DataFrame:
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     located = sized.join(extent, "component")
     with_text = docs.select(F.col(id_col).cast("long").alias("id"), whole(F.col(text_col)).alias("text")).join(located, "id")
     pairs = _in_blocks(with_text, "component", F.col("blocks")).select("component", "i", "j", "id", "signature", "text")
-    links = pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "id").mapInPandas(_verified, "a long, b long")
+    links = bounded_batches(pairs).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "id").mapInPandas(_verified, "a long, b long")
     classes = materialize(connected_components(materialize(links, "links")), "classes")
 
     named = copies.join(classes, F.col("first") == F.col("node"), "left").select("key", F.coalesce("component", "first").alias("class_id"))
