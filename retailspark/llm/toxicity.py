@@ -107,14 +107,19 @@ def features(texts: list[str], terms: dict[str, float], known: dict[str, float])
 
 def learn_terms(sample: DataFrame) -> dict[str, float]:
     """Words and beginnings that the toxic texts of (text, label) have far more
-    often.  Counted by Spark; at most ``MOST_TERMS`` reach the driver."""
+    often.  Counted by Spark; at most ``MOST_TERMS`` reach the driver.
+
+    Near copies of one text are one witness: texts of a label count once for each
+    pair of least word hashes, which texts of nearly the same words share."""
     words = F.filter(F.array_distinct(F.split(F.lower(whole(F.col("text"))), r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
     stems = [F.transform(F.filter(words, lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.substring(w, 1, k)) for k in STEMS]
     terms = F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(w, F.lit("$"))), *stems))
-    size = sample.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
+    least = [F.array_min(F.transform(words, lambda w, seed=seed: F.xxhash64(F.lit(seed), w))) for seed in (1, 2)]
+    sample = sample.select("label", F.xxhash64(*least).alias("witness"), terms.alias("terms"))
+    size = sample.select("label", "witness").distinct().agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
     if not size["toxic"] or not size["clean"]:
         return {}
-    counts = sample.select("label", F.explode(terms).alias("term")).groupBy("term").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    counts = sample.select("label", "witness", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     lift = (F.col("toxic") / float(size["toxic"])) / ((F.col("clean") + 0.5) / float(size["clean"]))
     best = counts.withColumn("lift", lift).where((F.col("toxic") >= LEAST_TEXTS) & (F.col("lift") >= LEAST_LIFT)).orderBy(F.desc("lift"), "term").limit(MOST_TERMS)
     return {r["term"]: float(np.log(r["lift"])) for r in best.collect()}
