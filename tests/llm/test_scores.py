@@ -141,3 +141,14 @@ def test_convolution_covers_all_bytes():
     a, b = net.probability(long)
     assert a != b  # the end counts
     assert net.probability(long + [b""])[:2] == pytest.approx([a, b], rel=1e-5)
+
+
+def test_near_copies_teach_no_words(spark):
+    rng = random.Random(9)
+    words = lambda n, seed: [w.translate(str.maketrans("0123456789", "abcdefghij")) + "y" for w in edge.words(n, seed)]
+    base = words(60, 1) + ["peculiar"]
+    rows = [(" ".join(base[:-1] + [f"v{i}"] + base[-1:]), 1) for i in range(40)]  # copies of one toxic text
+    rows += [(" ".join(words(40, 100 + i) + (["scoundrel"] if i % 2 else [])), i % 2) for i in range(200)]
+    rng.shuffle(rows)
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, label int"))
+    assert "scoundrel$" in terms and "peculiar$" not in terms
