@@ -21,6 +21,8 @@ COVERAGE = 0.8
 LITERALS = 2
 #: Up to this many benchmark windows (16 bytes each) are broadcast.
 BROADCAST_WINDOWS = 1_000_000
+#: Up to this many hits (some 40 bytes each) go with their documents' ids to every task.
+BROADCAST_HITS = 500_000
 # The units, longest first.
 UNITS = "kilometers kilometres kilograms centimeters millimeters minutes seconds dollars percent meters metres litres liters hours grams euros miles pounds years weeks days feet inches usd eur gbp kmh mph km kg cm mm ml mg lb oz ft".split()
 
@@ -134,11 +136,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     hits = hits.join(likely, hits["doc"].eqNullSafe(likely["doc"]) & (hits["item"] == likely["item"]), "left_semi")
     hits = materialize(hits, "likely-hits")
 
-    places = materialize(hits.groupBy("doc").agg(F.collect_set("at").alias("places")), "places")
-    read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(_small(places, BROADCAST_WINDOWS // 10), F.col("_id").eqNullSafe(F.col("doc")))
+    # Of a document its hits together: at most one for each of its windows and item.
+    places = materialize(hits.groupBy("doc").agg(F.collect_set(F.struct("at", "item", "item_at", "n_windows")).alias("places")), "places")
+    near = F.broadcast(places) if hits.count() <= BROADCAST_HITS else places.hint("merge")
+    read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(near, F.col("_id").eqNullSafe(F.col("doc")))
     windows = _template(read.drop("doc"), "_id", "_text", ["doc", "places"])
-    windows = windows.select("doc", F.inline(F.transform("places", lambda i: F.struct(i.alias("at"), _window(i).alias("window")))))
-    met = windows.join(hits, windows["doc"].eqNullSafe(hits["doc"]) & (windows["at"] == hits["at"])).select(hits["*"], "window").join(items.select("item", "item_at", "item_window"), ["item", "item_at"])
+    cut = lambda h: F.struct(*[h[c].alias(c) for c in ("at", "item", "item_at", "n_windows")], _window(h["at"]).alias("window"))
+    met = windows.select("doc", F.inline(F.transform("places", cut))).join(_small(items.select("item", "item_at", "item_window"), BROADCAST_WINDOWS), ["item", "item_at"])
     met = met.where(words_of(F.col("window")) == words_of(F.col("item_window")))
     slots = F.filter(F.transform(F.arrays_zip("item_window", "window"), lambda s: F.struct(s["item_window"].alias("item_value"), s["window"].alias("doc_value"))), lambda s: s["item_value"].startswith("<"))
     met = met.select("doc", "item", "n_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), slots.alias("slots"))
