@@ -69,8 +69,8 @@ def time_to_seconds(t: Column | str) -> Column:
     NULL for anything else, so that one bad value costs its own row only."""
     t = F.trim(_c(t))
     pattern = r"^(?:\d{4}-\d{2}-\d{2} )?([01]\d|2[0-3]):([0-5]\d):([0-5]\d)$"
-    part = lambda i: F.regexp_extract(t, pattern, i).cast("int")
-    return F.when(t.rlike(pattern), part(1) * 3600 + part(2) * 60 + part(3))
+    part = lambda at: F.substring(t, at, 2).try_cast("int")
+    return F.when(t.rlike(pattern), part(-8) * 3600 + part(-5) * 60 + part(-2))
 
 
 def half_hour_floor(t: Column | str) -> Column:
