@@ -28,7 +28,8 @@ UNITS = "kilometers kilometres kilograms centimeters millimeters minutes seconds
 
 
 # Rewriting steps in order: pattern, replacement.  No look-around, so that other
-# regex engines agree.
+# regex engines agree.  Java runs a greedy loop over a group by recursion, a
+# possessive one (*+) not; nothing follows it, so the greedy form matches the same.
 _NAMES = (r"([\p{Ll}>,;] )(\p{Lu}\p{Ll}+)", r"$1<name=$2>")
 _BEFORE = (
     (r"[<>=_\x20\x09-\x0D]+", " "),
@@ -36,7 +37,7 @@ _BEFORE = (
 )
 _AFTER = (
     (r"([0-9])[.,]([0-9])", "$1_$2"), (r"([0-9])[.,]([0-9])", "$1_$2"),
-    (r"(^|[^\p{L}\p{N}_])([0-9]+(?:_[0-9]+)*)", "$1<num=$2>"),
+    (r"(^|[^\p{L}\p{N}_])([0-9]+(?:_[0-9]+)*+)", "$1<num=$2>"),
     (r"(<num=[^>]*>) ?(" + "|".join(UNITS) + r")([^\p{L}\p{N}]|$)", "$1 <unit=$2>$3"),
     (r"([^ ])<", "$1 <"), (r">([^ ])", "> $1"),
     (r"[^\p{L}\p{M}\p{N}<>=_]+", " "),
@@ -171,6 +172,7 @@ def _oracle() -> str:
             t = f"regexp_replace({t}, '{pattern}', '{new.replace('$', chr(92))}', 'g')"
         t = f"lower({t})"
         for pattern, new in _AFTER:
+            pattern = pattern.replace("*+", "*")
             t = f"regexp_replace({t}, '{pattern}', '{new.replace('$', chr(92))}', 'g')"
         return f"trim({t})"
 

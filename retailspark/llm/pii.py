@@ -25,9 +25,10 @@ from retailspark.llm.common import materialize, whole
 from retailspark.llm.spans import SPAN, find_spans, in_order
 
 # The base kinds.  Look-behinds and possessive runs keep the
-# matches of the plain patterns but spare retries inside one long run.
+# matches of the plain patterns but spare retries inside one long run; a loop over
+# a group that isn't possessive runs by recursion, which a long run would exhaust.
 BASE = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",

@@ -87,3 +87,10 @@ def test_oracle_on_made_up_rows(spark, tmp_path):
     con.executemany("insert into benchmark values (?, ?)", list(enumerate(items)))
     want = con.sql(D.ORACLE).select("doc_id, item_id, matched, n_windows, coverage, reparameterised").fetchall()
     assert got == sorted(want) and len(got) > 50
+
+
+def test_long_runs_of_numbers(spark):
+    run = ",".join(str(i) for i in range(30_000))
+    dotted = ".".join(str(i) for i in range(30_000))
+    got = pairs(spark, [f"{run} {ITEM} {dotted}", run, dotted], [ITEM])
+    assert set(got) == {(0, 0)} and got[(0, 0)].coverage == 1.0

@@ -141,3 +141,9 @@ def test_empty_and_edge_tables(spark):
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_long_dotted_domain(spark):
+    text = "write to a@b" + ".c" * 30_000 + " or x@y.zz"
+    got = pii.find_personal(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(show(pii.F.col("base")).alias("s")).collect()
+    assert got[0].s == shown(plain(text, PERSONAL))
