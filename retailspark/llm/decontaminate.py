@@ -62,6 +62,11 @@ def valued(text: Column) -> Column:
     return F.trim(t)
 
 
+def _text_key(text: Column) -> Column:
+    """A digest of the text: rows are judged by id and text, so a null or repeated id is no group."""
+    return F.unhex(F.sha2(whole(text), 256))
+
+
 def _template(docs: DataFrame, id_col: str, text_col: str, kept: list[str]) -> DataFrame:
     """``kept`` (the id first), ``_values`` (the words with slot values) and
     ``_hashes`` (of the words without); both empty for a text without words."""
@@ -111,59 +116,67 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                       item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """Pairs of a document and a benchmark item that it contains: the id, ``item_id``,
-    ``matched`` of ``n_windows`` windows, ``coverage`` and ``reparameterised`` (some
-    slot has another value than the item's).
-
-    An alignment is a distance between the two positions of a window; it counts
-    if each value of the item has become one value of the document.  A pair is
-    returned if the alignments that count cover ``coverage`` of the item.
-
-    First all windows of all texts meet the benchmark's by hash, with nothing but
-    id and position.  Only documents that hold enough of an item's hashes are
-    then read again for the words and values of those windows.
-
-    Null, empty and wordless texts are in no pair.  An item of fewer words than a
-    window is found only in a document of just those words.  Rows that repeat an
-    id are read as one document; repeated items are returned as the smallest id;
-    items without a window of ``LITERALS`` literal words can't be found."""
+def _pairs(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+           item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """The pairs of ``find_contamination`` with the id as ``doc`` and ``text_key``."""
     items = materialize(benchmark_windows(benchmark, id_col=item_id, text_col=item_text), "benchmark-windows")
-    template = lambda rows, kept: _template(rows, id_col, text_col, kept)
-    hashes = template(docs, ["doc"]).select("doc", F.inline(F.transform(_starts("_hashes"), lambda i: F.struct(i.alias("at"), _hash(i).alias("hash")))))
+    keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"), _text_key(F.col(text_col)).alias("text_key"))
+    hashes = _template(keyed, "doc", "_text", ["doc", "text_key"]).select("doc", "text_key", F.inline(F.transform(_starts("_hashes"), lambda i: F.struct(i.alias("at"), _hash(i).alias("hash")))))
     hits = materialize(hashes.join(_small(items.select("hash", "item", "item_at", "n_windows"), BROADCAST_WINDOWS), "hash").drop("hash"), "window-hits")
-    likely = hits.groupBy("doc", "item", "n_windows").agg(F.count_distinct("item_at").alias("n")).where(F.col("n") >= F.col("n_windows") * coverage).select("doc", "item")
-    hits = hits.join(likely, hits["doc"].eqNullSafe(likely["doc"]) & (hits["item"] == likely["item"]), "left_semi")
+    likely = hits.groupBy("doc", "text_key", "item", "n_windows").agg(F.count_distinct("item_at").alias("n")).where(F.col("n") >= F.col("n_windows") * coverage).select("doc", "text_key", "item")
+    hits = hits.join(likely, hits["doc"].eqNullSafe(likely["doc"]) & (hits["text_key"] == likely["text_key"]) & (hits["item"] == likely["item"]), "left_semi")
     hits = materialize(hits, "likely-hits")
 
     # Of a document its hits together: at most one for each of its windows and item.
-    places = materialize(hits.groupBy("doc").agg(F.collect_set(F.struct("at", "item", "item_at", "n_windows")).alias("places")), "places")
+    places = materialize(hits.groupBy(F.col("doc").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_set(F.struct("at", "item", "item_at", "n_windows")).alias("places")), "places")
     near = F.broadcast(places) if hits.count() <= BROADCAST_HITS else places.hint("merge")
-    read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(near, F.col("_id").eqNullSafe(F.col("doc")))
-    windows = _template(read.drop("doc"), "_id", "_text", ["doc", "places"])
+    read = keyed.join(near, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")))
+    windows = _template(read, "doc", "_text", ["doc", "text_key", "places"])
     cut = lambda h: F.struct(*[h[c].alias(c) for c in ("at", "item", "item_at", "n_windows")], _window(h["at"]).alias("window"))
-    met = windows.select("doc", F.inline(F.transform("places", cut))).join(_small(items.select("item", "item_at", "item_window"), BROADCAST_WINDOWS), ["item", "item_at"])
+    met = windows.select("doc", "text_key", F.inline(F.transform("places", cut))).join(_small(items.select("item", "item_at", "item_window"), BROADCAST_WINDOWS), ["item", "item_at"])
     met = met.where(words_of(F.col("window")) == words_of(F.col("item_window")))
     slots = F.filter(F.transform(F.arrays_zip("item_window", "window"), lambda s: F.struct(s["item_window"].alias("item_value"), s["window"].alias("doc_value"))), lambda s: s["item_value"].startswith("<"))
-    met = met.select("doc", "item", "n_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), slots.alias("slots"))
+    met = met.select("doc", "text_key", "item", "n_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), slots.alias("slots"))
     # A group has at most a row for each window of the item.
-    aligned = met.groupBy("doc", "item", "n_windows", "shift").agg(F.collect_set("item_at").alias("covers"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    aligned = met.groupBy("doc", "text_key", "item", "n_windows", "shift").agg(F.collect_set("item_at").alias("covers"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     one_each = F.size(F.array_distinct(F.transform("slots", lambda s: s["item_value"]))) == F.size("slots")
     changed = F.exists("slots", lambda s: s["item_value"] != s["doc_value"])
     pairs = (
-        aligned.where(one_each).groupBy("doc", "item", "n_windows")
+        aligned.where(one_each).groupBy("doc", "text_key", "item", "n_windows")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("covers")))).cast("long").alias("matched"), F.max(changed).alias("reparameterised"))
         .withColumn("coverage", F.col("matched") / F.col("n_windows"))
     )
-    return pairs.where(F.col("coverage") >= coverage).select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), "matched", "n_windows", "coverage", "reparameterised")
+    return pairs.where(F.col("coverage") >= coverage)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """Pairs of a document and a benchmark item that it contains: the id, ``item_id``,
+    ``matched`` of ``n_windows`` windows, ``coverage`` and ``reparameterised`` (some
+    slot has another value than the item's).
+
+    An alignment is a distance between the two positions of a window; it counts
+    if each value of the item has become one value of the document.  A pair is
+    returned if the alignments that count cover ``coverage`` of the item.
 
+    First all windows of all texts meet the benchmark's by hash, with nothing but
+    id and position.  Only documents that hold enough of an item's hashes are
+    then read again for the words and values of those windows.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is in no pair of ``find_contamination``, all columns."""
-    found = find_contamination(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_contaminated")).distinct()
+    Null, empty and wordless texts are in no pair.  An item of fewer words than a
+    window is found only in a document of just those words.  A document is an id
+    with its text: rows that repeat both are one, other texts of the same id (or
+    of a null id) are judged by themselves and have their own pairs.  Repeated
+    items are returned as the smallest id; items without a window of ``LITERALS``
+    literal words can't be found."""
+    found = _pairs(docs, benchmark, id_col=id_col, **options)
+    return found.select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), "matched", "n_windows", "coverage", "reparameterised")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id and text are in no pair of ``find_contamination``, all columns."""
+    found = _pairs(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc").alias("_contaminated"), F.col("text_key").alias("_contaminated_key")).distinct()
     found = materialize(found, "contaminated")
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_contaminated")), "left_anti")
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_contaminated")) & (_text_key(F.col(text_col)) == F.col("_contaminated_key")), "left_anti")
 
 
 def _oracle() -> str:

@@ -94,3 +94,16 @@ def test_long_runs_of_numbers(spark):
     dotted = ".".join(str(i) for i in range(30_000))
     got = pairs(spark, [f"{run} {ITEM} {dotted}", run, dotted], [ITEM])
     assert set(got) == {(0, 0)} and got[(0, 0)].coverage == 1.0
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    item = " ".join(edge.words(40, 9))
+    w = item.split()
+    filler = " ".join(edge.words(300, 10))
+    rows = [(None, f"{filler} {item}"), (None, filler), (None, None), (7, " ".join(w[:20])), (7, " ".join(w[16:])), (8, ITEM), (8, "clean"), (9, ITEM.replace("60", "95")), (9, ITEM.replace("60", "96"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item), (1, ITEM)], "item_id long, text string")
+    found = D.find_contamination(docs, bench).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, found), key=str) == [(8, 1), (9, 1), (9, 1), (None, 0)]
+    left = D.decontaminate(docs, bench).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([rows[k] for k in (1, 2, 3, 4, 6)], key=str)
