@@ -43,40 +43,54 @@ _AFTER = (
     (r"[^\p{L}\p{M}\p{N}<>=_]+", " "),
 )
 _SLOT = r"=[^>]*>"
+#: Other capitalised words, as those that open a text or a sentence, are marked:
+#: they may be names or not.  (Spark only; ``ORACLE`` has the words unmarked.)
+_MAYBE = (r"(^|[^\p{L}\p{M}\p{N}<=_])(\p{Lu}\p{Ll}+)", "$1=$2")
 
 
-def valued(text: Column) -> Column:
+def marked(text: Column) -> Column:
     """The canonical words, blank-separated, with the values of their slots:
     ``<num=12>``, ``<name=ada>``, ``<unit=km>``; other words in lower case without
-    punctuation.
+    punctuation, after a ``=`` if they were capitalised.
 
     A number is a run of digits with inner points or commas, not after a letter; a
     unit follows a number; a name is a capitalised word after a lower-case letter, a comma or
-    another name, so the first word of a sentence is none."""
+    another name.  Where another capitalised word stands, as at the start of a
+    sentence, it has two readings: the word, or a name."""
     t = whole(text)
-    for pattern, new in _BEFORE:
+    for pattern, new in (*_BEFORE, _MAYBE):
         t = F.regexp_replace(t, pattern, new)
     t = F.lower(t)
     for pattern, new in _AFTER:
-        t = F.regexp_replace(t, pattern, new)
+        t = F.regexp_replace(t, pattern.replace(" ?(", " ?=?("), new)
     return F.trim(t)
 
 
+def valued(text: Column) -> Column:
+    """The canonical words without marks."""
+    return F.regexp_replace(marked(text), "(^| )=", "$1")
+
+
 def _text_key(text: Column) -> Column:
     """A digest of the text: rows are judged by id and text, so a null or repeated id is no group."""
     return F.unhex(F.sha2(whole(text), 256))
 
 
 def _template(docs: DataFrame, id_col: str, text_col: str, kept: list[str]) -> DataFrame:
-    """``kept`` (the id first), ``_values`` (the words with slot values) and
-    ``_hashes`` (of the words without); both empty for a text without words."""
-    rows = docs.select(F.col(id_col).alias(kept[0]), *kept[1:], valued(F.col(text_col)).alias("_valued"))
-    some = F.col("_valued") != ""
-    words = F.split(F.regexp_replace("_valued", _SLOT, ">"), " ")
+    """``kept`` (the id first), ``_tokens`` (the marked words with slot values),
+    ``_hashes`` (of the words without values and marks), ``_others`` (the same, with
+    marked words as names) and ``_maybe`` (the places of marked words); all empty
+    for a text without words."""
+    rows = docs.select(F.col(id_col).alias(kept[0]), *kept[1:], marked(F.col(text_col)).alias("_marked"))
+    some = F.col("_marked") != ""
+    words = F.split(F.regexp_replace("_marked", "(<[a-z]+)=[^>]*", "$1"), " ")
+    or_none = lambda array, kind: F.when(some, array).otherwise(F.array().cast(f"array<{kind}>"))
     return rows.select(
         *kept,
-        F.when(some, F.split("_valued", " ")).otherwise(F.array().cast("array<string>")).alias("_values"),
-        F.when(some, F.transform(words, lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")).alias("_hashes"),
+        or_none(F.split("_marked", " "), "string").alias("_tokens"),
+        or_none(F.transform(words, lambda w: F.xxhash64(F.when(w.startswith("="), F.substr(w, F.lit(2))).otherwise(w))), "bigint").alias("_hashes"),
+        or_none(F.transform(words, lambda w: F.xxhash64(F.when(w.startswith("="), F.lit("<name>")).otherwise(w))), "bigint").alias("_others"),
+        or_none(F.filter(F.transform(words, lambda w, i: F.when(w.startswith("="), i + 1)), lambda i: i.isNotNull()), "int").alias("_maybe"),
     )
 
 
@@ -85,13 +99,28 @@ def _starts(words: str) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
 
-def _hash(i: Column) -> Column:
+def _maybe_starts(words: str) -> Column:
+    """Of the windows with a marked word."""
+    last = F.greatest(F.size(words) - WINDOW + 1, F.lit(1))
+    return F.array_distinct(F.flatten(F.transform("_maybe", lambda p: F.sequence(F.greatest(p - WINDOW + 1, F.lit(1)), F.least(p, last)))))
+
+
+def _hash(i: Column, hashes: str) -> Column:
     # The hashes of words, not the words, are combined: a window costs five numbers.
-    return F.xxhash64(*[F.get("_hashes", i - 1 + k) for k in range(WINDOW)])
+    return F.xxhash64(*[F.get(hashes, i - 1 + k) for k in range(WINDOW)])
+
+
+def _window(i: Column, named: Column) -> Column:
+    """The words with slot values, marked ones as names if ``named``."""
+    name = lambda w: F.when(named, F.concat(F.lit("<name="), F.substr(w, F.lit(2)), F.lit(">"))).otherwise(F.substr(w, F.lit(2)))
+    return F.transform(F.slice("_tokens", i, F.lit(WINDOW)), lambda w: F.when(w.startswith("="), name(w)).otherwise(w))
 
 
-def _window(i: Column) -> Column:
-    return F.slice("_values", i, F.lit(WINDOW))
+def _readings(fields) -> Column:
+    """``fields`` (at, named, hashes) of every window, and again with ``named`` of
+    those that have a marked word."""
+    each = lambda starts, named, hashes: F.transform(starts, lambda i: F.struct(*fields(i, F.lit(named), hashes)))
+    return F.inline(F.concat(each(_starts("_hashes"), False, "_hashes"), each(_maybe_starts("_hashes"), True, "_others")))
 
 
 def words_of(window: Column) -> Column:
@@ -101,14 +130,15 @@ def words_of(window: Column) -> Column:
 
 def benchmark_windows(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """The benchmark's windows with at least ``LITERALS`` literal words: ``hash``,
-    ``item``, ``item_at``, ``item_window`` and ``n_windows`` of the item.  Items with
+    ``item``, ``item_at``, ``item_named`` (the reading of marked words),
+    ``item_window`` and ``n_windows`` of the item, a window of two readings once.  Items with
     the same words and values are one, the smallest id."""
     items = benchmark.select(F.struct(F.col(id_col).alias("item"), F.col(text_col).alias("text")).alias("i")).groupBy(valued(F.col("i.text"))).agg(F.min("i").alias("i"))
-    each = F.transform(_starts("_values"), lambda i: F.struct(i.alias("item_at"), _hash(i).alias("hash"), _window(i).alias("item_window")))
-    rows = _template(items.select("i.item", "i.text"), "item", "text", ["item"]).select("item", F.inline(each))
+    each = _readings(lambda i, named, hashes: (i.alias("item_at"), named.alias("item_named"), _hash(i, hashes).alias("hash"), _window(i, named).alias("item_window")))
+    rows = _template(items.select("i.item", "i.text"), "item", "text", ["item"]).select("item", each)
     literal = F.size(F.filter("item_window", lambda w: ~w.startswith("<")))
     rows = rows.where(literal >= F.least(F.lit(LITERALS), F.size("item_window")))
-    return rows.join(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n_windows")), "item")
+    return rows.join(rows.where("not item_named").groupBy("item").agg(F.count(F.lit(1)).alias("n_windows")), "item")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -121,29 +151,42 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", tex
     """The pairs of ``find_contamination`` with the id as ``doc`` and ``text_key``."""
     items = materialize(benchmark_windows(benchmark, id_col=item_id, text_col=item_text), "benchmark-windows")
     keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"), _text_key(F.col(text_col)).alias("text_key"))
-    hashes = _template(keyed, "doc", "_text", ["doc", "text_key"]).select("doc", "text_key", F.inline(F.transform(_starts("_hashes"), lambda i: F.struct(i.alias("at"), _hash(i).alias("hash")))))
-    hits = materialize(hashes.join(_small(items.select("hash", "item", "item_at", "n_windows"), BROADCAST_WINDOWS), "hash").drop("hash"), "window-hits")
+    hashes = _template(keyed, "doc", "_text", ["doc", "text_key"]).select("doc", "text_key", _readings(lambda i, named, hashes: (i.alias("at"), named.alias("named"), _hash(i, hashes).alias("hash"))))
+    hits = materialize(hashes.join(_small(items.select("hash", "item", "item_at", "item_named", "n_windows"), BROADCAST_WINDOWS), "hash").drop("hash"), "window-hits")
     likely = hits.groupBy("doc", "text_key", "item", "n_windows").agg(F.count_distinct("item_at").alias("n")).where(F.col("n") >= F.col("n_windows") * coverage).select("doc", "text_key", "item")
     hits = hits.join(likely, hits["doc"].eqNullSafe(likely["doc"]) & (hits["text_key"] == likely["text_key"]) & (hits["item"] == likely["item"]), "left_semi")
     hits = materialize(hits, "likely-hits")
 
-    # Of a document its hits together: at most one for each of its windows and item.
-    places = materialize(hits.groupBy(F.col("doc").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_set(F.struct("at", "item", "item_at", "n_windows")).alias("places")), "places")
+    # Of a document its hits together: at most one for each reading of its windows and item.
+    place = ("at", "named", "item", "item_at", "item_named", "n_windows")
+    places = materialize(hits.groupBy(F.col("doc").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_set(F.struct(*place)).alias("places")), "places")
     near = F.broadcast(places) if hits.count() <= BROADCAST_HITS else places.hint("merge")
     read = keyed.join(near, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")))
     windows = _template(read, "doc", "_text", ["doc", "text_key", "places"])
-    cut = lambda h: F.struct(*[h[c].alias(c) for c in ("at", "item", "item_at", "n_windows")], _window(h["at"]).alias("window"))
-    met = windows.select("doc", "text_key", F.inline(F.transform("places", cut))).join(_small(items.select("item", "item_at", "item_window"), BROADCAST_WINDOWS), ["item", "item_at"])
+    cut = lambda h: F.struct(*[h[c].alias(c) for c in place], _window(h["at"], h["named"]).alias("window"))
+    met = windows.select("doc", "text_key", F.inline(F.transform("places", cut))).join(_small(items.select("item", "item_at", "item_named", "item_window"), BROADCAST_WINDOWS), ["item", "item_at", "item_named"])
     met = met.where(words_of(F.col("window")) == words_of(F.col("item_window")))
     slots = F.filter(F.transform(F.arrays_zip("item_window", "window"), lambda s: F.struct(s["item_window"].alias("item_value"), s["window"].alias("doc_value"))), lambda s: s["item_value"].startswith("<"))
-    met = met.select("doc", "text_key", "item", "n_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), slots.alias("slots"))
-    # A group has at most a row for each window of the item.
-    aligned = met.groupBy("doc", "text_key", "item", "n_windows", "shift").agg(F.collect_set("item_at").alias("covers"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    met = met.select("doc", "text_key", "item", "n_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), (F.col("named") | F.col("item_named")).alias("as_names"), slots.alias("slots"))
+    # A group has at most a row for each reading of the item's windows.  Its windows
+    # are judged without the readings as names and with them: an opener that changed
+    # more than once spoils only the latter.
+    group = ("doc", "text_key", "item", "n_windows", "shift")
+    aligned = met.groupBy(*group).agg(F.collect_set(F.struct("item_at", "as_names", "slots")).alias("met"))
+    aligned = aligned.select(*group, F.posexplode(F.array(F.filter("met", lambda m: ~m["as_names"]), F.col("met"))).alias("both", "met")).where(F.size("met") > 0)
+    aligned = aligned.select(*group, "both", F.transform("met", lambda m: m["item_at"]).alias("covers"), F.array_distinct(F.flatten(F.transform("met", lambda m: m["slots"]))).alias("slots"))
     one_each = F.size(F.array_distinct(F.transform("slots", lambda s: s["item_value"]))) == F.size("slots")
     changed = F.exists("slots", lambda s: s["item_value"] != s["doc_value"])
+    words_only = F.col("both") == 0
+    covered = lambda covers: F.size(F.array_distinct(F.flatten(F.collect_list(covers)))).cast("long")
     pairs = (
         aligned.where(one_each).groupBy("doc", "text_key", "item", "n_windows")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("covers")))).cast("long").alias("matched"), F.max(changed).alias("reparameterised"))
+        .agg(
+            F.struct(covered(F.when(words_only, F.col("covers"))).alias("matched"), F.max(F.when(words_only, changed)).alias("reparameterised")).alias("words"),
+            F.struct(covered(F.col("covers")).alias("matched"), F.max(changed).alias("reparameterised")).alias("names"),
+        )
+        .withColumn("found", F.when(F.col("words.matched") / F.col("n_windows") >= coverage, F.col("words")).otherwise(F.col("names")))
+        .select("doc", "text_key", "item", "n_windows", "found.*")
         .withColumn("coverage", F.col("matched") / F.col("n_windows"))
     )
     return pairs.where(F.col("coverage") >= coverage)
@@ -155,8 +198,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     slot has another value than the item's).
 
     An alignment is a distance between the two positions of a window; it counts
-    if each value of the item has become one value of the document.  A pair is
-    returned if the alignments that count cover ``coverage`` of the item.
+    if each value of the item has become one value of the document.  A capitalised
+    word that opens a sentence is read as a word and as a name.  A pair is
+    returned if the alignments that count cover ``coverage`` of the item; the
+    figures are those of the reading as words if that suffices (``ORACLE`` knows
+    only that one), else of both readings.
 
     First all windows of all texts meet the benchmark's by hash, with nothing but
     id and position.  Only documents that hold enough of an item's hashes are

@@ -107,3 +107,18 @@ def test_texts_of_one_id_are_judged_apart(spark):
     assert sorted(map(tuple, found), key=str) == [(8, 1), (9, 1), (9, 1), (None, 0)]
     left = D.decontaminate(docs, bench).collect()
     assert sorted(map(tuple, left), key=str) == sorted([rows[k] for k in (1, 2, 3, 4, 6)], key=str)
+
+
+def test_names_that_open_a_sentence(spark):
+    tom = "Tom has 12 apples. Tom buys 7 more. Tom eats 2. How many apples does Tom have?"
+    opener = "Mary had a little lamb. Its fleece was white as snow."
+    texts = [
+        tom.replace("Tom", "Anna"),
+        f"We ask: {tom.replace('Tom', 'Anna').replace('12', '30')} And so on.",
+        tom,
+        tom.replace("Tom has", "Anna has").replace("Tom buys", "Bob buys").replace("Tom eats", "Eve eats"),  # one name became several
+        f"So said Mary. {opener} There went Mary.",
+    ]
+    got = pairs(spark, texts, [tom, opener])
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (4, 1)} and all(r.coverage == 1.0 for r in got.values())
+    assert {k for k, r in got.items() if r.reparameterised} == {(0, 0), (1, 0)}
