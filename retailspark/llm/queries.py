@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from retailspark.llm import decontaminate, language, mixing, neardup, neighbours, pii, quality, secrets, toxicity, urls
+from retailspark.llm import decontaminate, language, mixing, neardup, neighbours, pii, quality, secrets, simhash, toxicity, urls
 from retailspark.llm.common import crc_mod, read_table
 from retailspark.llm.spans import show
 
@@ -97,6 +97,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and the smallest id that links of near fingerprints reach."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over ``documents``."""
     return corpus_pipeline.run(spark, sf_dir)

@@ -2,8 +2,8 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = [f"op{i}_" for i in range(1, 11)]
-WITHOUT_SQL = {"op2_toxicity", "op3_pii", "op5_neighbours", "op7_minhash", "op8_urls", "op9_quality", "op10_language", "pipeline"}
+NAMES = [f"op{i}_" for i in range(1, 12)]
+WITHOUT_SQL = {"op2_toxicity", "op3_pii", "op5_neighbours", "op7_minhash", "op8_urls", "op9_quality", "op10_language", "op11_simhash", "pipeline"}
 
 
 def test_one_query_for_each_operator():
