@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from retailspark.llm import decontaminate, language, mixing, neardup, neighbours, pii, quality, secrets, simhash, toxicity, urls
+from retailspark.llm import clustering, decontaminate, divergence, language, mixing, neardup, neighbours, pii, quality, secrets, simhash, toxicity, urls
 from retailspark.llm.common import crc_mod, read_table
 from retailspark.llm.spans import show
 
@@ -102,6 +102,16 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ, by pair and by term."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector, with its distance and the clusters' inertia."""
+    return clustering.clustered(read_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over ``documents``."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -112,5 +122,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    known = {"op1_mixing": mixing.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_secrets": secrets.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    known = {"op1_mixing": mixing.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_secrets": secrets.ORACLE,
+             "op12_divergence": divergence.ORACLE, "op13_clustering": clustering.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in known.items() if v is not None}

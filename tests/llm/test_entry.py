@@ -2,7 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = [f"op{i}_" for i in range(1, 12)]
+NAMES = [f"op{i}_" for i in range(1, 14)]
 WITHOUT_SQL = {"op2_toxicity", "op3_pii", "op5_neighbours", "op7_minhash", "op8_urls", "op9_quality", "op10_language", "op11_simhash", "pipeline"}
 
 
@@ -12,7 +12,7 @@ def test_one_query_for_each_operator():
     assert set(mine) - set(entry.oracle_sql()) == WITHOUT_SQL
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op4_decontaminate", "op6_secrets"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op4_decontaminate", "op6_secrets", "op12_divergence", "op13_clustering"])
 def test_agreement_with_sql(spark, name):
     from sqlcheck.compare import compare_one, duck_con
 
