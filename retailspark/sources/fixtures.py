@@ -194,6 +194,15 @@ def key_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("device"), F.col("event_id").alias("seq"), "ts", key.alias("key"))
 
 
+def stray_key_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key presses of devices whose clock jumps 75 years ahead and back, and which
+    leave out some times: ``device, seq, ts, key, arrived``."""
+    k = key_events(spark, sf_dir).filter(F.col("device") % 5 == 0)
+    ahead = F.when(F.col("seq") % 5 == 0, F.col("ts") + F.expr("INTERVAL 75 YEARS")).otherwise(F.col("ts"))
+    ts = F.when(F.col("seq") % 7 != 0, ahead)
+    return k.select((-F.col("device") - 1).alias("device"), "seq", ts.alias("ts"), "key", F.col("ts").alias("arrived"))
+
+
 def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registration requests: ``request_id, name, email, city, lat, lng``."""
     c = table(spark, sf_dir, "customer")

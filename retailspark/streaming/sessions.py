@@ -1,9 +1,10 @@
 """Streaming scanner sessions.
 
 ``scanner_sink`` gives what the batch operator gives, in event-time order whatever
-the order of arrival: each micro-batch adds to the events that wait, and those that
-are older than ``delay`` below the latest are handed to ``gap_sessions``.  Events
-that come later still go to a side table.
+the order of arrival.  Time is kept per device: a device's events wait in its state until
+``delay`` below that device's latest event, or until a timer finds the device idle, so
+a clock that is wrong delays no other device.  Events behind their device's horizon
+and events without a time go to side tables.
 
 ``scanner_sessions`` is the low-latency form with ``applyInPandasWithState``: per
 device the state is the pending buffer and the time of the last key, so
@@ -19,11 +20,13 @@ import sys
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from retailspark.operators.sessions import ENTER, gap_sessions
@@ -98,56 +101,153 @@ def _micros(events: DataFrame) -> Column:
     return F.unix_micros("ts")
 
 
-def advance_scanner(batch: DataFrame, epoch_id: int, *, out_dir: str, gap_seconds: float = 0.3, terminator: str = ENTER, delay_seconds: float = 600.0) -> None:
-    """One micro-batch of ``scanner_sink``.  Writes ``codes``, ``late``, ``pending``
-    (what the next epoch needs) and ``horizon`` under ``epoch=<id>``; reads the
-    previous epoch only, so a replay rewrites the same files."""
-    spark, tag, last = batch.sparkSession, f"epoch={epoch_id}", f"epoch={epoch_id - 1}"
-    events = batch.select("device", "seq", "ts", "key")
-    us, before = _micros(events), None
-    if epoch_id > 0:
-        before = spark.read.parquet(f"{out_dir}/horizon/{last}").first()[0]
-    passed = F.lit(False) if before is None else us <= F.lit(before)
-    events.where(passed).write.mode("overwrite").parquet(f"{out_dir}/late/{tag}")
-    live = events.where(~passed)
-    if epoch_id > 0:
-        live = live.unionByName(spark.read.parquet(f"{out_dir}/pending/{last}"))
-    live = live.persist()
+def _from_micros(us: str, like: T.DataType) -> Column:
+    if isinstance(like, T.TimestampNTZType):
+        return F.timestamp_add("MICROSECOND", F.col(us), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.timestamp_micros(us)
+
+
+#: What waits of a device, and the time up to which its events were handled.
+WAITING_SCHEMA = "us array<bigint>, seq array<bigint>, key array<string>, horizon bigint"
+_ROWS = "kind string, code string, us long, seq long, key string"
+
+
+class DeviceTime(StatefulProcessor):
+    """One device: its events in the order of its own clock.
+
+    An event newer than the trigger's time plus ``delay`` doesn't move the device's
+    horizon (its clock is wrong); it waits until its time has come.  What was handled
+    but isn't closed yet goes on waiting, so the state is all that is needed to
+    finish the codes (``waiting_codes``)."""
+
+    def __init__(self, gap_us: int, terminator: str, delay_us: int, idle_ms: int):
+        self.gap, self.terminator, self.delay, self.idle = gap_us, terminator, delay_us, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getValueState("waiting", WAITING_SCHEMA)
+
+    def _load(self) -> tuple[pd.DataFrame, int | None]:
+        if not self.waiting.exists():
+            return pd.DataFrame({"us": np.array([], dtype=np.int64), "seq": np.array([], dtype=object), "key": np.array([], dtype=object)}), None
+        us, seq, key, horizon = self.waiting.get()
+        return pd.DataFrame({"us": np.array(us, dtype=np.int64), "seq": pd.Series(seq, dtype=object), "key": pd.Series(key, dtype=object)}), horizon
+
+    def _advance(self, events: pd.DataFrame, horizon: int | None, now_ms: int) -> pd.DataFrame:
+        """Handle what the horizon has passed; keep the rest and set the timer."""
+        events = events.sort_values(["us", "seq"], kind="stable")
+        due = events if horizon is None else events[events["us"] <= horizon]
+        later = events.iloc[len(due) :] if horizon is not None else events
+        codes = []
+        if horizon is not None and len(due):
+            us, key = due["us"].to_numpy(), due["key"].to_numpy()
+            ends = key == self.terminator
+            opens = np.concatenate([[True], (np.diff(us) > self.gap) | ends[:-1]])
+            island = np.cumsum(opens)
+            # An island is closed by the terminator, its last event.
+            text = due.assign(island=island, text=[k if isinstance(k, str) and k != self.terminator else "" for k in key]).groupby("island")["text"].agg("".join)
+            codes = [(text[i], t) for i, t in zip(island[ends], us[ends], strict=True) if text[i]]
+            rest = due[(island == island[-1]) & (not ends[-1]) & (us[-1] > horizon - self.gap)]
+            later = pd.concat([rest, later])
+        self.waiting.update((later["us"].tolist(), later["seq"].tolist(), later["key"].tolist(), horizon))
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        if len(later):
+            # A key that is dated ahead is due when its time has come.
+            self.handle.registerTimer(max(now_ms + self.idle, int(later["us"].iloc[0]) // 1000))
+        return pd.DataFrame({"kind": ["code"] * len(codes), "code": [c for c, _ in codes], "us": [t for _, t in codes], "seq": [None] * len(codes), "key": [None] * len(codes)})
+
+    def _named(self, key, out: pd.DataFrame) -> pd.DataFrame:
+        # Plain objects: concatenated pieces of other types may be chunked, which Arrow structs don't take.
+        return pd.DataFrame({"device": pd.Series([key[0]] * len(out), dtype=object)} | {c: pd.Series([None if pd.isna(v) else v for v in out[c]], dtype=object) for c in ("kind", "code", "us", "seq", "key")})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        fresh = pd.concat(list(rows))[["us", "seq", "key"]].astype({"key": object})
+        waiting, horizon = self._load()
+        timed = fresh["us"].notna()
+        passed = timed & (fresh["us"] <= (horizon if horizon is not None else -(2**62)))
+        aside = [fresh[~timed].assign(kind="untimed"), fresh[passed].assign(kind="late")]
+        live = pd.concat([waiting, fresh[timed & ~passed].astype({"us": np.int64})])
+        believed = live["us"][live["us"] <= now * 1000 + self.delay]
+        if len(believed):
+            horizon = max(x for x in (horizon, int(believed.max()) - self.delay) if x is not None)
+        codes = self._advance(live, horizon, now)
+        yield self._named(key, pd.concat([codes, *(a.assign(code=None)[["kind", "code", "us", "seq", "key"]] for a in aside if len(a))]))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Nothing came for ``idle``: what the clock has reached is handled."""
+        now = timerValues.getCurrentProcessingTimeInMs()
+        waiting, horizon = self._load()
+        reached = waiting["us"][waiting["us"] <= now * 1000 + self.delay]
+        if len(reached):
+            horizon = max(x for x in (horizon, int(reached.max()) + self.gap + 1) if x is not None)
+        yield self._named(key, self._advance(waiting, horizon, now))
+
+    def close(self) -> None:
+        pass
+
+
+def device_time_sessions(events: DataFrame, *, gap_seconds: float = 0.3, terminator: str = ENTER, delay_seconds: float = 600.0, idle_seconds: float = 600.0) -> DataFrame:
+    """``kind, device, code, ended, seq, ts, key`` of a stream of key events: a row
+    of kind ``code`` for each code, ``late`` for an event behind its device's
+    horizon, ``untimed`` for one without a time.  Needs RocksDB as state store
+    (``scanner_sink`` sees to it)."""
+    kind = events.schema["ts"].dataType
+    processor = DeviceTime(int(round(gap_seconds * 1_000_000)), terminator, int(delay_seconds * 1_000_000), int(idle_seconds * 1000))
+    keyed = events.select("device", _micros(events).alias("us"), "seq", "key").groupBy("device")
+    rows = keyed.transformWithStateInPandas(processor, f"device long, {_ROWS}", outputMode="append", timeMode="processingTime")
+    at = _from_micros("us", kind)
+    return rows.select("kind", "device", "code", F.when(F.col("kind") == "code", at).alias("ended"), "seq", F.when(F.col("kind") != "code", at).alias("ts"), "key")
+
+
+def write_sessions(batch: DataFrame, epoch_id: int, out_dir: str) -> None:
+    """One micro-batch of ``scanner_sink``: ``codes`` and ``aside`` (``late`` and
+    ``untimed`` events) under ``epoch=<id>``, which a replay overwrites."""
+    batch = batch.persist()
     try:
-        newest = live.agg(F.max(us)).first()[0]
-        reached = None if newest is None else newest - int(delay_seconds * 1_000_000)
-        horizon = max((x for x in (before, reached) if x is not None), default=None)
-        due = live.where(F.lit(False) if horizon is None else us <= F.lit(horizon))
-        gap_sessions(due, gap_seconds=gap_seconds, terminator=terminator).select("device", "code", "ended").write.mode("overwrite").parquet(f"{out_dir}/codes/{tag}")
-        # Of what was due, an unfinished code waits for more, unless it is older
-        # than the gap already.
-        place = F.struct(us.alias("us"), F.col("seq").alias("seq"))
-        ends = due.groupBy("device").agg(F.max(F.when(F.col("key") == terminator, place)).alias("_end"), F.max(us).alias("_last"))
-        gap = int(round(gap_seconds * 1_000_000))
-        open_ = due.join(ends, "device").where((F.col("_end").isNull() | (place > F.col("_end"))) & (F.col("_last") > F.lit(horizon) - gap)).select(*events.columns)
-        later = live.where(F.lit(True) if horizon is None else us > F.lit(horizon))
-        later.unionByName(open_).write.mode("overwrite").parquet(f"{out_dir}/pending/{tag}")
-        spark.range(1).select(F.lit(horizon).cast("long").alias("horizon")).write.mode("overwrite").parquet(f"{out_dir}/horizon/{tag}")
+        batch.where("kind = 'code'").select("device", "code", "ended").write.mode("overwrite").parquet(f"{out_dir}/codes/epoch={epoch_id}")
+        batch.where("kind <> 'code'").select("kind", "device", "seq", "ts", "key").write.mode("overwrite").parquet(f"{out_dir}/aside/epoch={epoch_id}")
     finally:
-        live.unpersist()
+        batch.unpersist()
 
 
-def flush_scanner(spark: SparkSession, *, out_dir: str, gap_seconds: float = 0.3, terminator: str = ENTER) -> None:
-    """After the last micro-batch: emit the codes of events that still wait."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out_dir}/pending")
-    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
-    last = max(int(n.split("=")[1]) for n in names if n.startswith("epoch="))
-    pending = spark.read.parquet(f"{out_dir}/pending/epoch={last}")
-    advance_scanner(pending.limit(0), last + 1, out_dir=out_dir, gap_seconds=gap_seconds, terminator=terminator, delay_seconds=0.0)
+#: Stateful processors need this state store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: With timers, batches without data never end; a query that ends with its input runs none.
+NO_DATA = ("spark.sql.streaming.noDataMicroBatches.enabled", "false")
 
 
 def scanner_sink(events: DataFrame, *, out_dir: str, checkpoint: str, available_now: bool = True, **options):
-    """Start the query that keeps ``advance_scanner`` going; returns it."""
-    w = events.writeStream.foreachBatch(lambda batch, epoch: advance_scanner(batch, epoch, out_dir=out_dir, **options)).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="2 seconds")
-    return w.start()
-
-
-def read_codes(spark: SparkSession, out_dir: str) -> DataFrame:
-    """``device, code, ended`` of all epochs so far."""
-    return spark.read.parquet(f"{out_dir}/codes").select("device", "code", "ended")
+    """Start the query that keeps ``codes`` and ``aside`` under ``out_dir``; returns it.
+    ``options`` are those of ``device_time_sessions``.  Timers fire in a query that
+    goes on; one that ends with its input leaves what waits in the state."""
+    spark = events.sparkSession
+    settings = dict([STATE_STORE, NO_DATA] if available_now else [STATE_STORE])
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        w = device_time_sessions(events, **options).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+        w = w.foreachBatch(lambda batch, epoch: write_sessions(batch, epoch, out_dir))
+        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="2 seconds")
+        return w.start()
+    finally:  # a started query keeps the settings it was started with
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def waiting_codes(spark: SparkSession, checkpoint: str, *, gap_seconds: float = 0.3, terminator: str = ENTER, like: str = "timestamp_ntz") -> DataFrame:
+    """``device, code, ended`` of the codes in the events that still wait: what a
+    stopped ``scanner_sink`` would give if nothing came any more.  Reads the
+    state of the checkpoint and changes nothing; ``like`` is the type of ``ts``."""
+    state = spark.read.format("statestore").option("stateVarName", "waiting").load(checkpoint)
+    waiting = state.select(F.col("key.device").alias("device"), F.explode(F.arrays_zip("value.us", "value.seq", "value.key")).alias("e"))
+    kind = T.TimestampNTZType() if like == "timestamp_ntz" else T.TimestampType()
+    events = waiting.select("device", F.col("e.seq").alias("seq"), F.col("e.us").alias("us"), F.col("e.key").alias("key")).withColumn("ts", _from_micros("us", kind))
+    return gap_sessions(events, gap_seconds=gap_seconds, terminator=terminator).select("device", "code", "ended")
+
+
+def read_codes(spark: SparkSession, out_dir: str, *, like: str = "timestamp_ntz") -> DataFrame:
+    """``device, code, ended`` of all epochs so far; ``like`` is the type of ``ts``."""
+    return spark.read.schema(f"device long, code string, ended {like}").parquet(f"{out_dir}/codes")

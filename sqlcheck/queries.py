@@ -619,13 +619,13 @@ FULL OUTER JOIN (SELECT store_id, objective_date AS d, CAST(SUM(prediction) AS B
   GROUP BY device, island) d WHERE term AND length(code) > 0""",
     )
     q["scanner_codes"] = with_views(
-        ["key_events"],
+        ["all_key_events"],
         """SELECT device, code, ended FROM (
   SELECT device, island, string_agg(key, '' ORDER BY ts, seq) FILTER (WHERE key IS NOT NULL AND key <> 'ENTER') AS code,
     MIN(ts) AS started, MAX(ts) AS ended, bool_or(COALESCE(key = 'ENTER', false)) AS term FROM (
     SELECT *, CAST(SUM(bnd) OVER (PARTITION BY device ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM (
       SELECT *, CASE WHEN rn = 1 OR date_diff('microsecond', pts, ts) > 3600000000 OR COALESCE(pkey = 'ENTER', false) THEN 1 ELSE 0 END AS bnd
-      FROM (SELECT *, LAG(ts) OVER w AS pts, LAG(key) OVER w AS pkey, ROW_NUMBER() OVER w AS rn FROM key_events
+      FROM (SELECT *, LAG(ts) OVER w AS pts, LAG(key) OVER w AS pkey, ROW_NUMBER() OVER w AS rn FROM all_key_events
             WINDOW w AS (PARTITION BY device ORDER BY ts, seq)) a) b) c
   GROUP BY device, island) d WHERE term AND length(code) > 0""",
     )

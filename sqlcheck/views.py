@@ -88,6 +88,11 @@ FROM events""",
 FROM events""",
         (),
     ),
+    "all_key_events": (
+        """SELECT device, seq, ts, key FROM key_events
+UNION ALL SELECT -device - 1, seq, CASE WHEN seq % 5 = 0 THEN ts + INTERVAL 75 YEAR ELSE ts END, key FROM key_events WHERE device % 5 = 0 AND seq % 7 <> 0""",
+        ("key_events",),
+    ),
     "registrations": (
         """SELECT c_custkey AS request_id,
   CASE WHEN c_custkey % 13 = 0 THEN 'Al' WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS name,

@@ -10,7 +10,7 @@ from retailspark.sources import fixtures as FX
 from retailspark.sources.readers import package_id, read_packages, read_sales
 from retailspark.streaming.ingest import accounting, ingest_stream, process_batch, retry_rejected
 from retailspark.streaming.scans import SCAN_SCHEMA, half_hour_sink, half_hour_stream, read_half_hours
-from retailspark.streaming.sessions import advance_scanner, read_codes, scanner_sessions, scanner_sink
+from retailspark.streaming.sessions import read_codes, scanner_sessions, scanner_sink, waiting_codes
 
 SF = "/root/testdata/sf0.001"
 
@@ -277,42 +277,80 @@ def test_half_hour_sink_counts_late_and_keeps_malformed_scans(spark):
     assert sorted(r.id for r in spark.read.parquet(os.path.join(out, "malformed")).collect()) == [5, 6]
 
 
-def test_scanner_sink_orders_events_across_batches(spark):
+KEYS = "device long, seq long, ts timestamp_ntz, key string"
+
+
+def _key_rows(devices=3, presses=40, seed=4):
     import random
 
-    rng = random.Random(4)
-    start = dt.datetime(2024, 1, 1, 9, 0, 0)
-    rows, seq = [], 0
-    for device in range(3):
+    rng = random.Random(seed)
+    rows, start = [], dt.datetime(2024, 1, 1, 9, 0, 0)
+    for device in range(devices):
         at = start
-        for _ in range(40):
+        for _ in range(presses):
             at += dt.timedelta(milliseconds=rng.choice([50, 100, 200, 300, 400, 5000]))
-            rows.append((device, seq, at, rng.choice(["a", "b", "7", None, "ENTER"])))
-            seq += 1
-    schema = "device long, seq long, ts timestamp_ntz, key string"
-    want = sorted((r.device, r.code, r.ended) for r in gap_sessions(spark.createDataFrame(rows, schema), gap_seconds=0.3).collect())
-    d = _scratch()
-    out = os.path.join(d, "out")
-    shuffled = rows[:]
-    rng.shuffle(shuffled)
-    shuffled.append((9, seq, start + dt.timedelta(days=1), "x"))  # moves the horizon past all others
-    parts = [list(reversed(shuffled[:70])), shuffled[70:]]
-    for epoch, part in enumerate(parts):
-        for _ in range(2 if epoch else 1):  # a replay changes nothing
-            advance_scanner(spark.createDataFrame(part, schema), epoch, out_dir=out, delay_seconds=3600)
-    advance_scanner(spark.createDataFrame([(0, 999, start, "z")], schema), 2, out_dir=out, delay_seconds=3600)
-    assert sorted(map(tuple, read_codes(spark, out).collect())) == want and want
-    assert [r.seq for r in spark.read.parquet(os.path.join(out, "late")).collect()] == [999]
-
-
-def test_scanner_sink_stream(spark):
-    d = _scratch()
-    ev = FX.key_events(spark, SF)
-    ev.write.parquet(os.path.join(d, "ev"))
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "ev"))
-    scanner_sink(stream, out_dir=os.path.join(d, "out"), checkpoint=os.path.join(d, "ck"), gap_seconds=FX.EVENT_GAP_SECONDS, delay_seconds=0).awaitTermination(300)
-    got = sorted((r.device, r.code, r.ended) for r in read_codes(spark, os.path.join(d, "out")).collect())
-    assert got == sorted((r.device, r.code, r.ended) for r in gap_sessions(ev, gap_seconds=FX.EVENT_GAP_SECONDS).collect())
+            rows.append((device, len(rows), at, rng.choice(["a", "b", "7", None, "ENTER"])))
+    return rows, rng
+
+
+def _codes(df):
+    return sorted((r.device, r.code, r.ended) for r in df.select("device", "code", "ended").collect())
+
+
+def _scanner_run(spark, base, parts, **options):
+    """The parts as micro-batches, one after the other; codes so far, all codes, and what went aside."""
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, KEYS).coalesce(1).write.parquet(f"{base}/in/{i}")
+        stream = spark.readStream.schema(KEYS).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+        q = scanner_sink(stream, out_dir=f"{base}/out", checkpoint=f"{base}/ck", gap_seconds=0.3, **options)
+        q.awaitTermination(120)
+        assert q.exception() is None and not q.isActive
+    codes = read_codes(spark, f"{base}/out")
+    aside = sorted((r.kind, r.device, r.seq) for r in spark.read.parquet(f"{base}/out/aside").collect())
+    return _codes(codes), _codes(codes.unionByName(waiting_codes(spark, f"{base}/ck", gap_seconds=0.3))), aside
+
+
+def test_a_wrong_clock_delays_no_other_device(spark):
+    rows, rng = _key_rows()
+    want = _codes(gap_sessions(spark.createDataFrame(rows, KEYS), gap_seconds=0.3))
+    n, day = len(rows), dt.timedelta(days=1)
+    rng.shuffle(rows)
+    ahead = [(7, n + i, dt.datetime(2099, 1, 1) + dt.timedelta(milliseconds=50 * i), k) for i, k in enumerate(["z", "q", "ENTER"])]
+    now = [(7, n + 10 + i, dt.datetime(2024, 1, 1, 9, 0, i), k) for i, k in enumerate(["c", "ENTER", "d"])]
+    untimed = [(0, n + 20, None, "x"), (8, n + 21, None, "ENTER")]
+    moved = [(d, n + 30 + d, dt.datetime(2024, 1, 1, 9) + 2 * day, None) for d in range(3)]  # each device's own clock goes on
+    late = [(0, n + 40, dt.datetime(2024, 1, 1, 9), "l")]
+    done, all_codes, aside = _scanner_run(spark, _scratch(), [rows[:50] + ahead[:2], rows[50:] + untimed + now, moved + ahead[2:], late], delay_seconds=3600, idle_seconds=10**6)
+    # The devices with a sound clock are through, though device 7 has been in 2099.
+    assert done == want and want
+    assert all_codes == sorted(want + [(7, "zq", ahead[2][2])])  # "c" waited for longer than the gap before its ENTER
+    assert aside == [("late", 0, n + 40), ("untimed", 0, n + 20), ("untimed", 8, n + 21)]
+
+
+def test_any_order_of_arrival_gives_the_batch_codes(spark):
+    rows, rng = _key_rows(devices=5, presses=30, seed=9)
+    want = _codes(gap_sessions(spark.createDataFrame(rows, KEYS), gap_seconds=0.3))
+    rng.shuffle(rows)
+    _, got, aside = _scanner_run(spark, _scratch(), [rows[:40], rows[40:90], rows[90:]], delay_seconds=86400)
+    assert got == want and want and not aside
+
+
+def test_idle_devices_are_finished_by_their_timer(spark):
+    import time
+
+    base = _scratch()
+    at = dt.datetime(2024, 1, 1, 9)
+    rows = [(1, 1, at, "a"), (1, 2, at + dt.timedelta(milliseconds=100), "b"), (1, 3, at + dt.timedelta(milliseconds=200), "ENTER")]
+    spark.createDataFrame(rows, KEYS).coalesce(1).write.parquet(f"{base}/in")
+    q = scanner_sink(spark.readStream.schema(KEYS).parquet(f"{base}/in"), out_dir=f"{base}/out", checkpoint=f"{base}/ck", available_now=False, delay_seconds=86400, idle_seconds=1)
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if os.path.isdir(f"{base}/out/codes") and any(p.startswith("epoch=") for p in os.listdir(f"{base}/out/codes")) and _codes(read_codes(spark, f"{base}/out")):
+                break
+        assert _codes(read_codes(spark, f"{base}/out")) == [(1, "ab", rows[-1][2])]
+    finally:
+        q.stop()
 
 
 def test_sessions_state_orders_a_triggers_chunks(spark):
