@@ -39,6 +39,7 @@ from retailspark.operators import reports as RP  # noqa: E402
 from retailspark.session import ensure_checkpoint_dir  # noqa: E402
 from retailspark.sources import fixtures as FX  # noqa: E402
 from retailspark.sources.readers import CORRUPT, cut_lineage, package_id, read_packages, write_packages  # noqa: E402
+from retailspark.sources.snapshots import read_snapshot, replace_keyed_on_disk  # noqa: E402
 from retailspark.streaming import ingest as SI  # noqa: E402
 from retailspark.streaming import scans as SS2  # noqa: E402
 from retailspark.streaming import sessions as SE  # noqa: E402
@@ -486,6 +487,14 @@ def q_prediction_replace(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*ROWCOLS, *_dev())
 
 
+def q_prediction_replace_on_disk(spark: SparkSession, sf: str) -> DataFrame:
+    """A11/G1 on disk: the stored predictions as one commit, the scored rows as the next."""
+    path = f"{ensure_checkpoint_dir(spark)}/predictions-{uuid.uuid4().hex}"
+    replace_keyed_on_disk(spark, path, FX.predictions(spark, sf))
+    replace_keyed_on_disk(spark, path, _score_fixed(spark, sf))
+    return read_snapshot(spark, path).select(*ROWCOLS, *_dev())
+
+
 def _two_day_job(spark: SparkSession, sf: str) -> DataFrame:
     return q_score_predictions(spark, sf)
 

@@ -1,4 +1,4 @@
-"""Readers and sinks for tables and semi-structured payloads (A5, A6, A11 on disk).
+"""Readers and sinks for tables and semi-structured payloads.
 
 Tables are Parquet; the point-of-sale packages are JSON documents with a fixed
 schema (no inference).  Sinks only append or overwrite whole partitions so that
@@ -88,47 +88,14 @@ def write_packages(packages: DataFrame, path: str, *, partitioned: bool = True)
 
 def write_table(df: DataFrame, path: str, *, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     """Write a Parquet table; with ``partition_by`` only the written partitions
-    are replaced (dynamic overwrite), so keyed replacement by store is a
-    partition-local operation (A11 on disk: merge within the store first)."""
+    are replaced (dynamic overwrite).  For a replacement that must survive a lost
+    driver see ``snapshots``."""
     w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
 
 
-#: Partition values that a filter names one by one.
-MOST_PARTITIONS = 2_000
-
-
-def replace_keyed_on_disk(spark: SparkSession, path: str, new: DataFrame, *, keys=("store_id", "barcode"),
-                          partition_col: str = "store_id") -> None:
-    """A11 on a Parquet table partitioned by ``partition_col``: every key in
-    ``new`` loses all its stored rows and gets the new ones; other keys of the
-    same partition and all other partitions are untouched.
-
-    Only the partitions present in ``new`` are read, merged and rewritten
-    (dynamic partition overwrite): up to ``MOST_PARTITIONS`` of them are named in a
-    partition filter, more of them are joined.  ``new`` is computed once.  The
-    merge is checkpointed first because a Parquet table cannot be overwritten while
-    the same job is still reading it.
-    """
-    from retailspark.operators.scoring import replace_keyed
-
-    new = cut_lineage(new)
-    touched = new.select(partition_col).distinct()
-    names = [r[0] for r in touched.limit(MOST_PARTITIONS + 1).collect()]
-    try:
-        old = spark.read.parquet(path)
-        old = old.filter(F.col(partition_col).isin(names)) if len(names) <= MOST_PARTITIONS else old.join(touched, partition_col, "left_semi")
-    except Exception as e:  # first write: no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        write_table(new, path, partition_by=[partition_col])
-        return
-    merged = cut_lineage(replace_keyed(old, new.select(*old.columns), list(keys)))
-    write_table(merged, path, partition_by=[partition_col])
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's reliable checkpoint directory
     (``spark.checkpoint.dir``) so that a lost executor re-reads it instead of

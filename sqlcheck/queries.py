@@ -464,6 +464,7 @@ ON t.barcode = r.barcode""",
   UNION ALL SELECT * FROM scoref) u""",
         sx,
     )
+    q["prediction_replace_on_disk"] = q["prediction_replace"]
 
 
 ALERTS = f"""SELECT p.*, COALESCE(h.v_p * 7.0, 0.0) AS avg_weekly_sales FROM predictions p

@@ -13,7 +13,8 @@ from retailspark.plans.forecast import daily_forecast
 from retailspark.plans.ingest import ingest_packages
 from retailspark.plans.weekly_report import weekly_report
 from retailspark.sources import fixtures as FX
-from retailspark.sources.readers import append_sales, read_sales, replace_keyed_on_disk
+from retailspark.sources.readers import append_sales, read_sales
+from retailspark.sources.snapshots import read_snapshot, replace_keyed_on_disk
 
 SF = "/root/testdata/sf0.001"
 AS_OF = dt.date(2024, 1, 31)
@@ -42,7 +43,7 @@ def test_scans_to_weekly_report(spark):
                          forecast_payloads=FX.forecast_payloads(spark, SF, as_of=AS_OF), old_predictions=empty_predictions, as_of=AS_OF)
     pred_path = os.path.join(d, "predictions")
     replace_keyed_on_disk(spark, pred_path, run["new_predictions"])
-    stored = spark.read.parquet(pred_path)
+    stored = read_snapshot(spark, pred_path)
     n_pairs = sales.select("store_id", "barcode").distinct().count()
     # scored pairs get 7 days each, never a negative prediction
     assert stored.count() % 7 == 0 and 0 < stored.count() <= 7 * n_pairs

@@ -126,14 +126,3 @@ def test_batch_ingest_plan(spark):
     ok, bad = IN.split_by_store(pk, FX.stores(spark, SF))
     assert res["receipts"].count() == ok.count() and res["rejected"].count() == bad.count()
     assert res["sales"].agg(F.sum("amount")).first()[0] == IN.package_lines(ok).agg(F.sum("amount")).first()[0]
-
-
-def test_replace_keyed_on_disk(spark):
-    from retailspark.sources.readers import replace_keyed_on_disk
-
-    d = os.path.join(_tmp(), "predictions")
-    schema = "store_id int, barcode string, v int"
-    replace_keyed_on_disk(spark, d, spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "b", 3), (2, "a", 4)], schema))
-    replace_keyed_on_disk(spark, d, spark.createDataFrame([(1, "b", 9)], schema))
-    got = sorted((r.store_id, r.barcode, r.v) for r in spark.read.parquet(d).collect())
-    assert got == [(1, "a", 1), (1, "b", 9), (2, "a", 4)]
