@@ -1,13 +1,12 @@
 """Source divergence audit by single-pass in-memory indexing.
 
-1. One pass over the texts: every map task builds a block of postings (language,
-   source, term: occurrences and documents) until its memory is full, then gives
-   it away as a run, sorted by term within hash shards, and starts anew.  A run is
-   cut into segments of ``SEGMENT`` postings.
+1. One pass over the texts: every map task builds a block of postings (for each
+   language and term its documents and the occurrences in each source) until its
+   memory is full, then gives it away as a run, sorted by term within hash shards,
+   and starts anew.  A run is cut into segments of some ``SEGMENT`` postings.
 2. Every shard merges its runs with a heap.  Segments come in the order of their
    first terms and are opened when the heap reaches them, so a shard holds one
-   open segment of each run.  A term's documents add up as its postings pass; from
-   the third on they are given away, so no posting list is gathered.
+   open segment of each run, and the counts of one term (a number a source).
 3. Languages' and groups' sizes follow from the frequencies.  The divergence of a
    pair of sources is summed sparsely: first each source against a source that
    has no term, by its histogram of counts; then corrections for the terms that
@@ -19,9 +18,9 @@ from __future__ import annotations
 import heapq
 import sys
 import zlib
-from collections import Counter
-from collections.abc import Iterator
-from itertools import groupby
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain, count, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +32,11 @@ from retailspark.llm.common import bounded_batches, materialize, whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Estimated bytes of a task's block, and bytes of text that are cut into words at once.
-BLOCK_BYTES, TEXT_BYTES = 64 << 20, 1 << 20
-#: Postings of a segment, and postings or terms of a batch that a task gives away.
-SEGMENT, GIVEN = 4096, 1 << 15
+#: Estimated bytes of a task's block; words that are counted at once, and bytes of
+#: text that are cut into words at once.
+BLOCK_BYTES, WORDS, TEXT_BYTES = 96 << 20, 1 << 19, 1 << 20
+#: Postings of a segment, and postings that a task gives away at once.
+SEGMENT, GIVEN = 4096, 1 << 16
 #: A language keeps the terms of at least so many of its documents.
 LEAST_DOCUMENTS = 3
 #: Terms that are reported of a source.
@@ -46,138 +46,193 @@ SCALE = 1_000_000_000
 SALT = 16
 #: Bytes that are no part of a term become blanks, A-Z small letters.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)).lower()
-#: A posting's documents and occurrences in one number.
-_ONE = 1 << 40
-_SEGMENTS = "shard int, lang string, first string, terms array<string>, sources array<string>, counts array<bigint>, documents array<bigint>"
+#: A source's place in a block's posting, beside the term's.
+_SOURCE = 24
+_SEGMENTS = "shard int, lang string, first string, terms array<string>, documents array<bigint>, sizes array<int>, names array<string>, sources array<int>, counts array<bigint>"
 
 
-def _counts(text: bytes) -> Counter:
-    """Occurrences of the text's terms: runs of letters A-Z, a-z and bytes from 0x80 on."""
-    line, found, at = text.translate(_FOLD), Counter(), 0
+def _words(text: bytes) -> Iterator[list[bytes]]:
+    """The text's terms, a piece at a time: runs of letters A-Z, a-z and bytes from
+    0x80 on.  Last the empty term, which stands for the document."""
+    line, at = text.translate(_FOLD), 0
     while at < len(line):
         end = line.find(b" ", at + TEXT_BYTES)
         end = len(line) if end < 0 else end
-        found.update(line[at:end].split())
+        yield line[at:end].split()
         at = end
-    return found
-
-
-def _run(block: dict, shards: int) -> Iterator[pa.RecordBatch]:
-    """A block's segments, in the order of shard, language, term and source."""
-    rows = sorted((zlib.crc32(term, zlib.crc32(lang.encode())) % shards, lang, term, source, n) for (lang, source), terms in block.items() for term, n in terms.items())
-    cuts = [0]
-    for i, r in enumerate(rows):
-        if i and (i - cuts[-1] == SEGMENT or r[:2] != rows[i - 1][:2]):
-            cuts.append(i)
-    cuts.append(len(rows))
-    for a in range(0, len(cuts) - 1, max(1, GIVEN // SEGMENT)):
-        bounds = cuts[a : a + max(1, GIVEN // SEGMENT) + 1]
-        part, offsets = rows[bounds[0] : bounds[-1]], pa.array([b - bounds[0] for b in bounds], pa.int32())
-        as_list = lambda values, kind: pa.ListArray.from_arrays(offsets, pa.array(values, kind))
-        head = [rows[b] for b in bounds[:-1]]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([h[0] for h in head], pa.int32()), pa.array([h[1] for h in head], pa.string()), pa.array([h[2].decode() for h in head], pa.string()),
-            as_list([r[2].decode() for r in part], pa.string()), as_list([r[3] for r in part], pa.string()),
-            as_list([r[4] % _ONE for r in part], pa.int64()), as_list([r[4] // _ONE for r in part], pa.int64()),
-        ], names=["shard", "lang", "first", "terms", "sources", "counts", "documents"])
+    yield [b""]
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values)
+
+
+class _Language:
+    """A block's postings of one language: term and source in one key, with
+    occurrences and documents."""
+
+    def __init__(self):
+        self.terms: defaultdict = defaultdict(count().__next__)
+        self.sources: defaultdict = defaultdict(count().__next__)
+        self.ids: list[np.ndarray] = []
+        self.documents: list[tuple[int, int]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, source: str, text: bytes) -> int:
+        at, n = self.sources[source], 0
+        for words in _words(text):
+            self.ids.append(np.fromiter(map(self.terms.__getitem__, words), dtype=np.int64, count=len(words)))
+            n += len(words)
+        self.documents.append((at, n))
+        return n
+
+    def compact(self) -> int:
+        """Count the words that wait; the estimated bytes of the language."""
+        if self.documents:
+            source, size = np.array(self.documents, dtype=np.int64).T
+            number = np.repeat(np.arange(len(size)), size)
+            of_document, n = np.unique(number << 32 | np.concatenate(self.ids), return_counts=True)
+            keys = (of_document & 0xFFFFFFFF) << _SOURCE | source[of_document >> 32]
+            self.parts.append(_summed(keys, n, np.ones(len(n), dtype=np.int64)))
+            self.ids, self.documents = [], []
+        return 150 * len(self.terms) + 24 * sum(len(p[0]) for p in self.parts)
+
+    def segments(self, lang: str, shards: int) -> Iterator[pa.RecordBatch]:
+        """The postings in the order of shard, term and source, in segments."""
+        terms, names = list(self.terms), list(self.sources)
+        seed = zlib.crc32(lang.encode())
+        rows = sorted((zlib.crc32(t, seed) % shards, t, i) for i, t in enumerate(terms))
+        rank = np.empty(len(rows), dtype=np.int64)
+        rank[[r[2] for r in rows]] = np.arange(len(rows))
+        keys, counts, documents = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        keys, counts, documents = _summed(rank[keys >> _SOURCE] << _SOURCE | (keys & ((1 << _SOURCE) - 1)), counts, documents)
+        place, source = keys >> _SOURCE, keys & ((1 << _SOURCE) - 1)
+        sizes = np.bincount(place, minlength=len(rows))
+        ends = np.cumsum(sizes)
+        of_term = np.add.reduceat(documents, ends - sizes)
+        shard = np.array([r[0] for r in rows])
+        # A segment ends with its shard, or after ``SEGMENT`` postings.
+        piece = (ends - sizes) // SEGMENT
+        cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (piece[1:] != piece[:-1])) + 1
+        cuts = np.concatenate([[0], cuts, [len(rows)]])
+        most = max(1, GIVEN // SEGMENT)
+        for a in range(0, len(cuts) - 1, most):
+            at = cuts[a : a + most + 1]
+            to = np.append(0, ends)[at]
+            own, where = [], source[to[0] : to[-1]].copy()
+            for x, y in zip(to[:-1], to[1:], strict=True):
+                present, where[x - to[0] : y - to[0]] = np.unique(source[x:y], return_inverse=True)
+                own.append([names[i] for i in present])
+            as_list = lambda bounds, values: pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(shard[at[:-1]], pa.int32()), pa.array([lang] * len(own), pa.string()), pa.array([rows[i][1].decode() for i in at[:-1]], pa.string()),
+                as_list(at, pa.array([r[1].decode() for r in rows[at[0] : at[-1]]], pa.string())), as_list(at, pa.array(of_term[at[0] : at[-1]], pa.int64())),
+                as_list(at, pa.array(sizes[at[0] : at[-1]], pa.int32())), pa.array(own, pa.list_(pa.string())),
+                as_list(to, pa.array(where, pa.int32())), as_list(to, pa.array(counts[to[0] : to[-1]], pa.int64())),
+            ], names=["shard", "lang", "first", "terms", "documents", "sizes", "names", "sources", "counts"])
 
 
 def _runs(shards: int):
-    """The texts of a map task as runs.  The empty term counts a group's documents."""
+    """The texts of a map task as runs: a block for each time its memory fills."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: dict = {}
-        held = 0
+        block: defaultdict = defaultdict(_Language)
+        waiting = 0
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                terms = block.setdefault((lang, source), {})
-                before = len(terms)
-                found = _counts(text)
-                for term, n in found.items():
-                    terms[term] = terms.get(term, 0) + _ONE + n
-                terms[b""] = terms.get(b"", 0) + _ONE + 1
-                # An entry of a dictionary with its term and number takes some 160 bytes.
-                held += 160 * (len(terms) - before)
-                if held >= BLOCK_BYTES:
-                    yield from _run(block, shards)
-                    block, held = {}, 0
-        if block:
-            yield from _run(block, shards)
+                waiting += block[lang].add(source, text)
+                if waiting >= WORDS:
+                    waiting = 0
+                    if sum([of.compact() for of in block.values()]) >= BLOCK_BYTES:
+                        yield from spilled(block)
+                        block = defaultdict(_Language)
+        yield from spilled(block)
+
+    def spilled(block: dict) -> Iterator[pa.RecordBatch]:
+        for lang, of in block.items():
+            of.compact()
+            yield from of.segments(lang, shards)
 
     return index
 
 
-def _merged(segments: Iterator[tuple]) -> Iterator[tuple]:
-    """Postings (lang, term, source, count, documents) of one shard in order, equal
-    ones summed.  ``segments`` (lang, first, open) come in the order of their first terms."""
-    heap: list[tuple] = []
-    key, count, documents = None, 0, 0
-    opened = 0
-
-    def advance(limit):
-        nonlocal key, count, documents
-        while heap and (limit is None or heap[0][:2] < limit):
-            lang, term, source, n, d, order, rest = heap[0]
-            if (lang, term, source) != key:
-                if key is not None:
-                    yield (*key, count, documents)
-                key, count, documents = (lang, term, source), 0, 0
-            count, documents = count + n, documents + d
-            after = next(rest, None)
-            if after is None:
-                heapq.heappop(heap)
-            else:
-                heapq.heapreplace(heap, (lang, *after, order, rest))
-
-    for lang, first, read in segments:
-        yield from advance((lang, first))
-        rest = read()
-        heapq.heappush(heap, (lang, *next(rest), opened, rest))
-        opened += 1
-    yield from advance(None)
-    if key is not None:
-        yield (*key, count, documents)
+class _Cursor:
+    """An open segment of a run."""
+
+    def __init__(self, row: dict, numbers: defaultdict):
+        self.terms, self.documents, self.counts = row["terms"], row["documents"], row["counts"]
+        names = [numbers[n] for n in row["names"]]
+        self.sources = [names[i] for i in row["sources"]]
+        self.bounds = [0, *accumulate(row["sizes"])]
+        self.at = 0
+
+
+def _merged(segments: Iterator[tuple[str, Callable[[], _Cursor]]], least: int) -> Iterator[tuple[str, dict[int, int]]]:
+    """The terms of one shard and language in order, with the counts of their sources,
+    if they are in ``least`` documents (the empty one always).  The segments come in
+    the order of their first terms; one is opened when the heap has come to it."""
+    heap: list[tuple[str, int, _Cursor]] = []
+    for opened, (first, read) in enumerate(chain(segments, [(None, None)])):
+        while heap and (first is None or heap[0][0] < first):
+            term, documents, pieces = heap[0][0], 0, []
+            while heap and heap[0][0] == term:
+                _, order, cursor = heap[0]
+                i = cursor.at
+                documents += cursor.documents[i]
+                pieces.append((cursor, cursor.bounds[i], cursor.bounds[i + 1]))
+                cursor.at = i + 1
+                if cursor.at < len(cursor.terms):
+                    heapq.heapreplace(heap, (cursor.terms[cursor.at], order, cursor))
+                else:
+                    heapq.heappop(heap)
+            if documents >= least or not term:
+                sums: dict[int, int] = {}
+                for cursor, a, b in pieces:
+                    for s, n in zip(cursor.sources[a:b], cursor.counts[a:b], strict=True):
+                        sums[s] = sums.get(s, 0) + n
+                yield term, sums
+        if read is not None:
+            cursor = read()
+            heapq.heappush(heap, (first, opened, cursor))
 
 
 def _merge(least: int):
     """Runs of the shards of a task as frequencies: rows of ``lang``, ``term``,
-    ``head`` (the first row of the term), ``sources`` and ``counts``, of terms in
-    at least ``least`` documents and of the empty term."""
+    ``head`` (the first row of the term), ``sources`` and ``counts``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            terms, sources, counts, documents = (batch.column(c) for c in ("terms", "sources", "counts", "documents"))
             for i, (shard, lang, first) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "lang", "first")), strict=True)):
-                read = lambda i=i, cols=(terms, sources, counts, documents): zip(*(c[i].as_py() for c in cols), strict=True)
-                yield shard, (lang, first, read)
-
-    def kept(postings: Iterator[tuple]) -> Iterator[tuple]:
-        for (lang, term), of_term in groupby(postings, key=lambda p: p[:2]):
-            waiting, seen, head = [], 0, True
-            for _, _, source, n, d in of_term:
-                seen += d
-                waiting.append((source, n))
-                if len(waiting) >= SEGMENT:  # more documents than ``least``
-                    yield lang, term, head, [w[0] for w in waiting], [w[1] for w in waiting]
-                    waiting, head = [], False
-            if waiting and (seen >= least or not term):
-                yield lang, term, head, [w[0] for w in waiting], [w[1] for w in waiting]
+                yield shard, lang, first, batch.slice(i, 1)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple] = []
-        held = 0
-        names = ["lang", "term", "head", "sources", "counts"]
-        kinds = [pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64())]
-        give = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
-        for _, segments in groupby(rows(batches), key=lambda r: r[0]):
-            for row in kept(_merged(s for _, s in segments)):
-                found.append(row)
-                held += len(row[3])
+        for (_, lang), segments in groupby(rows(batches), key=lambda r: r[:2]):
+            numbers: defaultdict = defaultdict(count().__next__)
+            open_ = ((first, lambda one=one: _Cursor(one.to_pylist()[0], numbers)) for _, _, first, one in segments)
+            found, held = [], 0
+            for term, sums in _merged(open_, least):
+                items = list(sums.items())
+                for at in range(0, len(items), SEGMENT):
+                    found.append((term, at == 0, items[at : at + SEGMENT]))
+                held += len(items)
                 if held >= GIVEN:
-                    yield give()
+                    yield given(lang, found, numbers)
                     found, held = [], 0
-        if found:
-            yield give()
+            if found:
+                yield given(lang, found, numbers)
+
+    def given(lang: str, found: list[tuple], numbers: dict) -> pa.RecordBatch:
+        bounds = pa.array([0, *accumulate(len(f[2]) for f in found)], pa.int32())
+        names = pa.array(list(numbers), pa.string()).take(pa.array([s for f in found for s, _ in f[2]], pa.int32()))
+        counts = pa.array([n for f in found for _, n in f[2]], pa.int64())
+        return pa.RecordBatch.from_arrays([
+            pa.array([lang] * len(found), pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.bool_()),
+            pa.ListArray.from_arrays(bounds, names), pa.ListArray.from_arrays(bounds, counts),
+        ], names=["lang", "term", "head", "sources", "counts"])
 
     return merge
 

@@ -50,19 +50,29 @@ def test_equals_all_terms_of_all_pairs(spark, monkeypatch, block, segment):
     monkeypatch.setattr(divergence, "SEGMENT", segment)
     monkeypatch.setattr(divergence, "GIVEN", segment * 4)
     monkeypatch.setattr(divergence, "TEXT_BYTES", 64)
+    monkeypatch.setattr(divergence, "WORDS", 100)
     rows = corpus()
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(6)
     got = [(r.lang, r.source, r.part, r.item, r.value, r["rank"]) for r in divergence.audit(docs, top=7).collect()]
     assert len(got) == len(set(got)) and set(got) == expected(rows, 7)
 
 
-def test_small_blocks_give_many_sorted_runs():
-    block = {("en", "a"): {b"b": divergence._ONE + 1, b"a": divergence._ONE + 2, b"": divergence._ONE}, ("de", "z"): {b"q": 2 * divergence._ONE + 3}}
-    rows = [r for b in divergence._run(block, 1) for r in b.to_pylist()]
-    assert [(r["lang"], r["first"], r["terms"], r["counts"], r["documents"]) for r in rows] == [("de", "q", ["q"], [3], [2]), ("en", "", ["", "a", "b"], [0, 2, 1], [1, 1, 1])]
-    read = lambda *postings: lambda: iter(postings)
-    runs = [("en", "a", read(("a", "s", 1, 1), ("c", "s", 1, 1))), ("en", "a", read(("a", "s", 2, 1), ("b", "r", 1, 1))), ("en", "c", read(("c", "r", 5, 2)))]
-    assert list(divergence._merged(iter(runs))) == [("en", "a", "s", 3, 2), ("en", "b", "r", 1, 1), ("en", "c", "r", 5, 2), ("en", "c", "s", 1, 1)]
+def test_runs_are_sorted_and_merge():
+    of = divergence._Language()
+    for source, text in (("a", b"b B, c"), ("z", b"b"), ("a", b""), ("z", b"a a a")):
+        of.add(source, text)
+    of.compact()
+    of.add("a", b"a")
+    of.compact()
+    rows = [r for b in of.segments("en", 1) for r in b.to_pylist()]
+    assert [(r["first"], r["terms"], r["documents"], r["sizes"], r["names"], r["sources"], r["counts"]) for r in rows] == [
+        ("", ["", "a", "b", "c"], [5, 2, 2, 1], [2, 2, 2, 1], ["a", "z"], [0, 1, 0, 1, 0, 1, 0], [3, 2, 1, 3, 2, 1, 1])]
+    numbers = collections.defaultdict(iter(range(9)).__next__)
+    run = lambda *postings: (postings[0][0], lambda: divergence._Cursor({
+        "terms": [t for t, _, _ in postings], "documents": [d for _, d, _ in postings], "sizes": [len(p) for _, _, p in postings],
+        "names": ["r", "s"], "sources": ["rs".index(x) for _, _, p in postings for x in p], "counts": [n for _, _, p in postings for n in p.values()]}, numbers))
+    runs = [run(("a", 1, {"s": 1}), ("c", 1, {"s": 1})), run(("a", 2, {"s": 2}), ("b", 2, {"r": 1})), run(("c", 2, {"r": 5, "s": 1}))]
+    assert list(divergence._merged(iter(runs), 3)) == [("a", {1: 3}), ("c", {0: 5, 1: 2})]
 
 
 def test_exact_arithmetic(spark):
