@@ -329,6 +329,37 @@ def q_retention_filter(spark: SparkSession, sf: str) -> DataFrame:
     return IN.retain(_packages(spark, sf), as_of=FX.EVENTS_AS_OF, date_col="sale_date").select("id_store", "date")
 
 
+def q_retention_elapsed(spark: SparkSession, sf: str) -> DataFrame:
+    """G4 by elapsed time: backups, written at the time of an event, that are at most 30 days old at noon."""
+    import datetime as dt
+
+    backups = FX.table(spark, sf, "events").select(F.col("event_id").alias("backup"), F.col("ts").alias("modified"))
+    return IN.retain(backups, as_of=dt.datetime.combine(FX.EVENTS_AS_OF, dt.time(12)), date_col="modified")
+
+
+def q_ingest_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """I1/I4 in batch: documents by outcome, and stored units, of a backfill in which
+    every third store sends twice, every fifth store's packages were received before
+    and some have an impossible date, time or line."""
+    from retailspark.plans.ingest import ingest_packages
+
+    p = _packages(spark, sf).drop("sale_date")
+    k = F.col("id_store") + F.col("day")
+    broken = p.withColumn("date", F.when(k % 11 == 0, "99-99-2024").otherwise(F.col("date")))
+    bad_time = lambda b: F.struct(F.lit("xx:00").alias("time"), b["products"].alias("products"))
+    broken = broken.withColumn("sales", F.when(k % 11 == 1, F.transform("sales", bad_time)).otherwise(F.col("sales")))
+    out = ingest_packages(packages=broken.unionByName(broken.where("id_store % 3 = 0")), stores=FX.stores(spark, sf), products=FX.known_products(spark, sf),
+                          catalog=FX.catalog(spark, sf), hourly_weather=FX.hourly_weather(spark, sf),
+                          received=package_id(p).where("id_store % 5 = 0").select("package_id"))
+    parts = [
+        out["receipts"].groupBy(F.lit("received").alias("outcome")).agg(F.count(F.lit(1)).alias("n")),
+        out["sales"].groupBy(F.lit("units").alias("outcome")).agg(F.sum("amount").alias("n")),
+        out["duplicates"].groupBy(F.lit("duplicate").alias("outcome")).agg(F.sum("copies").alias("n")),
+        out["rejected"].groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def q_sales_with_weather(spark: SparkSession, sf: str) -> DataFrame:
     s = FX.sales(spark, sf).withColumn("hour", F.substring("time", 1, 2).cast("int"))
     lines = s.select("store_id", "barcode", "sale_date", "time", "amount", "hour")

@@ -3,8 +3,11 @@ B10, B14, B23, B24, C1-C3, C8, D7-D9, D16, G2, G4)."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retailspark.config import RETENTION_DAYS, as_date
 from retailspark.functions.calendar import half_hour_floor, iso_weekday, time_to_seconds
@@ -219,6 +222,12 @@ def pending_packages(queue: DataFrame) -> DataFrame:
 
 
 def retain(df: DataFrame, *, as_of, date_col: str, days: int = RETENTION_DAYS) -> DataFrame:
-    """Keep rows whose age in days is at most ``days`` (older are dropped)."""
-    a = as_date(as_of)
-    return df.filter(F.datediff(F.lit(a), F.col(date_col)) <= days)
+    """Keep rows that are at most ``days`` old: by elapsed time (30 days and an
+    hour are too old), or by whole days where both ``as_of`` and the column are dates."""
+    timed = isinstance(as_of, dt.datetime) or (isinstance(as_of, str) and len(as_of) > 10)
+    kind = df.schema[date_col].dataType
+    if isinstance(kind, T.DateType) and not timed:
+        return df.filter(F.datediff(F.lit(as_date(as_of)), F.col(date_col)) <= days)
+    wall = "timestamp" if isinstance(kind, T.TimestampType) else "timestamp_ntz"
+    now = F.lit(str(as_of)).cast(wall)
+    return df.filter(F.timestamp_diff("MICROSECOND", F.col(date_col).cast(wall), now) <= days * 86_400_000_000)

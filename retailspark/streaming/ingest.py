@@ -3,9 +3,11 @@
 ``readStream`` of package JSON files -> content-hash id -> ``foreachBatch``.  Every
 document that arrives ends in exactly one of three tables: ``receipts`` (its
 lines are in ``sales``), ``rejects`` (with a reason) or ``duplicates`` (its
-content was received before).  Duplicates are found against the stored receipts,
-not by a watermark: the package date is written by the client, whose clock may
-be wrong and who may have been offline for months, so it bounds nothing.
+content was received before).  Duplicates are found against the stored ids, not by a
+watermark: the package date is written by the client, whose clock may be wrong and
+who may have been offline for months, so it bounds nothing.  Ids are kept by
+prefix in runs that are merged ``FAN`` at a time, so a micro-batch reads the prefixes of
+its own packages in a number of files that grows with the logarithm of the epochs.
 
 Every sink write is keyed by the micro-batch id (``epoch=<id>`` directories
 overwritten as a whole), and an epoch compares itself with earlier epochs only, so
@@ -44,6 +46,15 @@ def package_stream(spark: SparkSession, path: str, *, max_files_per_trigger: int
     return package_id(r.json(path).withColumn("source", F.col("_metadata.file_path")))
 
 
+def with_problem(packages: DataFrame, stores: DataFrame) -> DataFrame:
+    """``packages`` with ``_problem``: NULL for one that can be stored."""
+    known = stores.select(F.col("store_id").alias("id_store"), F.lit(True).alias("_known")).distinct()
+    found = packages.join(known, "id_store", "left")
+    return found.withColumn(
+        "_problem", F.when(F.col(CORRUPT).isNotNull(), "malformed").otherwise(F.coalesce(package_problem(), F.when(F.col("_known").isNull(), "unknown_store")))
+    ).drop("_known")
+
+
 def classify_packages(batch: DataFrame, stores: DataFrame, received: DataFrame | None) -> DataFrame:
     """``batch`` with ``reason``: NULL for a package to store, else ``malformed``,
     ``bad_date``, ``bad_time``, ``bad_product``, ``unknown_store`` or ``duplicate``.
@@ -51,12 +62,8 @@ def classify_packages(batch: DataFrame, stores: DataFrame, received: DataFrame |
     Of equal packages in the batch the first by file is stored.  A package that
     is rejected isn't received: offered again later (I3), it isn't a duplicate.
     The batch is bounded by the trigger, so its ids are broadcast to the stored
-    receipts, whatever their number."""
-    known = stores.select(F.col("store_id").alias("id_store"), F.lit(True).alias("_known")).distinct()
-    found = batch.join(known, "id_store", "left")
-    found = found.withColumn(
-        "_problem", F.when(F.col(CORRUPT).isNotNull(), "malformed").otherwise(F.coalesce(package_problem(), F.when(F.col("_known").isNull(), "unknown_store")))
-    )
+    ones, whatever their number."""
+    found = with_problem(batch, stores)
     nth = F.row_number().over(Window.partitionBy("package_id", "_problem").orderBy("source"))
     found = found.withColumn("_repeat", F.col("_problem").isNull() & (nth > 1))
     if received is not None:
@@ -68,13 +75,70 @@ def classify_packages(batch: DataFrame, stores: DataFrame, received: DataFrame |
     return found.withColumn("reason", F.when(duplicate, "duplicate").otherwise(F.col("_problem"))).select(*KEEP, "source", "reason")
 
 
-def _stored(spark: SparkSession, path: str, epoch_id: int) -> DataFrame | None:
-    """What earlier epochs wrote to ``path``; None before the first write."""
+def _folders(spark: SparkSession, path: str) -> set[str]:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {f.getPath().getName() for f in fs.listStatus(hadoop)} if fs.exists(hadoop) else set()
+
+
+def _stored(spark: SparkSession, path: str, schema: str, epoch_id: int) -> DataFrame | None:
+    """What earlier epochs wrote to ``path``; None before the first write.  The schema is
+    declared: a first write that died left a folder without any file to infer it from."""
+    if not any(n.startswith("epoch=") for n in _folders(spark, path)):
+        return None
+    return spark.read.schema(f"{schema}, epoch int").parquet(path).where(F.col("epoch") < epoch_id)
+
+
+#: Runs of ids that are merged into one.
+FAN = 64
+#: Hex digits of an id by which its run is partitioned.
+PREFIX = 2
+_ID_SCHEMA = "package_id string, prefix string"
+
+
+def _id_runs(epoch_id: int) -> list[tuple[int, int]]:
+    """(level, run) of the runs that hold the ids of all epochs before ``epoch_id``: a
+    run of level k covers ``FAN ** k`` epochs."""
+    runs, level = [], 0
+    while epoch_id:
+        runs += [(level, r) for r in range(epoch_id // FAN * FAN, epoch_id)]
+        epoch_id, level = epoch_id // FAN, level + 1
+    return runs
+
+
+def _run_path(out_dir: str, level: int, run: int) -> str:
+    return f"{out_dir}/received/level={level}/run={run}"
+
+
+def _prefixed(ids: DataFrame) -> DataFrame:
+    # A letter before the digits: a folder's name must not read as a number.
+    return ids.select("package_id", F.concat(F.lit("p"), F.substring("package_id", 1, PREFIX)).alias("prefix"))
+
+
+def write_received(ids: DataFrame, epoch_id: int, out_dir: str) -> None:
+    """The ids of an epoch's stored packages, and what this epoch completes: ``FAN``
+    runs become one of the next level.  A replay writes the same runs."""
+    spark = ids.sparkSession
+    _prefixed(ids).repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(_run_path(out_dir, 0, epoch_id))
+    level, done = 1, (epoch_id + 1) // FAN
+    while done and (epoch_id + 1) % FAN**level == 0:
+        parts = [_run_path(out_dir, level - 1, r) for r in range((done - 1) * FAN, done * FAN)]
+        merged = spark.read.schema(_ID_SCHEMA).option("basePath", f"{out_dir}/received").parquet(*parts)
+        merged.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(_run_path(out_dir, level, done - 1))
+        level, done = level + 1, done // FAN
+
+
+def received_before(batch: DataFrame, epoch_id: int, out_dir: str) -> DataFrame | None:
+    """The stored ids that share a prefix with the batch's: at most 16 ** ``PREFIX`` prefixes,
+    named in a partition filter."""
+    spark = batch.sparkSession
+    stored = {level: _folders(spark, f"{out_dir}/received/level={level}") for level in {k for k, _ in _id_runs(epoch_id)}}
+    paths = [_run_path(out_dir, k, r) for k, r in _id_runs(epoch_id) if f"run={r}" in stored[k]]
+    if not paths:
         return None
-    df = spark.read.parquet(path)
-    return df.where(F.col("epoch") < epoch_id) if "epoch" in df.columns else None
+    prefixes = [r[0] for r in _prefixed(batch).select("prefix").distinct().collect()]
+    ids = spark.read.schema(_ID_SCHEMA).option("basePath", f"{out_dir}/received").parquet(*paths)
+    return ids.where(F.col("prefix").isin(prefixes)).select("package_id")
 
 
 def process_batch(batch: DataFrame, epoch_id: int, *, stores: Table, products: Table, catalog: Table, hourly_weather: Table, out_dir: str) -> None:
@@ -84,8 +148,7 @@ def process_batch(batch: DataFrame, epoch_id: int, *, stores: Table, products: T
     The batch feeds several writes, so it is persisted for the duration of this
     call (bounded by the trigger size; lost blocks are recomputed from the
     source files) and released at the end."""
-    spark = batch.sparkSession
-    received = _stored(spark, f"{out_dir}/receipts", epoch_id)
+    received = received_before(batch, epoch_id, out_dir)
     sorted_out = classify_packages(batch, load(stores), received).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         _write_batch(sorted_out, epoch_id, products=load(products), catalog=load(catalog), hourly_weather=load(hourly_weather), out_dir=out_dir)
@@ -106,9 +169,10 @@ def _write_batch(batch: DataFrame, epoch_id: int, *, products: DataFrame, catalo
         "store_id", "barcode", "sale_date", "time", "amount", "temperature", "weather_resume_wmo_code"
     ).write.mode("overwrite").partitionBy("sale_date").parquet(f"{out_dir}/sales/{tag}")
     # A product is new once: not in the table, not added by an earlier epoch.
-    added = _stored(batch.sparkSession, f"{out_dir}/new_products", epoch_id)
+    added = _stored(batch.sparkSession, f"{out_dir}/new_products", "barcode string", epoch_id)
     known = products.select("barcode") if added is None else products.select("barcode").union(added.select("barcode"))
     complete_products(lines, known, catalog).write.mode("overwrite").parquet(f"{out_dir}/new_products/{tag}")
+    write_received(ok.select("package_id"), epoch_id, out_dir)
     # Last: what has a receipt is stored.
     ok.select("package_id", "id_store", "date", F.size(F.coalesce("sales", F.array())).alias("blocks")).write.mode("overwrite").parquet(
         f"{out_dir}/receipts/{tag}"
@@ -127,10 +191,11 @@ def retry_rejected(rejects: DataFrame, stores: DataFrame) -> DataFrame:
 def accounting(spark: SparkSession, out_dir: str) -> DataFrame:
     """(outcome, documents) over all epochs: ``received``, ``duplicate`` and a row
     for each reason of rejection; they add up to the documents that arrived."""
+    read = lambda name, column: spark.read.schema(f"{column} string").parquet(f"{out_dir}/{name}")
     parts = [
-        spark.read.parquet(f"{out_dir}/receipts").select(F.lit("received").alias("outcome")),
-        spark.read.parquet(f"{out_dir}/duplicates").select(F.lit("duplicate").alias("outcome")),
-        spark.read.parquet(f"{out_dir}/rejects").select(F.col("reason").alias("outcome")),
+        read("receipts", "package_id").select(F.lit("received").alias("outcome")),
+        read("duplicates", "package_id").select(F.lit("duplicate").alias("outcome")),
+        read("rejects", "reason").select(F.col("reason").alias("outcome")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("outcome").agg(F.count(F.lit(1)).alias("documents"))
 

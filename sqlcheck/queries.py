@@ -265,6 +265,19 @@ FROM (SELECT v.*, v.valid AND v.email NOT IN (SELECT email FROM stores WHERE ema
 ) GROUP BY outcome""",
         pk,
     )
+    q["ingest_batch"] = with_views(
+        ["scans_raw", "stores"],
+        """SELECT outcome, CAST(SUM(n) AS BIGINT) AS n FROM (
+  SELECT unnest([{'outcome': COALESCE(problem, 'received'), 'n': CASE WHEN problem IS NOT NULL THEN copies WHEN id_store % 5 = 0 THEN 0 ELSE 1 END},
+    {'outcome': 'duplicate', 'n': CASE WHEN problem IS NOT NULL THEN 0 WHEN id_store % 5 = 0 THEN copies ELSE copies - 1 END},
+    {'outcome': 'units', 'n': CASE WHEN problem IS NULL AND id_store % 5 <> 0 THEN units ELSE 0 END}], recursive := true)
+  FROM (SELECT p.id_store, CASE WHEN (p.id_store + p.day) % 11 = 0 THEN 'bad_date' WHEN (p.id_store + p.day) % 11 = 1 THEN 'bad_time'
+      WHEN p.id_store NOT IN (SELECT store_id FROM stores) THEN 'unknown_store' END AS problem, CASE WHEN p.id_store % 3 = 0 THEN 2 ELSE 1 END AS copies,
+      (SELECT SUM(amount) FROM half h WHERE h.store_id = p.id_store AND h.sale_date = p.sale_date) AS units FROM packages p)
+) GROUP BY outcome HAVING SUM(n) > 0""",
+        pk,
+    )
+    q["retention_elapsed"] = f"SELECT event_id AS backup, ts AS modified FROM events WHERE epoch_us({EVENTS_AS_OF} + INTERVAL 12 HOUR) - epoch_us(ts) <= 30 * 86400000000"
     q["package_round_trip"] = with_views(
         ["scans_raw"], "SELECT store_id, sale_date, block AS time, CAST(substr(block, 1, 2) AS INT) AS hour, barcode, CAST(amount AS INT) AS amount FROM half", pk
     )

@@ -107,3 +107,15 @@ def test_complete_products(spark):
     cat = spark.createDataFrame([("b", None, "Cat", None)], "barcode string, name string, category string, image_url string")
     out = {r.barcode: (r.product_name, r.category, r.image_url) for r in IN.complete_products(codes, prods, cat).collect()}
     assert out == {"b": ("Nombre no disponible", "Cat", "Sin Imagen"), "c": ("Producto Desconocido", "Sin Categoría", "Sin Imagen")}
+
+
+def test_retention_counts_elapsed_time(spark):
+    rows = [(1, dt.datetime(2024, 1, 16, 12)), (2, dt.datetime(2024, 1, 16, 11, 59, 59)), (3, dt.datetime(2024, 1, 16, 7)), (4, dt.datetime(2024, 2, 15)), (5, None)]
+    for kind in ("timestamp_ntz", "timestamp"):
+        df = spark.createDataFrame(rows, f"id int, at {kind}")
+        assert [r.id for r in IN.retain(df, as_of=dt.datetime(2024, 2, 15, 12), date_col="at").collect()] == [1, 4]
+        assert [r.id for r in IN.retain(df, as_of="2024-02-15 12:00:00", date_col="at").collect()] == [1, 4]
+        assert [r.id for r in IN.retain(df, as_of=dt.date(2024, 2, 15), date_col="at").collect()] == [1, 2, 3, 4]
+    days = spark.createDataFrame([(1, dt.date(2024, 1, 16)), (2, dt.date(2024, 1, 15))], "id int, at date")
+    assert [r.id for r in IN.retain(days, as_of=dt.date(2024, 2, 15), date_col="at").collect()] == [1]
+    assert [r.id for r in IN.retain(days, as_of=dt.datetime(2024, 2, 15, 0, 0, 1), date_col="at").collect()] == []

@@ -8,6 +8,7 @@ from retailspark.operators import ingest as IN
 from retailspark.operators.sessions import gap_sessions
 from retailspark.sources import fixtures as FX
 from retailspark.sources.readers import package_id, read_packages, read_sales
+from retailspark.streaming import ingest as SI
 from retailspark.streaming.ingest import accounting, ingest_stream, process_batch, retry_rejected
 from retailspark.streaming.scans import SCAN_SCHEMA, half_hour_sink, half_hour_stream, read_half_hours
 from retailspark.streaming.sessions import read_codes, scanner_sessions, scanner_sink, waiting_codes
@@ -263,6 +264,70 @@ def test_replay_of_an_epoch_changes_nothing(spark):
     assert {r.outcome: r.documents for r in accounting(spark, out).collect()} == {"received": 2, "duplicate": 4}
 
 
+def test_a_first_write_that_died_does_not_stop_the_replay(spark):
+    """A crash in the middle of the first write leaves folders that hold only ``_temporary``."""
+    d = _scratch()
+    src, out = os.path.join(d, "in"), os.path.join(d, "out")
+    for name in ("receipts", "new_products", "sales", "rejects", "duplicates"):
+        os.makedirs(os.path.join(out, name, "_temporary", "0"))
+    os.makedirs(os.path.join(out, "receipts", "epoch=0", "_temporary"))
+    os.makedirs(os.path.join(out, "received", "level=0", "run=0", "_temporary"))
+    stores, products, catalog, weather = _tables(spark)
+    _offer(spark, src, "a", [_package(1, "01-01-2024", "n"), _package(2, "02-01-2024")])
+    _offer(spark, src, "b", [_package(1, "01-01-2024", "n")])
+    got = _run(spark, src, out, os.path.join(d, "ckpt"), stores, products, catalog, weather)
+    assert got == {"received": 2, "duplicate": 1}
+    assert spark.read.parquet(os.path.join(out, "new_products")).count() == 1
+
+
+def test_ids_are_looked_up_by_prefix_in_few_files(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(SI, "FAN", 4)
+    out = _scratch()
+    ids = lambda *names: spark.createDataFrame([(hashlib.sha256(str(n).encode()).hexdigest(),) for n in names], "package_id string")
+    batch = ids(3, 40, "new")
+    seen = []
+    for epoch in range(21):
+        received = SI.received_before(batch, epoch, out)
+        if received is not None:
+            plan = received._jdf.queryExecution().executedPlan().toString()
+            assert "PartitionFilters: [isnotnull(prefix" in plan or "PartitionFilters: [prefix" in plan
+            found = {r.package_id for r in received.join(batch, "package_id", "left_semi").collect()}
+            assert found == {r.package_id for r in ids(*[n for n in (3, 40) if n < epoch * 3]).collect()}
+            files = [r[0] for r in received.select(F.input_file_name()).distinct().collect()]
+            seen.append(len(files))
+            assert all(any(f"prefix=p{r.package_id[:2]}" in f for r in batch.collect()) for f in files)
+        for _ in range(2):  # a replay writes the same
+            SI.write_received(ids(*range(epoch * 3, epoch * 3 + 3)), epoch, out)
+    assert SI._id_runs(21) == [(0, 20), (1, 4), (2, 0)] and SI._id_runs(4) == [(1, 0)] and SI._id_runs(0) == []
+    assert 0 < max(seen) <= 3 * 3 * 3  # prefixes x runs of a level x levels
+
+
+def test_batch_and_stream_agree(spark):
+    from retailspark.plans.ingest import ingest_packages
+
+    d = _scratch()
+    src, out = os.path.join(d, "in"), os.path.join(d, "out")
+    stores, products, catalog, weather = _tables(spark)
+    _offer(spark, src, "a", [_package(1, "01-01-2024", "n"), _package(2, "99-99-2024"), _package(9, "02-01-2024"), _package(1, "01-01-2024", "n")])
+    _offer(spark, src, "b", [_package(1, "01-01-2024", "n"), _package(2, "03-01-2024", time="25:00"), _package(2, "04-01-2024")])
+    with open(os.path.join(src, "bad.json"), "w") as fh:
+        fh.write("{not json\n")
+    streamed = _run(spark, src, out, os.path.join(d, "ckpt"), stores, products, catalog, weather)
+    tables = dict(stores=stores, products=products, catalog=catalog, hourly_weather=weather)
+    batch = ingest_packages(packages=read_packages(spark, os.path.join(src, "*")), **tables)
+    of = lambda df, *cols: sorted(tuple(r) for r in df.select(*cols).collect())
+    counts = {"received": batch["receipts"].count(), "duplicate": sum(r.copies for r in batch["duplicates"].collect())} | {r.reason: r["count"] for r in batch["rejected"].groupBy("reason").count().collect()}
+    assert counts == streamed == {"received": 2, "duplicate": 2, "bad_date": 1, "bad_time": 1, "unknown_store": 1, "malformed": 1}
+    assert of(batch["receipts"], "package_id", "blocks") == of(spark.read.parquet(f"{out}/receipts"), "package_id", "blocks")
+    lines = ["store_id", "barcode", "sale_date", "time", "amount"]
+    assert of(batch["sales"], *lines) == of(read_sales(spark, f"{out}/sales"), *lines)
+    assert of(batch["new_products"], "barcode") == of(spark.read.parquet(f"{out}/new_products"), "barcode")
+    again = ingest_packages(packages=read_packages(spark, os.path.join(src, "*")), received=spark.read.parquet(f"{out}/receipts"), **tables)
+    assert again["receipts"].count() == 0 and sum(r.copies for r in again["duplicates"].collect()) == 4
+
+
 def test_half_hour_sink_counts_late_and_keeps_malformed_scans(spark):
     d = _scratch()
     src, out = os.path.join(d, "scans"), os.path.join(d, "out")
