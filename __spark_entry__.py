@@ -399,7 +399,8 @@ def q_training_rows(spark: SparkSession, sf: str) -> DataFrame:
 def q_training_moments(spark: SparkSession, sf: str) -> DataFrame:
     m = MD.training_moments(_training_rows(spark, sf))
     e = m.select("barcode", "n", F.posexplode("moments").alias("k", "v"))
-    return e.select("barcode", "n", "k", r6(F.col("v") / F.col("n")).alias("mean_value"))
+    mean = F.when((F.col("k") >= 1) & (F.col("k") <= MD.DIM), F.col("v")).otherwise(F.col("v") / F.col("n"))
+    return e.select("barcode", "n", "k", r6(mean).alias("mean_value"))
 
 
 def q_train_models(spark: SparkSession, sf: str) -> DataFrame:
@@ -411,7 +412,10 @@ def q_model_optimality(spark: SparkSession, sf: str) -> DataFrame:
     """H2: whether each product's fitted model is the minimum of its objective: the
     gradient, recomputed from all raw training rows, vanishes."""
     rows = _training_rows(spark, sf)
-    models = MD.solve(MD.training_moments(rows)).select("barcode", "coef")
+    return _optimality(rows, MD.solve(MD.training_moments(rows)).select("barcode", "coef"))
+
+
+def _optimality(rows: DataFrame, models: DataFrame) -> DataFrame:
     rest = F.col("y") - MD.predict("coef")
     sums = rows.join(models, "barcode").groupBy("barcode", "coef").agg(
         F.count(F.lit(1)).alias("n"), F.avg(rest).alias("g0"), F.avg(F.abs("y")).alias("scale"),
@@ -451,6 +455,22 @@ def q_train_incremental_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _incremental(spark, sf).select("barcode", "n", "new_examples", "total_examples", "last_date")
 
 
+def q_train_incremental_optimality(spark: SparkSession, sf: str) -> DataFrame:
+    """H3: whether the coefficients of the incremental step are the minimum over all the
+    rows learned so far: those of the first fit and, of products that went on, the new days."""
+    import datetime as dt
+
+    sales, none = FX.sales(spark, sf), spark.createDataFrame([], "barcode string, total_examples long")
+    week_before = F.lit(AS_OF - dt.timedelta(days=7))
+    first = MD.training_rows(sales, none, as_of=AS_OF - dt.timedelta(days=7))
+    warm = first.groupBy("barcode").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= Config().min_examples_cold_start).select("barcode")
+    known = sales.where(F.col("sale_date") <= F.lit(AS_OF))
+    read = known.where(F.col("sale_date") > week_before).join(warm, "barcode", "left_semi").unionByName(known.join(warm, "barcode", "left_anti"))
+    rows = FE.feature_matrix(D.fill_temperature(D.daily_sales(read)), training=True)
+    rows = first.join(warm, "barcode", "left_semi").select(*rows.columns).unionByName(rows)
+    return _optimality(rows, _incremental(spark, sf).select("barcode", "coef"))
+
+
 def _fixed_models(spark: SparkSession, sf: str) -> DataFrame:
     reg = FX.registry_state(spark, sf)
     return reg.select("barcode", "total_examples", F.array(*[F.lit(c) for c in FIXED_COEF]).alias("coef"))

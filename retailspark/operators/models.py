@@ -5,10 +5,12 @@ fit is re-aimed to the same objective solved exactly and order-independently:
 
     minimise  mean(1/2 (y - b - w.x)^2) + alpha/2 |w|^2     (intercept unpenalised)
 
-whose solution only needs the sufficient statistics of [1, x, y] per product.
-Spark computes them for all products in one partial+final aggregation (a hot
-product is combined map-side), they are additive across days (H3: state +
-delta), and the only Python on executors is an 11x11 solve per product row.
+whose solution only needs the count, the means and the centred co-moments of [x, y]
+per product.  Spark computes them for all products in two partial+final aggregations
+(a hot product is combined map-side): means first, then sums around them, so no
+large sums are subtracted, whatever the size of store ids or counts.  Two such
+tables merge pairwise (H3: state + delta, or less what has expired), and the
+only Python on executors is a 10x10 solve per product row.
 """
 
 from __future__ import annotations
@@ -26,33 +28,23 @@ from retailspark.operators.daily import daily_sales, fill_temperature
 from retailspark.operators.features import FEATURE_NAMES, N_FEATURES, feature_matrix
 from retailspark.sources.readers import cut_lineage
 
-DIM = N_FEATURES + 1  # [1, x]
-# Moment layout: upper triangle (row-major, i <= j) of [1,x]^T [1,x] (66), then
-# [1,x]^T y (11), then y^T y (1) -> 78 sums.  Entry 0 is n.
+VARIABLES = [*FEATURE_NAMES, "y"]
+DIM = len(VARIABLES)
+# Moment layout: the number of rows, the means of [x, y] (11), then the upper
+# triangle (row-major, i <= j) of their centred co-moments (66) -> 78 numbers.
 TRI = [(i, j) for i in range(DIM) for j in range(i, DIM)]
-N_MOMENTS = len(TRI) + DIM + 1
+N_MOMENTS = 1 + DIM + len(TRI)
 # Functions of this module run inside Python workers; pickle them by value so
 # executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MODEL_TYPE = "ridge_moments"
+MODEL_TYPE = "ridge_centred"
 
 MODEL_SCHEMA = (
     "barcode string, coef array<double>, n long, error string"
 )
 
 
-def _aug(i: int) -> Column:
-    return F.lit(1.0) if i == 0 else F.col(FEATURE_NAMES[i - 1])
-
-
-def moment_columns() -> list[Column]:
-    cols = [F.sum(_aug(i) * _aug(j)) for i, j in TRI]
-    cols += [F.sum(_aug(i) * F.col("y")) for i in range(DIM)]
-    cols += [F.sum(F.col("y") * F.col("y"))]
-    return cols
-
-
 def cold_start_flags(products: DataFrame, registry: DataFrame, *, cfg: Config = Config()) -> DataFrame:
     """H1: ``is_cold`` when the product has no registry row, or fewer than
     ``min_examples_cold_start`` accumulated examples (NULL counts as 0)."""
@@ -89,26 +81,49 @@ def training_rows(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config =
     return m.join(flags, "barcode")
 
 
-def training_moments(matrix: DataFrame, by: str = "barcode") -> DataFrame:
-    """H2: ``by, n, moments ARRAY<DOUBLE>[78]`` and the last training date."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.array(*moment_columns()).alias("moments")]
+def training_moments(matrix: DataFrame, by: str = "barcode", *also: Column) -> DataFrame:
+    """H2: ``by, n, moments ARRAY<DOUBLE>[78]``, the last training date and the
+    aggregates of ``also``.  The means are a row a product, which Spark broadcasts
+    if they are few."""
+    means = matrix.groupBy(F.col(by).alias("_by")).agg(F.array(*[F.avg(F.col(v).cast("double")) for v in VARIABLES]).alias("_mean"))
+    off = [F.col(v).cast("double") - F.get("_mean", F.lit(i)) for i, v in enumerate(VARIABLES)]
+    aggs = [F.count(F.lit(1)).alias("n"), F.first("_mean").alias("_mean"), F.array(*[F.sum(d) for d in off]).alias("_rest"), F.array(*[F.sum(off[i] * off[j]) for i, j in TRI]).alias("_sums"), *also]
     if "sale_date" in matrix.columns:
         aggs.append(F.max("sale_date").alias("last_date"))
-    return matrix.groupBy(by).agg(*aggs)
+    sums = matrix.join(means, matrix[by].eqNullSafe(F.col("_by"))).groupBy(by).agg(*aggs)
+    # What rounding of the means has left.
+    rest = lambda i: F.get("_rest", F.lit(i))
+    exact = [F.get("_mean", F.lit(i)) + rest(i) / F.col("n") for i in range(DIM)]
+    centred = [F.get("_sums", F.lit(k)) - rest(i) * rest(j) / F.col("n") for k, (i, j) in enumerate(TRI)]
+    return sums.withColumn("moments", F.array(F.col("n").cast("double"), *exact, *centred)).drop("_mean", "_rest", "_sums")
+
+
+def less(moments: DataFrame) -> DataFrame:
+    """A moment table to take away: merged with one that has its rows, it leaves the others."""
+    signed = F.transform("moments", lambda m, k: F.when((k >= 1) & (k <= DIM), m).otherwise(-m))
+    return moments.withColumns({"n": -F.col("n"), "moments": signed})
 
 
 def merge_moments(state: DataFrame, delta: DataFrame, by: str = "barcode") -> DataFrame:
-    """H3: elementwise sum of two moment tables (full outer on ``by``)."""
+    """H3: the moments of both tables' rows together (full outer on ``by``).  Co-moments
+    are merged around the common mean; a ``delta`` of ``less`` takes rows away."""
     a = state.select(by, F.col("n").alias("n_a"), F.col("moments").alias("m_a"), F.col("last_date").alias("d_a"))
     b = delta.select(by, F.col("n").alias("n_b"), F.col("moments").alias("m_b"), F.col("last_date").alias("d_b"))
     j = a.join(b, by, "full_outer")
-    zeros = F.array_repeat(F.lit(0.0), N_MOMENTS)
-    return j.select(
-        by,
-        (F.coalesce("n_a", F.lit(0)) + F.coalesce("n_b", F.lit(0))).alias("n"),
-        F.zip_with(F.coalesce("m_a", zeros), F.coalesce("m_b", zeros), lambda x, y: x + y).alias("moments"),
-        F.greatest("d_a", "d_b").alias("last_date"),
-    )
+    zero = F.lit(0).cast("long")
+    n_a, n_b = F.coalesce("n_a", zero), F.coalesce("n_b", zero)
+    # Floating counts: their product leaves a long at some 10^9 rows.
+    share_b = F.when(n_a + n_b != 0, n_b.cast("double") / (n_a + n_b)).otherwise(0.0)
+    at = lambda m, k: F.get(m, F.lit(k))
+    apart = [at("m_b", 1 + i) - at("m_a", 1 + i) for i in range(DIM)]
+    means = [at("m_a", 1 + i) + F.col("_share") * apart[i] for i in range(DIM)]
+    spread = F.col("_share") * n_a.cast("double")
+    centred = [at("m_a", 1 + DIM + k) + at("m_b", 1 + DIM + k) + spread * apart[i] * apart[j] for k, (i, j) in enumerate(TRI)]
+    both = F.array((n_a + n_b).cast("double"), *means, *centred)
+    empty = F.array_repeat(F.lit(0.0), N_MOMENTS)
+    one = F.coalesce("m_a", "m_b", empty)
+    moments = F.when(F.col("m_a").isNull() | F.col("m_b").isNull(), one).when(n_a == 0, F.col("m_b")).when(n_b == 0, F.col("m_a")).when(n_a + n_b == 0, empty).otherwise(both)
+    return j.withColumn("_share", share_b).select(by, (n_a + n_b).alias("n"), moments.alias("moments"), F.greatest("d_a", "d_b").alias("last_date"))
 
 
 def _solve_rows(pdf: pd.DataFrame, alpha: float) -> pd.DataFrame:
@@ -119,15 +134,11 @@ def _solve_rows(pdf: pd.DataFrame, alpha: float) -> pd.DataFrame:
             if n is None or n <= 0 or m is None:
                 raise ValueError("no training rows")
             m = np.asarray(m, dtype=np.float64)
+            mu, ybar = m[1:DIM], m[DIM]
             g = np.zeros((DIM, DIM))
-            g[iu] = m[: len(TRI)]
+            g[iu] = m[1 + DIM :] / float(n)
             g = g + np.triu(g, 1).T
-            xy = m[len(TRI): len(TRI) + DIM]
-            n = float(n)
-            mu = g[0, 1:] / n
-            ybar = xy[0] / n
-            cov = g[1:, 1:] / n - np.outer(mu, mu)
-            cxy = xy[1:] / n - mu * ybar
+            cov, cxy = g[:-1, :-1], g[:-1, -1]
             w = np.linalg.solve(cov + alpha * np.eye(N_FEATURES), cxy)
             b = ybar - mu @ w
             if not np.all(np.isfinite(w)) or not np.isfinite(b):
@@ -182,12 +193,7 @@ def train_models(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config =
     rows = training_rows(sales, registry, as_of=as_of, cfg=cfg)
     if materialize:
         rows = cut_lineage(rows)
-    mom = rows.groupBy("barcode").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*moment_columns()).alias("moments"),
-        F.lit(as_date(as_of)).alias("last_date"),
-        F.max(F.col("is_cold").cast("int")).alias("_cold"),
-    )
+    mom = training_moments(rows, "barcode", F.max(F.col("is_cold").cast("int")).alias("_cold")).withColumn("last_date", F.lit(as_date(as_of)))
     models = solve(mom, cfg=cfg)
     if materialize:
         models = cut_lineage(models)
@@ -222,7 +228,7 @@ def training_outcomes(products: DataFrame, trained: DataFrame) -> DataFrame:
 def registry_state(registry: DataFrame) -> DataFrame:
     """Registry rows as training state: ``barcode, n, moments, last_date,
     total_examples`` (state columns NULL when the registry has none, e.g. a
-    registry that only counts examples)."""
+    registry that only counts examples, or has moments of another type)."""
     cols = {
         "n": "long", "moments": "array<double>", "last_date": "date",
     }
@@ -230,6 +236,8 @@ def registry_state(registry: DataFrame) -> DataFrame:
     for c, t in cols.items():
         if c not in r.columns:
             r = r.withColumn(c, F.lit(None).cast(t))
+    if "type_model" in r.columns:
+        r = r.withColumn("moments", F.when(F.col("type_model") == MODEL_TYPE, F.col("moments")))
     return r.select("barcode", "n", "moments", "last_date", F.col("total_examples").cast("long").alias("total_examples"))
 
 
@@ -335,10 +343,10 @@ def train_arrivals(state: DataFrame, sales: DataFrame, *, since_epoch: int, as_o
         after = cut_lineage(after)
     plus = training_moments(after)
     minus = training_moments(rows_of(around.filter(F.col("epoch") <= F.lit(since_epoch))))
-    minus = minus.select("barcode", (-F.col("n")).alias("n"), F.transform("moments", lambda m: -m).alias("moments"), "last_date")
-    delta = merge_moments(plus, minus)
     kept = st.filter(F.col("moments").isNotNull()).select("barcode", "n", "moments", "last_date")
-    merged = merge_moments(kept, delta)
+    # First the rows that change are taken away, then they come as they are now.
+    merged = merge_moments(merge_moments(kept, less(minus)), plus)
+    delta = plus.select("barcode", "n").unionByName(less(minus).select("barcode", "n")).groupBy("barcode").agg(F.sum("n").alias("n"))
     if materialize:
         merged = cut_lineage(merged)
     models = solve(merged, cfg=cfg)

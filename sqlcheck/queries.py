@@ -387,14 +387,13 @@ def build_models(q: dict[str, str]) -> None:
           "tfilled": FILLED.replace("FROM daily", "FROM tdaily"), "trows": TROWS}
     feats_r6 = ", ".join(f"(floor(({f}) * 1e6 + 0.5) / 1e6) AS {f}" for f in FEATURES)
     q["training_rows"] = with_views(tv, f"SELECT store_id, barcode, sale_date, {feats_r6}, y, prev_examples, is_cold FROM trows", tx)
-    aug = ["1.0"] + FEATURES
-    sums = [f"SUM({aug[i]} * {aug[j]})" for i in range(11) for j in range(i, 11)]
-    sums += [f"SUM({aug[i]} * y)" for i in range(11)] + ["SUM(y * y)"]
+    var = [*FEATURES, "y"]
+    numbers = ["1.0", *[f"AVG({v})" for v in var]] + [f"covar_pop({var[i]}, {var[j]})" for i in range(11) for j in range(i, 11)]
     q["training_moments"] = with_views(
         tv,
-        f"""SELECT barcode, n, CAST(k AS INTEGER) AS k, (floor((v / n) * 1e6 + 0.5) / 1e6) AS mean_value FROM (
+        f"""SELECT barcode, n, CAST(k AS INTEGER) AS k, (floor(v * 1e6 + 0.5) / 1e6) AS mean_value FROM (
   SELECT barcode, n, unnest(range(78)) AS k, unnest(m) AS v FROM (
-    SELECT barcode, COUNT(*) AS n, [{', '.join(sums)}] AS m FROM trows GROUP BY barcode) a) b""",
+    SELECT barcode, COUNT(*) AS n, [{', '.join(numbers)}] AS m FROM trows GROUP BY barcode) a) b""",
         tx,
     )
     q["training_outcomes"] = with_views(
@@ -415,6 +414,10 @@ FROM (SELECT barcode, COUNT(*) FILTER (WHERE sale_date <= {AS_OF} - 7) AS n_old,
              COUNT(*) FILTER (WHERE sale_date > {AS_OF} - 7) AS n_new
       FROM (SELECT DISTINCT store_id, barcode, sale_date FROM sales WHERE sale_date <= {AS_OF}) d GROUP BY barcode) t""",
     )
+    q["train_incremental_optimality"] = with_views(
+        ["sales"],
+        f"""SELECT barcode, COUNT(*) AS n, true AS is_optimal FROM (SELECT DISTINCT store_id, barcode, sale_date FROM sales WHERE sale_date <= {AS_OF}) d GROUP BY barcode""",
+    )
     # The two-day job: day 1 (as_of - 1) replaces the stored predictions of every
     # scored pair, day 2 (as_of) replaces day 1's result again.
     def new_rows(day: str) -> str:
@@ -451,7 +454,7 @@ FROM (SELECT *, {fixed_dot()} AS yhat FROM trows) t GROUP BY barcode""",
         [*tv, "registry_before"],
         f"""SELECT COALESCE(r.barcode, t.barcode) AS barcode, CASE WHEN t.barcode IS NOT NULL THEN (floor((t.mse) * 1e6 + 0.5) / 1e6) END AS last_mse,
   CASE WHEN t.barcode IS NOT NULL THEN CAST({AS_OF} AS TIMESTAMP) END AS last_update,
-  CAST(COALESCE(r.total_examples, 0) + COALESCE(t.n, 0) AS BIGINT) AS total_examples, 'ridge_moments' AS type_model
+  CAST(COALESCE(r.total_examples, 0) + COALESCE(t.n, 0) AS BIGINT) AS total_examples, 'ridge_centred' AS type_model
 FROM registry_before r
 FULL OUTER JOIN (SELECT barcode, AVG((y - greatest(yhat, 0.0)) * (y - greatest(yhat, 0.0))) AS mse, COUNT(*) AS n
   FROM (SELECT *, {fixed_dot()} AS yhat FROM trows) t GROUP BY barcode) t

@@ -44,7 +44,39 @@ def test_moments_are_additive(spark):
     merged = MD.merge_moments(MD.training_moments(with_date(a)), MD.training_moments(with_date(b))).first()
     whole = MD.training_moments(with_date(df)).first()
     assert merged.n == whole.n == 120
-    np.testing.assert_allclose(merged.moments, whole.moments, rtol=1e-12)
+    np.testing.assert_allclose(merged.moments, whole.moments, rtol=1e-9, atol=1e-9)
+
+
+def test_moments_of_large_ids_and_counts_stay_exact(spark):
+    """Store ids near 10^6, merged until 10^9 rows: coefficients as numpy finds them on centred data."""
+    rng = np.random.default_rng(7)
+    n = 4000
+    x = rng.normal(size=(n, 10))
+    x[:, 9] = 1_000_000 + rng.integers(0, 50, n)
+    y = 4.0 + x @ (np.arange(1, 11) / 10.0) + rng.normal(scale=0.1, size=n)
+    schema = "barcode string, part int, sale_date date, " + ", ".join(f"{c} double" for c in FEATURE_NAMES) + ", y double"
+    df = spark.createDataFrame([("p", i % 3, AS_OF, *map(float, x[i]), float(y[i])) for i in range(n)], schema).repartition(7)
+    parts = [MD.training_moments(df.where(f"part = {k}")) for k in range(3)]
+    want = _ridge(x, y, 1e-4)
+    total = MD.merge_moments(MD.merge_moments(parts[0], parts[1]), parts[2])
+    np.testing.assert_allclose(MD.solve(total).first().coef, want, rtol=1e-9)
+    big = total
+    for _ in range(18):  # the same rows again and again: 4000 * 2^18 rows
+        big = spark.createDataFrame(MD.merge_moments(big, big).collect(), big.select("barcode", "n", "moments", "last_date").schema)
+    row = big.first()
+    assert row.n == n * 2**18 > 10**9 and row.moments[0] == row.n
+    np.testing.assert_allclose(MD.solve(big).first().coef, want, rtol=1e-9)
+    # Rows that expire leave the others; all of them leave nothing.
+    left = MD.merge_moments(MD.merge_moments(total, MD.less(parts[1])), MD.less(parts[0]))
+    keep = np.arange(n) % 3 == 2
+    np.testing.assert_allclose(MD.solve(left).first().coef, _ridge(x[keep], y[keep], 1e-4), rtol=1e-8)
+    assert MD.merge_moments(left, MD.less(parts[2])).first().moments == [0.0] * MD.N_MOMENTS
+
+
+def test_moments_of_another_type_are_learned_anew(spark):
+    reg = spark.createDataFrame([("a", 90, 5, [1.0] * 78, AS_OF, "ridge_moments"), ("b", 90, 5, [1.0] * 78, AS_OF, MD.MODEL_TYPE)],
+                                "barcode string, total_examples long, n long, moments array<double>, last_date date, type_model string")
+    assert {r.barcode: r.moments is None for r in MD.registry_state(reg).collect()} == {"a": True, "b": False}
 
 
 def test_no_rows_gives_error_not_failure(spark):
@@ -195,7 +227,7 @@ def test_training_by_arrival_equals_a_full_refit(spark):
     assert set(got) == set(want) == {"x", "y", "z"}
     for b in want:
         assert got[b].n == want[b].n == got[b].total_examples
-        assert np.allclose(got[b].moments, want[b].moments, rtol=1e-9) and np.allclose(got[b].coef, want[b].coef, rtol=1e-6, atol=1e-8)
+        assert np.allclose(got[b].moments, want[b].moments, rtol=1e-9, atol=1e-8) and np.allclose(got[b].coef, want[b].coef, rtol=1e-6, atol=1e-8)
 
 
 def test_daily_job_learns_and_scores_late_arrivals(spark):
