@@ -105,20 +105,22 @@ class _Language:
         """The postings in the order of shard, term and source, in segments."""
         terms, names = list(self.terms), list(self.sources)
         seed = zlib.crc32(lang.encode())
-        rows = sorted((zlib.crc32(t, seed) % shards, t, i) for i, t in enumerate(terms))
-        rank = np.empty(len(rows), dtype=np.int64)
-        rank[[r[2] for r in rows]] = np.arange(len(rows))
+        shard = np.fromiter((zlib.crc32(t, seed) % shards for t in terms), dtype=np.int64, count=len(terms))
+        order = np.array(sorted(range(len(terms)), key=terms.__getitem__), dtype=np.int64)
+        order = order[np.argsort(shard[order], kind="stable")]
+        rank = np.empty(len(terms), dtype=np.int64)
+        rank[order] = np.arange(len(terms))
+        shard, ordered = shard[order], [terms[i].decode() for i in order.tolist()]
         keys, counts, documents = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         keys, counts, documents = _summed(rank[keys >> _SOURCE] << _SOURCE | (keys & ((1 << _SOURCE) - 1)), counts, documents)
         place, source = keys >> _SOURCE, keys & ((1 << _SOURCE) - 1)
-        sizes = np.bincount(place, minlength=len(rows))
+        sizes = np.bincount(place, minlength=len(terms))
         ends = np.cumsum(sizes)
         of_term = np.add.reduceat(documents, ends - sizes)
-        shard = np.array([r[0] for r in rows])
         # A segment ends with its shard, or after ``SEGMENT`` postings.
         piece = (ends - sizes) // SEGMENT
         cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (piece[1:] != piece[:-1])) + 1
-        cuts = np.concatenate([[0], cuts, [len(rows)]])
+        cuts = np.concatenate([[0], cuts, [len(terms)]])
         most = max(1, GIVEN // SEGMENT)
         for a in range(0, len(cuts) - 1, most):
             at = cuts[a : a + most + 1]
@@ -129,8 +131,8 @@ class _Language:
                 own.append([names[i] for i in present])
             as_list = lambda bounds, values: pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), values)
             yield pa.RecordBatch.from_arrays([
-                pa.array(shard[at[:-1]], pa.int32()), pa.array([lang] * len(own), pa.string()), pa.array([rows[i][1].decode() for i in at[:-1]], pa.string()),
-                as_list(at, pa.array([r[1].decode() for r in rows[at[0] : at[-1]]], pa.string())), as_list(at, pa.array(of_term[at[0] : at[-1]], pa.int64())),
+                pa.array(shard[at[:-1]], pa.int32()), pa.array([lang] * len(own), pa.string()), pa.array([ordered[i] for i in at[:-1]], pa.string()),
+                as_list(at, pa.array(ordered[at[0] : at[-1]], pa.string())), as_list(at, pa.array(of_term[at[0] : at[-1]], pa.int64())),
                 as_list(at, pa.array(sizes[at[0] : at[-1]], pa.int32())), pa.array(own, pa.list_(pa.string())),
                 as_list(to, pa.array(where, pa.int32())), as_list(to, pa.array(counts[to[0] : to[-1]], pa.int64())),
             ], names=["shard", "lang", "first", "terms", "documents", "sizes", "names", "sources", "counts"])
@@ -163,11 +165,11 @@ def _runs(shards: int):
 class _Cursor:
     """An open segment of a run."""
 
-    def __init__(self, row: dict, numbers: defaultdict):
-        self.terms, self.documents, self.counts = row["terms"], row["documents"], row["counts"]
-        names = [numbers[n] for n in row["names"]]
-        self.sources = [names[i] for i in row["sources"]]
-        self.bounds = [0, *accumulate(row["sizes"])]
+    def __init__(self, row: pa.RecordBatch, numbers: defaultdict):
+        read = lambda column: row.column(column).flatten().to_numpy(zero_copy_only=False)
+        self.terms, self.documents, self.counts = (read(c).tolist() for c in ("terms", "documents", "counts"))
+        self.sources = np.array([numbers[n] for n in read("names")], dtype=np.int64)[read("sources")].tolist()
+        self.bounds = [0, *accumulate(read("sizes").tolist())]
         self.at = 0
 
 
@@ -212,7 +214,7 @@ def _merge(least: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, lang), segments in groupby(rows(batches), key=lambda r: r[:2]):
             numbers: defaultdict = defaultdict(count().__next__)
-            open_ = ((first, lambda one=one: _Cursor(one.to_pylist()[0], numbers)) for _, _, first, one in segments)
+            open_ = ((first, lambda one=one: _Cursor(one, numbers)) for _, _, first, one in segments)
             found, held = [], 0
             for term, sums in _merged(open_, least):
                 items = list(sums.items())

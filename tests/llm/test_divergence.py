@@ -2,6 +2,7 @@ import collections
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,9 +69,9 @@ def test_runs_are_sorted_and_merge():
     assert [(r["first"], r["terms"], r["documents"], r["sizes"], r["names"], r["sources"], r["counts"]) for r in rows] == [
         ("", ["", "a", "b", "c"], [5, 2, 2, 1], [2, 2, 2, 1], ["a", "z"], [0, 1, 0, 1, 0, 1, 0], [3, 2, 1, 3, 2, 1, 1])]
     numbers = collections.defaultdict(iter(range(9)).__next__)
-    run = lambda *postings: (postings[0][0], lambda: divergence._Cursor({
+    run = lambda *postings: (postings[0][0], lambda: divergence._Cursor(pa.RecordBatch.from_pylist([{
         "terms": [t for t, _, _ in postings], "documents": [d for _, d, _ in postings], "sizes": [len(p) for _, _, p in postings],
-        "names": ["r", "s"], "sources": ["rs".index(x) for _, _, p in postings for x in p], "counts": [n for _, _, p in postings for n in p.values()]}, numbers))
+        "names": ["r", "s"], "sources": ["rs".index(x) for _, _, p in postings for x in p], "counts": [n for _, _, p in postings for n in p.values()]}]), numbers))
     runs = [run(("a", 1, {"s": 1}), ("c", 1, {"s": 1})), run(("a", 2, {"s": 2}), ("b", 2, {"r": 1})), run(("c", 2, {"r": 5, "s": 1}))]
     assert list(divergence._merged(iter(runs), 3)) == [("a", {1: 3}), ("c", {0: 5, 1: 2})]
 
