@@ -35,12 +35,18 @@ def test_templates(spark):
 def test_coverage_and_repeats(spark):
     item = " ".join(edge.words(40, 9))
     w = item.split()
-    four_fifths, less = " ".join(w[:34]), " ".join(w[:30])
     filler = " ".join(edge.words(300, 10))
-    got = pairs(spark, [f"{filler} {four_fifths} {filler}", f"{filler} {less} {filler}", f"{item} {filler} {item}", f"{' '.join(w[:20])} {filler} {' '.join(w[16:])}"], [item, item, "two words", "", None])
-    assert set(got) == {(0, 0), (2, 0), (3, 0)}  # the repeated item goes by its smallest id
-    assert got[(0, 0)].coverage == 30 / 36 and got[(2, 0)].coverage == 1.0
-
+    edited = w[:9] + ["changed"] + w[10:30] + ["words"] + w[31:]
+    spread = " ".join(" ".join(w[i : i + 11]) + f" x{i}" for i in (0, 14, 28))
+    texts = [
+        f"{filler} {' '.join(w[:34])} {filler}", f"{filler} {' '.join(edited)}", f"{item} {filler} {item}", f"{' '.join(w[:20])} {filler} {' '.join(w[16:])}",
+        f"{filler} {' '.join(w[5:37])}", " ".join(w[:13]), " ".join(w[:12]), f"{' '.join(w[:12])} {filler} {' '.join(w[20:32])}", spread,
+    ]
+    got = pairs(spark, texts, [item, item, "two words", "", None])  # the repeated item goes by its smallest id
+    figures = {d: (r.covered, r.longest) for (d, i), r in got.items() if i == 0}
+    assert set(got) == {(d, 0) for d in figures}
+    assert figures == {0: (34, 34), 1: (38, 20), 2: (40, 40), 3: (40, 24), 4: (32, 32), 5: (13, 13), 8: (33, 11)}
+    assert got[(2, 0)].coverage == 1.0 and got[(1, 0)].n_words == 40
 
 
 def test_short_items_need_the_whole_text(spark):
@@ -51,7 +57,7 @@ def test_short_items_need_the_whole_text(spark):
 def test_other_join_strategy_agrees(spark, monkeypatch):
     texts = [ITEM, f"so {ITEM} so", "nothing"]
     before = {k: tuple(v) for k, v in pairs(spark, texts, [ITEM]).items()}
-    monkeypatch.setattr(D, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
     assert {k: tuple(v) for k, v in pairs(spark, texts, [ITEM]).items()} == before
 
 
@@ -85,7 +91,7 @@ def test_oracle_on_made_up_rows(spark, tmp_path):
     con.execute("create table documents (doc_id bigint, text varchar); create table benchmark (item_id bigint, text varchar)")
     con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
     con.executemany("insert into benchmark values (?, ?)", list(enumerate(items)))
-    want = con.sql(D.ORACLE).select("doc_id, item_id, matched, n_windows, coverage, reparameterised").fetchall()
+    want = con.sql(D.ORACLE).select("doc_id, item_id, covered, n_words, coverage, longest, reparameterised").fetchall()
     assert got == sorted(want) and len(got) > 50
 
 
@@ -100,7 +106,7 @@ def test_texts_of_one_id_are_judged_apart(spark):
     item = " ".join(edge.words(40, 9))
     w = item.split()
     filler = " ".join(edge.words(300, 10))
-    rows = [(None, f"{filler} {item}"), (None, filler), (None, None), (7, " ".join(w[:20])), (7, " ".join(w[16:])), (8, ITEM), (8, "clean"), (9, ITEM.replace("60", "95")), (9, ITEM.replace("60", "96"))]
+    rows = [(None, f"{filler} {item}"), (None, filler), (None, None), (7, " ".join(w[:11])), (7, " ".join(w[28:])), (8, ITEM), (8, "clean"), (9, ITEM.replace("60", "95")), (9, ITEM.replace("60", "96"))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(0, item), (1, ITEM)], "item_id long, text string")
     found = D.find_contamination(docs, bench).select("doc_id", "item_id").collect()
