@@ -1,7 +1,7 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
 1. Every text gets a signature of ``REGISTERS`` registers; exact copies become
-   one representative, their smallest id.
+   one node.
 2. Bands of ``ROWS`` registers put representatives into buckets.  Buckets are cut
    into blocks of about ``BLOCK`` members, and each pair of blocks is a task of
    its own.  A task compares signatures and returns a spanning forest of the
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailspark.llm.common import bounded_batches, materialize, whole
@@ -176,39 +176,65 @@ def _blocks_of(rows: Column, shingles: Column | None = None) -> Column:
     return F.greatest(n, F.ceil(shingles / BLOCK_SHINGLES)).cast("int") if shingles is not None else n.cast("int")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``class_id``) for every row of ``docs``: the smallest id among the texts
-    that links of a probability Jaccard similarity of at least ``SIMILARITY``
-    connect.  Ids are integers.
+def _located(members: DataFrame, near: DataFrame) -> DataFrame:
+    """``members`` (node, size, ...) with the component of ``near`` and its number of blocks."""
+    sized = near.join(members, "node")
+    extent = sized.groupBy("component").agg(_blocks_of(F.count(F.lit(1)), F.sum("size")).alias("blocks"))
+    return sized.join(extent, "component")
 
-    Words are runs without ASCII white space, in lower case; shingles have five;
-    a shorter text is one shingle.  A text without words (null, empty, blank) is
-    a class of its own.  Rows that repeat an id are one document.  A null id
-    takes no part and has a null class.  Other columns are not read."""
-    signed = materialize(sign(docs, id_col, text_col), "signatures")
-    wordy = signed.where("size > 0 and id is not null")
-    copies = materialize(wordy.groupBy("key").agg(F.min("id").alias("first")), "copies")
-    texts = materialize(wordy.join(copies.select("first").distinct(), F.col("id") == F.col("first"), "left_semi"), "representatives")
 
-    banded = texts.select("id", F.explode("buckets").alias("bucket"))
+def _classes(signed: DataFrame, rows: DataFrame) -> DataFrame:
+    """(key, ``class_id``, ``n``) of every text in ``signed``: the smallest id of its
+    class, and the rows that have it.  ``rows`` gives (key, text)."""
+    # One node for each text, however many rows and ids it has.
+    copies = signed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("signature").alias("signature"), F.first("buckets").alias("buckets"))
+    texts = materialize(copies.withColumn("node", F.monotonically_increasing_id()), "representatives")
+
+    banded = texts.select(F.col("node").alias("id"), F.explode("buckets").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = banded.join(crowded, "bucket").join(texts.select("id", "signature"), "id")
+    members = banded.join(crowded, "bucket").join(texts.select(F.col("node").alias("id"), "signature"), "id")
     pairs = _in_blocks(members, "bucket", _blocks_of(F.col("n"))).select("bucket", "i", "j", "id", "signature")
     edges = pairs.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id").mapInPandas(_forest, "a long, b long")
     near = materialize(connected_components(materialize(edges.distinct(), "near-edges")), "near")
 
-    sized = near.join(texts.select(F.col("id").alias("node"), "size", "signature"), "node").select(F.col("node").alias("id"), "component", "size", "signature")
-    extent = sized.groupBy("component").agg(_blocks_of(F.count(F.lit(1)), F.sum("size")).alias("blocks"))
-    located = sized.join(extent, "component")
-    with_text = docs.select(F.col(id_col).cast("long").alias("id"), whole(F.col(text_col)).alias("text")).join(located, "id")
+    located = materialize(_located(texts.select("node", "key", "size", "signature"), near).withColumnRenamed("node", "id"), "located")
+    # Of each text one row, its first by id.
+    read = rows.join(located.select("key").withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    with_text = located.join(read, "key")
     pairs = _in_blocks(with_text, "component", F.col("blocks")).select("component", "i", "j", "id", "signature", "text")
     links = bounded_batches(pairs).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "id").mapInPandas(_verified, "a long, b long")
-    classes = materialize(connected_components(materialize(links, "links")), "classes")
+    joined = connected_components(materialize(links, "links"))
+
+    named = texts.select("key", "first", "n", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("class_id"))
+    return materialize(named.join(smallest, "component").select(F.col("key").alias("_key"), "class_id", "n"), "classes")
 
-    named = copies.join(classes, F.col("first") == F.col("node"), "left").select("key", F.coalesce("component", "first").alias("class_id"))
-    own = signed.where("size > 0 and id is not null").select("id", "key").join(named, "key").select("id", "class_id")
+
+#: A text is hot if more than this share of all rows have it: at most 1,000 do.
+HOT_SHARE = 0.001
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ``class_id``) for every row of ``docs``: the smallest id among the texts
+    that links of a probability Jaccard similarity of at least ``SIMILARITY``
+    connect.  Ids are integers.
+
+    Words are runs without ASCII white space, in lower case; shingles have five;
+    a shorter text is one shingle.  A text without words (null, empty, blank) is
+    a class of its own.  Rows with the same text are compared once, whatever their
+    number.  Rows that repeat an id are judged by their texts.  A null id takes no part
+    and has a null class.  Other columns are not read."""
+    signed = materialize(sign(docs, id_col, text_col), "signatures")
+    wordy = signed.where("size > 0 and id is not null")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.unhex(F.sha2(whole(F.col(text_col)), 256)).alias("key"), whole(F.col(text_col)).alias("text"))
+    classes = _classes(wordy, rows)
+    # Rows of a hot text stay where they are; the others meet their class by shuffle.
+    hot = classes.where(F.col("n") > wordy.count() * HOT_SHARE).drop("n")
+    same, keyed = F.col("key") == F.col("_key"), wordy.select("id", "key")
+    few = keyed.join(F.broadcast(hot), same, "left_anti").join(classes.drop("n"), same)
+    own = few.unionByName(keyed.join(F.broadcast(hot), same)).select("id", "class_id")
     alone = signed.where("size = 0 or id is null").select("id", F.col("id").alias("class_id"))
-    return own.unionByName(alone).groupBy("id").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("_rows")).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows")))).select(F.col("id").alias(id_col), "class_id")
+    return own.unionByName(alone).select(F.col("id").alias(id_col), "class_id")
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,6 +249,8 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     if repeated.isEmpty():
         return kept
     same = F.col(id_col) == F.col("_repeated")
-    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    one = kept.join(repeated, same, "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
+    # The least row by text, then by all columns: an aggregate, so a hot id is combined where it lies.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.col(text_col).isNull(), F.col(text_col), F.to_json(row))
+    one = kept.join(repeated, same, "left_semi").groupBy(F.col(id_col).alias("_id")).agg(F.min_by(row, order).alias("_row")).select("_row.*")
     return kept.join(repeated, same, "left_anti").unionByName(one)

@@ -118,3 +118,16 @@ def test_one_of_each_stays(spark):
     gone = {"7"} | ({"8"} if jp(weights(edge.rows()[9][1]), weights(edge.rows()[6][1])) >= 0.8 else set())
     assert kept == sorted({str(r[0]) for r in edge.rows()} - gone)
     assert neardup.keep_first(edge.empty(spark)).collect() == []
+
+
+def test_repeated_rows_and_ids_cost_no_more_than_distinct_ones(spark):
+    rng = random.Random(6)
+    base = " ".join(edge.words(80, 21))
+    own = [" ".join(edge.words(60, 1000 + i)) for i in range(3000)]
+    rows = [(5, base)] * 10_000 + [(i, changed(base, 1, rng)) for i in range(6, 9)] + [(77, t) for t in own] + [(100, own[3] + " more"), (None, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = collections.Counter(map(tuple, neardup.near_duplicates(docs).collect()))
+    near = {i for i in (6, 7, 8) if jp(weights(dict(rows[10_000:10_003])[i]), weights(base)) >= 0.8}
+    assert got == {(5, 5): 10_000, (77, 77): 3000, (None, None): 1, (100, 77): 1} | {(i, 5): 1 for i in near}
+    kept = sorted(((r.doc_id, r.text) for r in neardup.keep_first(docs).collect()), key=str)
+    assert kept == sorted([(5, base), (77, min(own)), (None, base)], key=str)
