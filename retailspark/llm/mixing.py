@@ -3,16 +3,18 @@
 Tokens are summed per source, each source gets a share of all tokens by its
 weight, a target stops at ``max_rate`` times its source, and a document is taken
 floor(rate) times plus once more with probability equal to the fraction, decided
-by a hash of its id.  The decision needs no state, so reruns agree.
+by a hash of its id, its text and, among rows that repeat both, its number.  The
+decision needs no state, so reruns agree.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from retailspark.llm.common import materialize, unit_hash, whole
-from retailspark.operators.ids import with_sequential_id
+from retailspark.operators.ids import rank_within, with_sequential_id
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 MAX_RATE = 3
@@ -59,6 +61,25 @@ def source_targets(sources: DataFrame, max_rate: int = MAX_RATE) -> DataFrame:
     return sources.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
+def _draw_keys(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``docs`` with ``_draw``, what a row's decision is hashed from: id, digest of the text,
+    and the number of the row among those that repeat both in one source."""
+    text_key = F.md5(whole(F.col(text_col)))
+    own = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text_key, F.lit(":"))
+    pair = F.md5(F.concat(own, F.col(id_col).isNull().cast("string"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))))
+    counts = docs.groupBy(pair.alias("_repeated")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_repeated")
+    repeated = materialize(counts, "repeated-rows")
+    if repeated.isEmpty():
+        return docs.withColumn("_draw", F.concat(own, F.lit("0")))
+    keyed = docs.withColumns({"_pair": pair, "_own": own})
+    # Numbered by range, so rows that repeat a million times are no group of one task.
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    numbered = rank_within(keyed.join(repeated, F.col("_pair") == F.col("_repeated"), "left_semi").withColumn("_order", F.xxhash64(*plain)), ["_pair"], ["_order"], name="_number")
+    once = keyed.join(repeated, F.col("_pair") == F.col("_repeated"), "left_anti").withColumn("_number", F.lit(1))
+    rows = once.unionByName(numbered.drop("_order"))
+    return rows.withColumn("_draw", F.concat("_own", (F.col("_number") - 1).cast("string"))).drop("_pair", "_own", "_number")
+
+
 def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              carry: tuple[str, ...] = (), weights: DataFrame | None = None, max_rate: int = MAX_RATE, seed: int = SEED) -> DataFrame:
     """One row per document: id, ``size``, ``source_size``, ``target``,
@@ -66,12 +87,14 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     ``weights`` (source, weight) overrides the cyclic ones; a source that it
     lacks weighs 0 and is not taken.  A null source is a source of its own.
-    Rows that repeat an id are separate rows that share one decision; a null id
-    hashes as empty text.  A document without tokens is taken 0 words, and as
+    Rows that repeat an id are separate rows: each has a draw of its own, by its
+    text and, where that repeats too, by its number among them; a null id hashes as
+    empty text.  A document without tokens is taken 0 words, and as
     often as its source's rate says.  An empty source has rate 0."""
     kept = {c: f"_c{i}" for i, c in enumerate(dict.fromkeys((*carry, id_col)))}
-    key = F.col(kept[id_col])
-    sized = docs.select(*[F.col(c).alias(x) for c, x in kept.items()], F.col(source_col).alias("_source"), token_count(F.col(text_col)).alias("size"))
+    read = docs.select(*[F.col(c).alias(x) for c, x in kept.items()], F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
+    sized = _draw_keys(read, kept[id_col], "_text", "_source").select(*kept.values(), "_source", token_count(F.col("_text")).alias("size"), "_draw")
+    key = F.col("_draw")
     # The sum needs the text and the source only: documents are pre-aggregated
     # in each map task, so a source with a third of all rows costs one row per task.
     sources = (
@@ -116,7 +139,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 #: by size over weight, the level is the largest that any number of capped ones leaves.
 ORACLE = f"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS text_key, row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1 AS number, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -131,7 +154,7 @@ WITH d AS (
 ), r AS (
   SELECT d.doc_id, d.size, g.source_size, g.target,
     CASE WHEN g.source_size > 0 THEN least(g.target / g.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
-    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || text_key || ':' || number), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size, source_size, target, (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS taken FROM r

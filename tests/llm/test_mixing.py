@@ -80,3 +80,18 @@ def test_empty_tables(spark):
     assert mixing.mix(edge.empty(spark)).collect() == []
     blank = spark.createDataFrame([(1, "", "s"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r.target, r.taken) for r in mixing.mix_plan(blank).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_null_and_repeated_ids_come_near_their_target(spark):
+    rows = [(None, f"word {i} " + "w " * (i % 9), "nulls") for i in range(5000)] + [(7, "the same five words here", "copies")] * 5000
+    rows += [(i, "w " * (1 + i % 30), f"s{i % 2}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plans = [mixing.mix_plan(d, carry=("source", "text")) for d in (docs.repartition(5), docs.repartition(11))]
+    a, b = (sorted(tuple(r) for r in p.select("source", "text", "taken").collect()) for p in plans)
+    assert a == b and len(a) == len(rows)
+    for s, most in (("nulls", 0.05), ("copies", 0.05), ("s0", 0.12), ("s1", 0.12)):
+        mine = [r for r in plans[0].collect() if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= most * mine[0].target, s
+        assert all(r.taken <= 3 * r.size for r in mine)
+    # Repeats are drawn apart.
+    assert len({r.copies for r in plans[0].where("source = 'copies'").collect()}) == 2
