@@ -94,12 +94,15 @@ def test_any_text(spark, made):
 
 def test_weak_parts_need_their_complements(spark):
     linked = "user=admin then pass: qwerty12345 at https://db.example.org/x"
-    rows = [(1, linked), (2, "user=admin then pass: qwerty12345"), (3, "user=admin " + "." * 400 + " pass: qwerty12345 https://db.example.org"), (4, linked), (4, linked), (5, None),
-            (6, "AKIA" + "B2" * 8 + " pass: qwerty12345 https://db.example.org")]
+    rows = [(1, linked), (2, "user=admin then pass: qwerty12345"), (3, "user=admin " + "." * 400 + " pass: qwerty12345"), (4, linked), (4, linked), (5, None),
+            (6, "AKIA" + "B2" * 8 + " pass: qwerty12345 https://db.example.org"), (7, "user=admin at https://db.example.org"), (8, "pass: one11111 pwd: two22222"),
+            (9, "AKIA" + "C3" * 8 + "\naws_secret_access_key=wJalrXUtnFEMI"), (10, "see postgres://admin:pw12345@db.host/x"), (11, "https://example.org:8080/a@b"), (12, "pass: qwerty12345 redis://cache.local")]
     got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     kinds = sorted((r.doc_id, [s.kind for s in r.spans]) for r in got)
     three = ["user", "key", "endpoint"]
-    assert kinds == [(1, three), (2, []), (3, []), (4, three), (4, three), (5, []), (6, ["access", "key", "endpoint"])]
+    assert kinds == [(1, three), (2, ["user", "key"]), (3, []), (4, three), (4, three), (5, []), (6, ["access", "key", "endpoint"]), (7, []), (8, []),
+                     (9, ["access", "key"]), (10, ["login"]), (11, []), (12, ["key", "endpoint"])]
+    assert [s.value for r in got if r.doc_id in (9, 10) for s in r.spans][1:] == ["secret_access_key=wJalrXUtnFEMI", "postgres://admin:pw12345@db.host"]
 
 
 def test_redaction(spark):
