@@ -92,19 +92,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
 
 def with_scores(docs: DataFrame, text_col: str, judge: Callable[[list[str]], list[np.ndarray]], fields: list[StructField], also: Column | None = None) -> DataFrame:
     """All columns of ``docs``, untouched, and those that ``judge`` gives for a list
-    of texts (null: empty; ``also``, if given, is a second list it gets).  Names of
-    ``fields`` must be new."""
-    keep = docs.columns
-    rows = bounded_batches(docs.withColumns({"_judged": whole(F.col(text_col)), "_judged_also": F.lit(None) if also is None else also}))
+    of texts (null: empty; ``also``, if given, is a second list it gets).  A column
+    that has the name of one of ``fields`` is replaced."""
+    names = [f.name for f in fields]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in {n.lower() for n in names}]
+    # By place, so that no name of a column matters.
+    inner = [F.col(f"`{f.name}`").alias(f"_{i}") for i, f in enumerate(kept)]
+    rows = bounded_batches(docs.select(*inner, whole(F.col(text_col)).alias("text"), (F.lit(None) if also is None else also).alias("also")))
     second = also is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = batch.column("_judged").to_pylist()
-            got = judge(texts, batch.column("_judged_also").to_pylist()) if second else judge(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(x) for x in got], names=[*keep, *names])
+            texts = batch.column("text").to_pylist()
+            got = judge(texts, batch.column("also").to_pylist()) if second else judge(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [pa.array(x) for x in got], names=[*(f.name for f in kept), *names])
 
-    names = [f.name for f in fields]
-    return rows.mapInArrow(run, StructType([*docs.schema.fields, *fields]))
+    return rows.mapInArrow(run, StructType([*kept, *fields]))

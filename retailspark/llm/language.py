@@ -29,8 +29,9 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: and their words, the most frequent ones.
 TRAIN_DOCS, TRAIN_WORDS = 400, 30_000
 ROUNDS = 4
-#: Bytes of the longest piece, and of a word; a longer word is cut into several.
-PIECE, WORD = 8, 32
+#: Words of fewer bytes are scored together; a longer one goes byte by byte, ``PART``
+#: at a time, whatever its length.  For learning it is cut between characters.
+WORD, PART = 32, 4_096
 #: What a piece has beyond its expected count.
 SMOOTH = 0.02
 UNDEFINED = "und"
@@ -42,13 +43,14 @@ _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 def load_vocabulary(path: str = VOCABULARY) -> list[bytes]:
     """Pieces of a SentencePiece model, a word's start as the byte ``START``,
-    and all single bytes.  Read on the driver only; the model carries them along."""
+    and all single bytes.  Words hold no blanks, so pieces with a blank inside don't
+    count.  Read on the driver only; the model carries them along."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
     known = {p.replace("▁", chr(START)).encode() for p in pieces}
-    return sorted({bytes([b]) for b in range(256)} | {p for p in known if len(p) <= PIECE and START not in p[1:]})
+    return sorted({bytes([b]) for b in range(256)} | {p for p in known if START not in p[1:]})
 
 
 @dataclass(frozen=True)
@@ -57,16 +59,49 @@ class LanguageModel:
     hashes: np.ndarray  # of the pieces, ascending
     first: np.ndarray  # by the top 16 bits of a hash: where those start
     probability: np.ndarray  # (pieces + 1) x languages, in the order of hashes; the last row is no piece
+    lengths: tuple[int, ...]  # of the pieces, in bytes
 
     def log_probability(self, words: np.ndarray, size: np.ndarray) -> np.ndarray:
         """(words x languages) for a matrix of padded words."""
-        return np.log(_forward(words, size, _arcs(words, size, self.hashes, self.first), self.probability)[np.arange(len(words)), size])
+        return np.log(_forward(words, size, _arcs(words, size, self.hashes, self.first, self.lengths), self.probability)[np.arange(len(words)), size])
+
+    def log_of_long(self, word: bytes) -> np.ndarray:
+        """The same for one word of any length: the ways to the last bytes are carried
+        on, and scaled before they get too small for a number."""
+        line = np.frombuffer(bytes([START]) + word, dtype=np.uint8)
+        far = max(self.lengths)
+        ways, log = np.zeros((far, len(self.languages))), np.zeros(len(self.languages))
+        ways[0] = 1
+        for at in range(0, len(line), PART):
+            base, end = max(0, at - far), min(len(line), at + PART)
+            arcs = _arcs(line[None, base:end], np.array([end - base]), self.hashes, self.first, self.lengths)
+            into = np.full((end - at, far), -1, dtype=np.int32)  # the piece of k + 1 bytes that ends here
+            for k, found in arcs.items():
+                ends = np.arange(max(at + 1, k + base), end + 1)
+                into[ends - at - 1, k - 1] = found[0, ends - k - base]
+            arriving = self.probability[into]
+            for i in range(len(arriving)):
+                now = (ways * arriving[i]).sum(axis=0)
+                ways[1:] = ways[:-1].copy()
+                ways[0] = now
+                if i % 8 == 7:
+                    most = ways.max(axis=0)
+                    ways /= most
+                    log += np.log(most)
+        return log + np.log(ways[0])
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """(texts x languages) log probabilities of whole texts."""
         out = np.zeros((len(texts), len(self.languages)))
         start, size, owner = words_in(texts)
-        raw = np.frombuffer(b"\n".join(texts) + b"\n" + b"\0" * WORD, dtype=np.uint8)
+        line = b"\n".join(texts) + b"\n" + b"\0" * WORD
+        raw, long, known = np.frombuffer(line, dtype=np.uint8), size >= WORD, {}
+        for s, n, text in zip(start[long].tolist(), size[long].tolist(), owner[long].tolist(), strict=True):
+            word = line[s : s + n]
+            if word not in known:
+                known[word] = self.log_of_long(word)
+            out[text] += known[word]
+        start, size, owner = start[~long], size[~long], owner[~long]
         key = _word_keys(raw, start, size)
         _, once, which = np.unique(key, return_index=True, return_inverse=True)
         order = np.argsort(size[once], kind="stable")
@@ -76,22 +111,17 @@ class LanguageModel:
             words, n = matrix(raw, start[once[rows]], size[once[rows]])
             logs[rows] = self.log_probability(words, n)
         for k in range(out.shape[1]):
-            out[:, k] = np.bincount(owner, weights=logs[which, k], minlength=len(texts))
+            out[:, k] += np.bincount(owner, weights=logs[which, k], minlength=len(texts))
         return out
 
 
 def words_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and text of each word in ``b"\\n".join(texts)``: runs of ASCII
-    letters and bytes from 128 on, cut after every ``WORD`` - 1 bytes."""
+    letters and bytes from 128 on."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     letter = ((raw >= 97) & (raw <= 122)) | ((raw >= 65) & (raw <= 90)) | (raw >= 128)
     edge = np.flatnonzero(np.diff(letter.astype(np.int8), prepend=0, append=0))
     start, end = edge[0::2], edge[1::2]
-    if len(start) and (end - start).max() >= WORD:
-        n = -(-(end - start) // (WORD - 1))
-        part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = np.repeat(start, n) + part * (WORD - 1)
-        end = np.minimum(np.repeat(end, n), start + WORD - 1)
     owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
     return start, end - start, owner
 
@@ -118,10 +148,10 @@ def hash_pieces(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Ascending hashes, where each value of their top 16 bits starts, and the order of the pieces."""
     h = np.zeros(len(pieces), dtype=np.uint64)
     size = np.array([len(p) for p in pieces])
-    padded = np.zeros((len(pieces), PIECE), dtype=np.uint64)
+    padded = np.zeros((len(pieces), size.max()), dtype=np.uint64)
     for i, p in enumerate(pieces):
         padded[i, : len(p)] = np.frombuffer(p, dtype=np.uint8)
-    for k in range(PIECE):
+    for k in range(size.max()):
         h = np.where(size > k, h * _ROLL + padded[:, k] + np.uint64(1), h)
     h = mix(h)
     order = np.argsort(h)
@@ -130,15 +160,15 @@ def hash_pieces(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return h[order], np.searchsorted(h[order] >> np.uint64(48), np.arange(1 << 16).astype(np.uint64)), order
 
 
-def _arcs(words: np.ndarray, size: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+def _arcs(words: np.ndarray, size: np.ndarray, hashes: np.ndarray, first: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
     """By length, the piece (its place among the hashes, or -1) from each byte on."""
     n, width = words.shape
     rolled = np.zeros((n, width + 1), dtype=np.uint64)
     for i in range(width):
         rolled[:, i + 1] = rolled[:, i] * _ROLL + words[:, i] + np.uint64(1)
-    out, power = [], np.uint64(1)
-    for k in range(1, min(PIECE, width) + 1):
-        power = np.uint64((int(power) * int(_ROLL)) & 0xFFFFFFFFFFFFFFFF)
+    out = {}
+    for k in (n for n in lengths if n <= width):
+        power = np.uint64(pow(int(_ROLL), k, 1 << 64))
         h = mix(rolled[:, k:] - rolled[:, :-k] * power)
         at = first[(h >> np.uint64(48)).astype(np.int64)]
         found = np.full(h.shape, -1, dtype=np.int32)
@@ -149,35 +179,37 @@ def _arcs(words: np.ndarray, size: np.ndarray, hashes: np.ndarray, first: np.nda
             if _ >= 3 and not ((hashes[np.minimum(at, len(hashes) - 1)] >> np.uint64(48)) == (h >> np.uint64(48))).any():
                 break
         found[np.arange(h.shape[1]) + k > size[:, None]] = -1
-        out.append(found)
+        out[k] = found
     return out
 
 
-def _forward(words: np.ndarray, size: np.ndarray, arcs: list[np.ndarray], probability: np.ndarray) -> np.ndarray:
+def _forward(words: np.ndarray, size: np.ndarray, arcs: dict[int, np.ndarray], probability: np.ndarray) -> np.ndarray:
     """(words x (bytes + 1) x languages): the probability of all ways to each byte."""
     n, width = words.shape
     ways = np.zeros((n, width + 1, probability.shape[1]))
     ways[:, 0] = 1
     for end in range(1, width + 1):
-        for k in range(1, min(len(arcs), end) + 1):
-            ways[:, end] += ways[:, end - k] * probability[arcs[k - 1][:, end - k]]
+        for k, found in arcs.items():
+            if k <= end:
+                ways[:, end] += ways[:, end - k] * probability[found[:, end - k]]
     return ways
 
 
-def _expected(words: np.ndarray, size: np.ndarray, counts: np.ndarray, hashes: np.ndarray, first: np.ndarray, probability: np.ndarray, into: np.ndarray) -> None:
+def _expected(words: np.ndarray, size: np.ndarray, counts: np.ndarray, hashes: np.ndarray, first: np.ndarray, lengths: tuple[int, ...], probability: np.ndarray, into: np.ndarray) -> None:
     """Adds the expected counts of pieces in words with ``counts`` (words x languages)."""
-    arcs = _arcs(words, size, hashes, first)
+    arcs = _arcs(words, size, hashes, first, lengths)
     ways = _forward(words, size, arcs, probability)
     n, width = words.shape
     rest = np.zeros_like(ways)
     rest[np.arange(n), size] = 1
     for start in range(width - 1, -1, -1):
-        for k in range(1, min(len(arcs), width - start) + 1):
-            rest[:, start] += probability[arcs[k - 1][:, start]] * rest[:, start + k]
+        for k, found in arcs.items():
+            if k <= width - start:
+                rest[:, start] += probability[found[:, start]] * rest[:, start + k]
     per = counts / np.maximum(rest[:, 0], 1e-300)
-    for k in range(1, len(arcs) + 1):
+    for k, found in arcs.items():
         for start in range(width - k + 1):
-            piece = arcs[k - 1][:, start]
+            piece = found[:, start]
             rows = np.flatnonzero(piece >= 0)
             share = ways[rows, start] * probability[piece[rows]] * rest[rows, start + k] * per[rows]
             for x in range(into.shape[1]):
@@ -187,6 +219,7 @@ def _expected(words: np.ndarray, size: np.ndarray, counts: np.ndarray, hashes: n
 def estimate(pieces: list[bytes], languages: list[str], counts: list[tuple[bytes, int, int]], rounds: int = ROUNDS) -> LanguageModel:
     """Expectation-maximisation from (word, language number, count) rows."""
     hashes, first, _ = hash_pieces(pieces)
+    lengths = tuple(sorted({len(p) for p in pieces}))
     k = max(len(languages), 1)
     types = sorted({w for w, _, _ in counts}, key=lambda w: (len(w), w))
     place = {w: i for i, w in enumerate(types)}
@@ -202,15 +235,27 @@ def estimate(pieces: list[bytes], languages: list[str], counts: list[tuple[bytes
         total = np.full((len(pieces), k), SMOOTH)
         for at in range(0, len(types), WORDS_AT_ONCE):
             words, n = matrix(raw, start[at : at + WORDS_AT_ONCE], size[at : at + WORDS_AT_ONCE])
-            _expected(words, n, seen[at : at + WORDS_AT_ONCE], hashes, first, probability, total)
+            _expected(words, n, seen[at : at + WORDS_AT_ONCE], hashes, first, lengths, probability, total)
         probability[:-1] = total / total.sum(axis=0)
-    return LanguageModel(languages, hashes, first, probability)
+    return LanguageModel(languages, hashes, first, probability, lengths)
 
 
 def _lower(texts: list[str]) -> list[bytes]:
     return [t.lower().encode("utf-8", "replace") for t in texts]
 
 
+def _short(word: bytes) -> list[bytes]:
+    """A word for learning: cut between characters where it has ``WORD`` bytes or more."""
+    out = []
+    while len(word) >= WORD:
+        at = WORD - 1
+        while at > WORD - 5 and 0x80 <= word[at] < 0xC0:
+            at -= 1
+        out.append(word[:at])
+        word = word[at:]
+    return [*out, word]
+
+
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for language, part in batch.groupby("lang"):
@@ -219,8 +264,8 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             start, size, _ = words_in(texts)
             counted: dict[bytes, int] = {}
             for s, n in zip(start.tolist(), size.tolist(), strict=True):
-                w = raw[s : s + n]
-                counted[w] = counted.get(w, 0) + 1
+                for w in _short(raw[s : s + n]):
+                    counted[w] = counted.get(w, 0) + 1
             yield pd.DataFrame({"lang": language, "word": list(counted), "n": list(counted.values())})
 
 
@@ -252,9 +297,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return estimate(load_vocabulary(vocabulary), languages, [(bytes(r["word"]), number[r["lang"]], r["n"]) for r in kept])
 
 
-def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred`` and ``score``, the language's
-    probability given the whole text, all languages being as likely before.
+def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` and those named by ``out``: the language and its
+    probability given the whole text, all languages being as likely before.  A column
+    of ``docs`` that has such a name is replaced.
 
     ``und`` with a score of 0 for null, for a text without a letter, and if no
     language was learned; of languages as likely as each other the first by code
@@ -276,4 +322,4 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") ->
         return [np.where(known, named, UNDEFINED), np.where(known, share, 0.0)]
 
     has_letter = F.regexp_like(whole(F.col(text_col)), F.lit(r"\p{L}"))
-    return with_scores(docs, text_col, judge, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], also=has_letter)
+    return with_scores(docs, text_col, judge, [StructField(out[0], StringType()), StructField(out[1], DoubleType())], also=has_letter)

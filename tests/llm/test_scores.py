@@ -72,13 +72,13 @@ def test_edge_rows(spark):
 def test_language_edge_rows(spark):
     docs = edge.docs(spark)
     model = language.train(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "xx").when(F.col("doc_id") > 4, "yy")))
-    got = language.predict(docs.drop("score"), model).collect()
+    got = language.predict(docs, model).collect()
     assert len(got) == len(edge.rows())
     by = {r.doc_id: (r.lang_pred, r.score) for r in got}
     assert all(by[i] == ("und", 0.0) for i in (1, 2, 3, 10, 12)) and all(by[i][0] in ("xx", "yy") for i in (4, 5, 6, 7, 8, 9, 11))
     nothing = language.train(edge.empty(spark))
-    assert {(r.lang_pred, r.score) for r in language.predict(docs.drop("score"), nothing).collect()} == {("und", 0.0)}
-    assert language.predict(edge.empty(spark).drop("score"), model).collect() == []
+    assert {(r.lang_pred, r.score) for r in language.predict(docs, nothing).collect()} == {("und", 0.0)}
+    assert language.predict(edge.empty(spark), model).collect() == []
 
 
 def small_model():
@@ -88,7 +88,7 @@ def small_model():
     return pieces, language.estimate(pieces, ["a", "b"], counts), counts
 
 
-def segmentations(word, probability, longest=language.PIECE):
+def segmentations(word, probability, longest=40):
     if not word:
         return 1.0
     return sum(probability[word[:k]] * segmentations(word[k:], probability) for k in range(1, min(longest, len(word)) + 1) if word[:k] in probability)
@@ -152,3 +152,47 @@ def test_near_copies_teach_no_words(spark):
     rng.shuffle(rows)
     terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, label int"))
     assert "scoundrel$" in terms and "peculiar$" not in terms
+
+
+def log_segmentations(word, probability, longest):
+    """log of the sum over all segmentations, byte by byte in logarithms."""
+    ways = [0.0]
+    for end in range(1, len(word) + 1):
+        into = [ways[end - k] + np.log(probability[word[end - k : end]]) for k in range(1, min(longest, end) + 1) if word[end - k : end] in probability]
+        ways.append(float(np.logaddexp.reduce(into)))
+    return ways[-1]
+
+
+@pytest.mark.parametrize("part", [4096, 40])
+def test_words_of_any_length_over_the_whole_vocabulary(monkeypatch, part):
+    monkeypatch.setattr(language, "PART", part)
+    pieces = language.load_vocabulary()
+    longest = max(map(len, pieces))
+    assert longest > 12 and len(pieces) > 31_000
+    rng = random.Random(3)
+    long = max((p for p in pieces if p.isalpha()), key=len).decode()
+    some = [p.decode() for p in rng.sample([p for p in pieces if p.isalpha()], 60)] + [long] * 5
+    counts = [("".join(rng.sample(some, 2)).encode()[:31], rng.randrange(2), 1) for _ in range(200)]
+    model = language.estimate(pieces, ["a", "b"], counts, 1)
+    _, _, order = language.hash_pieces(pieces)
+    words = [long, long * 2, "".join(some[:12]), "x" * 500, "日本語" * 60, "é" * 40 + long, "a" * 31, "a" * 32]
+    for k in (0, 1):
+        probability = {pieces[o]: model.probability[i, k] for i, o in enumerate(order)}
+        for w in words:
+            assert model.score([w.encode()])[0, k] == pytest.approx(log_segmentations(b"\x01" + w.encode(), probability, longest), rel=1e-9), w
+    both = model.score([f"{words[2]} the {words[3]}, {words[2]}".encode()])[0]
+    assert both == pytest.approx(2 * model.score([words[2].encode()])[0] + model.score([b"the"])[0] + model.score([words[3].encode()])[0])
+
+
+def test_long_words_are_cut_between_characters_for_learning():
+    for w in ["a" * 31, "a" * 32, "日本語" * 30, "é" * 50, "x" + "é" * 50, "b" * 200]:
+        parts = language._short(w.encode())
+        assert b"".join(parts) == w.encode() and all(0 < len(p) < language.WORD for p in parts) and "".join(p.decode() for p in parts) == w
+
+
+def test_outputs_may_have_any_name(spark):
+    docs = spark.createDataFrame([(1, "the text", 5, "L", "x")], "doc_id long, text string, Score int, lang_pred string, _judged string")
+    model = language.estimate([bytes([b]) for b in range(256)], ["a"], [(b"the", 0, 1)])
+    assert language.predict(docs, model).columns == ["doc_id", "text", "_judged", "lang_pred", "score"]
+    out = language.predict(docs, model, out=("l", "p"))
+    assert out.columns == [*docs.columns, "l", "p"] and out.first().Score == 5 and out.first().l == "a"
