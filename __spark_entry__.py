@@ -83,6 +83,17 @@ def q_historical_average(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("store_id", "barcode", _r6("v_p"), "n_days")
 
 
+def q_rolling_average(spark: SparkSession, sf: str) -> DataFrame:
+    """D3 as rolling state: the totals of nine days before ``as_of``, moved on three times."""
+    import datetime as dt
+
+    sales, days = FX.sales(spark, sf), [AS_OF - dt.timedelta(days=n) for n in (9, 5, 1, 0)]
+    totals = D.history_totals(sales, as_of=days[0])
+    for since, as_of in zip(days, days[1:]):
+        totals = D.advance_history(totals, sales, since=since, as_of=as_of)
+    return D.average_of(totals).select("store_id", "barcode", _r6("v_p"), "n_days")
+
+
 # --------------------------------------------------------------------------- scalar functions
 def q_weather_code(spark: SparkSession, sf: str) -> DataFrame:
     s = FX.sales(spark, sf)
@@ -574,7 +585,8 @@ def q_score_predictions(spark: SparkSession, sf: str) -> DataFrame:
     day1 = daily_forecast(**common, registry=FX.registry_state(spark, sf), old_predictions=FX.predictions(spark, sf),
                           as_of=AS_OF - dt.timedelta(days=1))
     day2 = daily_forecast(**common, registry=day1["registry"], old_predictions=day1["predictions"], as_of=AS_OF,
-                          assortment=day1["assortment"], assortment_as_of=AS_OF - dt.timedelta(days=1))
+                          assortment=day1["assortment"], assortment_as_of=AS_OF - dt.timedelta(days=1),
+                          history=day1["history"], history_as_of=AS_OF - dt.timedelta(days=1))
     return day2["predictions"].select(*ROWCOLS, *_dev())
 
 

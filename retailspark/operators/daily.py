@@ -7,6 +7,8 @@ product or store is combined map-side before the shuffle.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +97,53 @@ def historical_average(sales: DataFrame, *, as_of, cfg: Config = Config()) -> Da
     )
 
 
+def _signed_days(sales: DataFrame, sign) -> DataFrame:
+    """Daily totals per pair, counted with ``sign`` of their date (1 or -1)."""
+    per_day = sales.groupBy("store_id", "barcode", "sale_date").agg(F.sum("amount").alias("daily_total"))
+    return per_day.select(
+        "store_id", "barcode", (sign * F.coalesce("daily_total", F.lit(0))).cast("long").alias("units"),
+        (sign * F.col("daily_total").isNotNull().cast("int")).cast("long").alias("n_valued"), sign.cast("long").alias("n_days"),
+    )
+
+
+def _window_totals(parts: DataFrame) -> DataFrame:
+    sums = parts.groupBy("store_id", "barcode").agg(*[F.sum(c).alias(c) for c in ("units", "n_valued", "n_days")])
+    return sums.where("n_days > 0")
+
+
+def history_totals(sales: DataFrame, *, as_of, cfg: Config = Config()) -> DataFrame:
+    """D3 as state: per (store_id, barcode) the ``units``, the days with a total
+    (``n_valued``) and the days with sales (``n_days``) of the window up to ``as_of``."""
+    a = F.lit(as_date(as_of))
+    window = sales.filter((F.col("sale_date") >= F.date_sub(a, cfg.history_days)) & (F.col("sale_date") <= a))
+    return _window_totals(_signed_days(window, F.lit(1)))
+
+
+def advance_history(totals: DataFrame, sales: DataFrame, *, since, as_of, cfg: Config = Config()) -> DataFrame:
+    """``history_totals`` of ``as_of`` from those of ``since``: the days that came are added
+    and those that left the window are taken away, so a daily run reads two dates
+    (partition filters), however long the window.  The table must have the days after
+    ``since`` complete; rows that come later for a day that was added need a new
+    ``history_totals``."""
+    old, new = as_date(since), as_date(as_of)
+    if new < old:
+        raise ValueError("as_of must not lie before since")
+    reach = dt.timedelta(days=cfg.history_days)
+    day = dt.timedelta(days=1)
+    came_from, left_to = max(old + day, new - reach), min(old, new - reach - day)
+    d = F.col("sale_date")
+    came, left = d.between(F.lit(came_from), F.lit(new)), d.between(F.lit(old - reach), F.lit(left_to))
+    moved = sales.filter(came | left)
+    sign = F.when(came, F.lit(1)).otherwise(F.lit(-1))
+    return _window_totals(totals.select("store_id", "barcode", "units", "n_valued", "n_days").unionByName(_signed_days(moved, sign)))
+
+
+def average_of(totals: DataFrame) -> DataFrame:
+    """D3: ``historical_average`` from its state."""
+    v_p = F.when(F.col("n_valued") > 0, F.col("units").cast("double") / F.col("n_valued"))
+    return totals.select("store_id", "barcode", v_p.alias("v_p"), "n_days")
+
+
 def examples_per_product(sales: DataFrame) -> DataFrame:
     """Raw sales rows per barcode."""
     return sales.groupBy("barcode").agg(F.count(F.lit(1)).alias("n_examples"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailspark.config import Config, as_date
-from retailspark.operators.daily import historical_average
+from retailspark.operators.daily import advance_history, average_of, history_totals
 from retailspark.operators.models import arrivals, train_arrivals, train_incremental, upsert_registry
 from retailspark.operators.scoring import assortment as assortment_of
 from retailspark.operators.scoring import extend_assortment, forecast_days, replace_keyed, score, scoring_grid, update_assortment, with_forecast_fallback
@@ -32,12 +32,16 @@ def daily_forecast(
     *, sales: DataFrame, stores: DataFrame, products: DataFrame, registry: DataFrame, forecast_payloads: DataFrame,
     old_predictions: DataFrame, as_of, cfg: Config = Config(), materialize: bool = True,
     assortment: DataFrame | None = None, assortment_as_of=None, since_epoch: int | None = None,
+    history: DataFrame | None = None, history_as_of=None,
 ) -> dict[str, DataFrame]:
     """Run one day.  ``assortment`` / ``assortment_as_of``: the pairs returned by
     the previous run and its date; when given, the assortment and the product
     list are updated from the days since then instead of reading the whole
     sales history (the first run passes none).
 
+    ``history`` / ``history_as_of``: the V_p totals returned by the previous run and
+    its date; when given, only the days that came and that left the window are read.
+
     ``since_epoch`` (with a ``sales`` table that has ``epoch``, as the ingest stream
     writes it) is the last epoch the previous run has seen.  Training and
     assortment then follow what *arrived* since, whatever its date, so sales of a
@@ -73,8 +77,13 @@ def daily_forecast(
     new_registry = new_registry.withColumn("last_date", F.when(learned, F.lit(as_date(as_of))).otherwise(F.col("last_date")))
     days = with_forecast_fallback(stores, forecast_days(forecast_payloads, cfg=cfg), as_of=as_of, cfg=cfg)
     grid = scoring_grid(pairs, days, products)
-    vp = historical_average(sales, as_of=as_of, cfg=cfg)
-    fresh = score(grid, new_registry, vp, cfg=cfg)
+    if history is None:
+        totals = history_totals(sales, as_of=as_of, cfg=cfg)
+    else:
+        totals = advance_history(history, sales, since=history_as_of, as_of=as_of, cfg=cfg)
+    if materialize:
+        totals = cut_lineage(totals)
+    fresh = score(grid, new_registry, average_of(totals), cfg=cfg)
     if materialize:
         # The write-back needs the rows and their keys: score once.
         fresh = cut_lineage(fresh)
@@ -84,4 +93,5 @@ def daily_forecast(
         "new_predictions": fresh,
         "predictions": replace_keyed(old_predictions, fresh),
         "assortment": pairs,
+        "history": totals,
     }

@@ -36,6 +36,7 @@ def build() -> dict[str, str]:
     q["historical_average"] = with_views(
         ["sales"], "SELECT store_id, barcode, (floor((v_p) * 1e6 + 0.5) / 1e6) AS v_p, n_days FROM hist", {"hist": HIST}
     )
+    q["rolling_average"] = q["historical_average"]
     build_more(q)
     build_models(q)
     build_dash(q)

@@ -47,3 +47,63 @@ def test_recent_sales_zero_days_falls_back(spark):
     df = spark.createDataFrame(rows, SALES)
     assert D.recent_sales(df, as_of=AS_OF, days=0).count() == 3
     assert D.recent_sales(df, as_of=AS_OF, days=None, cfg=Config(training_window_days=4)).count() == 5
+
+
+def test_rolling_average_equals_the_window_of_each_day(spark):
+    import datetime as dt
+    import random
+
+    from retailspark.config import Config
+
+    rng, cfg, start = random.Random(5), Config(history_days=7), dt.date(2024, 1, 1)
+    rows = [(s, b, start + dt.timedelta(days=d), rng.choice([None, 1, 2, 5])) for d in range(60) for s in (1, 2) for b in "xyz" if rng.random() < 0.5 for _ in range(rng.randint(1, 3))]
+    sales = spark.createDataFrame(rows, "store_id int, barcode string, sale_date date, amount int")
+    of = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    since = start + dt.timedelta(days=3)
+    totals = D.history_totals(sales, as_of=since, cfg=cfg)
+    for step in [1] * 8 + [3, 9, 20]:  # the last ones leave the whole window behind
+        as_of = since + dt.timedelta(days=step)
+        totals = D.advance_history(totals, sales, since=since, as_of=as_of, cfg=cfg)
+        totals = spark.createDataFrame(totals.collect(), totals.schema)
+        since = as_of
+        assert of(D.average_of(totals)) == of(D.historical_average(sales, as_of=as_of, cfg=cfg))
+    # Through forty successive days the state alone goes on.
+    days = [start + dt.timedelta(days=n) for n in range(8, 48)]
+    units = {}
+    for s, b, d, n in rows:
+        units[(s, b, d)] = units.get((s, b, d), 0) + (n or 0)
+    state = {(r.store_id, r.barcode): (r.units, r.n_days) for r in D.history_totals(sales, as_of=days[0], cfg=cfg).collect()}
+    for day in days[1:]:
+        came, left = day, day - dt.timedelta(days=8)
+        for (s, b, d), n in units.items():
+            if d in (came, left):
+                u, k = state.get((s, b), (0, 0))
+                state[(s, b)] = (u + n, k + 1) if d == came else (u - n, k - 1)
+    assert {k: v for k, v in state.items() if v[1]} == {(r.store_id, r.barcode): (r.units, r.n_days) for r in D.history_totals(sales, as_of=days[-1], cfg=cfg).collect()}
+
+
+def test_a_day_of_rolling_average_reads_two_dates(spark, tmp_path):
+    import datetime as dt
+
+    start = dt.date(2024, 1, 1)
+    rows = [(1, "x", start + dt.timedelta(days=d), d) for d in range(50)]
+    spark.createDataFrame(rows, "store_id int, barcode string, sale_date date, amount int").write.partitionBy("sale_date").parquet(f"{tmp_path}/sales")
+    sales = spark.read.parquet(f"{tmp_path}/sales")
+    since = start + dt.timedelta(days=40)
+    totals = D.history_totals(sales, as_of=since)
+    state = spark.createDataFrame(totals.collect(), totals.schema)
+    df = D.advance_history(state, sales, since=since, as_of=since + dt.timedelta(days=1))
+    files = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in files and df.first().units == sum(range(11, 42))
+    read = sales.where((sales.sale_date == since + dt.timedelta(days=1)) | (sales.sale_date == since - dt.timedelta(days=30)))
+    assert read.count() == 2
+
+
+def test_history_cannot_go_back(spark):
+    import datetime as dt
+
+    import pytest
+
+    sales = spark.createDataFrame([], "store_id int, barcode string, sale_date date, amount int")
+    with pytest.raises(ValueError):
+        D.advance_history(D.history_totals(sales, as_of=dt.date(2024, 1, 2)), sales, since=dt.date(2024, 1, 2), as_of=dt.date(2024, 1, 1))
