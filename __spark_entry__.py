@@ -694,6 +694,18 @@ def q_half_hour_windows(spark: SparkSession, sf: str) -> DataFrame:
     return SS2.half_hour_stream(FX.scans_raw(spark, sf))
 
 
+def q_half_hour_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """I2 as partial sums: the scans in six epochs, out of order, with snapshots after
+    the second and the fourth, read as one snapshot and the epochs after it."""
+    out = f"{ensure_checkpoint_dir(spark)}/half-hours-{uuid.uuid4().hex}"
+    scans = FX.scans_raw(spark, sf)
+    for epoch in range(6):
+        if epoch and epoch % 2 == 0:
+            SS2.compact_half_hours(spark, out, epoch)
+        SS2.write_half_hours(scans.where(F.pmod(F.xxhash64("id"), F.lit(6)) == epoch), epoch, out)
+    return SS2.read_half_hours(spark, out)
+
+
 def q_scanner_codes(spark: SparkSession, sf: str) -> DataFrame:
     """The key events as a stream that is read to its end in three micro-batches,
     some hours out of order.  Devices whose clock jumps to 2099 and back and

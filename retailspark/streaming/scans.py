@@ -1,8 +1,10 @@
 """Tumbling 30-minute aggregation of scans as a stream (I2); batch twin is
 ``operators.ingest.half_hour_sales``.
 
-``half_hour_sink`` loses nothing: each micro-batch writes its partial sums, and
-``read_half_hours`` adds them up, so a scan counts however late it comes.
+``half_hour_sink`` loses nothing: each micro-batch writes its partial sums, so a scan
+counts however late it comes.  From time to time the sums so far become one snapshot,
+and ``read_half_hours`` adds the newer epochs to the latest one: what it reads
+doesn't grow with the number of epochs.
 ``half_hour_stream`` is for consumers that want closed windows at once and accept
 a watermark."""
 
@@ -52,15 +54,59 @@ def write_half_hours(batch: DataFrame, epoch_id: int, out_dir: str) -> None:
     malformed_scans(scans).write.mode("overwrite").parquet(f"{out_dir}/malformed/epoch={epoch_id}")
 
 
-def half_hour_sink(scans: DataFrame, *, out_dir: str, checkpoint: str, available_now: bool = True):
-    """Start the query that keeps ``write_half_hours`` going; returns it."""
-    w = scans.writeStream.foreachBatch(lambda batch, epoch: write_half_hours(batch, epoch, out_dir)).option("checkpointLocation", checkpoint)
+SUMS = "store_id int, sale_date date, block string, barcode string, amount long"
+KEYS = ["store_id", "sale_date", "block", "barcode"]
+
+
+def _numbers(spark: SparkSession, path: str, name: str) -> dict[int, str]:
+    """The folders ``<name>=<n>`` of ``path`` whose write has ended, by number."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+    done = [n for n in names if n.startswith(f"{name}=") and fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS"))]
+    return {int(n.split("=")[1]): f"{path}/{n}" for n in done}
+
+
+def _parts(spark: SparkSession, out_dir: str, before: int | None = None) -> list[str]:
+    """The latest snapshot (with only epochs before ``before``) and the epochs after it."""
+    allowed = lambda n: before is None or n < before
+    snapshots = {n: p for n, p in _numbers(spark, f"{out_dir}/snapshots", "through").items() if allowed(n)}
+    through = max(snapshots, default=-1)
+    epochs = {n: p for n, p in _numbers(spark, f"{out_dir}/sums", "epoch").items() if allowed(n)}
+    return [snapshots[n] for n in snapshots if n == through] + [p for n, p in sorted(epochs.items()) if n > through]
+
+
+def compact_half_hours(spark: SparkSession, out_dir: str, before: int) -> None:
+    """The sums of all epochs before ``before`` as one snapshot: the last one and the
+    epochs after it, merged by key.  An epoch that may still be replayed must not lie
+    before; written again, the snapshot is the same."""
+    parts = _parts(spark, out_dir, before)
+    if parts:
+        sums = spark.read.schema(SUMS).parquet(*parts).groupBy(*KEYS).agg(F.sum("amount").alias("amount"))
+        sums.write.mode("overwrite").parquet(f"{out_dir}/snapshots/through={before - 1}")
+
+
+def half_hour_sink(scans: DataFrame, *, out_dir: str, checkpoint: str, available_now: bool = True, compact_every: int = 64):
+    """Start the query that keeps ``write_half_hours`` going, with a snapshot every
+    ``compact_every`` epochs; returns it."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        # Epochs before this one are done; this one may come again.
+        if epoch and epoch % compact_every == 0:
+            compact_half_hours(batch.sparkSession, out_dir, epoch)
+        write_half_hours(batch, epoch, out_dir)
+
+    w = scans.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
 def read_half_hours(spark: SparkSession, out_dir: str) -> DataFrame:
     """Units per (store, date, half-hour block, barcode) over all epochs: what
-    ``half_hour_sales`` gives over all scans at once."""
-    sums = spark.read.parquet(f"{out_dir}/sums")
-    return sums.groupBy("store_id", "sale_date", "block", "barcode").agg(F.sum("amount").alias("amount"))
+    ``half_hour_sales`` gives over all scans at once.  Reads the latest snapshot and
+    the epochs after it."""
+    parts = _parts(spark, out_dir)
+    if not parts:
+        return spark.createDataFrame([], SUMS)
+    return spark.read.schema(SUMS).parquet(*parts).groupBy(*KEYS).agg(F.sum("amount").alias("amount"))

@@ -282,6 +282,7 @@ FROM (SELECT v.*, v.valid AND v.email NOT IN (SELECT email FROM stores WHERE ema
     q["package_round_trip"] = with_views(
         ["scans_raw"], "SELECT store_id, sale_date, block AS time, CAST(substr(block, 1, 2) AS INT) AS hour, barcode, CAST(amount AS INT) AS amount FROM half", pk
     )
+    q["half_hour_totals"] = with_views(["scans_raw"], "SELECT * FROM half", {"scans": SCANS, "half": HALF})
     q["half_hour_windows"] = with_views(["scans_raw"], "SELECT * FROM half WHERE sale_date IS NOT NULL", {"scans": SCANS, "half": HALF})
     q["forecast_pairs"] = with_views(
         ["forecast_payloads"],

@@ -342,6 +342,34 @@ def test_half_hour_sink_counts_late_and_keeps_malformed_scans(spark):
     assert sorted(r.id for r in spark.read.parquet(os.path.join(out, "malformed")).collect()) == [5, 6]
 
 
+def test_half_hours_are_read_from_one_snapshot_and_newer_epochs(spark):
+    from retailspark.streaming import scans as SC
+
+    d = _scratch()
+    src, out = os.path.join(d, "scans"), os.path.join(d, "out")
+    day = lambda i: f"2024-01-{1 + i % 3:02d} 10:{i % 60:02d}:00"
+    rows = [(i, i % 2, "x", day(i), 1) for i in range(11)]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], SCAN_SCHEMA).coalesce(1).write.json(os.path.join(src, f"{i:02d}"))
+    stream = spark.readStream.schema(SCAN_SCHEMA).option("maxFilesPerTrigger", 1).json(os.path.join(src, "*"))
+    half_hour_sink(stream, out_dir=out, checkpoint=os.path.join(d, "ck"), compact_every=4).awaitTermination(300)
+    of = lambda df: sorted(map(tuple, df.collect()))
+    want = of(IN.half_hour_sales(IN.clean_scans(spark.createDataFrame(rows, SCAN_SCHEMA))))
+    assert of(read_half_hours(spark, out)) == want
+    parts = [p.rsplit("/", 1)[1] for p in SC._parts(spark, out)]
+    assert parts == ["through=7", "epoch=8", "epoch=9", "epoch=10"]
+    # A snapshot that was not finished is not read; written again, it is the same.
+    os.makedirs(os.path.join(out, "snapshots", "through=9", "_temporary"))
+    assert of(read_half_hours(spark, out)) == want
+    for _ in range(2):
+        SC.compact_half_hours(spark, out, 10)
+        assert of(read_half_hours(spark, out)) == want and len(SC._parts(spark, out)) == 2
+    # A scan that comes late still counts.
+    SC.write_half_hours(spark.createDataFrame([(99, 0, "x", "2023-12-31 23:45:00", 1)], SCAN_SCHEMA), 11, out)
+    assert sum(r[-1] for r in of(read_half_hours(spark, out))) == 12
+    assert read_half_hours(spark, os.path.join(d, "none")).collect() == []
+
+
 KEYS = "device long, seq long, ts timestamp_ntz, key string"
 
 
