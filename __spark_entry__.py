@@ -31,6 +31,7 @@ from retailspark.operators import daily as D  # noqa: E402
 from retailspark.operators import dashboard as DB  # noqa: E402
 from retailspark.operators import demand as DM  # noqa: E402
 from retailspark.operators import features as FE  # noqa: E402
+from retailspark.operators import search as SX  # noqa: E402
 from retailspark.operators import sessions as SS  # noqa: E402
 from retailspark.operators import ingest as IN  # noqa: E402
 from retailspark.operators import models as MD  # noqa: E402
@@ -274,6 +275,12 @@ def q_report_document_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_report_document_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """A13 flattened: every entry of each document's category array, at its place."""
+    c = _documents(spark, sf).select("store_id", F.posexplode("categories").alias("pos", "c"))
+    return c.select("store_id", "pos", "c.*")
+
+
 def q_report_digest(spark: SparkSession, sf: str) -> DataFrame:
     return _weekly(spark, sf)["digests"]
 
@@ -619,6 +626,29 @@ def q_parse_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*[c for c in out.columns if c != "avg_weekly_sales"], _r6("avg_weekly_sales"))
 
 
+def q_parse_alerts_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """B13 field by field: records in which some fields have the wrong type and some
+    aren't JSON at all."""
+    a = _alerts(spark, sf).select("store_id", F.col("barcode").alias("src_barcode"), F.col("objective_date").alias("src_date"), "prediction", "feature", "type", F.coalesce("product_name", F.lit("-")).alias("n"))
+    p = F.col("prediction")
+    text = F.concat(
+        F.lit('{"name": "'), F.col("n"), F.lit('", "prediction": '), F.when(p % 5 == 0, F.lit('"many"')).otherwise(p.cast("string")),
+        F.lit(', "feature": '), F.when(p % 3 == 0, F.lit('{"is": true}')).otherwise(F.col("feature").cast("string")), F.lit(', "avg_weekly_sales": 2.5, "type": "'), F.col("type"), F.lit('"}'),
+    )
+    j = a.select("store_id", "src_barcode", "src_date", F.when(p % 11 == 0, F.lit("{not json")).otherwise(text).alias("json"))
+    out = DB.parse_alerts_fields(j, as_of=AS_OF)
+    return out.select("store_id", "src_barcode", "src_date", "product_name", "prediction", "feature", "type", "avg_weekly_sales", F.array_join("failed", ",").alias("failed"), "malformed")
+
+
+def q_search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """B11/F3 by index: posting lists of three letters instead of a scan of names."""
+    path = f"{ensure_checkpoint_dir(spark)}/name-index-{uuid.uuid4().hex}"
+    alerts = _alerts(spark, sf)
+    SX.write_index(alerts, path)
+    r = DB.search_products(alerts, text="jabon", sort="az", index=SX.read_index(spark, path))
+    return r.select("store_id", "barcode", "product_name", "objective_date", "type", "list_rank")
+
+
 def q_search_products(spark: SparkSession, sf: str) -> DataFrame:
     r = DB.search_products(_alerts(spark, sf), text="jabon", sort="az")
     return r.select("store_id", "barcode", "product_name", "objective_date", "type", "list_rank")

@@ -11,6 +11,7 @@ from retailspark.config import as_date
 from retailspark.functions.numbers import round_decimal
 from retailspark.functions.text import fold_char, normalize_text, short_name
 from retailspark.operators.ids import rank_within
+from retailspark.operators.search import GRAM, matching_products
 
 # Client-side defaults for absent alert fields.
 ALERT_DEFAULTS = {
@@ -76,6 +77,32 @@ def parse_alerts(df: DataFrame, json_col: str = "json", *, as_of) -> DataFrame:
     )
 
 
+def parse_alerts_fields(df: DataFrame, json_col: str = "json", *, as_of) -> DataFrame:
+    """B13 field by field: as ``parse_alerts``, with ``failed`` (the names of fields
+    whose value isn't of their type, in the order of the schema) and ``malformed`` (the
+    text is no JSON object).  A field of the wrong type costs that field only and takes
+    its default, as an absent one does; numbers in text are read."""
+    rows = df.withColumn("_v", F.try_parse_json(json_col))
+    is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
+    got, failed = {}, []
+    for name, kind in (field.split() for field in ALERT_JSON_SCHEMA.split(", ")):
+        path = f"$.{name}"
+        raw = F.try_variant_get("_v", path, "variant")
+        # Text is only what was written as text.
+        value = F.try_variant_get("_v", path, kind)
+        if kind == "string":
+            value = F.when(F.schema_of_variant(raw) == "STRING", value)
+        got[name] = F.when(is_object, value)
+        failed.append(F.when(is_object & raw.isNotNull() & ~F.is_variant_null(raw) & value.isNull(), F.lit(name)))
+    d = ALERT_DEFAULTS
+    date = F.when(got["objective_date"].isNull(), F.to_date(F.lit(d["objective_date"]))).otherwise(
+        F.coalesce(F.try_to_date(got["objective_date"], "yyyy-MM-dd"), F.lit(as_date(as_of)))
+    )
+    named = {"name": "product_name"}
+    columns = [date.alias(n) if n == "objective_date" else F.coalesce(c, F.lit(d[n])).alias(named.get(n, n)) for n, c in got.items()]
+    return rows.select(*[c for c in df.columns if c != json_col], *columns, F.array_compact(F.array(*failed)).alias("failed"), (F.col(json_col).isNotNull() & ~is_object).alias("malformed"))
+
+
 def alerts_with_weekly_average(feed_rows: DataFrame, v_p: DataFrame) -> DataFrame:
     """``avg_weekly_sales`` = 7 x V_p of the (store, barcode) (0.0 when absent)."""
     v = v_p.select("store_id", "barcode", (F.col("v_p") * F.lit(7.0)).alias("avg_weekly_sales"))
@@ -89,14 +116,20 @@ def normalize_literal(text: str | None) -> str:
     return "".join(fold_char(c) for c in text or "").lower()
 
 
-def search_products(alerts: DataFrame, *, text: str | None = None, type: str | None = None, sort: str | None = None) -> DataFrame:
+def search_products(alerts: DataFrame, *, text: str | None = None, type: str | None = None, sort: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """Accent- and case-insensitive literal substring match on the
     product name or on the lower-cased barcode (empty text = no filter), an
     optional type filter, and ``sort`` in {None, 'az', 'za'} as a per-store
-    ``list_rank`` on the normalised name (ties: barcode, date)."""
+    ``list_rank`` on the normalised name (ties: barcode, date).  With ``index``
+    (``search.read_index``) a text of three letters or more is looked up in posting
+    lists, and the rows found by an equi-join."""
     out = alerts
     q = normalize_literal(text)
-    if q:
+    if q and index is not None and len(q) >= GRAM:
+        hits = matching_products(index, q).select(F.col("barcode").alias("_barcode"), F.col("product_name").alias("_name"))
+        same = F.col("barcode").eqNullSafe(F.col("_barcode")) & F.col("product_name").eqNullSafe(F.col("_name"))
+        out = out.join(hits, same, "left_semi")
+    elif q:
         hit = F.locate(q, normalize_text(F.col("product_name"))) > 0
         hit = hit | (F.locate(q, F.lower(F.coalesce(F.col("barcode"), F.lit("")))) > 0)
         out = out.filter(hit)

@@ -514,6 +514,14 @@ SELECT d.store_id, 'alerts' AS section, CAST(t.alert_rank - 1 AS INT) AS pos, CA
 FROM docs d JOIN top t ON t.store_id = d.store_id""",
         rx,
     )
+    q["report_document_categories"] = with_views(
+        rv,
+        """SELECT d.store_id, CAST(c.category_rank - 1 AS INT) AS pos, c.category_rank AS rank, c.category, c.total_products, c.deficit_count, c.superavit_count, c.neutral_count, c.featured_count,
+  CAST((round_even(100.0 * c.deficit_count / c.total_products, 0) + 0.0) AS INT) AS deficit_pct, CAST((round_even(100.0 * c.superavit_count / c.total_products, 0) + 0.0) AS INT) AS superavit_pct,
+  CAST((round_even(100.0 * c.neutral_count / c.total_products, 0) + 0.0) AS INT) AS neutral_pct
+FROM docs d JOIN catb c ON c.store_id = d.store_id""",
+        rx | {"catb": CATB},
+    )
     item = ("concat('  ', CAST(t.alert_rank AS VARCHAR), '. ', t.product_name, ' [', upper(t.type), '] Desv: ', "
             + SIGNED.format(d="t.percentage_average_deviation") + ", ' — Pred: ', CAST(t.prediction AS VARCHAR), ' unid.')")
     q["report_digest"] = with_views(
@@ -570,6 +578,16 @@ FROM alerts""",
 FROM alerts WHERE strpos(strip_accents(lower(COALESCE(product_name, ''))), 'jabon') > 0 OR strpos(lower(COALESCE(barcode, '')), 'jabon') > 0""",
         ax,
     )
+    q["search_indexed"] = q["search_products"]
+    q["parse_alerts_fields"] = with_views(
+        av,
+        """SELECT store_id, barcode AS src_barcode, objective_date AS src_date, CASE WHEN bad THEN 'Producto Desconocido' ELSE COALESCE(product_name, '-') END AS product_name,
+  CASE WHEN bad OR prediction % 5 = 0 THEN 0 ELSE prediction END AS prediction, CASE WHEN bad OR prediction % 3 = 0 THEN false ELSE feature END AS feature,
+  CASE WHEN bad THEN 'neutral' ELSE type END AS type, CASE WHEN bad THEN 0.0::DOUBLE ELSE 2.5::DOUBLE END AS avg_weekly_sales,
+  CASE WHEN bad THEN '' ELSE concat_ws(',', CASE WHEN prediction % 5 = 0 THEN 'prediction' END, CASE WHEN prediction % 3 = 0 THEN 'feature' END) END AS failed, bad AS malformed
+FROM (SELECT *, prediction % 11 = 0 AS bad FROM alerts)""",
+        ax,
+    )
     q["filter_alert_type"] = with_views(
         av,
         """SELECT store_id, barcode, product_name, objective_date, type,
