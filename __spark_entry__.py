@@ -39,6 +39,7 @@ from retailspark.operators import scoring as SC  # noqa: E402
 from retailspark.operators import reports as RP  # noqa: E402
 from retailspark.session import ensure_checkpoint_dir  # noqa: E402
 from retailspark.sources import fixtures as FX  # noqa: E402
+from retailspark.sources.ledger import register_batch  # noqa: E402
 from retailspark.sources.readers import CORRUPT, cut_lineage, package_id, read_packages, write_packages  # noqa: E402
 from retailspark.sources.snapshots import read_snapshot, replace_keyed_on_disk  # noqa: E402
 from retailspark.streaming import ingest as SI  # noqa: E402
@@ -294,6 +295,16 @@ def q_register_stores(spark: SparkSession, sf: str) -> DataFrame:
     return IN.register_stores(FX.registrations(spark, sf), FX.stores(spark, sf))
 
 
+def q_register_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """C8 in two batches that see the same snapshot of stores; the first is replayed."""
+    ledger = f"{ensure_checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
+    requests, stores = FX.registrations(spark, sf), FX.stores(spark, sf)
+    even, odd = requests.where("request_id % 2 = 0"), requests.where("request_id % 2 = 1")
+    register_batch(even, stores, ledger=ledger, batch="even")
+    second = register_batch(odd, stores, ledger=ledger, batch="odd")
+    return register_batch(even, stores, ledger=ledger, batch="even").unionByName(second)
+
+
 def _scans(spark: SparkSession, sf: str) -> DataFrame:
     return IN.clean_scans(FX.scans_raw(spark, sf))
 

@@ -183,11 +183,12 @@ def complete_products(codes: DataFrame, products: DataFrame, catalog: DataFrame)
 REGISTRATION_FIELDS = ["name", "email", "city", "lat", "lng"]
 
 
-def register_stores(requests: DataFrame, stores: DataFrame, *, order: str = "request_id") -> DataFrame:
+def register_stores(requests: DataFrame, stores: DataFrame, *, order: str = "request_id", start: int | None = None) -> DataFrame:
     """Requests in ``order``.  A request missing a required field is
     ``invalid`` (the gateway rejects it before any lookup); an e-mail already
     registered (exact, case-sensitive) or used by an earlier valid request of
-    the batch -> ``email_repeated``; otherwise ``exito`` with the next store id."""
+    the batch -> ``email_repeated``; otherwise ``exito`` with the next store id, or ids
+    from ``start`` on (``sources.ledger`` reserves ranges for batches that run at once)."""
     valid = F.lit(True)
     for c in REGISTRATION_FIELDS:
         if c in requests.columns:
@@ -199,7 +200,7 @@ def register_stores(requests: DataFrame, stores: DataFrame, *, order: str = "req
     ok = F.col("_valid") & F.col("_known").isNull() & (F.col(order) == F.col("_first"))
     accepted = r.filter(ok)
     # Scalar subquery: evaluated once by Spark, no driver round trip, no join.
-    start = stores.select(F.coalesce(F.max("store_id"), F.lit(0)) + F.lit(1)).scalar()
+    start = stores.select(F.coalesce(F.max("store_id"), F.lit(0)) + F.lit(1)).scalar() if start is None else start
     numbered = with_sequential_id(accepted.select(order), [order], name="store_id", start=start)
     out = r.join(numbered, order, "left")
     status = F.when(~F.col("_valid"), F.lit("invalid")).when(ok, F.lit("exito")).otherwise(F.lit("email_repeated"))

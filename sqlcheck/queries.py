@@ -241,6 +241,16 @@ FROM (SELECT v.*, v.valid AND v.email NOT IN (SELECT email FROM stores WHERE ema
       FROM (SELECT *, name IS NOT NULL AND email IS NOT NULL AND city IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL AS valid
             FROM registrations) v) r""",
     )
+    q["register_batches"] = with_views(
+        ["registrations", "stores"],
+        """SELECT r.request_id, r.name, r.email,
+  CASE WHEN NOT valid THEN 'invalid' WHEN ok THEN 'exito' ELSE 'email_repeated' END AS status,
+  CASE WHEN ok THEN (SELECT MAX(store_id) FROM stores) + ROW_NUMBER() OVER (PARTITION BY ok ORDER BY r.batch, r.request_id) END AS store_id
+FROM (SELECT v.*, v.valid AND v.email NOT IN (SELECT email FROM stores WHERE email IS NOT NULL)
+        AND v.request_id = MIN(CASE WHEN v.valid THEN v.request_id END) OVER (PARTITION BY v.email, v.batch) AS ok
+      FROM (SELECT *, request_id % 2 AS batch, name IS NOT NULL AND email IS NOT NULL AND city IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL AS valid
+            FROM registrations) v) r""",
+    )
     q["clean_scans"] = with_views(["scans_raw"], SCANS)
     q["half_hour_sales"] = with_views(["scans_raw"], "SELECT * FROM half", {"scans": SCANS, "half": HALF})
     q["scan_totals"] = with_views(
