@@ -68,7 +68,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 bucket = mix(bucket * np.uint64(0x9E3779B97F4A7C15) + banded[:, :, k])
             size = [len(v) for v, _ in sets]
             yield pd.DataFrame({
-                "id": batch["id"].iloc[part].to_numpy(), "key": batch["key"].iloc[part].to_numpy(), "size": size,
+                "id": batch["id"].iloc[part].to_numpy(), "key": batch["key"].iloc[part].to_numpy(), "mark": batch["mark"].iloc[part].to_numpy(), "size": size,
                 # Eight bits of a register do for the estimate.
                 "signature": [row.tobytes() for row in (registers & np.uint64(255)).astype(np.uint8)],
                 "buckets": [row if n else row[:0] for n, row in zip(size, bucket.view(np.int64), strict=True)],
@@ -76,11 +76,11 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``key`` (a digest of the text), ``size`` (distinct shingles),
-    ``signature`` and ``buckets`` of every row; no buckets without words."""
-    rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text")).withColumn("key", F.unhex(F.sha2("text", 256)))
+    """``id``, ``key`` (a digest of the text), ``mark`` (a quick hash of it), ``size``
+    (distinct shingles), ``signature`` and ``buckets`` of every row; no buckets without words."""
+    rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text")).withColumns({"key": F.unhex(F.sha2("text", 256)), "mark": F.xxhash64("text")})
     kind = dict(rows.dtypes)["id"]
-    return bounded_batches(rows).mapInPandas(_sign, f"id {kind}, key binary, size int, signature binary, buckets array<bigint>")
+    return bounded_batches(rows).mapInPandas(_sign, f"id {kind}, key binary, mark long, size int, signature binary, buckets array<bigint>")
 
 
 def _in_blocks(members: DataFrame, group: str, blocks: Column) -> DataFrame:
@@ -185,10 +185,13 @@ def _located(members: DataFrame, near: DataFrame) -> DataFrame:
 
 def _classes(signed: DataFrame, rows: DataFrame) -> DataFrame:
     """(key, ``class_id``, ``n``) of every text in ``signed``: the smallest id of its
-    class, and the rows that have it.  ``rows`` gives (key, text)."""
-    # One node for each text, however many rows and ids it has.
-    copies = signed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("signature").alias("signature"), F.first("buckets").alias("buckets"))
-    texts = materialize(copies.withColumn("node", F.monotonically_increasing_id()), "representatives")
+    class, and the rows that have it.  ``rows`` gives (id, text)."""
+    # One node for each text, however many rows and ids it has: that of its first id,
+    # which ``m`` rows may repeat.
+    copies = signed.groupBy(F.col("key").alias("_key")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = signed.join(copies, (F.col("key") == F.col("_key")) & (F.col("id") == F.col("first")))
+    texts = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in ("first", "n", "mark", "size", "signature", "buckets")])
+    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "representatives")
 
     banded = texts.select(F.col("node").alias("id"), F.explode("buckets").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -197,10 +200,14 @@ def _classes(signed: DataFrame, rows: DataFrame) -> DataFrame:
     edges = pairs.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id").mapInPandas(_forest, "a long, b long")
     near = materialize(connected_components(materialize(edges.distinct(), "near-edges")), "near")
 
-    located = materialize(_located(texts.select("node", "key", "size", "signature"), near).withColumnRenamed("node", "id"), "located")
-    # Of each text one row, its first by id.
-    read = rows.join(located.select("key").withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    with_text = located.join(read, "key")
+    located = materialize(_located(texts.select("node", "first", "mark", "m", "size", "signature"), near).withColumnRenamed("node", "id"), "located")
+    # Texts are read again by id and mark; where rows repeat both, one of them.
+    read = rows.select(F.col("id").alias("_id"), F.xxhash64("text").alias("_mark"), "text")
+    same = (F.col("_id") == F.col("first")) & (F.col("_mark") == F.col("mark"))
+    with_text = read.join(located.where("m = 1"), same).select(*located.columns, "text")
+    if not located.where("m > 1").isEmpty():
+        one = read.join(located.where("m > 1").select("first", "mark"), same, "left_semi").groupBy("_id", "_mark").agg(F.first("text").alias("text"))
+        with_text = with_text.unionByName(one.join(located.where("m > 1"), same).select(*located.columns, "text"))
     pairs = _in_blocks(with_text, "component", F.col("blocks")).select("component", "i", "j", "id", "signature", "text")
     links = bounded_batches(pairs).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "id").mapInPandas(_verified, "a long, b long")
     joined = connected_components(materialize(links, "links"))
@@ -226,7 +233,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     and has a null class.  Other columns are not read."""
     signed = materialize(sign(docs, id_col, text_col), "signatures")
     wordy = signed.where("size > 0 and id is not null")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.unhex(F.sha2(whole(F.col(text_col)), 256)).alias("key"), whole(F.col(text_col)).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
     classes = _classes(wordy, rows)
     # Rows of a hot text stay where they are; the others meet their class by shuffle.
     hot = classes.where(F.col("n") > wordy.count() * HOT_SHARE).drop("n")
