@@ -25,15 +25,17 @@ from retailspark.llm.common import bounded_batches, labelled_sample, whole, with
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Labelled rows of each label that are learned from, chunks that are kept of
-#: each (a run from a place picked by hash) and chunks of those in a training step.
-TRAIN_ROWS, KEPT_CHUNKS, TRAIN_CHUNKS = 2_000, 8, 3
+#: Labelled rows of each label that are learned from, and chunks that are kept of
+#: each (a run from a place picked by hash; some 15 KB, which few texts exceed).
+TRAIN_ROWS, KEPT_CHUNKS = 2_000, 32
 #: The decision that goes with the score: 1 from here on.
 THRESHOLD = 0.3
 EMBEDDING, FILTERS, WIDTH, STRIDE = 8, 32, 8, 2
 #: Bytes of a chunk and the distance of two starts; neighbours overlap by more than a filter.
 CHUNK, STEP = 512, 480
 EPOCHS, BATCH, RATE, DECAY, SEED = 8, 64, 3e-3, 1e-4, 11
+#: Chunks of a training step, but for its last text.
+STEP_CHUNKS = 384
 #: Chunks that are convolved at once.
 AT_ONCE = 256
 PAD = 256
@@ -104,9 +106,8 @@ def _convolve(net: ByteNet, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def fit(texts: list[bytes], labels: np.ndarray, *, epochs: int = EPOCHS, seed: int = SEED) -> ByteNet:
     """Adam on the logistic loss, both labels weighing the same in all; for one
-    label only, a net that always says so.  Every
-    text gives at most ``TRAIN_CHUNKS`` consecutive chunks, from a random start,
-    in each epoch; scoring sees all of them."""
+    label only, a net that always says so.  Every step sees all chunks of its texts,
+    as scoring does: up to ``BATCH`` texts, or as many as have ``STEP_CHUNKS`` chunks."""
     rng = np.random.default_rng(seed)
     f32 = np.float32
     p = [
@@ -120,18 +121,12 @@ def fit(texts: list[bytes], labels: np.ndarray, *, epochs: int = EPOCHS, seed: i
         return ByteNet(p[0], p[1], p[2], p[3] * 0, float(np.log(share / (1 - share))))
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(f32)
     cuts = [cut([t])[0] for t in texts]
+    sizes = np.array([len(c) for c in cuts])
     for _ in range(epochs):
         order = rng.permutation(len(texts))
-        for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
-            some = []
-            for r in rows:
-                n = len(cuts[r])
-                start = int(rng.integers(0, max(1, n - TRAIN_CHUNKS + 1)))
-                some.append(cuts[r][start : start + TRAIN_CHUNKS])
-            chunks = np.concatenate(some)
-            size = np.array([len(s) for s in some])
-            first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        for rows in _steps(order, sizes):
+            chunks, size = np.concatenate([cuts[r] for r in rows]), sizes[rows]
+            first = np.cumsum(size) - size
             owner = np.repeat(np.arange(len(rows)), size)
             net = ByteNet(p[0], p[1], p[2], p[3], float(p[4][0]))
             relu, windows = _convolve(net, chunks)
@@ -163,6 +158,16 @@ def fit(texts: list[bytes], labels: np.ndarray, *, epochs: int = EPOCHS, seed: i
     return ByteNet(p[0], p[1], p[2], p[3], float(p[4][0]))
 
 
+def _steps(order: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """``order`` in batches of bounded work."""
+    start = chunks = 0
+    for i, r in enumerate(order.tolist()):
+        chunks += sizes[r]
+        if chunks >= STEP_CHUNKS or i + 1 - start == BATCH or i == len(order) - 1:
+            yield order[start : i + 1]
+            start, chunks = i + 1, 0
+
+
 def _kept(text: bytes) -> bytes:
     n = -(-(len(text) - CHUNK) // STEP) + 1
     if n <= KEPT_CHUNKS:
@@ -173,7 +178,7 @@ def _kept(text: bytes) -> bytes:
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> ByteNet:
     """Learns from at most ``rows`` labelled documents of each label, the first by
-    hash of the id; about 4 KB of each reach the driver, where the net is fitted."""
+    hash of the id; some 15 KB of each, at most, reach the driver, where the net is fitted."""
     sample = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=rows)
     sample = bounded_batches(sample.select("id", F.col("label").cast("int").alias("label"), whole(F.col("text")).alias("text")))
 

@@ -196,3 +196,100 @@ def test_outputs_may_have_any_name(spark):
     assert language.predict(docs, model).columns == ["doc_id", "text", "_judged", "lang_pred", "score"]
     out = language.predict(docs, model, out=("l", "p"))
     assert out.columns == [*docs.columns, "l", "p"] and out.first().Score == 5 and out.first().l == "a"
+
+
+def slow_probability(net, text):
+    """The net's forward pass with plain loops: chunk by chunk, window by window."""
+    n = max(1, -(-(len(text) - quality.CHUNK) // quality.STEP) + 1) if len(text) > quality.CHUNK else 1
+    pooled = []
+    for c in range(n):
+        part = list(text[c * quality.STEP : c * quality.STEP + quality.CHUNK])
+        part += [quality.PAD] * (quality.CHUNK - len(part))
+        seen, recent = {}, []
+        for i, byte in enumerate(part):
+            code = (byte * 40503 + part[i - 1] * 30011 + part[i - 2] * 20011 + part[i - 3] * 10007) & 0xFFFF if i >= 3 else None
+            recent.append(16 / (16 + i - seen[code]) if code in seen and byte != quality.PAD else 0.0)
+            if code is not None:
+                seen[code] = i
+        rows = [list(net.embedding[b]) + [r] for b, r in zip(part, recent, strict=True)]
+        windows = [sum(rows[i : i + quality.WIDTH], []) for i in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)]
+        pooled.append([max(0.0, max(float(np.dot(w, net.filters[:, f])) + float(net.bias[f]) for w in windows)) for f in range(len(net.bias))])
+    z = float(net.intercept)
+    for f in range(len(net.bias)):
+        z += max(p[f] for p in pooled) * float(net.output[f]) + sum(p[f] for p in pooled) / n * float(net.output[len(net.bias) + f])
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_equals_a_plain_forward_pass():
+    net = quality.fit([b"good text, plain and simple"] * 6 + [b"$$$ bad $$$ bad"] * 6, np.array([1] * 6 + [0] * 6), epochs=2)
+    rng = random.Random(5)
+    for text in [b"", b"a", "é plain".encode(), bytes(rng.randrange(256) for _ in range(600)), b"again and again " * 70]:
+        assert net.probability([text])[0] == pytest.approx(slow_probability(net, text), rel=1e-4)
+
+
+def test_steps_hold_all_rows_in_bounded_batches():
+    sizes = np.array([1, 400, 2, 3, 500] + [1] * 200)
+    steps = list(quality._steps(np.arange(len(sizes)), sizes))
+    assert np.concatenate(steps).tolist() == list(range(len(sizes)))
+    assert all(len(s) <= quality.BATCH and sizes[s[:-1]].sum() < quality.STEP_CHUNKS for s in steps)
+
+
+def slow_features(text, terms):
+    """The features one by one, without shared state."""
+    import unicodedata
+
+    def letters_only(t):
+        out, word = [], ""
+        for ch in t + " ":
+            if ch.isalpha() or (ch.isalnum() and not unicodedata.category(ch).startswith("Nd") and not ch.isdigit()):
+                word += ch
+            elif word:
+                out.append(word)
+                word = ""
+        return out
+
+    weigh = lambda w: max([terms.get(w + "$", 0.0), *(terms.get(w[:k], 0.0) for k in toxicity.STEMS if len(w) >= k)])
+    words = letters_only(text.lower())
+    n = max(len(words), 1)
+    second = [w in toxicity.SECOND_PERSON for w in words]
+    hits = [i for i, w in enumerate(words) if w in toxicity.INSULTS or (not second[i] and weigh(w) > 0)]
+    weights = [weigh(words[i]) for i in hits]
+    near = sum(any(second[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i in hits)
+    fixed, learned = sum(words[i] in toxicity.INSULTS for i in hits), sum(w > 0 for w in weights)
+    raw = text.encode()
+    count = lambda chars: sum(b in chars.encode() for b in raw)
+    upper, lower = count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count("abcdefghijklmnopqrstuvwxyz")
+    hidden = toxicity._HIDDEN.findall(text.lower())
+    plain = ["".join({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "9": "g", "@": "a", "$": "s", "*": "", "#": ""}.get(c, c) for c in h) for h in hidden]
+    size = max(len(raw), 1)
+    return [fixed, 1000 * fixed / n, learned, 1000 * learned / n, max([0.0, *weights]), len({words[i] for i in hits}), near, 1000 * sum(second) / n,
+            upper / max(upper + lower, 1), count("!") / size, count("?") / size, sum(33 <= b < 127 and not chr(b).isalnum() for b in raw) / size, count("0123456789") / size,
+            1000 * len(hidden) / n, sum(p in toxicity.INSULTS or weigh(p) > 0 for p in plain), np.log1p(len(words))]
+
+
+def test_toxicity_equals_plain_features_and_a_plain_walk():
+    rng = random.Random(8)
+    terms = {"grub$": 2.5, "nast": 1.5, "nasty$": 3.0, "you$": 1.0}
+    vocabulary = ["you", "idiot", "grub", "nasty", "nastier", "Tree", "WALK", "1d10t", "mor0n", "n4sty", "fool!", "?", "su", "dein", "é", "tú", "12", "plain", "stupid", "a@b"]
+    texts = ["", "!!!", "IDIOT you", *(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 30))) for _ in range(120))]
+    x = toxicity.features(texts, terms, {})
+    for row, text in zip(x, texts, strict=True):
+        assert row == pytest.approx(slow_features(text, terms)), text
+    y = np.array([int("idiot" in t or "stupid" in t) for t in texts])
+    fitted = trees.fit(np.concatenate([x] * 4), np.concatenate([y] * 4))
+
+    def walk(row):
+        margin = fitted.start
+        for t in fitted.trees:
+            node = 0
+            while node < 2**fitted.depth - 1:
+                node = 2 * node + 1 + int(t.feature[node] >= 0 and row[t.feature[node]] > t.threshold[node])
+            margin += t.value[node - (2**fitted.depth - 1)]
+        if margin <= fitted.at[0]:
+            return fitted.probability[0]
+        for a, b, p, q in zip(fitted.at, fitted.at[1:], fitted.probability, fitted.probability[1:], strict=False):
+            if margin <= b:
+                return p + (q - p) * ((margin - a) / (b - a) if b > a else 1.0)
+        return fitted.probability[-1]
+
+    assert fitted.predict(x) == pytest.approx([walk(r) for r in x])
