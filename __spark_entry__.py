@@ -43,6 +43,7 @@ from retailspark.sources.ledger import register_batch  # noqa: E402
 from retailspark.sources.readers import CORRUPT, cut_lineage, package_id, read_packages, write_packages  # noqa: E402
 from retailspark.sources.snapshots import read_snapshot, replace_keyed_on_disk  # noqa: E402
 from retailspark.streaming import ingest as SI  # noqa: E402
+from retailspark.streaming import queue as QU  # noqa: E402
 from retailspark.streaming import scans as SS2  # noqa: E402
 from retailspark.streaming import sessions as SE  # noqa: E402
 
@@ -735,6 +736,33 @@ def q_half_hour_windows(spark: SparkSession, sf: str) -> DataFrame:
     return SS2.half_hour_stream(FX.scans_raw(spark, sf))
 
 
+def q_queue_passes(spark: SparkSession, sf: str) -> DataFrame:
+    """G2/I3 as a stream: two passes over the clients' queues; what the first leaves is
+    accepted by the second."""
+    base = f"{ensure_checkpoint_dir(spark)}/queue-{uuid.uuid4().hex}"
+    queue = FX.package_queue(spark, sf)
+    outcome = queue.select("client_id", "seq", "outcome")
+
+    def send(entries: DataFrame) -> DataFrame:
+        judged = entries.join(outcome, ["client_id", "seq"])
+        return judged.withColumn("outcome", F.when(F.col("tries") == 0, F.col("outcome")).otherwise(F.lit("ok")))
+
+    QU.enqueue(queue, f"{base}/queue", "new")
+    for _ in range(2):
+        QU.queue_stream(spark, f"{base}/queue", send=send, out_dir=f"{base}/out", checkpoint=f"{base}/checkpoint").awaitTermination()
+    return QU.sent_packages(spark, f"{base}/out").withColumn("package_name", F.trim("package_name"))
+
+
+def q_retry_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """Rejected packages of stores that were unknown and of which every second has
+    been registered since."""
+    p = package_id(_packages(spark, sf)).withColumn(CORRUPT, F.lit(None).cast("string"))
+    stores = FX.stores(spark, sf).select("store_id")
+    rejects = SI.with_problem(p, stores).withColumnRenamed("_problem", "reason")
+    added = rejects.where("id_store % 2 = 0").select(F.col("id_store").alias("store_id")).distinct()
+    return SI.retry_rejected(rejects, stores.unionByName(added)).select("id_store", "date", "day", F.size("sales").alias("blocks"))
+
+
 def q_half_hour_totals(spark: SparkSession, sf: str) -> DataFrame:
     """I2 as partial sums: the scans in six epochs, out of order, with snapshots after
     the second and the fourth, read as one snapshot and the epochs after it."""

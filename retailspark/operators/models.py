@@ -57,7 +57,7 @@ def cold_start_flags(products: DataFrame, registry: DataFrame, *, cfg: Config =
     )
 
 
-def training_rows(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config = Config()) -> DataFrame:
+def training_rows(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config = Config(), known_barcodes: DataFrame | None = None) -> DataFrame:
     """H1 + A1/A2 + D1/D2 + B4-B6: the (X, y) rows each product trains on.
 
     Cold products read their whole history up to ``as_of``; warm products only
@@ -65,13 +65,14 @@ def training_rows(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config =
     filtered full scan: the warm branch carries a date predicate that reaches
     the Parquet scan (partition / row-group pruning), the cold branch is a semi
     join with the (small) set of cold barcodes, which AQE removes entirely when
-    that set is empty.  The product list is the distinct barcodes sold (one
-    column).  The temperature fill uses the mean over each product's own
+    that set is empty.  The product list is ``known_barcodes`` (e.g. a maintained
+    assortment), else the distinct barcodes sold (one column of the whole table).  The temperature fill uses the mean over each product's own
     extracted rows, as the reference does.
     """
     a = as_date(as_of)
     s = sales.filter(F.col("sale_date") <= F.lit(a))
-    flags = cold_start_flags(s.select("barcode").distinct(), registry, cfg=cfg)
+    sold = s if known_barcodes is None else known_barcodes
+    flags = cold_start_flags(sold.select("barcode").distinct(), registry, cfg=cfg)
     warm = flags.filter(~F.col("is_cold")).select("barcode")
     cold = flags.filter(F.col("is_cold")).select("barcode")
     recent = s.filter(F.col("sale_date") >= F.date_sub(F.lit(a), cfg.training_window_days)).join(warm, "barcode", "left_semi")
@@ -178,7 +179,7 @@ def clipped_mse(scored: DataFrame, *, by: str = "barcode", y: str = "y", yhat: s
     return scored.groupBy(by).agg(F.avg(err * err).alias("mse"), F.count(F.lit(1)).alias("n"))
 
 
-def train_models(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config = Config(), materialize: bool = True) -> DataFrame:
+def train_models(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config = Config(), materialize: bool = True, known_barcodes: DataFrame | None = None) -> DataFrame:
     """H1+H2+D13+D15 for every product at once.
 
     Returns ``barcode, mode (cold|incremental), n, coef, error, mse, moments,
@@ -190,7 +191,7 @@ def train_models(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config =
     checkpoint directory instead of re-reading the sales table; the fitted
     models (one row per product) are materialised for the same reason.
     """
-    rows = training_rows(sales, registry, as_of=as_of, cfg=cfg)
+    rows = training_rows(sales, registry, as_of=as_of, cfg=cfg, known_barcodes=known_barcodes)
     if materialize:
         rows = cut_lineage(rows)
     mom = training_moments(rows, "barcode", F.max(F.col("is_cold").cast("int")).alias("_cold")).withColumn("last_date", F.lit(as_date(as_of)))

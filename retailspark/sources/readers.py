@@ -49,11 +49,16 @@ def append_sales(sales: DataFrame, path: str, *, batch_id: str) -> None:
 
 def read_sales(spark: SparkSession, path: str, *, with_epoch: bool = False) -> DataFrame:
     """Sales table written by the ingest sink (``epoch=<id>/sale_date=<d>/``
-    directories) or any Parquet table with the sales columns.  Partition
+    directories, and the batches that ``compaction`` made of them) or any Parquet
+    table with the sales columns.  Partition
     discovery makes ``sale_date`` a partition column, so date filters prune
     directories instead of reading them.  ``with_epoch`` keeps the ingest mark,
     by which training and assortment follow arrivals."""
-    df = spark.read.option("basePath", path).parquet(path)
+    from retailspark.sources.compaction import read_compacted
+
+    df = read_compacted(spark, path, SALES_SCHEMA)
+    if df is None:
+        df = spark.read.option("basePath", path).parquet(path)
     cols = [c.strip().split(" ") for c in SALES_SCHEMA.split(",")]
     epoch = [F.col("epoch").cast("int").alias("epoch")] if with_epoch else []
     return df.select(*[F.col(n).cast(t).alias(n) for n, t in cols], *epoch)

@@ -292,6 +292,15 @@ FROM (SELECT v.*, v.valid AND v.email NOT IN (SELECT email FROM stores WHERE ema
     q["package_round_trip"] = with_views(
         ["scans_raw"], "SELECT store_id, sale_date, block AS time, CAST(substr(block, 1, 2) AS INT) AS hour, barcode, CAST(amount AS INT) AS amount FROM half", pk
     )
+    q["retry_rejected"] = with_views(
+        ["scans_raw", "stores"], "SELECT id_store, date, day, blocks FROM packages WHERE id_store NOT IN (SELECT store_id FROM stores) AND id_store % 2 = 0", pk
+    )
+    q["queue_passes"] = with_views(
+        ["package_queue"],
+        """SELECT client_id, seq, trim(package_name) AS package_name, CAST(outcome = 'rejected' OR seq >= fail AS INTEGER) AS tries
+FROM (SELECT *, COALESCE(MIN(CASE WHEN outcome = 'network_error' THEN seq END) OVER (PARTITION BY client_id), 9223372036854775807) AS fail
+  FROM package_queue WHERE length(trim(package_name)) > 0)""",
+    )
     q["half_hour_totals"] = with_views(["scans_raw"], "SELECT * FROM half", {"scans": SCANS, "half": HALF})
     q["half_hour_windows"] = with_views(["scans_raw"], "SELECT * FROM half WHERE sale_date IS NOT NULL", {"scans": SCANS, "half": HALF})
     q["forecast_pairs"] = with_views(
