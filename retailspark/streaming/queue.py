@@ -60,4 +60,4 @@ def queue_stream(spark: SparkSession, queue_dir: str, *, send: Send, out_dir: st
 
 def sent_packages(spark: SparkSession, out_dir: str) -> DataFrame:
     """All entries that were accepted, with the pass (``tries``) that did it."""
-    return spark.read.schema(ENTRY).parquet(f"{out_dir}/sent")
+    return spark.read.schema(ENTRY).parquet(f"{out_dir}/sent").select("client_id", "seq", "package_name", "tries")

@@ -250,4 +250,4 @@ def waiting_codes(spark: SparkSession, checkpoint: str, *, gap_seconds: float =
 
 def read_codes(spark: SparkSession, out_dir: str, *, like: str = "timestamp_ntz") -> DataFrame:
     """``device, code, ended`` of all epochs so far; ``like`` is the type of ``ts``."""
-    return spark.read.schema(f"device long, code string, ended {like}").parquet(f"{out_dir}/codes")
+    return spark.read.schema(f"device long, code string, ended {like}").parquet(f"{out_dir}/codes").select("device", "code", "ended")
