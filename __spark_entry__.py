@@ -447,7 +447,7 @@ def q_model_optimality(spark: SparkSession, sf: str) -> DataFrame:
 
 def _optimality(rows: DataFrame, models: DataFrame) -> DataFrame:
     rest = F.col("y") - MD.predict("coef")
-    sums = rows.join(models, "barcode").groupBy("barcode", "coef").agg(
+    sums = rows.join(cut_lineage(models), "barcode").groupBy("barcode", "coef").agg(
         F.count(F.lit(1)).alias("n"), F.avg(rest).alias("g0"), F.avg(F.abs("y")).alias("scale"),
         *[F.avg(rest * F.col(x)).alias(f"g{i + 1}") for i, x in enumerate(FE.FEATURE_NAMES)],
     )
@@ -493,7 +493,7 @@ def q_train_incremental_optimality(spark: SparkSession, sf: str) -> DataFrame:
     sales, none = FX.sales(spark, sf), spark.createDataFrame([], "barcode string, total_examples long")
     week_before = F.lit(AS_OF - dt.timedelta(days=7))
     first = MD.training_rows(sales, none, as_of=AS_OF - dt.timedelta(days=7))
-    warm = first.groupBy("barcode").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= Config().min_examples_cold_start).select("barcode")
+    warm = cut_lineage(first.groupBy("barcode").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= Config().min_examples_cold_start).select("barcode"))
     known = sales.where(F.col("sale_date") <= F.lit(AS_OF))
     read = known.where(F.col("sale_date") > week_before).join(warm, "barcode", "left_semi").unionByName(known.join(warm, "barcode", "left_anti"))
     rows = FE.feature_matrix(D.fill_temperature(D.daily_sales(read)), training=True)

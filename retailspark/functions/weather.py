@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from retailspark.config import DEFAULT_WEATHER_CODE
 
 
+#: The internal codes are 0 .. ``N_CODES - 1``.
+N_CODES = 6
+
+
 def weather_code(wmo: Column | str) -> Column:
     """Map a WMO weather code to the internal 0..5 scale.
 

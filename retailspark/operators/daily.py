@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailspark.config import DEFAULT_TEMPERATURE, Config, as_date
-from retailspark.functions.weather import weather_code
+from retailspark.functions.weather import N_CODES, weather_code
+from retailspark.sources.readers import cut_lineage
 
 SALES_COLUMNS = ["store_id", "barcode", "sale_date", "amount", "temperature", "weather_resume_wmo_code"]
 
@@ -53,16 +54,19 @@ def recent_sales(sales: DataFrame, *, as_of, days: int | None = None, cfg: Confi
 def daily_sales(sales: DataFrame) -> DataFrame:
     """Per (store_id, barcode, sale_date): amount sum, mean temperature over
     non-NULL readings, and the most frequent internal weather code (ties -> the
-    lowest code; NULL WMO counts as code 1)."""
+    lowest code; NULL WMO counts as code 1).  The few codes are counted one by one,
+    which Spark does in a hash aggregate of fixed-size rows."""
     coded = sales.select(
         "store_id", "barcode", "sale_date", "amount", "temperature",
         weather_code(F.col("weather_resume_wmo_code")).alias("weather_code"),
     )
-    return coded.groupBy("store_id", "barcode", "sale_date").agg(
-        F.sum("amount").alias("amount"),
-        F.avg("temperature").alias("temperature"),
-        F.mode("weather_code", deterministic=True).alias("weather_code"),
+    counts = [F.count(F.when(F.col("weather_code") == k, 1)).alias(f"_n{k}") for k in range(N_CODES)]
+    daily = coded.groupBy("store_id", "barcode", "sale_date").agg(
+        F.sum("amount").alias("amount"), F.avg("temperature").alias("temperature"), *counts
     )
+    most = F.greatest(*[F.col(f"_n{k}") for k in range(N_CODES)])
+    lowest = F.coalesce(*[F.when(F.col(f"_n{k}") == most, F.lit(k)) for k in range(N_CODES)])
+    return daily.select("store_id", "barcode", "sale_date", "amount", "temperature", lowest.alias("weather_code"))
 
 
 def fill_temperature(daily: DataFrame) -> DataFrame:
@@ -71,9 +75,12 @@ def fill_temperature(daily: DataFrame) -> DataFrame:
 
     Implemented as aggregate-then-join rather than a window partitioned by
     barcode, so a product holding a large share of the rows is reduced map-side
-    instead of landing in one task.
+    instead of landing in one task.  The days are written once (they feed the means
+    and the join), and so are the means: a row a product, which Spark broadcasts
+    if they are few.
     """
-    means = daily.groupBy("barcode").agg(F.avg("temperature").alias("_product_mean"))
+    daily = cut_lineage(daily)
+    means = cut_lineage(daily.groupBy("barcode").agg(F.avg("temperature").alias("_product_mean")))
     return (
         daily.join(means, "barcode", "left")
         .withColumn("temperature", F.coalesce("temperature", "_product_mean", F.lit(DEFAULT_TEMPERATURE)))

@@ -72,7 +72,7 @@ def training_rows(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config =
     a = as_date(as_of)
     s = sales.filter(F.col("sale_date") <= F.lit(a))
     sold = s if known_barcodes is None else known_barcodes
-    flags = cold_start_flags(sold.select("barcode").distinct(), registry, cfg=cfg)
+    flags = cut_lineage(cold_start_flags(sold.select("barcode").distinct(), registry, cfg=cfg))
     warm = flags.filter(~F.col("is_cold")).select("barcode")
     cold = flags.filter(F.col("is_cold")).select("barcode")
     recent = s.filter(F.col("sale_date") >= F.date_sub(F.lit(a), cfg.training_window_days)).join(warm, "barcode", "left_semi")
@@ -84,14 +84,17 @@ def training_rows(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config =
 
 def training_moments(matrix: DataFrame, by: str = "barcode", *also: Column) -> DataFrame:
     """H2: ``by, n, moments ARRAY<DOUBLE>[78]``, the last training date and the
-    aggregates of ``also``.  The means are a row a product, which Spark broadcasts
-    if they are few."""
-    means = matrix.groupBy(F.col(by).alias("_by")).agg(F.array(*[F.avg(F.col(v).cast("double")) for v in VARIABLES]).alias("_mean"))
-    off = [F.col(v).cast("double") - F.get("_mean", F.lit(i)) for i, v in enumerate(VARIABLES)]
-    aggs = [F.count(F.lit(1)).alias("n"), F.first("_mean").alias("_mean"), F.array(*[F.sum(d) for d in off]).alias("_rest"), F.array(*[F.sum(off[i] * off[j]) for i, j in TRI]).alias("_sums"), *also]
+    aggregates of ``also``.  The means are a row a product, written once, which Spark
+    broadcasts if they are few."""
+    means = cut_lineage(matrix.groupBy(F.col(by).alias("_by")).agg(F.array(*[F.avg(F.col(v).cast("double")) for v in VARIABLES]).alias("_mean")))
+    # Distances come first, as columns: 66 sums of whole expressions leave no method that Java compiles.
+    off = {f"_d{i}": F.col(v).cast("double") - F.get("_mean", F.lit(i)) for i, v in enumerate(VARIABLES)}
+    rows = matrix.join(means, matrix[by].eqNullSafe(F.col("_by"))).withColumns(off)
+    d = [F.col(c) for c in off]
+    aggs = [F.count(F.lit(1)).alias("n"), F.first("_mean").alias("_mean"), F.array(*[F.sum(x) for x in d]).alias("_rest"), F.array(*[F.sum(d[i] * d[j]) for i, j in TRI]).alias("_sums"), *also]
     if "sale_date" in matrix.columns:
         aggs.append(F.max("sale_date").alias("last_date"))
-    sums = matrix.join(means, matrix[by].eqNullSafe(F.col("_by"))).groupBy(by).agg(*aggs)
+    sums = rows.groupBy(by).agg(*aggs)
     # What rounding of the means has left.
     rest = lambda i: F.get("_rest", F.lit(i))
     exact = [F.get("_mean", F.lit(i)) + rest(i) / F.col("n") for i in range(DIM)]
@@ -186,15 +189,15 @@ def train_models(sales: DataFrame, registry: DataFrame, *, as_of, cfg: Config =
     last_date``.  Warm products start from a fresh fit on their recent window
     when no stored moments exist (use ``train_incremental`` to carry state).
 
-    The training rows feed two passes (moments, then the MSE of the solved
-    model), so with ``materialize`` they are written once to the reliable
-    checkpoint directory instead of re-reading the sales table; the fitted
-    models (one row per product) are materialised for the same reason.
+    The training rows feed three passes (means, moments, then the MSE of the solved
+    model) over the days that ``fill_temperature`` has written once to the reliable
+    checkpoint directory; with ``materialize`` the moments and the fitted models
+    (one row per product) are written there too.
     """
     rows = training_rows(sales, registry, as_of=as_of, cfg=cfg, known_barcodes=known_barcodes)
-    if materialize:
-        rows = cut_lineage(rows)
     mom = training_moments(rows, "barcode", F.max(F.col("is_cold").cast("int")).alias("_cold")).withColumn("last_date", F.lit(as_date(as_of)))
+    if materialize:
+        mom = cut_lineage(mom)
     models = solve(mom, cfg=cfg)
     if materialize:
         models = cut_lineage(models)
@@ -265,12 +268,16 @@ def train_incremental(state: DataFrame, sales: DataFrame, *, as_of, cfg: Config
     """
     a = as_date(as_of)
     st = registry_state(state).withColumnRenamed("total_examples", "prev_examples")
+    if materialize:
+        st = cut_lineage(st)
     warm = st.filter(
         (F.col("prev_examples") >= F.lit(cfg.min_examples_cold_start)) & F.col("moments").isNotNull() & F.col("last_date").isNotNull()
     )
     s = sales.filter(F.col("sale_date") <= F.lit(a))
     sold = known_barcodes.select("barcode").distinct() if known_barcodes is not None else s.select("barcode").distinct()
     cold = sold.join(warm.select("barcode"), "barcode", "left_anti")
+    if materialize:
+        cold = cut_lineage(cold)
     if allow_overlap:
         recent = s.filter(F.col("sale_date") >= F.date_sub(F.lit(a), cfg.training_window_days)).join(warm.select("barcode"), "barcode", "left_semi")
     else:
@@ -284,10 +291,12 @@ def train_incremental(state: DataFrame, sales: DataFrame, *, as_of, cfg: Config
     full = s.join(cold, "barcode", "left_semi")
     daily = fill_temperature(daily_sales(recent.unionByName(full)))
     rows = feature_matrix(daily, training=True, zero_as_missing=cfg.zero_as_missing)
-    if materialize:
-        rows = cut_lineage(rows)
     delta = training_moments(rows)
+    if materialize:
+        delta = cut_lineage(delta)
     merged = merge_moments(warm.select("barcode", "n", "moments", "last_date"), delta)
+    if materialize:
+        merged = cut_lineage(merged)
     models = solve(merged, cfg=cfg)
     if materialize:
         models = cut_lineage(models)
@@ -340,10 +349,10 @@ def train_arrivals(state: DataFrame, sales: DataFrame, *, since_epoch: int, as_o
         return feature_matrix(fill_temperature(daily_sales(part)), training=True, zero_as_missing=cfg.zero_as_missing)
 
     after = rows_of(around)
-    if materialize:
-        after = cut_lineage(after)
     plus = training_moments(after)
     minus = training_moments(rows_of(around.filter(F.col("epoch") <= F.lit(since_epoch))))
+    if materialize:
+        plus, minus = cut_lineage(plus), cut_lineage(minus)
     kept = st.filter(F.col("moments").isNotNull()).select("barcode", "n", "moments", "last_date")
     # First the rows that change are taken away, then they come as they are now.
     merged = merge_moments(merge_moments(kept, less(minus)), plus)

@@ -7,6 +7,8 @@ a re-run of the same job produces the same files (idempotent on retry).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,12 +106,15 @@ def write_table(df: DataFrame, path: str, *, partition_by: list[str] | None = No
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's reliable checkpoint directory
     (``spark.checkpoint.dir``) so that a lost executor re-reads it instead of
-    recomputing a long lineage.  Never a local checkpoint."""
+    recomputing a long lineage.  Never a local checkpoint.
+
+    Parquet files rather than an RDD checkpoint: Spark knows their size, so a table
+    with a row a product is broadcast if it is under
+    ``spark.sql.autoBroadcastJoinThreshold``.  (Of a shuffled side that a few keys
+    leave mostly empty, AQE makes no broadcast, and each key's rows meet in a task.)"""
     from retailspark.session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(df.sparkSession)
-    c = df.checkpoint(eager=True)
-    # The checkpoint relation keeps the attribute ids of the plan it came from;
-    # fresh aliases keep later joins with DataFrames of the same origin
-    # unambiguous for the analyzer.
-    return c.select(*[F.col(f"`{x}`").alias(x) for x in c.columns])
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -107,3 +107,8 @@ def test_history_cannot_go_back(spark):
     sales = spark.createDataFrame([], "store_id int, barcode string, sale_date date, amount int")
     with pytest.raises(ValueError):
         D.advance_history(D.history_totals(sales, as_of=dt.date(2024, 1, 2)), sales, since=dt.date(2024, 1, 2), as_of=dt.date(2024, 1, 1))
+
+
+def test_days_are_aggregated_by_hash(spark):
+    plan = D.daily_sales(spark.createDataFrame([], SALES))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan

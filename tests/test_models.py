@@ -266,3 +266,24 @@ def test_unsold_product_does_not_hold_the_read_back(spark):
     day1 = daily_forecast(**common, registry=spark.createDataFrame([], "barcode string, total_examples long"), as_of=dt.date(2024, 2, 10))
     day2 = daily_forecast(**common, registry=day1["registry"], as_of=dt.date(2024, 2, 20), assortment=day1["assortment"], assortment_as_of=dt.date(2024, 2, 10))
     assert {r.barcode: r.last_date for r in day2["registry"].collect()} == {"x": dt.date(2024, 2, 20), "y": dt.date(2024, 2, 20)}
+
+
+def test_rows_a_product_are_broadcast_not_sorted(spark):
+    """Few products of many rows: no join sends a product's rows to one task."""
+    from retailspark.operators.daily import daily_sales, fill_temperature
+    from retailspark.operators.features import feature_matrix
+
+    sales = spark.range(200_000).selectExpr(
+        "cast(id % 50 as int) store_id", "concat('p', id % 3) barcode", "date_add(date'2001-01-01', cast(id % 97 as int)) sale_date",
+        "cast(id % 9 as int) amount", "if(id % 7 = 0, null, cast(id % 30 as double)) temperature", "cast(id % 12 as int) weather_resume_wmo_code")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50KB")
+    try:
+        filled = fill_temperature(daily_sales(sales))
+        moments = MD.training_moments(feature_matrix(filled, training=True))
+        for df in (filled, moments):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert moments.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
