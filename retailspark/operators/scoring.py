@@ -16,6 +16,7 @@ from retailspark.functions.weather import forecast_temperature, weather_code
 from retailspark.operators.alerts import classify
 from retailspark.operators.features import feature_columns
 from retailspark.operators.models import predict
+from retailspark.sources.readers import cut_lineage
 
 PREDICTION_COLUMNS = [
     "store_id", "barcode", "product_name", "category", "image_url", "objective_date", "prediction", "feature", "type",
@@ -77,8 +78,9 @@ def extend_assortment(previous: DataFrame, arrived: DataFrame) -> DataFrame:
 
 def scoring_grid(pairs: DataFrame, days: DataFrame, products: DataFrame) -> DataFrame:
     """Pairs x that store's forecast days (equi-join on store_id), with the
-    product attributes (inner: unknown products are skipped)."""
-    p = products.select("barcode", "product_name", "category", "image_url")
+    product attributes (inner: unknown products are skipped).  These are written once,
+    so that Spark broadcasts them if they are few."""
+    p = cut_lineage(products.select("barcode", "product_name", "category", "image_url"))
     return pairs.join(days, "store_id").join(p, "barcode")
 
 
@@ -88,7 +90,10 @@ def score(grid: DataFrame, models: DataFrame, v_p: DataFrame, *, cfg: Config = C
     0.0), build inference features (no zero defaulting), predict, clamp and
     round half-even, classify, and return prediction rows."""
     m = models.filter(F.col("coef").isNotNull() & (F.col("total_examples") >= F.lit(cfg.min_examples_cold_start)))
-    g = grid.join(m.select("barcode", "coef"), "barcode").join(v_p.select("store_id", "barcode", "v_p"), ["store_id", "barcode"], "left")
+    # The models are a row a product, written once and broadcast if they are few; last,
+    # so that no coefficients are shuffled.
+    m = cut_lineage(m.select("barcode", "coef"))
+    g = grid.join(v_p.select("store_id", "barcode", "v_p"), ["store_id", "barcode"], "left").join(m, "barcode")
     f = g.select(
         "store_id", "barcode", "objective_date", "product_name", "category", "image_url", "coef",
         F.coalesce("v_p", F.lit(0.0)).alias("v_p"),

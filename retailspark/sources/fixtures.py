@@ -18,6 +18,8 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retailspark.sources.readers import cut_lineage
+
 # Fixed evaluation date used by every registered query (sales run 1995..2001).
 AS_OF = _dt.date(2001, 7, 1)
 # Gap that separates key-event sessions in the ``events`` stand-in.
@@ -147,7 +149,7 @@ def predictions(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) -> Da
         .groupBy("store_id", "barcode")
         .agg(F.avg(F.col("daily_total").cast("double")).alias("v_p"))
     )
-    prods = products(spark, sf_dir)
+    prods = cut_lineage(products(spark, sf_dir))
     g = (
         all_avg.join(recent, ["store_id", "barcode"], "left")
         .join(prods, "barcode")
