@@ -87,9 +87,15 @@ def read_snapshot(spark: SparkSession, path: str, version: int | None = None) ->
 def _read(spark: SparkSession, path: str, runs: dict[str, str]) -> DataFrame:
     by_run = defaultdict(list)
     for partition, run in runs.items():
-        by_run[run].append(f"{path}/runs/{run}/{partition}")
-    # Partition columns are found below a run's folder.
-    return reduce(DataFrame.unionByName, [spark.read.option("basePath", f"{path}/runs/{run}").parquet(*sorted(folders)) for run, folders in sorted(by_run.items())])
+        by_run[run].append(partition)
+
+    def part(run: str, partitions: list[str]) -> DataFrame:
+        # Partition columns are found below a run's folder, which is read as one path if all of it is current.
+        base = f"{path}/runs/{run}"
+        whole = len(partitions) == sum("=" in n for n in _names(spark, base))
+        return spark.read.option("basePath", base).parquet(*([base] if whole else sorted(f"{base}/{p}" for p in partitions)))
+
+    return reduce(DataFrame.unionByName, [part(run, partitions) for run, partitions in sorted(by_run.items())])
 
 
 def replace_keyed_on_disk(spark: SparkSession, path: str, new: DataFrame, *, keys=("store_id", "barcode"), partition_col: str = "store_id") -> int:
@@ -115,7 +121,8 @@ def replace_keyed_on_disk(spark: SparkSession, path: str, new: DataFrame, *, key
             old = old.join(touched.select(F.col(partition_col).alias("_touched")), F.col(partition_col).eqNullSafe(F.col("_touched")), "left_semi")
         merged = replace_keyed(old, new.select(*old.columns), list(keys))
     run = uuid.uuid4().hex
-    merged.write.partitionBy(partition_col).parquet(f"{path}/runs/{run}")
+    # A partition's rows together, large ones in pieces: not a file of it from every task.
+    merged.hint("rebalance", partition_col).write.partitionBy(partition_col).parquet(f"{path}/runs/{run}")
     written = [n for n in _names(spark, f"{path}/runs/{run}") if "=" in n]
     commit(spark, path, version + 1, runs | {n: run for n in written})
     return version + 1

@@ -72,3 +72,13 @@ def test_many_partitions_are_joined_and_null_partitions_kept(spark, monkeypatch)
     assert S.read_snapshot(spark, path).where(F.col("store_id").isNull()).count() == 2
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         S.read_snapshot(spark, path + "-none")
+
+
+def test_a_partition_is_not_a_file_from_every_task(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="rs-snap-", dir="/tmp"), "predictions")
+    rows = spark.range(400).selectExpr("cast(id % 5 as int) store_id", "cast(id as string) barcode", "cast(id as int) v").repartition(8, "barcode")
+    for version in (1, 2):
+        S.replace_keyed_on_disk(spark, path, rows)
+        files = [f for _, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+        assert len(files) == 5 * version
+    assert S.read_snapshot(spark, path).count() == 400
