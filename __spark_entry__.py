@@ -776,8 +776,8 @@ def q_half_hour_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_scanner_codes(spark: SparkSession, sf: str) -> DataFrame:
-    """The key events as a stream that is read to its end in three micro-batches,
-    some hours out of order.  Devices whose clock jumps to 2099 and back and
+    """The key events as a stream that is read to its end three times, from one
+    checkpoint, as a third more has come each time, some hours out of order.  Devices whose clock jumps to 2099 and back and
     events without a time come among them."""
     base = f"{ensure_checkpoint_dir(spark)}/keys-{uuid.uuid4().hex}"
     keys = FX.key_events(spark, sf).withColumn("arrived", F.col("ts")).unionByName(FX.stray_key_events(spark, sf))
@@ -785,9 +785,9 @@ def q_scanner_codes(spark: SparkSession, sf: str) -> DataFrame:
     span = keys.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
     third = F.lit(1) if span["a"] is None else F.least(F.floor((at - span["a"]) * 3 / (span["b"] - span["a"] + 1)), F.lit(2))
     for part in range(3):
-        keys.where(third == part).drop("arrived").coalesce(1).write.parquet(f"{base}/in/{part}")
-    stream = spark.readStream.schema(keys.drop("arrived").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
-    SE.scanner_sink(stream, out_dir=f"{base}/out", checkpoint=f"{base}/checkpoint", gap_seconds=FX.EVENT_GAP_SECONDS, delay_seconds=86_400.0, idle_seconds=86_400.0).awaitTermination()
+        keys.where(third == part).drop("arrived").write.parquet(f"{base}/in/{part}")
+        stream = spark.readStream.schema(keys.drop("arrived").schema).parquet(f"{base}/in/*")
+        SE.scanner_sink(stream, out_dir=f"{base}/out", checkpoint=f"{base}/checkpoint", gap_seconds=FX.EVENT_GAP_SECONDS, delay_seconds=86_400.0, idle_seconds=86_400.0).awaitTermination()
     waiting = SE.waiting_codes(spark, f"{base}/checkpoint", gap_seconds=FX.EVENT_GAP_SECONDS)
     return SE.read_codes(spark, f"{base}/out").unionByName(waiting)
 

@@ -460,3 +460,54 @@ def test_sessions_state_orders_a_triggers_chunks(spark):
         assert [r.code for r in spark.sql("SELECT * FROM rs_chunks").collect()] == ["ABCDEF"]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_device_is_handled_without_frames(monkeypatch):
+    """A device costs a few list steps a trigger: only its rows come as a frame, and
+    one is made only if something comes out."""
+    import pandas as pd
+
+    from retailspark.streaming.sessions import DeviceTime
+
+    class Handle:
+        value, timers, listed = None, [], 0
+
+        def getValueState(self, *_):
+            return self
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def listTimers(self):
+            self.listed += 1
+            return list(self.timers)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+        def getCurrentProcessingTimeInMs(self):
+            return 10**12
+
+    handle, device = Handle(), DeviceTime(1000, "ENTER", 5000, 60_000)
+    handle.timers = []
+    device.init(handle)
+    send = lambda rows: device.handleInputRows((1,), iter([pd.DataFrame(rows, columns=["us", "seq", "key"])]), handle)
+    made = []
+    frame = pd.DataFrame
+    rows = frame([(200, 2, "b"), (100, 1, "a"), (300, 3, "ENTER")], columns=["us", "seq", "key"])
+    monkeypatch.setattr(pd, "DataFrame", lambda *a, **k: made.append(1) or frame(*a, **k))
+    assert list(device.handleInputRows((1,), iter([rows]), handle)) == [] and not made and handle.listed == 0
+    monkeypatch.undo()
+    out = list(send([(9000, 4, "c"), (None, 5, "x")]))
+    assert [tuple(r)[1:4] for r in out[0].itertuples(index=False)] == [("code", "ab", 300), ("untimed", None, None)]
+    assert handle.value == ([9000], [4], ["c"], 4000) and len(handle.timers) == 1
+    assert [r.kind for r in list(send([(4000, 6, "l")]))[0].itertuples()] == ["late"]
