@@ -1,7 +1,8 @@
 """Parquet tables that are replaced by commit (A11, G1 on disk).
 
     <path>/runs/<run>/<partition>=<value>/   data files; a run's folder is written once
-    <path>/commits/<version>                 which run each partition is read from
+    <path>/runs/<run>/_bucket_of_256=<n>/    the same for a table of many partition values
+    <path>/commits/<version>                 which run each folder is read from
 
 A writer puts its partitions into a fresh run folder and then names a new commit,
 the last step, by a rename that fails if another writer has taken the version.
@@ -9,7 +10,10 @@ Readers follow the highest commit, so a run that dies on the way leaves the tabl
 was, and a reader that has begun goes on with the files of its commit.  The file
 system's rename must be atomic and refuse an existing name (HDFS does).
 
-A commit has a line for each partition, as Spark's own file listing has.
+A folder a value is right for some thousand values at most: with more of them, a version
+is as many small files.  Such a table has ``BUCKETS`` folders instead; the values that
+share a hash share a folder, ordered by value, so that a filter skips most of a file.
+A table that outgrows its folders is written whole into buckets, once.
 """
 
 from __future__ import annotations
@@ -20,14 +24,17 @@ from collections import defaultdict
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailspark.operators.scoring import replace_keyed
 from retailspark.sources.readers import cut_lineage
 
-#: Partition values that a filter names one by one.
+#: Partition values that get a folder each and that a filter names one by one.
 MOST_PARTITIONS = 2_000
+#: Folders of a table that goes over to buckets; one that has keeps its number.
+BUCKETS = 256
+_BUCKET = "_bucket_of_"
 
 
 class Conflict(RuntimeError):
@@ -46,7 +53,7 @@ def _names(spark: SparkSession, path: str) -> list[str]:
 
 
 def current(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
-    """The latest version and its run for each partition folder; (0, {}) for no table."""
+    """The latest version and its run for each folder; (0, {}) for no table."""
     versions = [int(n) for n in _names(spark, f"{path}/commits") if n.isdigit()]
     if not versions:
         return 0, {}
@@ -77,11 +84,22 @@ def commit(spark: SparkSession, path: str, version: int, runs: dict[str, str]) -
 
 
 def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """The table as of ``version`` (default: the latest).  Partition filters prune."""
+    """The table as of ``version`` (default: the latest).  Partition filters prune folders,
+    in a table of buckets row groups and pages."""
     runs = _commit_of(spark, path, version) if version is not None else current(spark, path)[1]
     if not runs:
         raise AnalysisException(f"PATH_NOT_FOUND: no committed table in {path}")
-    return _read(spark, path, runs)
+    return _read(spark, path, runs).drop(*filter(None, [_bucket_column(runs)]))
+
+
+def _bucket_column(runs: dict[str, str]) -> str | None:
+    return next((folder.partition("=")[0] for folder in runs if folder.startswith(_BUCKET)), None)
+
+
+def _bucket(partition_col: str, bucket_column: str) -> Column:
+    # Of the text, so that integers of any width agree.
+    buckets = int(bucket_column.removeprefix(_BUCKET))
+    return F.pmod(F.hash(F.col(partition_col).cast("string")), F.lit(buckets)).alias(bucket_column)
 
 
 def _read(spark: SparkSession, path: str, runs: dict[str, str]) -> DataFrame:
@@ -103,28 +121,35 @@ def replace_keyed_on_disk(spark: SparkSession, path: str, new: DataFrame, *, key
     keys of the same partition and all other partitions are untouched.  Returns
     the version that it committed.
 
-    Only the partitions present in ``new`` are read, merged and written, into a run of
-    their own: up to ``MOST_PARTITIONS`` of them are named in a partition filter,
-    more of them are joined.  ``new`` is computed once.  Two writers that start
-    from one version: the second gets ``Conflict`` and may simply run again."""
+    Only the folders of the partitions present in ``new`` are read, merged and written,
+    into a run of their own; of a table that goes over to buckets, all are.  ``new`` is
+    computed once.  Two writers that start from one version: the second gets
+    ``Conflict`` and may simply run again."""
     version, runs = current(spark, path)
     new = cut_lineage(new)
+    stored = bucket = _bucket_column(runs)
+    if not stored:
+        names = [r[0] for r in new.select(partition_col).distinct().limit(MOST_PARTITIONS + 1).collect()]
+        bucket = f"{_BUCKET}{BUCKETS}" if max(len(names), len(runs)) > MOST_PARTITIONS else None
     merged = new
     if runs:
-        touched = new.select(partition_col).distinct()
-        names = [r[0] for r in touched.limit(MOST_PARTITIONS + 1).collect()]
         old = _read(spark, path, runs)
-        if len(names) <= MOST_PARTITIONS:
+        if stored:
+            touched = [r[0] for r in new.select(_bucket(partition_col, stored)).distinct().collect()]
+            old = old.where(F.col(stored).isin(touched)).drop(stored)
+        elif not bucket:
             named = F.col(partition_col).isin([n for n in names if n is not None])
             old = old.where(named | F.col(partition_col).isNull() if None in names else named)
-        else:
-            old = old.join(touched.select(F.col(partition_col).alias("_touched")), F.col(partition_col).eqNullSafe(F.col("_touched")), "left_semi")
         merged = replace_keyed(old, new.select(*old.columns), list(keys))
+    # A folder's rows together, large ones in pieces: not a file of it from every task.
+    if bucket:
+        rows = merged.select("*", _bucket(partition_col, bucket)).hint("rebalance", bucket).sortWithinPartitions(bucket, partition_col)
+    else:
+        rows = merged.hint("rebalance", partition_col)
     run = uuid.uuid4().hex
-    # A partition's rows together, large ones in pieces: not a file of it from every task.
-    merged.hint("rebalance", partition_col).write.partitionBy(partition_col).parquet(f"{path}/runs/{run}")
-    written = [n for n in _names(spark, f"{path}/runs/{run}") if "=" in n]
-    commit(spark, path, version + 1, runs | {n: run for n in written})
+    rows.write.partitionBy(bucket or partition_col).parquet(f"{path}/runs/{run}")
+    written = {n: run for n in _names(spark, f"{path}/runs/{run}") if "=" in n}
+    commit(spark, path, version + 1, runs | written if stored == bucket else written)
     return version + 1
 
 

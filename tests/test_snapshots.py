@@ -82,3 +82,47 @@ def test_a_partition_is_not_a_file_from_every_task(spark):
         files = [f for _, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
         assert len(files) == 5 * version
     assert S.read_snapshot(spark, path).count() == 400
+
+
+def _texts(df):
+    return sorted(str(tuple(r)) for r in df.select("store_id", "barcode", "v").collect())
+
+
+def test_many_partition_values_share_folders(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_PARTITIONS", 10)
+    monkeypatch.setattr(S, "BUCKETS", 4, raising=False)
+    path = os.path.join(tempfile.mkdtemp(prefix="rs-snap-", dir="/tmp"), "predictions")
+    old = [(s, b, 10 * s) for s in range(40) for b in "ab"] + [(None, "n", 1)]
+    S.replace_keyed_on_disk(spark, path, spark.createDataFrame(old, SCHEMA))
+    first = S.current(spark, path)[1]
+    files = [f for _, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+    assert len(first) <= 4 and len(files) <= 4
+    now = S.read_snapshot(spark, path)
+    assert now.columns == ["store_id", "barcode", "v"] and _texts(now) == sorted(map(str, old))
+    # Store 7, here as a bigint, is found; folders without it are left alone.
+    S.replace_keyed_on_disk(spark, path, spark.createDataFrame([(7, "b", 1), (7, "b", 2), (7, "c", 3)], "store_id bigint, barcode string, v int"))
+    want = [r for r in old if r[:2] != (7, "b")] + [(7, "b", 1), (7, "b", 2), (7, "c", 3)]
+    assert _texts(S.read_snapshot(spark, path)) == sorted(map(str, want))
+    second = S.current(spark, path)[1]
+    assert first.keys() == second.keys() and sum(first[n] != second[n] for n in first) == 1
+    # All values again, and none; a table keeps its number of buckets.
+    monkeypatch.setattr(S, "BUCKETS", 3, raising=False)
+    new = [(s, "a", s) for s in range(45)] + [(None, "n", 2)]
+    S.replace_keyed_on_disk(spark, path, spark.createDataFrame(new, SCHEMA))
+    want = [r for r in want if r[0] is None or r[1] != "a"] + new
+    assert _texts(S.read_snapshot(spark, path)) == sorted(map(str, want))
+    assert S.replace_keyed_on_disk(spark, path, spark.createDataFrame([], SCHEMA)) == 4
+    assert _texts(S.read_snapshot(spark, path)) == sorted(map(str, want))
+    assert S.vacuum(spark, path, keep=1) == 3 and S.read_snapshot(spark, path).count() == len(want)
+
+
+def test_a_table_that_outgrows_its_folders_goes_over_to_buckets_whole(spark, monkeypatch):
+    path = _table(spark)
+    monkeypatch.setattr(S, "MOST_PARTITIONS", 3)
+    monkeypatch.setattr(S, "BUCKETS", 2, raising=False)
+    new = [(s, "z", s) for s in (1, 3, 4, 5, 6, None)]
+    S.replace_keyed_on_disk(spark, path, spark.createDataFrame([*new, (1, "b", 9)], SCHEMA))
+    want = [(1, "a", 1), (1, "b", 9), (2, "a", 4), *new]
+    assert _texts(S.read_snapshot(spark, path)) == sorted(map(str, want))
+    assert len(S.current(spark, path)[1]) <= 2
+    assert _rows(S.read_snapshot(spark, path, 1)) == [(1, "a", 1), (1, "b", 2), (1, "b", 3), (2, "a", 4)]
